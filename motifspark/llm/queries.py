@@ -1,12 +1,13 @@
 """Queries of this subpackage and their SQL."""
 from __future__ import annotations
 
-from . import decontaminate, quality_rules
+from . import decontaminate, quality_rules, simhash
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op6_simhash": simhash.op6_simhash,
         "op8_decontaminate": decontaminate.op8_decontaminate,
     }
 
