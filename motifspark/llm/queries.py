@@ -1,13 +1,15 @@
 """Queries of this subpackage and their SQL."""
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, simhash
+from . import decontaminate, langid, quality_model, quality_rules, simhash
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op5_langid": langid.op5_langid,
         "op6_simhash": simhash.op6_simhash,
+        "op7_quality_model": quality_model.op7_quality_model,
         "op8_decontaminate": decontaminate.op8_decontaminate,
     }
 
