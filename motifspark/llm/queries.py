@@ -1,18 +1,24 @@
 """Queries of this subpackage and their SQL."""
 from __future__ import annotations
 
-from . import decontaminate, langid, quality_model, quality_rules, simhash
+from . import bpe, decontaminate, langid, licenses, quality_model, quality_rules, simhash
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_bpe": bpe.op2_bpe,
         "op5_langid": langid.op5_langid,
         "op6_simhash": simhash.op6_simhash,
         "op7_quality_model": quality_model.op7_quality_model,
         "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op10_licenses": licenses.op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
+    return {
+        "op1_quality_rules": quality_rules.ORACLE,
+        "op8_decontaminate": decontaminate.ORACLE,
+        "op10_licenses": licenses.ORACLE,
+    }
