@@ -1,13 +1,14 @@
 """Queries of this subpackage and their SQL."""
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, licenses, quality_model, quality_rules, secret_scan, simhash
+from . import bpe, decontaminate, langid, licenses, quality_model, quality_rules, secret_scan, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_bpe": bpe.op2_bpe,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_langid": langid.op5_langid,
         "op6_simhash": simhash.op6_simhash,
