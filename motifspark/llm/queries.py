@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL."""
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, licenses, quality_model, quality_rules, secret_scan, simhash, toxicity
+from . import bpe, decontaminate, langid, language_model, licenses, quality_model, quality_rules, secret_scan, simhash, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_simhash": simhash.op6_simhash,
         "op7_quality_model": quality_model.op7_quality_model,
         "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_language_model": language_model.op9_language_model,
         "op10_licenses": licenses.op10_licenses,
     }
 

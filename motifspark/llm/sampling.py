@@ -26,3 +26,14 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, allowed: Colu
     chosen = docs.sparkSession.createDataFrame(ids, f"__id {docs.schema[id_col].dataType.simpleString()}, y int")
     rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select("__id", F.col(text_col).alias("__t"), "y").collect()  # 2 * per_class ids
     return [(r["__t"] or "", r["y"]) for r in sorted(rows, key=lambda r: (str(r["__id"]), r["__t"] or ""))]
+
+
+def some_texts(docs: DataFrame, allowed: Column, most: int, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
+    """At most ``most`` whole texts of the allowed rows, the first ids by a hash; null texts are left out."""
+    base = docs.where(allowed & F.col(text_col).isNotNull())
+    picked = [r["__id"] for r in base.select(F.col(id_col).alias("__id")).where("__id is not null").orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(most).collect()]
+    if not picked:
+        return []
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(picked))], f"__id {docs.schema[id_col].dataType.simpleString()}")
+    rows = base.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).dropDuplicates([id_col]).select("__id", F.col(text_col).alias("__t")).collect()  # `most` ids
+    return [r["__t"] for r in sorted(rows, key=lambda r: str(r["__id"]))]
