@@ -11,27 +11,38 @@ def remainder(id_col: str | Column, modulus: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % modulus
 
 
+def first_by_hash(df: DataFrame, key: str, most: int, tie: str | None = None) -> DataFrame:
+    """At most ``most`` rows, the first by a hash of ``key``.
+
+    Rows that cannot be among them, given how many there are, go before the top-k, so that what tasks send to the
+    driver does not grow with their number.
+    """
+    n = df.count()
+    span = 1 << 40
+    h = F.pmod(F.xxhash64(F.col(key).cast("string") if df.schema[key].dataType.simpleString() != "binary" else F.col(key)), F.lit(span))
+    near = df if n <= 2 * most else df.where(h < int(span * min(1.0, (most + 10 * most**0.5 + 100) / n)))
+    return near.orderBy(h, tie or key).limit(most)
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
     """At most ``per_class`` (text, label) pairs of each class 0 and 1, the first by a hash of the id.
 
-    ``allowed`` is a condition on ``id_col`` of ``labels``.  The ids are chosen first, by a top-k per class, so
+    ``allowed`` is a condition on ``id_col`` of ``labels``.  The ids are chosen first, so
     only the chosen texts reach the driver: at most 2 * per_class.
     """
     base = labels.where(allowed & F.col(label).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).dropDuplicates(["__id"])
-    order = [F.xxhash64(F.col("__id").cast("string")), "__id"]
-    picked = base.where("y = 0").orderBy(*order).limit(per_class).union(base.where("y = 1").orderBy(*order).limit(per_class))
-    ids = [(r["__id"], r["y"]) for r in picked.collect()]
+    ids = [(r["__id"], r["y"]) for y in (0, 1) for r in first_by_hash(base.where(F.col("y") == y), "__id", per_class).collect()]
     if not ids:
         return []
     chosen = docs.sparkSession.createDataFrame(ids, f"__id {docs.schema[id_col].dataType.simpleString()}, y int")
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select("__id", F.col(text_col).alias("__t"), "y").collect()  # 2 * per_class ids
+    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).dropDuplicates([id_col]).select("__id", F.col(text_col).alias("__t"), "y").collect()  # 2 * per_class ids
     return [(r["__t"] or "", r["y"]) for r in sorted(rows, key=lambda r: (str(r["__id"]), r["__t"] or ""))]
 
 
 def some_texts(docs: DataFrame, allowed: Column, most: int, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
     """At most ``most`` whole texts of the allowed rows, the first ids by a hash; null texts are left out."""
     base = docs.where(allowed & F.col(text_col).isNotNull())
-    picked = [r["__id"] for r in base.select(F.col(id_col).alias("__id")).where("__id is not null").orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(most).collect()]
+    picked = [r["__id"] for r in first_by_hash(base.select(F.col(id_col).alias("__id")).where("__id is not null"), "__id", most).collect()]
     if not picked:
         return []
     chosen = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(picked))], f"__id {docs.schema[id_col].dataType.simpleString()}")
