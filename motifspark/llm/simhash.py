@@ -80,17 +80,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # --- the trie join -------------------------------------------------------------------------------------------
 
 
-def trie_links(keys: np.ndarray, pairs: np.ndarray, depth: int, budget: int, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_links(keys: np.ndarray, pairs: np.ndarray, depth: int, budget: int, most: int = 2_000_000, end: int = 64, skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indexes (a, b) of keys within ``budget`` bits of each other.
 
     keys: unsigned, sorted inside each node.  pairs: rows (a_lo, a_hi, b_lo, b_hi, differing bits so far) of pairs of
     trie nodes at ``depth`` bits; a node is a range of keys with a common prefix, and a pair of a node with itself has
-    equal ranges.
+    equal ranges.  end: the depth at which keys are told apart.  skip: a label of each key; pairs of keys with equal labels are
+    left out (it may change between the results).
     """
     stack = [(depth, pairs)]
     while stack:
         depth, p = stack.pop()
-        while depth < 64 and len(p):
+        while depth < end and len(p):
             if len(p) > most:
                 half = len(p) // 2
                 stack.append((depth, p[half:]))
@@ -98,7 +99,7 @@ def trie_links(keys: np.ndarray, pairs: np.ndarray, depth: int, budget: int, mos
             a_lo, a_hi, b_lo, b_hi, d = p.T
             leaf = (a_hi - a_lo) * (b_hi - b_lo) <= 4
             if leaf.any():
-                yield from _leaves(keys, p[leaf], budget)
+                yield from _leaves(keys, p[leaf], budget, skip)
                 p = p[~leaf]
                 if not len(p):
                     break
@@ -121,18 +122,35 @@ def trie_links(keys: np.ndarray, pairs: np.ndarray, depth: int, budget: int, mos
             p = np.concatenate(made)
             depth += 1
         if len(p):
-            yield from _leaves(keys, p, budget)
+            yield from _leaves(keys, p, budget, skip)
 
 
-def _leaves(keys: np.ndarray, p: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _leaves(keys: np.ndarray, p: np.ndarray, budget: int, skip: np.ndarray | None = None, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    big = (p[:, 1] - p[:, 0]) * (p[:, 3] - p[:, 2]) > most
+    if big.any():  # wide nodes in strips
+        for a_lo, a_hi, b_lo, b_hi, d in p[big].tolist():
+            step = max(1, most // (b_hi - b_lo))
+            for a in range(a_lo, a_hi, step):
+                yield from _pairs(keys, np.array([[a, min(a + step, a_hi), b_lo, b_hi, d]]), budget, skip, own=(a_lo, b_lo))
+        p = p[~big]
+    upto = np.cumsum((p[:, 1] - p[:, 0]) * (p[:, 3] - p[:, 2]))
+    cuts = np.searchsorted(upto, np.arange(0, (int(upto[-1]) if len(upto) else 0) + most, most), "left")
+    for a, b in zip(cuts, [*cuts[1:], len(p)]):
+        if b > a:
+            yield from _pairs(keys, p[a:b], budget, skip)
+
+
+def _pairs(keys: np.ndarray, p: np.ndarray, budget: int, skip: np.ndarray | None, own: tuple[int, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     wide, high = p[:, 1] - p[:, 0], p[:, 3] - p[:, 2]
     count = wide * high
     row = np.repeat(np.arange(len(p)), count)
     k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     a, b = p[row, 0] + k // high[row], p[row, 2] + k % high[row]
-    near = np.bitwise_count(keys[a] ^ keys[b]) <= budget
-    own = (p[row, 0] == p[row, 2]) & (a >= b)  # each pair of a node with itself once
-    near &= ~own
+    itself = p[row, 0] == p[row, 2] if own is None else np.full(len(row), own[0] == own[1])
+    near = ~(itself & (a >= b))  # each pair of a node with itself once
+    if skip is not None:
+        near &= skip[a] != skip[b]
+    near &= np.bitwise_count(keys[a] ^ keys[b]) <= budget
     if near.any():
         yield a[near], b[near]
 
@@ -301,9 +319,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of, rows["fp"] == of["n_fp"]).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The document with the least id of each class, all columns kept; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, **options)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: DataFrame | None = None, **options) -> DataFrame:
+    """The document with the least id of each class, all columns kept; rows without an id stay.
+
+    classes: (doc_id, component_id), where they are known already.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options) if classes is None else classes
     extra = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct()
     return docs.join(extra, docs[id_col] == extra["__extra"], "left_anti")
 
