@@ -13,7 +13,7 @@ def running(df: DataFrame, score: str, sums: dict[str, str], ties: list, by: lis
     Scores are cut at approximate quantiles into buckets; a window runs inside a bucket, and the small table of bucket
     totals, whose size does not depend on the rows, gives each bucket's start.
     """
-    by = by or []
+    by, buckets = by or [], max(buckets, 2)
     cuts = df.groupBy(*by).agg(F.percentile_approx(score, F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)]), F.lit(10_000)).alias("__cuts"))
     cuts = cuts.withColumn("__cuts", F.array_distinct("__cuts"))
     held = df.join(F.broadcast(cuts), by) if by else df.crossJoin(F.broadcast(cuts))  # one row per ``by``
