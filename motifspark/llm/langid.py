@@ -96,7 +96,7 @@ class Models:
             if not len(todo):
                 break
             if k == 1:
-                out[todo] += np.float32(np.log(1 / CODES))
+                out[todo] += self.back[0][0] + np.float32(np.log(1 / CODES))
             else:
                 context = part >> np.uint32(6)
                 at = np.minimum(np.searchsorted(self.back_keys[k - 1], context), len(self.back_keys[k - 1]) - 1)
