@@ -152,3 +152,12 @@ def positions(strands: DataFrame, m: Motif, bg: Background, cutoff: float = SITE
     from .score import sites_of
 
     return sites_of(responsibilities(strands, m, bg, cutoff), strands, m.width)
+
+
+def sites_from_pwm(strands: DataFrame, pwm: np.ndarray, bg: Background, order: int = 2, q: float = 0.3, seed: int = 42, name: str = "motif") -> Motif:
+    """A motif of higher order from a weight matrix: one site (or none) is drawn per sequence from the order-0 posterior, and the k-mers of these sites are counted."""
+    from .motif import build, from_pwm
+
+    start = from_pwm(pwm, bg, order, q=q, name=name)
+    n, _, drawn, _ = expected_counts(strands, start, bg, sample_seed=seed)
+    return build(n, bg, q=q, name=name) if drawn else start

@@ -127,3 +127,28 @@ def q_values(p: DataFrame, eta0: float, col: str = "p_value", bins: int = 1000)
         values = np.repeat([(r["bin"] + 1) / bins for r in rows], [max(1, round(r["n"] * 1e6 / total)) for r in rows])
     x, q, l = grenander(values, eta0)
     return p.sparkSession.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(x, q, l)], "p double, q double, lfdr double")
+
+
+def curve_window(curve: DataFrame, low: float = 0.01, high: float = 0.5) -> DataFrame:
+    """The part of a curve between two false discovery rates, with its closing point (recall 1 at the higher rate).
+
+    Recall stays at 1 once it is there, and is 0 at the left border.
+    """
+    spark = curve.sparkSession
+    inside = curve.where((F.col("fdr") >= low) & (F.col("fdr") <= high)).groupBy("fdr").agg(F.least(F.lit(1.0), F.max("recall")).alias("recall"))
+    full = F.broadcast(inside.agg(F.min(F.when(F.col("recall") >= 1, F.col("fdr"))).alias("__full")))
+    capped = inside.crossJoin(full).select("fdr", F.when(F.col("fdr") >= F.col("__full"), F.lit(1.0)).otherwise(F.col("recall")).alias("recall"))  # one row
+    ends = spark.createDataFrame([(low, 0.0), (high, 1.0)], "fdr double, recall double")
+    return capped.where((F.col("fdr") > low) & (F.col("fdr") < high)).unionByName(ends)
+
+
+def log_odds_pairs(scores: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(rank, positive, negative): each positive score beside every (negatives / positives)-th null score, both by descending score."""
+    sides = {}
+    for side in (1, 0):
+        part = scores.where(F.col("is_pos") == side).select("id", "score")
+        sides[side] = running(part, "score", {"rank": "1"}, ["id"], buckets=buckets)
+    n = scores.agg(F.sum("is_pos").alias("p"), F.sum(F.lit(1) - F.col("is_pos")).alias("m")).first()
+    step = max(1, (n["m"] or 0) // max(1, n["p"] or 0))
+    neg = sides[0].where(F.pmod("rank", F.lit(step)) == 0).select((F.col("rank") / step).cast("long").alias("rank"), F.col("score").alias("negative"))
+    return sides[1].select(F.col("rank").cast("long").alias("rank"), F.col("score").alias("positive")).join(neg, "rank", "left")

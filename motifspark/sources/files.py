@@ -179,3 +179,37 @@ def write_bed(bed: DataFrame, path: str) -> None:
     bed.select("chrom", "start", "end", "strand", F.format_string("%.2e", "p_value").alias("p_value")).write.csv(path, sep="\t")
 
 
+
+
+def write_positions(rows: DataFrame, path: str) -> None:
+    """Sites (seq, length, strand, start, end, pattern)."""
+    at = F.concat_ws("..", F.col("start").cast("string"), F.col("end").cast("string"))
+    rows.select("seq", "length", "strand", at.alias("start..end"), "pattern").write.csv(path, sep="\t", header=True)
+
+
+def write_best_sites(rows: DataFrame, path: str) -> None:
+    """The best site of each sequence with its score."""
+    at = F.concat_ws("..", F.col("start").cast("string"), F.col("end").cast("string"))
+    rows.select("seq", "length", "strand", at.alias("start..end"), "pattern", F.round("score", 6).alias("zoops_score")).write.csv(path, sep="\t", header=True)
+
+
+def write_positional_likelihoods(rows: DataFrame, path: str) -> None:
+    """(seq_id, i, lik) as one line per sequence, in order of position.  A line is as long as its sequence."""
+    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "lik"))), lambda x: F.format_string("%.6f", x["lik"])), " ")
+    rows.groupBy("seq_id").agg(line.alias("value")).select("value").write.text(path)
+
+
+def write_posteriors(post: DataFrame, of: str, path: str, most_models: int = 1000) -> None:
+    """posterior.summary (the two likeliest models of each set) and posterior.matrix (a column per model, by name)."""
+    from ..operators.background import best_two
+
+    best_two(post, of).write.csv(f"{path}.summary", sep="\t", header=True)
+    names = [r["model"] for r in post.select("model").distinct().orderBy("model").limit(most_models + 1).collect()]
+    if len(names) > most_models:
+        raise ValueError("too many models for a matrix")
+    post.groupBy(of).pivot("model", names).agg(F.round(F.first("posterior"), 6)).write.csv(f"{path}.matrix", sep="\t", header=True)
+
+
+def write_matches(hits: DataFrame, path: str) -> None:
+    """Database hits of each query, by e-value."""
+    hits.select("model_id", "db_id", F.col("p_value").alias("p-value"), F.col("e_value").alias("e-value"), "sim_score", "model_width").repartition("model_id").sortWithinPartitions("model_id", "e-value").write.csv(path, sep="\t", header=True)

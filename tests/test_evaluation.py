@@ -97,3 +97,13 @@ def test_numeric():
     assert numeric.argsort([3, 1, 2]).tolist() == [1, 2, 0] and numeric.power(4, 3) == 64
     with pytest.raises(ValueError):
         numeric.digamma(0)
+
+
+def test_window_and_pairs(scores):
+    rows, df = scores
+    w = {r["fdr"]: r["recall"] for r in evaluate.curve_window(evaluate.zoops_curve(df)).collect()}
+    assert w[0.01] == 0 and w[0.5] == 1 and all(0.01 <= f <= 0.5 for f in w)
+    pos = sorted((s for _, s, p in rows if p), reverse=True)
+    neg = sorted((s for _, s, p in rows if not p), reverse=True)
+    got = {r["rank"]: (r["positive"], r["negative"]) for r in evaluate.log_odds_pairs(df).collect()}
+    assert got == {i + 1: (pos[i], neg[i]) for i in range(300)}

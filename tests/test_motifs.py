@@ -222,3 +222,24 @@ def test_streaming_scan_equals_the_batch(spark, tmp_path, world):
     q.awaitTermination(120)
     want = score.best_scores(score.scored_strands(df), [m], bg).where("score > 2")
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_sinks_and_pwm_sites(spark, tmp_path, world):
+    df, rows, bg, plan = world
+    st = score.scored_strands(df)
+    m = em.sites_from_pwm(st, start_motif(bg, plan, 0.8).pwm(), bg, 2, q=0.5)
+    assert m.order == 2 and "".join("ACGT"[i] for i in m.v[0].argmax(axis=0)) == plan
+    at = score.sites_of(score.best_scores(st, [m], bg), st, 8).select(F.col("seq_id").cast("string").alias("seq"), F.col("L").alias("length"), "strand", F.col("begin").alias("start"), "end", "pattern", "score")
+    files.write_best_sites(at, str(tmp_path / "best"))
+    files.write_positions(at, str(tmp_path / "pos"))
+    assert spark.read.csv(str(tmp_path / "best"), sep="\t", header=True).count() == spark.read.csv(str(tmp_path / "pos"), sep="\t", header=True).count() == 200
+    files.write_positional_likelihoods(B.positional_likelihoods(df, bg), str(tmp_path / "lhs"))
+    lines = [r["value"].split(" ") for r in spark.read.text(str(tmp_path / "lhs")).collect()]
+    assert len(lines) == 200 and {len(x) for x in lines} == {60}
+    named = df.select("seq", F.when(F.col("seq_id") % 2 == 0, "a").otherwise("b").alias("name"))
+    post = B.posteriors(B.log_likelihoods(named, B.fit_by(named, "name", 1), ["name"]), "name")
+    files.write_posteriors(post, "name", str(tmp_path / "posterior"))
+    assert spark.read.csv(str(tmp_path / "posterior.matrix"), sep="\t", header=True).columns == ["name", "a", "b"]
+    hits = compare.search(compare.as_table(spark, {"q": m.pwm()}), compare.as_table(spark, {"q": m.pwm(), "x": m.pwm()[::-1]}), max_p=1.1)
+    files.write_matches(hits, str(tmp_path / "match"))
+    assert spark.read.csv(str(tmp_path / "match"), sep="\t", header=True).columns[2] == "p-value"
