@@ -157,16 +157,20 @@ class Network:
 
     def project(self, feats: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Embeddings of the distinct words and their gate inputs; a last row of zeros stands for no word."""
-        x = self.p["E"][feats].sum(axis=1)
-        x = np.concatenate([x, np.zeros((1, INPUT), np.float32)])
+        x = np.zeros((len(feats) + 1, INPUT), np.float32)
+        for i in range(N_FEATURES):
+            x[:-1] += self.p["E"][feats[:, i]]
         return x, {d: x @ self.p[f"W{d}"] + self.p[f"b{d}"] for d in "fb"}
 
-    def logits(self, chunk: Chunk, batch: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    def logits(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """The logit and the row of every window of the chunk."""
         feats, word = word_features(chunk)
         start, size, row = windows(chunk)
+        return self.window_logits(feats, word, start, size), row
+
+    def window_logits(self, feats: np.ndarray, word: np.ndarray, start: np.ndarray, size: np.ndarray, batch: int = 4096) -> np.ndarray:
         _, gates = self.project(feats)
-        out = np.zeros(len(row), np.float32)
+        out = np.zeros(len(size), np.float32)
         order = np.argsort(size, kind="stable")
         word = np.append(word, len(feats))
         for i in range(0, len(order), batch):
@@ -176,13 +180,10 @@ class Network:
             mask = t < size[pick]
             at = np.where(mask, word[np.minimum(start[pick] + t, len(word) - 1)], len(feats))
             out[pick] = self.forward({d: gates[d][at] for d in "fb"}, mask.astype(np.float32))[0]
-        return out, row
+        return out
 
     def text_logits(self, chunk: Chunk) -> np.ndarray:
-        logit, row = self.logits(chunk)
-        best = np.full(chunk.n, -8.0)
-        np.maximum.at(best, row, logit)
-        return best
+        return worst(*self.logits(chunk), chunk.n)
 
     def scores(self, chunk: Chunk) -> np.ndarray:
         if self.empty:
@@ -190,10 +191,29 @@ class Network:
         return _sigmoid(np.clip(self.scale * self.text_logits(chunk) + self.shift, -30, 30))
 
 
+def worst(logit: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """The largest logit of each row; rows without windows are clean."""
+    best = np.full(n, -8.0)
+    np.maximum.at(best, row, logit)
+    return best
+
+
+def _prepared(texts: list[str], some: int = 100) -> tuple[np.ndarray, ...]:
+    """Features, words, windows (start, size, row) and rows of words of the texts, some texts at a time."""
+    parts, n_feats, n_words = [], 0, 0
+    for i in range(0, len(texts), some):
+        chunk = Chunk.of(texts[i : i + some])
+        feats, word = word_features(chunk)
+        start, size, row = windows(chunk)
+        parts.append((feats.astype(np.int32), (word + n_feats).astype(np.int32), start + n_words, size, row + i, (chunk.rows_of(chunk.words[2]) + i).astype(np.int32)))
+        n_feats, n_words = n_feats + len(feats), n_words + len(word)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _evidence(feats: np.ndarray, word: np.ndarray, row: np.ndarray, y: np.ndarray, used: np.ndarray) -> np.ndarray:
     """A start for one dimension of the embeddings: in how many toxic and clean training texts a bucket occurs, as shrunk log-odds."""
-    keep = used[row]
-    pairs = np.unique((row[keep][:, None] * BUCKETS + feats[word[keep]]).ravel())
+    keep = np.flatnonzero(used[row])
+    pairs = np.unique(np.concatenate([np.unique((row[k][:, None].astype(np.int64) * BUCKETS + feats[word[k]]).ravel()) for k in np.array_split(keep, 1 + len(keep) // 200_000)]))
     toxic = y[pairs // BUCKETS] > 0
     bucket = pairs % BUCKETS
     t, c = np.bincount(bucket[toxic], minlength=BUCKETS), np.bincount(bucket[~toxic], minlength=BUCKETS)
@@ -211,18 +231,15 @@ def train(texts: list[tuple[str, int]], epochs: int = 6, batch: int = 256, seed:
         net.empty = True
         return net
     rng = np.random.default_rng(seed)
-    chunk = Chunk.of([t[0] for t in texts])
-    feats, word = word_features(chunk)
-    start, size, row = windows(chunk)
+    feats, word, start, size, row, word_row = _prepared([t[0] for t in texts])
     held = rng.random(len(y)) < 0.2
-    net.p["E"][:, 0] = _evidence(feats, word, chunk.rows_of(chunk.words[2]), y, ~held)
-    word = np.append(word, len(feats))
+    net.p["E"][:, 0] = _evidence(feats, word, word_row, y, ~held)
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     for epoch in range(epochs):
         rate = 0.02 if epoch < epochs - 2 else 0.007
         # the worst window of every text, and for clean texts some others
-        logit = net.logits(chunk)[0]
+        logit = net.window_logits(feats, word, start, size)
         noisy = logit + (rng.gumbel(size=len(logit)) * (2.0 if epoch == 0 else 0.3))
         order = np.lexsort((-noisy, row))
         lead = np.r_[True, row[order][1:] != row[order][:-1]]
@@ -264,7 +281,7 @@ def train(texts: list[tuple[str, int]], epochs: int = 6, batch: int = 256, seed:
                 m[at_rows] = 0.9 * m[at_rows] + 0.1 * grad
                 v[at_rows] = 0.99 * v[at_rows] + 0.01 * grad**2
                 net.p[k][at_rows] -= rate * (m[at_rows] / (1 - 0.9**step)) / (np.sqrt(v[at_rows] / (1 - 0.99**step)) + 1e-6)
-    best, target = net.text_logits(chunk)[held], y[held]
+    best, target = worst(net.window_logits(feats, word, start, size), row, len(y))[held], y[held]
     if len(set(target.tolist())) == 2:
         scale, shift = 1.0, 0.0
         smooth = np.where(target > 0, 1 - 1 / (target.sum() + 2), 1 / ((1 - target).sum() + 2))
