@@ -306,17 +306,30 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = seen
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
-    rows = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    linked = components(near_links(nodes.select("fp"), max_bits, split_above))
+def labelled(rows: DataFrame, nodes: DataFrame, linked: DataFrame, hot_share: int = 10_000) -> DataFrame:
+    """(doc_id, fp, component_id): the least id of each row's class.
+
+    rows: (doc_id, fp); nodes: (fp, least_id, n), one per fingerprint with its number of rows; linked: (node, root).
+    Fingerprints with more than one row in ``hot_share`` are fewer than that number, so their classes are broadcast; the
+    other rows are joined by a shuffle.
+    """
     linked = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
     members = linked.join(nodes, linked["node"] == nodes["fp"]).select("node", "root", "least_id")
     least = members.groupBy("root").agg(F.min("least_id").alias("class_id"))
     classes = members.join(least, "root").select("node", "class_id")
-    of = nodes.join(classes, nodes["fp"] == classes["node"], "left").select(F.col("fp").alias("n_fp"), F.coalesce("class_id", "least_id").alias("component_id"))
-    return rows.join(of, rows["fp"] == of["n_fp"]).select("doc_id", "fp", "component_id")
+    of = nodes.join(classes, nodes["fp"] == classes["node"], "left").select(F.col("fp").alias("n_fp"), "n", F.coalesce("class_id", "least_id").alias("component_id"))
+    of = materialise(of, "classes")
+    total = of.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(of.where(F.col("n") * hot_share > max(total, hot_share)))  # under ``hot_share`` rows
+    out = [rows.join(hot, rows["fp"] == hot["n_fp"]), rows.join(hot, rows["fp"] == hot["n_fp"], "left_anti").join(of, rows["fp"] == of["n_fp"])]
+    return out[0].select("doc_id", "fp", "component_id").unionByName(out[1].select("doc_id", "fp", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``."""
+    rows = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "nodes")
+    return labelled(rows, nodes, components(near_links(nodes.select("fp"), max_bits, split_above)))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: DataFrame | None = None, **options) -> DataFrame:

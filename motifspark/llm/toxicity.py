@@ -207,7 +207,10 @@ def _prepared(texts: list[str], some: int = 100) -> tuple[np.ndarray, ...]:
         start, size, row = windows(chunk)
         parts.append((feats.astype(np.int32), (word + n_feats).astype(np.int32), start + n_words, size, row + i, (chunk.rows_of(chunk.words[2]) + i).astype(np.int32)))
         n_feats, n_words = n_feats + len(feats), n_words + len(word)
-    return tuple(np.concatenate(x) for x in zip(*parts))
+    feats, word, *rest = (np.concatenate(x) for x in zip(*parts))
+    key = mix((feats.astype(np.uint64) * np.uint64(BUCKETS + 1) ** np.arange(N_FEATURES, dtype=np.uint64)).sum(axis=1))
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)  # the parts have most words in common
+    return feats[first], inverse.astype(np.int32)[word], *rest
 
 
 def _evidence(feats: np.ndarray, word: np.ndarray, row: np.ndarray, y: np.ndarray, used: np.ndarray) -> np.ndarray:

@@ -81,3 +81,15 @@ def test_keep_one_and_empty(spark):
     assert sorted((r["fp"]) for r in kept.collect()) == [2, 3, 4]
     assert simhash.near_duplicates(docs.where("false")).count() == 0
     assert simhash.near_duplicates(docs).agg(F.count("*")).first()[0] == 4
+
+
+def test_hot_and_cold_rows_get_the_same_classes(spark):
+    rows = [(i, "same text in many rows") for i in range(300)] + [(1000 + i, f"text {i} of its own with words {i * 7}") for i in range(40)] + [(2000, None), (2001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert len(got) == len(rows) and {got[i] for i in range(300)} == {0} and got[2001] == 2000
+    nodes = spark.createDataFrame([(1, 5, 300), (2, 9, 1)], "fp long, least_id long, n long")
+    r = spark.createDataFrame([(5, 1), (6, 1), (9, 2)], "doc_id long, fp long")
+    none = spark.createDataFrame([], "node long, root long")
+    for share in (2, 10_000_000):
+        assert sorted(map(tuple, simhash.labelled(r, nodes, none, share).collect())) == [(5, 1, 5), (6, 1, 5), (9, 2, 9)]
