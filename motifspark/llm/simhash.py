@@ -284,6 +284,18 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, split_above: int = SPLI
 # --- classes -------------------------------------------------------------------------------------------------
 
 
+def _with_least(edges: DataFrame, least: DataFrame, total: int, hot_share: int = 2_000) -> DataFrame:
+    """``edges`` (u, v) with the least ``m`` of each u.  least: (x, m, c), c rows of u = x.
+
+    The rows of hubs, of which there are fewer than ``hot_share``, stay where they are: their least is broadcast.
+    """
+    limit = max(total // hot_share, 500)
+    hubs = F.broadcast(least.where(F.col("c") > limit))
+    plain = edges.join(hubs, edges["u"] == hubs["x"], "left_anti")
+    rest = least.where(F.col("c") <= limit)
+    return edges.join(hubs, edges["u"] == hubs["x"]).select("u", "v", "m").unionByName(plain.join(rest, plain["u"] == rest["x"]).select("u", "v", "m"))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the least node that each linked node reaches, by alternating large and small stars.
 
@@ -291,19 +303,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = materialise(edges, "links")
-    before = None
+    total, before = edges.count(), None
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.join(least, both["u"] == least["x"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
-        small = large.join(least, large["u"] == least["x"])
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"), "c")
+        large = _with_least(both, least, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialise(large, "large_stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).withColumnRenamed("u", "x")
+        small = _with_least(large, least, total)
         edges = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = materialise(edges.where("u <> v").distinct(), "links")
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = seen
+        total, before = seen[0], seen
 
 
 def labelled(rows: DataFrame, nodes: DataFrame, linked: DataFrame, hot_share: int = 10_000) -> DataFrame:
