@@ -3,9 +3,13 @@
 Each document's counts become four integer rates.  A quantile sketch of every rate is kept per language and
 source: a log-linear histogram of 32 exact values and 16 buckets per power of two (relative error 1/16), which
 is a plain table of (language, source, rate, bucket, count).  Sketches merge by adding counts, so they pre-aggregate
-on the map side, do not depend on partitioning, and small groups fall back to the merged sketch of their
-language, then of all documents.  The thresholds are Tukey fences at those quantiles; a join brings
-them back to the documents.
+on the map side and do not depend on partitioning.
+
+The thresholds of a group come from quantiles of its own sketch.  Word length: the median plus and minus twice the way to the
+95th and the 5th percentile.  The other rates are zero in most documents, so their limit is a quantile of the documents that
+have any (``RATES`` names it), or the 95th percentile of all where that is higher.  Quantiles of a group with n documents
+count n to ``PRIOR`` against those of its language, and these in the same way against those of all documents, so small
+groups differ less from their language without any switch.  A join brings the thresholds back to the documents.
 
 Defined results: null or empty text has no words and fails the base rules; null languages and sources are groups
 of their own; rows repeated stay repeated; extra columns are ignored; an empty table gives an empty result.
@@ -23,11 +27,10 @@ from .words import SPACES, let, split_words
 GRAM = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-MIN_GROUP = 200
-FENCE = 3
+PRIOR = 100
 BROADCAST_GROUPS = 100_000
-#: rate name: (least spread between the quartiles, whether low values are also fenced)
-RATES = {"symbol_rate": (200, False), "repeat_rate": (300, False), "dup_line_rate": (700, False), "word_length": (60, True)}
+#: rate name: the percentile, among the documents where it is over zero, that is its limit; None: fenced on both sides around the median
+RATES = {"symbol_rate": 25, "repeat_rate": 75, "dup_line_rate": 75, "word_length": None}
 
 
 def _repeat_words(words: Column) -> Column:
@@ -89,9 +92,9 @@ def _bucket(v: str) -> Column:
     return F.expr(f"CAST(CASE WHEN {v} < 32 THEN {v} ELSE 32 + ({e} - 6) * 16 + shiftright({v}, CAST({e} AS INT) - 5) - 16 END AS BIGINT)")
 
 
-def _edge(b: str) -> Column:
+def _edge(b: str) -> str:
     """The least value of a bucket."""
-    return F.expr(f"CASE WHEN {b} < 32 THEN {b} ELSE shiftleft(16L + ({b} - 32) % 16, CAST(({b} - 32) div 16 AS INT) + 1) END")
+    return f"(CASE WHEN {b} < 32 THEN {b} ELSE shiftleft(16L + ({b} - 32) % 16, CAST(({b} - 32) div 16 AS INT) + 1) END)"
 
 
 def sketches(rates: DataFrame) -> DataFrame:
@@ -102,47 +105,60 @@ def sketches(rates: DataFrame) -> DataFrame:
     return stacked.groupBy("lang", "source", "rate", _bucket("v").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """First and third quartile of each sketch.  A window holds the buckets of one sketch: some hundreds at most."""
+def _percent(rate: str) -> str:
+    return "CASE {} {} END".format(rate, " ".join(f"WHEN '{r}' THEN {p}" for r, p in RATES.items() if p))
+
+
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rate, docs, some, low, mid, high, part) of each sketch; a window holds the buckets of one sketch: some hundreds at most.
+
+    low, mid, high: 5th, 50th and 95th percentile; some: documents where the rate is over zero, part: the wanted percentile of these.
+    """
     by = Window.partitionBy(*keys, "rate")
-    run = sketch.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("all", F.sum("n").over(by))
+    run = sketch.withColumns({"upto": F.sum("n").over(by.orderBy("bucket")), "all": F.sum("n").over(by), "zeros": F.sum(F.when(F.col("bucket") == 0, F.col("n")).otherwise(0)).over(by)})
+    at = lambda test, edge: F.min(F.expr(f"CASE WHEN {test} THEN {edge} END"))
+    upper = f"{_edge('(bucket + 1)')} - 1"
     return run.groupBy(*keys, "rate").agg(
-        F.max("all").alias("docs"),
-        F.min(F.when(4 * F.col("upto") >= F.col("all"), _edge("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("all"), _edge("bucket"))).alias("q3"),
-    )
+        F.max("all").alias("docs"), F.max(F.col("all") - F.col("zeros")).alias("some"),
+        at("100 * upto >= 5 * all", _edge("bucket")).alias("low"), at("100 * upto >= 50 * all", _edge("bucket")).alias("mid"), at("100 * upto >= 95 * all", upper).alias("high"),
+        at(f"all > zeros AND 100 * (upto - zeros) >= ({_percent('rate')}) * (all - zeros)", upper).alias("part"),
+    )
 
 
-def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """(lang, source, and for every rate its low and high threshold) of each group in the sketches."""
-    own = _quartiles(sketch, ["lang", "source"])
-    lang = _quartiles(sketch.groupBy("lang", "rate", "bucket").agg(F.sum("n").alias("n")), ["lang"]).select(
-        F.col("lang").alias("l_lang"), F.col("rate").alias("l_rate"), F.col("docs").alias("l_docs"), F.col("q1").alias("l_q1"), F.col("q3").alias("l_q3")
-    )
-    every = _quartiles(sketch.groupBy("rate", "bucket").agg(F.sum("n").alias("n")), []).select(F.col("rate").alias("g_rate"), F.col("q1").alias("g_q1"), F.col("q3").alias("g_q3"))
-    joined = own.join(lang, own["lang"].eqNullSafe(lang["l_lang"]) & (own["rate"] == lang["l_rate"])).join(F.broadcast(every), F.col("rate") == F.col("g_rate"))  # `every` has one row per rate
+QUANTILES = {"low": "docs", "mid": "docs", "high": "docs", "part": "some"}
 
-    def pick(q: str) -> Column:
-        return F.when(F.col("docs") >= min_group, F.col(q)).when(F.col("l_docs") >= min_group, F.col(f"l_{q}")).otherwise(F.col(f"g_{q}"))
 
-    spread = F.greatest(pick("q3") - pick("q1"), F.element_at(F.create_map(*[F.lit(x) for r, (s, _) in RATES.items() for x in (r, s)]), F.col("rate")))
-    fences = joined.select("lang", "source", "rate", (pick("q1") - FENCE * spread).alias("low"), (pick("q3") + FENCE * spread).alias("high"))
+def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, and for every rate its high, and maybe low, threshold) of each group in the sketches."""
+    own = quantiles(sketch, ["lang", "source"])
+    merged = lambda keys: sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
+    named = lambda q, mark: q.withColumnsRenamed({c: f"{mark}_{c}" for c in q.columns})
+    lang, every = named(quantiles(merged(["lang"]), ["lang"]), "l"), named(quantiles(merged([]), []), "g")
+    joined = own.join(lang, own["lang"].eqNullSafe(lang["l_lang"]) & (own["rate"] == lang["l_rate"])).join(F.broadcast(every), F.col("rate") == F.col("g_rate"))  # `every` has one row per rate
+    mixed = {}
+    for q, n in QUANTILES.items():
+        up = f"((l_{n} * coalesce(l_{q}, 0) + {prior} * coalesce(g_{q}, 0)) div (l_{n} + {prior}))"
+        mixed[f"m_{q}"] = F.expr(f"({n} * coalesce({q}, 0) + {prior} * {up}) div ({n} + {prior})")
+    fenced = F.col("rate").isin([r for r, p in RATES.items() if p is None])
+    fences = joined.select("lang", "source", "rate", *[c.alias(q) for q, c in mixed.items()]).select(
+        "lang", "source", "rate", F.expr("2 * m_low - m_mid").alias("low"), F.when(fenced, F.expr("2 * m_high - m_mid")).otherwise(F.greatest("m_part", "m_high")).alias("high")
+    )
     at = lambda r, c: F.max(F.when(F.col("rate") == r, F.col(c)))
-    return fences.groupBy("lang", "source").agg(*[at(r, "high").alias(f"{r}_high") for r in RATES], *[at(r, "low").alias(f"{r}_low") for r, (_, low) in RATES.items() if low])
+    return fences.groupBy("lang", "source").agg(*[at(r, "high").alias(f"{r}_high") for r in RATES], *[at(r, "low").alias(f"{r}_low") for r, p in RATES.items() if p is None])
 
 
-def quality_verdicts(docs: DataFrame, min_group: int = MIN_GROUP, broadcast_groups: int = BROADCAST_GROUPS, **columns) -> DataFrame:
+def quality_verdicts(docs: DataFrame, prior: int = PRIOR, broadcast_groups: int = BROADCAST_GROUPS, **columns) -> DataFrame:
     """Counts, rates, thresholds and the verdict ``kept`` of every row of ``docs``."""
     rates = materialise(with_rates(document_counts(docs, **columns)), "quality_counts")
-    limits = materialise(thresholds(sketches(rates), min_group), "quality_thresholds")
+    limits = materialise(thresholds(sketches(rates), prior), "quality_thresholds")
     if limits.count() <= broadcast_groups:
         limits = F.broadcast(limits)
     limits = limits.withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     joined = rates.join(limits, rates["lang"].eqNullSafe(F.col("t_lang")) & rates["source"].eqNullSafe(F.col("t_source")), "left")
     inside = F.lit(True)
-    for r, (_, low) in RATES.items():
+    for r, percent in RATES.items():
         inside = inside & (F.col(r) <= F.col(f"{r}_high"))
-        if low:
+        if percent is None:
             inside = inside & (F.col(r) >= F.col(f"{r}_low"))
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("t_lang", "t_source")
 
@@ -156,17 +172,25 @@ def _oracle() -> str:
     def bucket(v):
         return f"CASE WHEN {v} < 32 THEN {v} ELSE 32 + (length(bin({v})) - 6) * 16 + ({v} >> (length(bin({v})) - 5)) - 16 END"
 
-    edge = "CASE WHEN b < 32 THEN b ELSE (16 + (b - 32) % 16) << ((b - 32) // 16 + 1) END"
+    def edge(b):
+        return f"(CASE WHEN {b} < 32 THEN {b} ELSE (16 + ({b} - 32) % 16) << (({b} - 32) // 16 + 1) END)"
 
-    def quart(keys, src):
+    upper = edge("(b + 1)") + " - 1"
+
+    def levels(keys, src):
         by = ", ".join([*keys, "rate"])
-        return f"""SELECT {by}, max(al) AS docs, min(CASE WHEN 4 * upto >= al THEN {edge} END) AS q1, min(CASE WHEN 4 * upto >= 3 * al THEN {edge} END) AS q3
-          FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {by}) AS al FROM {src}) GROUP BY {by}"""
+        return f"""SELECT {by}, max(al) AS docs, max(al - zeros) AS some, min(CASE WHEN 100 * upto >= 5 * al THEN {edge('b')} END) AS low, min(CASE WHEN 100 * upto >= 50 * al THEN {edge('b')} END) AS mid,
+            min(CASE WHEN 100 * upto >= 95 * al THEN {upper} END) AS high, min(CASE WHEN al > zeros AND 100 * (upto - zeros) >= ({_percent('rate')}) * (al - zeros) THEN {upper} END) AS part
+          FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {by}) AS al, coalesce(sum(n) FILTER (b = 0) OVER (PARTITION BY {by}), 0) AS zeros FROM {src}) GROUP BY {by}"""
+
+    ok = " AND ".join(f"{r} <= {r}_high" + (f" AND {r} >= {r}_low" if p is None else "") for r, p in RATES.items())
+
+    def mixed(q):
+        n = QUANTILES[q]
+        up = f"((l.{n} * coalesce(l.{q}, 0) + {PRIOR} * coalesce(g.{q}, 0)) // (l.{n} + {PRIOR}))"
+        return f"(o.{n} * coalesce(o.{q}, 0) + {PRIOR} * {up}) // (o.{n} + {PRIOR}) AS m_{q}"
 
-    ok = " AND ".join(f"{r} <= {r}_high" + (f" AND {r} >= {r}_low" if low else "") for r, (_, low) in RATES.items())
-    pick = lambda q: f"CASE WHEN o.docs >= {MIN_GROUP} THEN o.{q} WHEN l.docs >= {MIN_GROUP} THEN l.{q} ELSE g.{q} END"
-    least = "CASE o.rate " + " ".join(f"WHEN '{r}' THEN {s}" for r, (s, _) in RATES.items()) + " END"
-    spread = f"greatest(({pick('q3')}) - ({pick('q1')}), {least})"
+    fenced = ", ".join(f"'{r}'" for r, p in RATES.items() if p is None)
     lims = ", ".join(f"max(CASE WHEN rate = '{r}' THEN hi END) AS {r}_high, max(CASE WHEN rate = '{r}' THEN lo END) AS {r}_low" for r in RATES)
     union = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, {bucket(r)} AS b FROM r WHERE NOT base_failed" for r in RATES)
     return rf"""
@@ -193,11 +217,12 @@ r AS (
 sk AS (SELECT lang, source, rate, b, count(*) AS n FROM ({union}) GROUP BY ALL),
 sl AS (SELECT lang, rate, b, sum(n) AS n FROM sk GROUP BY ALL),
 sg AS (SELECT rate, b, sum(n) AS n FROM sk GROUP BY ALL),
-o AS ({quart(["lang", "source"], "sk")}), l AS ({quart(["lang"], "sl")}), g1 AS ({quart([], "sg")}),
-f AS (
-  SELECT o.lang, o.source, o.rate, ({pick('q1')}) - {FENCE} * {spread} AS lo, ({pick('q3')}) + {FENCE} * {spread} AS hi
+o AS ({levels(["lang", "source"], "sk")}), l AS ({levels(["lang"], "sl")}), g1 AS ({levels([], "sg")}),
+mx AS (
+  SELECT o.lang, o.source, o.rate, {", ".join(mixed(q) for q in QUANTILES)}
   FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rate = l.rate JOIN g1 g ON g.rate = o.rate
 ),
+f AS (SELECT lang, source, rate, 2 * m_low - m_mid AS lo, CASE WHEN rate IN ({fenced}) THEN 2 * m_high - m_mid ELSE greatest(m_part, m_high) END AS hi FROM mx),
 t AS (SELECT lang, source, {lims} FROM f GROUP BY lang, source)
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({ok}, false) AS kept
 FROM r LEFT JOIN t ON r.lang IS NOT DISTINCT FROM t.lang AND r.source IS NOT DISTINCT FROM t.source

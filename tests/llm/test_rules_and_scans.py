@@ -108,9 +108,37 @@ def test_sketch_is_mergeable_and_close(spark):
     for r in parts[0] + parts[1]:
         b[r["rate"], r["bucket"]] = b.get((r["rate"], r["bucket"]), 0) + r["n"]
     assert a == b
-    q = {r["rate"]: (r["q1"], r["q3"]) for r in quality_rules._quartiles(quality_rules.sketches(df), ["lang"]).collect()}
-    for rate, (lo, hi) in {"symbol_rate": (1249 * 7, 3749 * 7), "word_length": (1249**2, 3749**2)}.items():
-        assert abs(q[rate][0] - lo) <= lo / 16 and abs(q[rate][1] - hi) <= hi / 16
+    q = {r["rate"]: (r["low"], r["high"]) for r in quality_rules.quantiles(quality_rules.sketches(df), ["lang"]).collect()}
+    for rate, (lo, hi) in {"symbol_rate": (249 * 7, 4749 * 7), "word_length": (249**2, 4749**2)}.items():
+        assert 0 <= lo - q[rate][0] <= lo / 16 and 0 <= q[rate][1] - hi <= hi / 16
+
+
+def test_planted_sources_have_limits_of_their_own(spark):
+    """Four sources, each with more of one kind of trouble than the others: each rate's limit is highest there."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    words = lambda n, long=5: ["".join(rng.choice(list("abcdefgh"), max(2, long + int(rng.integers(-2, 3))))) for _ in range(n)]
+    rows = []
+    for i in range(1600):
+        source = ("sym", "rep", "dup", "long")[i % 4]
+        t = words(120, 9 if source == "long" else 5)
+        for kind, share in (("sym", 20), ("rep", 20), ("dup", 20)):
+            if rng.integers(100) < share:
+                k = int(rng.integers(12, 20)) if source == kind else int(rng.integers(4, 8))
+                if kind == "sym":
+                    t = ["#" * k + w if x < 8 else w for x, w in enumerate(t)]
+                elif kind == "rep":
+                    t = t[: 3 * k] + t[: k + 4] + t[3 * k :]
+                else:
+                    t = t + ["\nsame line" for _ in range(k)]
+        lines = " ".join(t).split("\n")
+        rows.append((i, "\n".join(lines if len(lines) > 1 else [" ".join(t[a : a + 8]) for a in range(0, len(t), 8)]), "en", source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r["source"]: r for r in quality_rules.quality_verdicts(docs).select("source", *[f"{r}_high" for r in quality_rules.RATES]).distinct().collect()}
+    for rate, source in (("symbol_rate", "sym"), ("repeat_rate", "rep"), ("dup_line_rate", "dup"), ("word_length", "long")):
+        high = {s: out[s][f"{rate}_high"] for s in out}
+        assert len(set(high.values())) > 1 and max(high, key=high.get) == source, (rate, high)
 
 
 def test_licenses(spark):
