@@ -1,14 +1,17 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Characters are mapped to 6-bit codes (a-z and the common accented letters have their own; others share by hash; runs
-of non-letters are one boundary code), so a 4-gram is a 24-bit number.  Counts of a bounded sample of
+Every letter of the basic plane is a 16-bit code of its own, in lower case; letters beyond it share the codes that no letter has;
+runs of non-letters are one boundary code.  A 4-gram is thus a 64-bit key.  Counts of a bounded sample of
 whole training texts per language are added up by Spark; the smoothed probabilities of all languages are stored in
-sorted arrays of these numbers.  A text goes to the language with the lowest cross-entropy per character; texts whose
-cross-entropy is above nearly all of that language's training texts are marked as rejected.
+sorted arrays of these keys.  A text goes to the language with the lowest cross-entropy per character.
+
+Some of the sampled texts are not counted but kept for calibration: they give each language's usual cross-entropy, its
+variance as a function of the text's length, the limit above which a text is marked as rejected (REJECTED of
+the calibration texts are) and the sharpness of the score.
 
 Defined results: texts that are null or have no letter are ``und`` with score 0; null languages are not learned; without
 training rows every text is ``und``; ties go to the first language by name; rows repeated stay repeated; extra columns are
-ignored.
+kept or ignored and never clash.
 """
 from __future__ import annotations
 
@@ -25,27 +28,34 @@ from pyspark.sql import functions as F
 from .sampling import remainder
 from .textbatch import Chunk, map_text
 
-ORDER = 4
-CODES = 64
-DOCS_PER_LANG = 600  # training texts per language: the bound of the sample
+ORDER, BITS = 4, 16
+CODES = 1 << BITS
+DOCS_PER_LANG, BYTES_PER_LANG = 720, 8_000_000  # training texts per language and about their bytes: the bound of the sample
+HELD = 6  # one in so many sampled texts is for calibration
 DISCOUNT = 0.75
-SHARPNESS = 40.0  # of the score, per nat of difference in cross-entropy
-REJECT_ABOVE = 4.0  # standard deviations over the mean cross-entropy of the training texts
-ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöùúûüýÿœß"
+REJECTED = 0.005
+SPAN = 1 << 62
+SHARPNESS = np.geomspace(1, 400, 25)  # of the score, per nat of difference in cross-entropy: the values to choose from
+SPARE = np.arange(0xD800, 0xF900)  # surrogates and private use: no letter has these codes
 
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: the 6-bit code (0: no letter), and whether it is a letter."""
-    letter = np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
-    code = np.where(letter, 27 + len(ACCENTED) + np.arange(len(letter)) * 40503 % 65521 % (CODES - 27 - len(ACCENTED)), 0).astype(np.uint8)
-    for i, c in enumerate("abcdefghijklmnopqrstuvwxyz" + ACCENTED):
-        code[[ord(c), ord(c.upper()) if len(c.upper()) == 1 else ord(c)]] = i + 1
-    return code, letter
+    """By code point: its code (0: no letter), and whether it is a letter."""
+    points = np.arange(sys.maxunicode + 1)
+    letter = np.array([chr(c).isalpha() for c in points])
+    low = np.array([ord(x) if len(x := chr(c).lower()) == 1 else c for c in points])
+    code = np.where(low < CODES, low, SPARE[low % len(SPARE)])
+    return np.where(letter, code, 0).astype(np.uint16), letter
+
+
+def _suffix(key: np.ndarray, k: int) -> np.ndarray:
+    """The last k codes."""
+    return key & np.uint64((1 << BITS * k) - 1)
 
 
 def grams(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """4-grams (24-bit numbers) of the texts, the first of each row, and whether the row has a letter."""
+    """4-grams (64-bit keys) of the texts, the first of each row, and whether the row has a letter."""
     code, letter = _tables()
     points = np.frombuffer(chunk.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.concatenate([[0], np.cumsum((chunk.data & 0xC0) != 0x80)])
@@ -57,7 +67,7 @@ def grams(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = off[:-1][off[:-1] < off[1:]]
     keep[starts] = True
     first = np.concatenate([[0], np.cumsum(keep)])[off]
-    c = c[keep].astype(np.uint32)
+    c = c[keep].astype(np.uint64)
     key = c.copy()
     for k in range(1, ORDER):
         before = np.zeros_like(c)
@@ -65,7 +75,7 @@ def grams(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for j in range(k):  # contexts do not reach into the text before
             at = first[:-1] + j
             before[at[at < first[1:]]] = 0
-        key |= before << np.uint32(6 * k)
+        key |= before << np.uint64(BITS * k)
     return key, first, np.diff(has) > 0
 
 
@@ -78,15 +88,17 @@ class Models:
     logp: list[np.ndarray]
     back: list[np.ndarray]  # by order: log weight of the lower order after this (k - 1)-gram, per language
     back_keys: list[np.ndarray]
-    mean: np.ndarray
-    sd: np.ndarray
+    mean: np.ndarray  # cross-entropy of each language's calibration texts
+    spread: tuple[float, float] = (1.0, 0.0)  # variance of the cross-entropy of n characters: a + b / n
+    limit: float = np.inf  # in standard deviations
+    sharpness: float = 40.0
 
     def log_probability(self, key: np.ndarray) -> np.ndarray:
         """(grams, languages)"""
         out = np.zeros((len(key), len(self.langs)), np.float32)
         todo = np.arange(len(key))
         for k in range(ORDER, 0, -1):
-            part = key[todo] & np.uint32((1 << 6 * k) - 1)
+            part = _suffix(key[todo], k)
             at = np.minimum(np.searchsorted(self.keys[k - 1], part), len(self.keys[k - 1]) - 1)
             hit = self.keys[k - 1][at] == part
             if k == ORDER and hit.all():
@@ -98,49 +110,54 @@ class Models:
             if k == 1:
                 out[todo] += self.back[0][0] + np.float32(np.log(1 / CODES))
             else:
-                context = part >> np.uint32(6)
+                context = part >> np.uint64(BITS)
                 at = np.minimum(np.searchsorted(self.back_keys[k - 1], context), len(self.back_keys[k - 1]) - 1)
                 known = self.back_keys[k - 1][at] == context
                 out[todo[known]] += self.back[k - 1][at[known]]
         return out
 
-    def cross_entropy(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, languages) in nats a character, and whether the row has a letter."""
+    def cross_entropy(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, languages) in nats a character, whether the row has a letter, and its characters."""
         key, first, letters = grams(chunk)
         n = np.diff(first)
         sums = np.zeros((chunk.n, len(self.langs)))
         some = np.flatnonzero(n)
         if len(some):
-            sums[some] = np.add.reduceat(self.log_probability(key), first[:-1][some], axis=0, dtype=np.float64)
-        return -sums / np.maximum(n, 1)[:, None], letters
+            distinct, of = np.unique(key, return_inverse=True)
+            sums[some] = np.add.reduceat(self.log_probability(distinct)[of], first[:-1][some], axis=0, dtype=np.float64)
+        return -sums / np.maximum(n, 1)[:, None], letters, n
+
+    def excess(self, h: np.ndarray, lang: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How many standard deviations the cross-entropy h of texts of n characters is above the language's mean."""
+        a, b = self.spread
+        return (h - self.mean[lang]) / np.sqrt(a + b / np.maximum(n, 1))
 
 
 def train(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
     """counts: by language, the distinct 4-grams and how often each occurs."""
     langs = sorted(counts)
-    union = [np.unique(np.concatenate([counts[x][0] & np.uint32((1 << 6 * k) - 1) for x in langs])) for k in range(1, ORDER + 1)]
-    contexts = [np.unique(u >> np.uint32(6)) for u in union]
+    union = [np.unique(np.concatenate([_suffix(counts[x][0], k) for x in langs])) for k in range(1, ORDER + 1)]
+    contexts = [np.unique(u >> np.uint64(BITS)) for u in union]
     logp = [np.zeros((len(u), len(langs)), np.float32) for u in union]
     back = [np.zeros((len(c), len(langs)), np.float32) for c in contexts]
     for i, x in enumerate(langs):
         grams_k, n_k = {ORDER: counts[x][0]}, {ORDER: counts[x][1].astype(float)}
         for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct left extensions
-            grams_k[k], n_k[k] = np.unique(grams_k[k + 1] & np.uint32((1 << 6 * k) - 1), return_counts=True)
+            grams_k[k], n_k[k] = np.unique(_suffix(grams_k[k + 1], k), return_counts=True)
             n_k[k] = n_k[k].astype(float)
         lower = np.full(len(union[0]), 1 / CODES)
         for k in range(1, ORDER + 1):
             own = np.zeros(len(union[k - 1]))
             own[np.searchsorted(union[k - 1], grams_k[k])] = n_k[k]
-            at = np.searchsorted(contexts[k - 1], union[k - 1] >> np.uint32(6))
+            at = np.searchsorted(contexts[k - 1], union[k - 1] >> np.uint64(BITS))
             total = np.bincount(at, own, len(contexts[k - 1]))
             kinds = np.bincount(at, own > 0, len(contexts[k - 1]))
             weight = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
             p = np.maximum(own - DISCOUNT, 0) / np.maximum(total, 1)[at] + weight[at] * lower
             logp[k - 1][:, i], back[k - 1][:, i] = np.log(p), np.log(weight)
             if k < ORDER:
-                lower = p[np.searchsorted(union[k - 1], union[k] & np.uint32((1 << 6 * k) - 1))]
-    z = np.zeros(len(langs))
-    return Models(langs, union, logp, back, contexts, z, z + 1)
+                lower = p[np.searchsorted(union[k - 1], _suffix(union[k], k))]
+    return Models(langs, union, logp, back, contexts, np.zeros(len(langs)))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,26 +173,47 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             key, first, _ = grams(chunk)
             coded = names.dictionary_encode()
-            rows = np.repeat(np.asarray(coded.indices).astype(np.uint64), np.diff(first))
-            both, n = np.unique((rows << np.uint64(32)) | key, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [coded.dictionary.take(pa.array((both >> np.uint64(32)).astype(np.int64))), pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))],
-                names=["lang", "gram", "n"],
-            )
+            rows = np.repeat(np.asarray(coded.indices), np.diff(first))
+            for i, name in enumerate(coded.dictionary.to_pylist()):
+                gram, n = np.unique(key[rows == i], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+
 
+def _calibrate(models: Models, rows: list[tuple[int, int, float]], misses: np.ndarray) -> None:
+    """rows: (language, characters, cross-entropy) of the calibration texts; misses: their log-loss for each sharpness."""
+    if not rows:
+        return
+    lang, n, h = (np.array(x) for x in zip(*rows))
+    for i in range(len(models.langs)):
+        models.mean[i] = np.median(h[lang == i]) if (lang == i).any() else np.median(h)
+    square = (h - models.mean[lang]) ** 2
+    x = np.stack([np.ones(len(n)), 1 / np.maximum(n, 1)], axis=1) / np.maximum(square.mean(), 1e-9)
+    a, b = np.linalg.lstsq(x, square / np.maximum(square.mean(), 1e-9), rcond=None)[0]
+    models.spread = (max(float(a), 1e-4), max(float(b), 0.0))
+    models.limit = float(np.quantile(models.excess(h, lang, n), 1 - REJECTED, method="higher"))
+    models.sharpness = float(SHARPNESS[int(np.argmin(misses))])
 
-def learn(docs: DataFrame, allowed: Column, docs_per_lang: int = DOCS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models | None:
+
+def sample_share(n: int, size: int, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG) -> int:
+    """Of SPAN hashes, those that are sampled of a language with n texts of size bytes."""
+    return int(min(1.0, docs_per_lang / n, bytes_per_lang / max(size, 1)) * SPAN)
+
+
+def learn(docs: DataFrame, allowed: Column, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models | None:
     """Models of every language in the allowed rows, from about ``docs_per_lang`` whole texts of each, chosen by a hash of the id."""
     base = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    sizes = base.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()  # one row per language
     if not sizes:
         return None
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, int(1e6 * min(1.0, docs_per_lang / n))).otherwise(share)
-    sample = base.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < share).select("lang", "text")
+    share = F.lit(0).cast("long")
+    for r in sizes:
+        share = F.when(F.col("lang") == r["lang"], F.lit(sample_share(r["n"], r["size"], docs_per_lang, bytes_per_lang))).otherwise(share)
+    drawn = base.withColumn("__h", F.xxhash64(F.col("id").cast("string"))).where(F.pmod("__h", F.lit(SPAN)) < share)
+    few = [r["lang"] for r in sizes if r["n"] < 5 * HELD]  # all of these are counted
+    held = (F.pmod(F.xxhash64(F.col("__h"), F.lit(1)), F.lit(HELD)) == 0) & ~F.col("lang").isin(few)
+    sample, calibration = drawn.where(~held).select("lang", "text"), drawn.where(held).select("lang", "text")
     rows = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    lang, gram, n = rows.column("lang").to_pylist(), np.asarray(rows.column("gram")).astype(np.uint32), np.asarray(rows.column("n"))
+    lang, gram, n = rows.column("lang").to_pylist(), np.asarray(rows.column("gram")).astype(np.int64).view(np.uint64), np.asarray(rows.column("n"))
     lang = np.array(lang, dtype=object)
     counts = {}
     for x in sorted(set(lang.tolist())):
@@ -188,22 +226,36 @@ def learn(docs: DataFrame, allowed: Column, docs_per_lang: int = DOCS_PER_LANG,
     sent = docs.sparkSession.sparkContext.broadcast(models)
     index = {x: i for i, x in enumerate(models.langs)}
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .textbatch import chunks
 
+        loss = np.zeros(len(SHARPNESS))
         for b in batches:
             at = 0
             for chunk in chunks(b.column(1)):
-                i = np.array([index[x] for x in b.column(0).slice(at, chunk.n).to_pylist()], dtype=np.int64)
+                i = np.array([index.get(x, -1) for x in b.column(0).slice(at, chunk.n).to_pylist()], dtype=np.int64)
                 at += chunk.n
                 if not chunk.n:
                     continue
-                h, letters = sent.value.cross_entropy(chunk)
-                v = h[np.arange(chunk.n), i]
-                yield pa.RecordBatch.from_arrays([pa.array(i[letters]), pa.array(v[letters]), pa.array(v[letters] ** 2)], names=["i", "h", "hh"])
-
-    for r in sample.mapInArrow(moments, "i long, h double, hh double").groupBy("i").agg(F.avg("h").alias("m"), F.avg("hh").alias("s")).collect():
-        models.mean[r["i"]], models.sd[r["i"]] = r["m"], max(r["s"] - r["m"] ** 2, 1e-4) ** 0.5
+                h, letters, n = sent.value.cross_entropy(chunk)
+                ok = letters & (i >= 0)
+                h, i, n = h[ok], i[ok], n[ok]
+                own = h[np.arange(len(i)), i]
+                for k, s in enumerate(SHARPNESS):
+                    loss[k] += np.log(np.exp(-s * (h - h.min(axis=1, keepdims=True))).sum(axis=1)).sum() + (s * (own - h.min(axis=1))).sum() if len(i) else 0.0
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(n[: len(i)].astype(np.int64)), pa.array(own)], names=["i", "n", "h"])
+        k = np.arange(len(SHARPNESS))
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - k), pa.array(np.zeros(len(k), np.int64)), pa.array(loss)], names=["i", "n", "h"])
+
+    # of the calibration texts, which are bounded, three numbers each; and the sums of the tasks
+    judged = calibration.mapInArrow(judge, "i long, n long, h double")
+    rows, sums = [], np.zeros(len(SHARPNESS))
+    for r in judged.where("i >= 0").unionByName(judged.where("i < 0").groupBy("i").agg(F.max("n").alias("n"), F.sum("h").alias("h"))).collect():
+        if r["i"] >= 0:
+            rows.append((r["i"], r["n"], r["h"]))
+        else:
+            sums[-1 - r["i"]] = r["h"]
+    _calibrate(models, sorted(rows), sums)
     return models
 
 
@@ -219,13 +271,13 @@ def identify(docs: DataFrame, models: Models | None, text_col: str = "text", car
         names = np.array([*m.langs, "und"], dtype=object)
 
         def apply(chunk: Chunk) -> dict:
-            h, letters = m.cross_entropy(chunk)
+            h, letters, n = m.cross_entropy(chunk)
             best = np.where(letters & ~chunk.null, h.argmin(axis=1), len(m.langs))
             low = h.min(axis=1)
             known = best < len(m.langs)
-            score = np.where(known, 1 / np.exp(-SHARPNESS * (h - low[:, None])).sum(axis=1), 0.0)
+            score = np.where(known, 1 / np.exp(-m.sharpness * (h - low[:, None])).sum(axis=1), 0.0)
             i = np.minimum(best, len(m.langs) - 1)
-            reject = ~known | (low > m.mean[i] + REJECT_ABOVE * m.sd[i])
+            reject = ~known | (m.excess(low, i, n) > m.limit)
             return {"lang_pred": names[best].tolist(), "score": score, "cross_entropy": pa.array(low, mask=~known), "rejected": reject}
 
         return apply

@@ -35,9 +35,84 @@ def test_kneser_ney_sums_to_one():
     key, first, _ = langid.grams(chunk)
     k, n = np.unique(key, return_counts=True)
     m = langid.train({"x": (k, n)})
-    for context in np.unique(k >> 6):
-        allw = (context << np.uint32(6)) | np.arange(64, dtype=np.uint32)
-        assert abs(np.exp(m.log_probability(allw).astype(float)).sum() - 1) < 1e-4
+    for context in np.unique(k >> np.uint64(16)):
+        allw = (context << np.uint64(16)) | np.arange(65536, dtype=np.uint64)
+        assert abs(np.exp(m.log_probability(allw).astype(float)).sum() - 1) < 1e-3
+
+
+def codes_by_hand(text):
+    out = []
+    for c in text:
+        if c.isalpha():
+            out.append(c.lower())
+        elif not out or out[-1] != " ":
+            out.append(" ")
+    return out
+
+
+def kneser_ney_by_hand(texts, gram):
+    """p of the last character of ``gram`` after the others, by the textbook; blanks stand before each text."""
+    counts = {}
+    for t in texts:
+        c = [" ", " ", " ", *codes_by_hand(t)]
+        for i in range(3, len(c)):
+            counts[tuple(c[i - 3 : i + 1])] = counts.get(tuple(c[i - 3 : i + 1]), 0) + 1
+    tables = {4: counts}
+    for k in (3, 2, 1):
+        tables[k] = {}
+        for g in tables[k + 1]:
+            tables[k][g[1:]] = tables[k].get(g[1:], 0) + 1
+
+    def p(g):
+        if not g:
+            return 1 / 65536
+        t = {x: n for x, n in tables[len(g)].items() if x[:-1] == g[:-1]}
+        if not t:
+            return p(g[1:])
+        total = sum(t.values())
+        return max(t.get(g, 0) - 0.75, 0) / total + 0.75 * len(t) / total * p(g[1:])
+
+    return p(tuple(gram))
+
+
+def test_kneser_ney_against_the_textbook():
+    learnt = {"x": ["banana bandana!", "Éan bad nab", "кот и кит"], "y": ["nab a bad кот", "zzz"]}
+    m = langid.train({lang: np.unique(langid.grams(Chunk.of(texts))[0], return_counts=True) for lang, texts in learnt.items()})
+    for text in ("banana кот", "zab иba", "日本 nan", "Банан"):
+        c = [" ", " ", " ", *codes_by_hand(text)]
+        want = [[kneser_ney_by_hand(learnt[x], c[i - 3 : i + 1]) for x in m.langs] for i in range(3, len(c))]
+        assert np.allclose(np.exp(m.log_probability(langid.grams(Chunk.of([text]))[0]).astype(float)), want, rtol=1e-4)
+
+
+def test_alphabets_are_told_apart_and_odd_texts_rejected(spark):
+    rng = np.random.default_rng(1)
+    alphabets = {"ru": "оеаинтсрвл", "bg": "ъаоеинтрсщ", "el": "αοιετσνηυρ", "ja": "のにはをたがでてと本", "ar": "املينتربدع", "en": "etaoinshrd"}
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), rng.integers(2, 8))) for _ in range(rng.integers(5, 60)))
+    rows = [(6 * i + k, text(letters), lang) for i in range(80) for k, (lang, letters) in enumerate(alphabets.items())]
+    rows += [(10_000 + i, text("qxzjkwvy"), None) for i in range(50)]
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows + rows[:12]], "doc_id long, text string, lang string, lang_pred string, score int")
+    models = langid.learn(docs, remainder("doc_id", 4) != 2)
+    out = langid.identify(docs.select("doc_id", "text", "lang"), models)
+    got = out.where(remainder("doc_id", 4) == 2).where("lang is not null").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
+    own = out.where("lang is not null").collect()
+    assert len(own) == 492 and np.mean([r["rejected"] for r in own]) < 0.05
+    strange = out.where("doc_id >= 10000").collect()
+    assert np.mean([r["rejected"] for r in strange]) > 0.9
+    assert langid.identify(docs, models).columns[:5] == docs.columns
+
+
+def test_the_sample_never_vanishes():
+    for n in (1, 600, 10**9, 10**12, 10**14):
+        assert 0 < langid.sample_share(n, 3000 * n) <= langid.SPAN
+        assert langid.sample_share(n, 3000 * n) * n / langid.SPAN <= langid.DOCS_PER_LANG + 1
+
+
+def test_ties_go_to_the_first_language():
+    counts = np.unique(langid.grams(Chunk.of(["abc abc"]))[0], return_counts=True)
+    m = langid.train({"zz": counts, "aa": counts})
+    h, _, _ = m.cross_entropy(Chunk.of(["abc"]))
+    assert m.langs[int(h.argmin(axis=1)[0])] == "aa"
 
 
 def test_quality_accuracy(spark):
