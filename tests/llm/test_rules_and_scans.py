@@ -141,19 +141,92 @@ def test_planted_sources_have_limits_of_their_own(spark):
         assert len(set(high.values())) > 1 and max(high, key=high.get) == source, (rate, high)
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+BSD3 = """Copyright 2020 Some One. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+"""
+BSD2 = BSD3[: BSD3.index("3. Neither")]
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.
+"""
+GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU {}General Public License for more details.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+"""
+
+
+def wrapped(text, width, mark=""):
+    import textwrap
+
+    parts = [textwrap.fill(p, width) if p.strip() else p for p in text.split("\n\n")]
+    return "\n".join((mark + x).rstrip() for x in "\n\n".join(parts).split("\n"))
+
+
+REAL = [(MIT, "MIT"), (BSD3, "BSD-3-Clause"), (BSD2, "BSD-2-Clause"), (APACHE, "Apache-2.0"), (GNU.format("", "3", ""), "GPL-3.0-or-later"), (GNU.format("", "2", ""), "GPL-2.0-or-later"), (GNU.format("Lesser ", "2.1", "Lesser "), "LGPL-2.1-or-later"), (GNU.format("Affero ", "3", "Affero "), "AGPL-3.0-or-later"), (MPL, "MPL-2.0"), (ISC, "ISC")]
+
+
+def license_rows():
+    rows, want = [], {}
+    for k, (text, name) in enumerate(REAL):
+        for j, (width, mark) in enumerate([(5000, ""), (78, ""), (60, "# "), (70, " * "), (72, "// ")]):
+            rows.append((1000 + 10 * k + j, "Some code here.\n\n" + wrapped(text, width, mark) + "\n\nmore words"))
+            want[1000 + 10 * k + j] = name
+    for k, s in enumerate(licenses.SENTENCES):
+        rows.append((10_000 + k, s.upper() + "."))
+    return rows, want
+
+
+def test_every_license_sentence_and_real_texts_with_sql(spark):
+    rows, want = license_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.license_findings(docs).collect()}
+    for i, name in want.items():
+        assert got[i]["licenses"] == [name], (i, name, got[i])
+    for k, (s, i) in enumerate(licenses.SENTENCES.items()):
+        assert got[10_000 + k]["sentence_ids"] == [i], (s, got[10_000 + k])
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    sql = {r[0]: r[1:] for r in con.sql(f"SELECT doc_id, sentence_ids, licenses, n_unclaimed FROM ({licenses.ORACLE})").fetchall()}
+    assert sql == {i: (" ".join(r["sentence_ids"]), " ".join(r["licenses"]), len(r["unclaimed"])) for i, r in got.items()}
+
+
 def test_licenses(spark):
-    mit = list(licenses.SENTENCES)
-    full = ". ".join(s for s in mit if licenses.SENTENCES[s] in ("mit_grant", "mit_notice_rule", "mit_warranty")) + "."
     texts = {
-        1: None, 2: "", 3: "Some text.\nReleased under the MIT License.\nMore text", 4: "MIT License\n\n" + full, 5: "Licensed under the Apache License, Version 2.0. And CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0.",
+        1: None, 2: "", 3: "Some text\nReleased under the MIT License.\nMore text", 4: "Copyright 2020 X\n" + MIT[MIT.index("Permission") :], 5: "Licensed under the Apache License, Version 2.0. And CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0.",
         6: "See the License for the specific language governing permissions and limitations under the License.", 7: "not licensed under the mit license at all", 8: "RELEASED UNDER THE MIT LICENSE! " * 2000,
+        9: "This file is licensed under the Apache License, Version 2.0", 10: "// SPDX-License-Identifier: MPL-2.0\nimport x",
     }
     docs = spark.createDataFrame([(k, v, "x") for k, v in texts.items()] + [(3, texts[3], "y")], "doc_id long, text string, licenses string")
     rows = licenses.license_findings(docs).collect()
     got = {r["doc_id"]: (r["sentence_ids"], r["licenses"], r["unclaimed"]) for r in rows}
-    assert len(rows) == 9
+    assert len(rows) == 11
     assert got[1] == got[2] == got[7] == ([], [], [])
-    assert got[3][1] == ["MIT"] and got[4] == (["mit_title", "mit_grant", "mit_notice_rule", "mit_warranty"], ["MIT"], [])
+    assert got[3][1] == ["MIT"] and got[4] == (["mit_grant", "mit_notice_rule", "mit_warranty", "mit_liability"], ["MIT"], [])
     assert got[5][1] == ["Apache-2.0", "CC-BY-NC-4.0"] and got[6] == (["apache2_limits"], [], ["apache2_limits"])
-    assert len(got[8][0]) == 2000 and got[8][1] == ["MIT"]
+    assert len(got[8][0]) == 2000 and got[8][1] == ["MIT"] and got[9][1] == ["Apache-2.0"] and got[10][1] == ["MPL-2.0"]
     assert hashlib and licenses.license_findings(docs.where("false")).count() == 0
