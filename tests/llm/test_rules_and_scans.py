@@ -63,9 +63,12 @@ def test_hits_of_empty_and_repeated(spark):
     docs = spark.createDataFrame([(1, "short"), (1, "short"), (None, "short x")], "doc_id long, text string")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = sorted((r["doc_id"] or -1, r["n_words"], r["n_hit"]) for r in decontaminate.benchmark_hits(docs, bench).collect())
-    assert got == [(-1, 2, 1), (1, 1, 1)]
+    assert got == [(-1, 2, 1), (1, 1, 1), (1, 1, 1)]
+    mixed = spark.createDataFrame([(1, "short", 1), (1, "clean", 2), (None, "short x", 3), (None, "clean", 4), (None, None, 5)], "doc_id long, text string, k1 int")
+    assert sorted(r["k1"] for r in decontaminate.drop_contaminated(mixed, bench).collect()) == [2, 4, 5]
+    assert decontaminate.drop_contaminated(mixed, bench).columns == mixed.columns
     assert decontaminate.benchmark_hits(docs.where("false"), bench).count() == 0
-    assert [r["n_hit"] for r in decontaminate.benchmark_hits(docs, bench.where("false")).collect()] == [0, 0]
+    assert [r["n_hit"] for r in decontaminate.benchmark_hits(docs, bench.where("false")).collect()] == [0, 0, 0]
 
 
 def brute_counts(t):
