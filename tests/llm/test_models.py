@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motifspark.llm import langid, quality_model, toxicity
-from motifspark.llm.sampling import first_by_hash, remainder
+from motifspark.llm.sampling import first_by_hash, labelled_texts, remainder
 from motifspark.llm.textbatch import Chunk, span_hash
 
 SF = "/root/testdata/sf0.01"
@@ -203,3 +203,18 @@ def test_words_and_hashes(texts):
     h = span_hash(chunk.lower, starts, ends)
     flat = [w for g in got for w in g]
     assert all((h[i] == h[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(len(flat)))
+
+
+def test_samples_of_repeated_keys(spark):
+    df = spark.range(20_000).selectExpr("id % 3 AS k", "id AS v")
+    assert sorted(r["k"] for r in first_by_hash(df, "k", 3000).collect()) == [0, 1, 2]
+    assert len(first_by_hash(spark.range(20_000).selectExpr("id AS k"), "k", 300).collect()) == 300
+
+
+def test_texts_for_the_driver_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(60)] + [(100, "y" * 100_000), (1, "another"), (None, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100, 1), (3, 0), (None, 1)], "doc_id long, toxic int")
+    got = labelled_texts(docs, labels, "toxic", F.lit(True), 1000, most_bytes=20_000)
+    assert sum(len(t) for t, y in got if y == 1) <= 20_000 and sum(len(t) for t, y in got if y == 0) <= 20_000 and len(got) > 30
+    assert ("another", 1) in got or ("x" * 1000, 1) in got
+    assert labelled_texts(docs, labels.where("false"), "toxic", F.lit(True), 10) == [] and labelled_texts(docs.where("false"), labels, "toxic", F.lit(True), 10) == []
