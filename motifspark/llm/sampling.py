@@ -47,7 +47,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, allowed: Colu
     if not ids:
         return []
     chosen = docs.sparkSession.createDataFrame(ids, f"__id {docs.schema[id_col].dataType.simpleString()}, y int")
-    picked = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).groupBy("__id", "y").agg(F.min(F.col(text_col)).alias("__t"))
+    texts = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("__t"))
+    picked = texts.join(F.broadcast(chosen), texts["__d"] == chosen["__id"]).groupBy("__id", "y").agg(F.min("__t").alias("__t"))
     picked = materialise(picked, "labelled_texts")  # 2 * per_class rows
     size = {r["__id"]: r["n"] for r in picked.select("__id", F.coalesce(F.octet_length("__t"), F.lit(0)).alias("n")).collect()}
     taken = []

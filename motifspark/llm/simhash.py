@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
-from .textbatch import Chunk, map_text
+from .shared import materialise, result, scratch
+from .textbatch import Chunk, map_text, new_name
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -340,9 +340,10 @@ def labelled(rows: DataFrame, nodes: DataFrame, linked: DataFrame, hot_share: in
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
-    rows = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "nodes")
-    return labelled(rows, nodes, components(near_links(nodes.select("fp"), max_bits, split_above)))
+    with scratch(docs.sparkSession) as made:
+        rows = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+        nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "nodes")
+        return result(labelled(rows, nodes, components(near_links(nodes.select("fp"), max_bits, split_above))), "near_duplicates", made)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: DataFrame | None = None, **options) -> DataFrame:
@@ -351,8 +352,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cl
     classes: (doc_id, component_id), where they are known already.
     """
     found = near_duplicates(docs, id_col, text_col, **options) if classes is None else classes
-    extra = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct()
-    return docs.join(extra, docs[id_col] == extra["__extra"], "left_anti")
+    extra = found.where("doc_id <> component_id").select(F.col("doc_id").alias(new_name("extra", docs.columns))).distinct()
+    return docs.join(extra, docs[id_col] == extra[extra.columns[0]], "left_anti")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -140,6 +140,19 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
         i = j
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark parses it, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def new_name(wanted: str, taken: list[str]) -> str:
+    """``wanted``, or with as many underscores as it takes not to be among ``taken``."""
+    low = {c.lower() for c in taken}
+    while wanted.lower() in low:
+        wanted += "_"
+    return wanted
+
+
 def map_text(
     df: DataFrame,
     text_col: str,
@@ -150,12 +163,12 @@ def map_text(
 ) -> DataFrame:
     """``df``'s ``carry`` columns and what the function made by ``make`` (once a task) returns for each row.
 
-    out: the new columns, as DDL.  A returned ``__keep`` (boolean array) drops rows.  Carried columns keep their
+    out: the new columns, as DDL; empty for none.  A returned ``__keep`` (boolean array) drops rows.  Carried columns keep their
     order and names, even where a new column has the same name: the new ones come after them.
     """
     carry = df.columns if carry is None else carry
-    new = T._parse_datatype_string(out)
-    inner = df.select(F.col(text_col).alias("__text"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
+    new = T._parse_datatype_string(out) if out else T.StructType()
+    inner = df.select(F.col(quoted(text_col)).alias("__text"), *[F.col(quoted(c)).alias(f"__c{i}") for i, c in enumerate(carry)])
     schema = T.StructType([*[T.StructField(f"__c{i}", inner.schema[i + 1].dataType) for i in range(len(carry))], *[T.StructField(f"__n{i}", f.dataType) for i, f in enumerate(new)]])
     names, carried = [f.name for f in new], len(carry)
 

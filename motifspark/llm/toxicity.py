@@ -312,11 +312,11 @@ def drop_toxic(docs: DataFrame, net: Network, threshold: float = THRESHOLD, text
 
     def make():
         def apply(chunk: Chunk) -> dict:
-            return {"__keep": sent.value.scores(chunk) < threshold, "__one": np.ones(chunk.n, np.int8)}
+            return {"__keep": sent.value.scores(chunk) < threshold}
 
         return apply
 
-    return map_text(docs, text_col, make, "__one byte", docs.columns).drop("__one")
+    return map_text(docs, text_col, make, "", docs.columns)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
