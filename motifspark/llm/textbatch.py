@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 1_500_000
 
 BYTES = np.arange(256)
 IS_SPACE = np.isin(BYTES, [0x20, 9, 10, 11, 12, 13])

@@ -28,6 +28,7 @@ HIDDEN, INPUT = 8, 12
 BUCKETS = 1 << 15
 PER_CLASS = 1500
 THRESHOLD = 0.3
+CHUNK = 800_000  # bytes of text scored at once
 N_FEATURES = 5  # the word, its first 3, 4, 5 bytes, its last 3
 
 
@@ -303,7 +304,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int =
 def toxicity_scores(docs: DataFrame, net: Network, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``carry`` columns (all by default) and the ``score`` of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
-    return map_text(docs, text_col, lambda: lambda chunk: {"score": sent.value.scores(chunk)}, "score double", carry)
+    return map_text(docs, text_col, lambda: lambda chunk: {"score": sent.value.scores(chunk)}, "score double", carry, CHUNK)
 
 
 def drop_toxic(docs: DataFrame, net: Network, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -316,7 +317,7 @@ def drop_toxic(docs: DataFrame, net: Network, threshold: float = THRESHOLD, text
 
         return apply
 
-    return map_text(docs, text_col, make, "", docs.columns)
+    return map_text(docs, text_col, make, "", docs.columns, CHUNK)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
