@@ -2,12 +2,13 @@
 
 Every text becomes a dozen transformed statistics (logarithms of sizes, log-odds of shares), computed over the whole
 text in Arrow batches.  The class sums (count, sum, sum of products) of all labelled training rows are added up
-by Spark; the class covariances are shrunk towards the pooled diagonal and factored once (Cholesky), and a
-score is the calibrated difference of the two log densities.
+by Spark, but for one in ``HELD`` that is kept for calibration; the class covariances are shrunk towards the pooled diagonal and
+factored once (Cholesky), and a score is the logistic function of the difference of the two log densities, with a slope and an
+offset fitted on at most ``CALIBRATION`` of the rows kept.
 
 Defined results: null and empty texts have the statistics of a text without words and are scored like
 any other; without training rows of both classes the score is the share of class 1, or 0.5; null labels are
-ignored, repeated labels count once; rows repeated stay repeated; extra columns are ignored.
+ignored, of repeated labels the least counts; rows repeated stay repeated; extra columns are ignored.
 """
 from __future__ import annotations
 
@@ -19,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import remainder
+from .sampling import first_by_hash, remainder
 from .shared import materialise
 from .textbatch import BYTES, Chunk, add_rows, map_text, span_hash
 
 THRESHOLD = 0.3
 SHRINKAGE = 0.1
-SCALE = 0.25  # how much of the log-density difference counts: the statistics are not independent normals
+HELD, CALIBRATION, SLOPE = 5, 4000, 0.25  # the slope is where the fit starts, and what holds where too few rows were kept
 
 _UPPER = (BYTES >= 65) & (BYTES <= 90)
 _LETTER = _UPPER | (BYTES >= 97) & (BYTES <= 122) | (BYTES >= 0xC0)
@@ -111,13 +112,34 @@ class Discriminant:
     centre: np.ndarray
     spread: np.ndarray
     share: float | None = None  # where there is one class only
+    slope: float = SLOPE
+    offset: float | None = None
+
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        """The difference of the log densities."""
+        z = np.clip((x - self.centre) / self.spread, -8, 8)
+        dist = [np.square((z - m) @ w.T).sum(axis=1) + d for m, w, d in zip(self.mean, self.factor, self.logdet)]
+        return (dist[0] - dist[1]) / 2
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.share is not None:
             return np.full(len(x), self.share)
-        z = np.clip((x - self.centre) / self.spread, -8, 8)
-        dist = [np.square((z - m) @ w.T).sum(axis=1) + d for m, w, d in zip(self.mean, self.factor, self.logdet)]
-        return 1 / (1 + np.exp(-np.clip(SCALE * (dist[0] - dist[1]) / 2 + self.prior, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + (self.prior if self.offset is None else self.offset), -30, 30)))
+
+    def calibrate(self, margin: np.ndarray, y: np.ndarray) -> None:
+        """Newton's method for slope and offset, towards targets a little off 0 and 1."""
+        n = [(y == c).sum() for c in (0, 1)]
+        if min(n) < 5:
+            return
+        target = np.where(y == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+        v = np.stack([margin, np.ones(len(y))], axis=1)
+        b = np.array([self.slope, self.prior])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(v @ b, -30, 30)))
+            step = np.linalg.solve((v * (p * (1 - p))[:, None]).T @ v + 1e-6 * np.eye(2), v.T @ (p - target))
+            b = b - np.clip(step, -0.5, 0.5)
+        if b[0] > 0:
+            self.slope, self.offset = float(b[0]), float(b[1])
 
 
 def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], shrinkage: float = SHRINKAGE) -> Discriminant:
@@ -167,8 +189,14 @@ def class_sums(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.nda
 def quality_scores(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality", label_id: str = "doc_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row; the model learns from the labels whose id meets ``allowed``."""
     x = materialise(document_statistics(docs, id_col, text_col), "statistics")
-    y = labels.where(allowed & F.col(label).isin(0, 1)).select(F.col(label_id).alias("__id"), F.col(label).cast("int").alias("y")).dropDuplicates(["__id"])
-    model = fit(class_sums(x.join(y, x["doc_id"] == y["__id"])))
+    y = labels.where(allowed & F.col(label).isin(0, 1)).groupBy(F.col(label_id).alias("__id")).agg(F.min(F.col(label).cast("int")).alias("y"))
+    kept = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit(1)), F.lit(HELD)) == 0
+    of = lambda some: x.join(some, x["doc_id"] == some["__id"]).select("y", "x")
+    model = fit(class_sums(of(y.where(~kept))))
+    if model.share is None:
+        rows = of(F.broadcast(first_by_hash(y.where(kept), "__id", CALIBRATION))).toArrow()
+        if len(rows):
+            model.calibrate(model.margin(np.asarray(rows.column("x").combine_chunks().flatten()).reshape(-1, len(NAMES))), np.asarray(rows.column("y")))
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
 

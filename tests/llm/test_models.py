@@ -218,3 +218,109 @@ def test_texts_for_the_driver_are_bounded(spark):
     assert sum(len(t) for t, y in got if y == 1) <= 20_000 and sum(len(t) for t, y in got if y == 0) <= 20_000 and len(got) > 30
     assert ("another", 1) in got or ("x" * 1000, 1) in got
     assert labelled_texts(docs, labels.where("false"), "toxic", F.lit(True), 10) == [] and labelled_texts(docs.where("false"), labels, "toxic", F.lit(True), 10) == []
+
+
+def statistics_by_hand(text):
+    import math
+    import re
+
+    t = text or ""
+    raw, low = t.encode(), "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    words = re.findall("[^\x20\x09-\x0d]+", low)
+    lines = [x for x in low.split("\n") if x]
+    share = lambda a, b: math.log((a + 0.5) / (max(b - a, 0) + 0.5))
+    upper = sum("A" <= c <= "Z" for c in t)
+    letter = sum(65 <= c <= 90 or 97 <= c <= 122 or c >= 0xC0 for c in raw)
+    digit, symbol = sum("0" <= c <= "9" for c in t), sum(c in "#*$%&|<>" for c in t)
+    mark = sum(32 < ord(c) < 127 and not ("0" <= c <= "9" or "a" <= c.lower() <= "z") and c not in "#*$%&|<>" for c in t)
+    total = sum(len(w.encode()) for w in words)
+    pairs = list(zip(words, words[1:]))
+    return [
+        math.log1p(len(words)), math.log((total + 4) / (len(words) + 1)), share(upper, letter), share(digit, len(t)), share(symbol, len(t)), share(mark, len(t)),
+        share(t.count("!"), len(words)), share(t.count("."), len(words)), share(len(set(words)), len(words)), share(len(set(pairs)), len(pairs)),
+        math.log((len(words) + 1) / (len(lines) + 1)), share(len(lines) - len(set(lines)), len(lines)), share(sum(len(w.encode()) > 14 for w in words), len(words)),
+    ]
+
+
+def test_quality_statistics_and_discriminant_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()
+    texts = [r["text"] for r in docs] + [None, "", " \n\t", "A!", "Ünï CÖDE ### 12!\nx y\nX Y\n"]
+    x = quality_model.statistics(Chunk.of(texts))
+    assert np.allclose(x, [statistics_by_hand(t) for t in texts])
+    rng = np.random.default_rng(0)
+    y = (rng.random(len(texts)) < 0.4).astype(int)
+    sums = {c: (float((y == c).sum()), x[y == c].sum(axis=0), x[y == c].T @ x[y == c]) for c in (0, 1)}
+    model = quality_model.fit(sums)
+    spread = np.sqrt(np.maximum(x.var(axis=0), 1e-6))
+    z = (x - x.mean(axis=0)) / spread
+    density = []
+    for c in (0, 1):
+        own = z[y == c]
+        cov = 0.9 * np.cov(own.T, bias=True) + 0.1 * np.eye(x.shape[1])
+        d = np.clip(z, -8, 8) - own.mean(axis=0)
+        density.append(-0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) + np.linalg.slogdet(cov)[1]))
+    assert np.allclose(model.margin(x), density[1] - density[0], atol=1e-6)
+
+
+def test_quality_is_calibrated_and_takes_odd_tables(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = quality_model.op7_quality_model(spark, SF).join(labels, "doc_id").where("quality is not null").collect()
+    p, y = np.array([r["score"] for r in rows]), np.array([r["quality"] for r in rows])
+    assert abs(p.mean() - y.mean()) < 0.05
+    docs = spark.createDataFrame([(1, "a b", 5), (1, "a b", 6), (None, None, 7)], "doc_id long, text string, x int")
+    none = labels.where("false")
+    assert quality_model.quality_scores(docs.where("false"), none, F.lit(True)).count() == 0
+    out = quality_model.quality_scores(docs, none, F.lit(True)).collect()
+    assert len(out) == 3 and {r["score"] for r in out} == {0.5}
+
+
+def test_toxicity_query_finds_held_out_rows_and_takes_odd_tables(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    out = toxicity.op3_toxicity(spark, SF)
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    rows = out.join(labels, "doc_id").where("toxic is not null and held_out").collect()
+    assert len(rows) > 50 and np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.9
+    assert all(r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in out.collect())
+    odd = spark.createDataFrame([(1, "same text", 1.0), (1, "same text", 2.0), (None, None, 3.0), (3, "", 4.0)], "doc_id long, text string, score double")
+    net = toxicity.learn(odd, labels, F.lit(False))
+    got = toxicity.toxicity_scores(odd.select("doc_id", "text"), net).collect()
+    assert len(got) == 4 and {r["score"] for r in got} == {0.0}
+    assert toxicity.toxicity_scores(odd.where("false"), net).count() == 0
+    assert toxicity.drop_toxic(odd, net).columns == odd.columns and toxicity.drop_toxic(odd, net).count() == 4
+
+
+def toxic_score_by_hand(net, text):
+    """Window by window and word by word: both directions, attention, the worst window."""
+    words = (text or "").split()
+    feats = {w: toxicity.word_features(Chunk.of([w]))[0][0] for w in set(words)}
+    p, H = {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def run(x, d):
+        h, out = np.zeros(H), []
+        for v in x:
+            g, u = v @ p[f"W{d}"] + p[f"b{d}"], h @ p[f"U{d}"]
+            z, r = sigmoid(g[:H] + u[:H]), sigmoid(g[H : 2 * H] + u[H : 2 * H])
+            h = (1 - z) * h + z * np.tanh(g[2 * H :] + r * u[2 * H :])
+            out.append(h)
+        return out
+
+    logits, a = [-8.0], 0
+    while words and (a == 0 or a + toxicity.WINDOW - toxicity.STRIDE < len(words)):
+        x = [p["E"][feats[w]].sum(axis=0) for w in words[a : a + toxicity.WINDOW]]
+        h = np.concatenate([run(x, "f"), run(x[::-1], "b")[::-1]], axis=1)
+        e = np.exp(4 * (np.tanh(h) @ p["A"])[:, 0])
+        logits.append((e / e.sum()) @ h @ p["o"] + p["c"][0])
+        a += toxicity.STRIDE
+    return sigmoid(net.scale * max(logits) + net.shift)
+
+
+def test_toxicity_scores_against_a_loop():
+    rng = np.random.default_rng(5)
+    net = toxicity.Network.fresh()
+    net.p["E"] = rng.normal(0, 0.7, net.p["E"].shape).astype(np.float32)
+    net.scale, net.shift = 1.3, 0.4
+    word = lambda: "".join(rng.choice(list("abcdeABC!.9é"), rng.integers(1, 9)))
+    texts = [None, "", " \n", "one", *[" ".join(word() for _ in range(n)) for n in (2, 31, 32, 33, 56, 57, 80, 81, 300, 1000)]]
+    got = net.scores(Chunk.of(texts))
+    assert np.allclose(got, [toxic_score_by_hand(net, t) for t in texts], atol=1e-4)
