@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import argparse
 import math
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from .functions.sequence import ALPHABETS, alphabet
 from .operators import background as B
 from .operators import em, evaluate, gibbs, ranking, score, simulate
 from .operators import motif as M
+from .shared import materialise, put_text
 from .sources import files
 
 MIN_NEGATIVES = 5000
@@ -29,6 +29,7 @@ def _common(p: argparse.ArgumentParser) -> None:
     source.add_argument("--PWMFile")
     source.add_argument("--modelFile")
     p.add_argument("--maxPWM", type=int)
+    p.add_argument("--sampleSites", action="store_true", help="start from sites drawn with the weight matrix")
     p.add_argument("-k", type=int, default=2, help="motif order")
     p.add_argument("-b", type=float, default=7.0)
     p.add_argument("-r", type=float, default=3.0)
@@ -59,6 +60,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--pvalCutoff", type=float, default=1e-4)
         if name == "train":
             p.add_argument("--scoreSeqset", action="store_true")
+            p.add_argument("--savePositions", action="store_true")
             p.add_argument("--FDR", action="store_true")
         if name in ("train", "evaluate"):
             p.add_argument("-n", "--cvFold", type=int, default=4)
@@ -66,7 +68,11 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--maxPosN", type=int)
             p.add_argument("--mops", action="store_true")
             p.add_argument("--savePvalues", action="store_true")
+            p.add_argument("--saveLogOdds", action="store_true")
+        if name in ("train", "evaluate"):
+            p.add_argument("--saveInitialModel", action="store_true")
         if name == "simulate":
+            p.add_argument("--copySeqset", action="store_true")
             p.add_argument("--sampleBgset", action="store_true")
             p.add_argument("--maskSeqset", action="store_true")
             p.add_argument("--embedSeqset", action="store_true")
@@ -74,14 +80,15 @@ def parser() -> argparse.ArgumentParser:
     j = sub.add_parser("joint")
     for x in ("model", "background", "out"):
         j.add_argument(x)
+    for name in ("topwm", "tomodel"):
+        c = sub.add_parser(name)
+        c.add_argument("model")
+        if name == "tomodel":
+            c.add_argument("background")
+        c.add_argument("out")
     return top
 
 
-def _write(path: Path, text: str) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(text)
-
-
 def _background(spark: SparkSession, o, seqs: DataFrame) -> B.Background:
     ab = alphabet(o.alphabet)
     if o.bgModelFile:
@@ -120,63 +127,88 @@ def _negatives(o, seqs: DataFrame, bg: B.Background, n: int) -> tuple[DataFrame,
     return made.select(F.xxhash64("seq_id", "copy").alias("seq_id"), "seq"), fold
 
 
-def _scan(o, m: M.Motif, bg: B.Background, seqs: DataFrame, negatives: DataFrame, strands: DataFrame, path: Path) -> None:
+def _scan(o, m: M.Motif, bg: B.Background, seqs: DataFrame, negatives: DataFrame, strands: DataFrame, path: str) -> None:
     pos = score.all_scores(strands, [m], bg).select(F.struct("seq_id", "start", "L").alias("id"), "score")
     neg = score.all_scores(score.scored_strands(negatives, True), [m], bg).select(F.struct("seq_id", "start", "L").alias("id"), "score")
     hits = ranking.p_values(pos, neg).where(F.col("p_value") < o.pvalCutoff).select("id.seq_id", "id.start", "id.L", "p_value", "e_value")
     at = score.sites_of(hits, strands, m.width).join(seqs.select(F.col("seq_id").alias("h"), "header"), F.col("seq_id") == F.col("h"))
-    files.write_occurrences(at.select(F.col("header").alias("seq"), F.col("L").alias("length"), "strand", F.col("begin").alias("start"), "end", "pattern", "p_value", "e_value"), str(path))
-
-
-def _evaluate(o, m: M.Motif, bg: B.Background, seqs: DataFrame, negatives: DataFrame, fold: int, path: Path) -> None:
-    held = evaluate.folds(seqs, o.cvFold, o.seed)
-    against = evaluate.folds(negatives, o.cvFold, o.seed)
-    pooled = None
-    for k in range(o.cvFold):
-        trained = _trained(o, m, bg, score.scored_strands(held.where(F.col("fold") != k), o.ss))
-        for df, label, single in ((held, 1, o.ss), (against, 0, True)):
-            best = score.best_scores(score.scored_strands(df.where(F.col("fold") == k), single), [trained], bg).select(F.col("seq_id").alias("id"), "score", F.lit(label).alias("is_pos"))
-            pooled = best if pooled is None else pooled.unionByName(best)
-    pooled = pooled.persist()
+    files.write_occurrences(at.select(F.col("header").alias("seq"), F.col("L").alias("length"), "strand", F.col("begin").alias("start"), "end", "pattern", "p_value", "e_value"), path)
+
+
+def _evaluate(o, m: M.Motif, bg: B.Background, seqs: DataFrame, negatives: DataFrame, fold: int, path: str) -> None:
+    spark = seqs.sparkSession
+    held, against = evaluate.folds(seqs, o.cvFold, o.seed), evaluate.folds(negatives, o.cvFold, o.seed)
+    models: list[M.Motif] = []  # of the folds in order, trained once
+
+    def train(rest: DataFrame) -> M.Motif:
+        models.append(_trained(o, m, bg, score.scored_strands(rest, o.ss)))
+        return models[-1]
+
+    pooled = materialise(evaluate.cross_validated(held, against, train, bg, o.ss), "cv_scores")
     curve = evaluate.zoops_curve(pooled, fold)
-    files.write_curve(curve, f"{path}.zoops.stats", {"m_fold": float(fold)})
+    p = ranking.curve_p_values(pooled).select(F.col("id").alias("i"), F.col("is_pos").alias("l"), "p_value")
+    with_p = curve.join(p, (curve["id"] == p["i"]) & (curve["is_pos"] == p["l"])).drop("i", "l")
+    n = seqs.count()
+    extra = {"m_fold": float(fold), "occ_frac": float(evaluate.occurrence_fraction(curve, o.q, fold).first()[0] or 0.0) if n else 0.0}
+    files.write_curve(with_p, f"{path}.zoops.stats", extra)
     if getattr(o, "savePvalues", False):
         ranking.mid_rank_p(pooled.where("is_pos = 1"), pooled.where("is_pos = 0")).select("p_value").write.csv(f"{path}.zoops.pvalues")
+    if getattr(o, "saveLogOdds", False):
+        files.write_log_odds(evaluate.log_odds_pairs(pooled), f"{path}.zoops.logOdds")
+    if getattr(o, "mops", False):
+        again = iter(models)
+        every = materialise(evaluate.cross_validated(held, against, lambda _: next(again), bg, o.ss, windows=True), "cv_windows")
+        sites = evaluate.mops_curve(every, fold)
+        files.write_curve(sites, f"{path}.mops.stats", {"occ_mult": float(sites.agg(F.max("tp")).first()[0] or 0.0) / max(n, 1)})
+        if getattr(o, "savePvalues", False):
+            ranking.mid_rank_p(every.where("is_pos = 1"), every.where("is_pos = 0")).select("p_value").write.csv(f"{path}.mops.pvalues")
+        if getattr(o, "saveLogOdds", False):
+            files.write_log_odds(evaluate.log_odds_pairs(every), f"{path}.mops.logOdds")
     one = [evaluate.precision_area(curve), evaluate.partial_roc(curve), evaluate.average_recall(curve), evaluate.sensitivity_area(curve)]
     values = [(c, float(df.first()[0] or 0.0)) for df in one for c in df.columns]
-    _write(Path(f"{path}.scores.tsv"), "metric\tvalue\n" + "".join(f"{k}\t{v:.6f}\n" for k, v in values))
-    pooled.unpersist()
+    put_text(spark, f"{path}.scores.tsv", "metric\tvalue\n" + "".join(f"{k}\t{v:.6f}\n" for k, v in values))
 
 
 def run(spark: SparkSession, args: list[str]) -> None:
     o = parser().parse_args(args)
     if o.program == "joint":
-        motif, back = files.extract_joint(Path(o.model).read_text(), Path(o.background).read_text())
-        _write(Path(o.out) / "motif.joint", motif)
-        _write(Path(o.out) / "background.joint", back)
+        motif, back = files.extract_joint(*[files._whole(spark, x)[0][1] for x in (o.model, o.background)])
+        put_text(spark, f"{o.out}/motif.joint", motif)
+        put_text(spark, f"{o.out}/background.joint", back)
+        return
+    if o.program in ("topwm", "tomodel"):
+        text = files._whole(spark, o.model)[0][1]
+        if o.program == "topwm":
+            put_text(spark, o.out, "".join(" ".join(f"{x:.6f}" for x in row) + "\n" for row in files.model_to_pwm(files.parse_model(text))))
+        else:
+            bg = files.parse_background(files._whole(spark, o.background)[0][1])
+            put_text(spark, o.out, files.model_text(files.pwm_to_model(files.parse_meme(text)[0]["pwm"], bg).v))
         return
     seqs = files.read_fasta(spark, o.sequences).persist()
-    out = Path(o.out)
+    out = o.out.rstrip("/")
     bg = _background(spark, o, seqs)
-    _write(out / f"{o.basename}.hbcp", files.background_text(bg))
-    _write(out / f"{o.basename}.hbp", files.background_text(bg, joint=True))
+    put_text(spark, f"{out}/{o.basename}.hbcp", files.background_text(bg))
+    put_text(spark, f"{out}/{o.basename}.hbp", files.background_text(bg, joint=True))
     motifs = _motifs(spark, o, bg)
     if motifs:
         widest = max(m.width for m in motifs)
         seqs = seqs.where((F.col("L") if o.ss else 2 * F.col("L") + 1) >= widest)
     n = seqs.count()
     if o.program == "simulate":
+        if o.copySeqset:
+            made = simulate.raw_copies(seqs, o.m).join(seqs.select("seq_id", "header"), "seq_id")
+            files.write_fasta(made, f"{out}/{o.basename}_copies")
         if o.sampleBgset:
             made = simulate.background_copies(seqs, bg, o.m, o.seed)
-            files.write_fasta(made.withColumn("header", F.concat_ws("_", F.lit("background"), "seq_id", "copy")), str(out / f"{o.basename}_background"))
+            files.write_fasta(made.withColumn("header", F.concat_ws("_", F.lit("background"), "seq_id", "copy")), f"{out}/{o.basename}_background")
         for i, m in enumerate(motifs, 1):
             if o.embedSeqset:
                 made = simulate.embed(seqs, m, o.seed, o.at).join(seqs.select("seq_id", "header"), "seq_id")
-                files.write_fasta(made, str(out / f"{o.basename}_motif_{i}_embedded"))
+                files.write_fasta(made, f"{out}/{o.basename}_motif_{i}_embedded")
             if o.maskSeqset:
                 hits = em.responsibilities(score.scored_strands(seqs, True), m, bg, em.SITE_CUTOFF)
                 made = simulate.mask(seqs.select("seq_id", "seq"), hits, m.width).join(seqs.select("seq_id", "header"), "seq_id")
-                files.write_fasta(made, str(out / f"{o.basename}_motif_{i}_masked"))
+                files.write_fasta(made, f"{out}/{o.basename}_motif_{i}_masked")
         return
     if o.program in ("train", "evaluate") and n < o.cvFold:
         raise ValueError("fewer sequences than folds")
@@ -184,19 +216,28 @@ def run(spark: SparkSession, args: list[str]) -> None:
         seqs = seqs.orderBy(F.xxhash64(F.lit(o.seed), "seq_id")).limit(o.maxPosN)
     negatives, fold = _negatives(o, seqs, bg, n)
     strands = score.scored_strands(seqs, o.ss)
+    if o.PWMFile and o.sampleSites:
+        motifs = [em.sites_from_pwm(strands, files.model_to_pwm(m.v), bg, o.k, m.q, o.seed, m.name) for m in motifs]
     for i, m in enumerate(motifs, 1):
-        path = out / f"{o.basename}_motif_{i}"
+        path = f"{out}/{o.basename}_motif_{i}"
+        if getattr(o, "saveInitialModel", False):
+            put_text(spark, f"{path}_init.ihbcp", files.model_text(m.v))
         if o.program == "train":
             trained = _trained(o, m, bg, strands)
-            _write(Path(f"{path}.ihbcp"), files.model_text(trained.v))
-            _write(Path(f"{path}.ihbp"), files.model_text(trained.p))
-            _write(Path(f"{path}.counts"), files.counts_text(trained.n))
+            put_text(spark, f"{path}.ihbcp", files.model_text(trained.v))
+            put_text(spark, f"{path}.ihbp", files.model_text(trained.p))
+            put_text(spark, f"{path}.counts", files.counts_text(trained.n))
+            if o.CGS:
+                put_text(spark, f"{path}.alphas", files.alphas_text(trained.alpha))
+            if o.savePositions:
+                at = em.positions(strands, trained, bg).join(seqs.select(F.col("seq_id").alias("h"), "header"), F.col("seq_id") == F.col("h"))
+                files.write_positions(at.select(F.col("header").alias("seq"), F.col("L").alias("length"), "strand", F.col("begin").alias("start"), "end", "pattern"), f"{path}.positions")
             if o.scoreSeqset:
-                _scan(o, trained, bg, seqs, negatives, strands, Path(f"{path}.occurrence"))
+                _scan(o, trained, bg, seqs, negatives, strands, f"{path}.occurrence")
             if o.FDR:
                 _evaluate(o, m, bg, seqs, negatives, fold, path)
         elif o.program == "scan":
-            _scan(o, m, bg, seqs, negatives, strands, Path(f"{path}.occurrence"))
+            _scan(o, m, bg, seqs, negatives, strands, f"{path}.occurrence")
         else:
             _evaluate(o, m, bg, seqs, negatives, fold, path)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequence import STANDARD, Alphabet, kmer_counts
+from ..functions.sequence import STANDARD, Alphabet
 
 ALPHA = (1.0, 10.0, 10.0)
 
@@ -83,17 +84,45 @@ def from_counts(rows, order: int, alpha=ALPHA, ab: Alphabet = STANDARD, interpol
     return Background(shrink(n, alpha, ab, interpolate), n, alpha, ab, interpolate)
 
 
+def context_counts(seqs: DataFrame, order: int, by: str | None = None, ab: Alphabet = STANDARD) -> DataFrame:
+    """(by, kmer, n): how often each longest known k-mer of at most ``order`` + 1 bases ends somewhere, counted in the tasks."""
+    from .score import batches_of
+
+    names = np.array([kmer_of(y, k + 1, ab) for k in range(order + 1) for y in range(ab.size ** (k + 1))], dtype=object)
+
+    def run(it):
+        for b in it:
+            for i, batch in batches_of(b.column(0), order, ab):
+                key = b.column(1).slice(i, batch.n).dictionary_encode()
+                code = np.asarray(key.indices.fill_null(len(key.dictionary))).astype(np.int64)
+                known = batch.run > 0
+                both, n = np.unique(code[batch.row[known]] * len(names) + batch.ctx[known], return_counts=True)
+                groups = key.dictionary.take(pa.array(both // len(names), mask=both // len(names) == len(key.dictionary)))
+                yield pa.RecordBatch.from_arrays([groups, pa.array(names[both % len(names)], pa.string()), pa.array(n.astype(np.int64))], names=["g", "kmer", "n"])
+
+    g = F.col(by) if by else F.lit(0)
+    kind = seqs.schema[by].dataType.simpleString() if by else "int"
+    counted = seqs.select("seq", g.alias("g")).mapInArrow(run, f"g {kind}, kmer string, n long").groupBy("g", "kmer").agg(F.sum("n").alias("n"))
+    return counted.select(F.col("g").alias(by), "kmer", "n") if by else counted.select("kmer", "n")
+
+
+def kmer_table(seqs: DataFrame, order: int, by: str | None = None, ab: Alphabet = STANDARD) -> DataFrame:
+    """(by, k, kmer, n) for k = 0..order, as ``sequence.kmer_counts``: shorter k-mers are suffixes of the longest."""
+    keys = [by] if by else []
+    each = context_counts(seqs, order, by, ab).select(*keys, "n", "kmer", F.explode(F.sequence(F.lit(0), F.length("kmer") - 1)).alias("k"))
+    return each.select(*keys, "k", F.expr("right(kmer, k + 1)").alias("kmer"), "n").groupBy(*keys, "k", "kmer").agg(F.sum("n").alias("n"))
+
+
 def fit(seqs: DataFrame, order: int = 2, alpha=ALPHA, ab: Alphabet = STANDARD, interpolate: bool = True) -> Background:
     """One distributed count; only its 4 + 16 + ... sums reach the driver."""
-    rows = [(r["k"], r["kmer"], r["n"]) for r in kmer_counts(seqs, order, ab=ab).collect()]
+    rows = [(r["k"], r["kmer"], r["n"]) for r in kmer_table(seqs, order, ab=ab).collect()]
     return from_counts(rows, order, alpha, ab, interpolate)
 
 
 def fit_by(seqs: DataFrame, by: str, order: int = 2, alpha=ALPHA, ab: Alphabet = STANDARD) -> dict[str, Background]:
     """A model per value of ``by`` (model names: a short list), from one pass."""
-    rows = kmer_counts(seqs, order, [by], ab).collect()
     groups: dict[str, list] = {}
-    for r in rows:
+    for r in kmer_table(seqs, order, by, ab).collect():
         groups.setdefault(r[by], []).append((r["k"], r["kmer"], r["n"]))
     return {name: from_counts(g, order, alpha, ab) for name, g in sorted(groups.items(), key=lambda x: str(x[0]))}
 
@@ -106,14 +135,31 @@ def _table(spark: SparkSession, models: dict[str, Background]) -> DataFrame:
 def log_likelihoods(seqs: DataFrame, models: dict[str, Background], by: list[str]) -> DataFrame:
     """(by..., model, llh): every group of sequences under every model; the context is shorter at a sequence's start.
 
-    Counts of full contexts per group come first (few keys), so the join with the models is small.
+    Contexts with an unknown base are left out.  Tasks add up whole sequences, so the shuffle has a row per sequence and model at most.
     """
-    order = max(m.order for m in models.values())
-    at = F.explode(F.sequence(F.lit(1), F.length("seq")))
-    contexts = seqs.where(F.length("seq") > 0).select(*by, "seq", at.alias("i")).select(*by, F.expr(f"substring(seq, greatest(1, i - {order}), least(i, {order + 1}))").alias("kmer"))
-    counts = contexts.groupBy(*by, "kmer").agg(F.count("*").alias("n"))
-    table = F.broadcast(_table(seqs.sparkSession, models))  # models x 4^(order + 1) rows
-    return counts.join(table, "kmer").groupBy(*by, "model").agg(F.sum(F.col("n") * F.col("logv")).alias("llh"))
+    from .score import batches_of
+
+    order, ab = max(m.order for m in models.values()), next(iter(models.values())).ab
+    logs = []
+    for k in range(order + 1):
+        y = np.arange(ab.size ** (k + 1))
+        logs.append(np.stack([np.log(m.v[min(k, m.order)])[y % ab.size ** (min(k, m.order) + 1)] for m in models.values()], axis=1))
+    sent, names = seqs.sparkSession.sparkContext.broadcast(np.concatenate(logs)), list(models)
+
+    def run(it):
+        for b in it:
+            for i, batch in batches_of(b.column(0), order, ab):
+                at = np.arange(len(batch.row)) - batch.off[batch.row]
+                whole = batch.run >= np.minimum(at, order) + 1
+                row, ctx = batch.row[whole], batch.ctx[whole]
+                for j, name in enumerate(names):
+                    llh = np.bincount(row, sent.value[ctx, j], batch.n)
+                    keys = [b.column(c + 1).slice(i, batch.n) for c in range(len(by))]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array([name] * batch.n, pa.string()), pa.array(llh)], names=[*[f"g{c}" for c in range(len(by))], "model", "llh"])
+
+    kinds = [f"g{c} {seqs.schema[x].dataType.simpleString()}" for c, x in enumerate(by)]
+    each = seqs.where(F.length("seq") > 0).select("seq", *by).mapInArrow(run, ", ".join([*kinds, "model string", "llh double"]))
+    return each.groupBy(*[f"g{c}" for c in range(len(by))], "model").agg(F.sum("llh").alias("llh")).select(*[F.col(f"g{c}").alias(x) for c, x in enumerate(by)], "model", "llh")
 
 
 def positional_likelihoods(seqs: DataFrame, model: Background) -> DataFrame:

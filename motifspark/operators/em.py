@@ -19,12 +19,35 @@ def _table(m: Motif, bg: Background) -> np.ndarray:
     return np.concatenate(score_table(m, bg, 0.0))
 
 
-def _posterior(batch, table, q):
-    """Windows, their responsibilities, their rows, and log of the norm of each row."""
+SCALE = 10**12  # responsibilities are compared to 12 decimals
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Which windows count: those whose responsibility under a fixed score table is at least ``cutoff`` (in units of 1 / SCALE)."""
+
+    table: np.ndarray
+    q: float
+    cutoff: int
+
+    def chosen(self, batch) -> np.ndarray:
+        """Of the batch's windows.  The table is of order 0; the numbers of longer contexts end in their last base."""
+        high = int(batch.ctx.max()) + 1 if len(batch.ctx) else 1
+        return _units(_posterior(batch, np.tile(self.table, (-(-high // len(self.table)), 1)), self.q)[1]) >= self.cutoff
+
+
+def _units(r: np.ndarray) -> np.ndarray:
+    return np.rint(r * SCALE).astype(np.int64)
+
+
+def _posterior(batch, table, q, cells: Cells | None = None):
+    """Windows, their responsibilities, their rows, log of the norm of each row, and the windows of each row."""
     s = batch.windows(table.shape[1])
     odds = np.exp(batch.sums(table, s))
     row = batch.row[s]
     count = np.bincount(row, minlength=batch.n)
+    if cells is not None:
+        odds = np.where(cells.chosen(batch), odds, 0.0)
     odds *= (q / np.maximum(count, 1))[row]
     norm = (1 - q) + np.bincount(row, odds, batch.n)
     return s, odds / norm[row], row, np.where(count > 0, np.log(norm), 0.0), count
@@ -49,22 +72,22 @@ def responsibilities(strands: DataFrame, m: Motif, bg: Background, at_least: flo
     return strands.select("seq_id", "dseq", "L").mapInArrow(run, f"seq_id {kind}, L int, start int, r double")
 
 
-def expected_counts(strands: DataFrame, m: Motif, bg: Background, at_least: float = 0.0, sample_seed: int | None = None) -> tuple[list[np.ndarray], float, float, int]:
+def expected_counts(strands: DataFrame, m: Motif, bg: Background, at_least: float = 0.0, sample_seed: int | None = None, cells: Cells | None = None) -> tuple[list[np.ndarray], float, float, int]:
     """Expected k-mer counts n[k][y, j], log-likelihood, sum of responsibilities, sequences.
 
-    at_least: only windows with that responsibility count.  sample_seed: instead of fractions, one drawn site (or none)
+    at_least: only windows with that responsibility count.  cells: all others have none, whatever the model.  sample_seed: instead of fractions, one drawn site (or none)
     per sequence, the draw fixed by the seed and the sequence's id.  Tasks send one table of sums each.
     """
     size, K, W, ab, order = bg.ab.size, m.order, m.width, bg.ab, m.order
-    sent = strands.sparkSession.sparkContext.broadcast((_table(m, bg), m.q))
+    sent = strands.sparkSession.sparkContext.broadcast((_table(m, bg), m.q, cells))
     contexts = len(sent.value[0])
 
     def run(it):
-        table, q = sent.value
+        table, q, cells = sent.value
         sums, totals = np.zeros((contexts, W)), np.zeros(3)
         for b in it:
             for i, batch in batches_of(b.column(1), order, ab):
-                s, r, row, llh, count = _posterior(batch, table, q)
+                s, r, row, llh, count = _posterior(batch, table, q, cells)
                 if sample_seed is not None:
                     ids = np.asarray(b.column(3))[i : i + batch.n]
                     u = (ids.view(np.uint64) >> np.uint64(11)).astype(float) / 2**53
@@ -114,13 +137,13 @@ class Fit:
     change: list[float]
 
 
-def optimize(strands: DataFrame, m: Motif, bg: Background, optimize_q: bool = False, epsilon: float = EPSILON, max_iterations: int = MAX_ITERATIONS, at_least: float = 0.0) -> Fit:
+def optimize(strands: DataFrame, m: Motif, bg: Background, optimize_q: bool = False, epsilon: float = EPSILON, max_iterations: int = MAX_ITERATIONS, at_least: float = 0.0, cells: Cells | None = None) -> Fit:
     """Until the conditionals change by less than ``epsilon`` in total, or the likelihood falls after iteration 10."""
     strands = strands.persist()
     try:
         out = Fit(m, [], [])
         for i in range(max_iterations):
-            n, llh, total, n_seqs = expected_counts(strands, out.motif, bg, at_least)
+            n, llh, total, n_seqs = expected_counts(strands, out.motif, bg, at_least, cells=cells)
             q = (total + 1) / (n_seqs + 2) if optimize_q and i < 5 else None
             new = update(out.motif, n, bg, q)
             change = float(np.abs(new.v[-1] - out.motif.v[-1]).sum())
@@ -135,16 +158,62 @@ def optimize(strands: DataFrame, m: Motif, bg: Background, optimize_q: bool = Fa
         strands.unpersist()
 
 
-def top_cutoff(strands: DataFrame, m: Motif, bg: Background, share: float = 0.05) -> float:
-    """The responsibility above which ``share`` of all windows lie."""
-    r = responsibilities(strands, m, bg).agg(F.percentile_approx("r", 1 - share, F.lit(100_000)).alias("c")).first()
-    return float(r["c"] or 0.0)
+def top_cells(strands: DataFrame, m: Motif, bg: Background, share: float = 0.05) -> Cells:
+    """The windows that an order-0 step chooses: those with at least the responsibility at place floor(share * windows), in descending order.
+
+    The order statistic is exact: three passes count responsibilities by 14 bits each.
+    """
+    zero = Motif(m.v[:1], m.p[:1], m.n[:1], m.alpha[:1], m.q, m.name, m.ab)
+    table, bits = _table(zero, bg), 14
+    sent, ab = strands.sparkSession.sparkContext.broadcast((table, m.q)), bg.ab
+    prefix, place = 0, None
+    for turn in (2, 1, 0):
+        low = bits * turn
+
+        def run(it, prefix=prefix, low=low):
+            t, q = sent.value
+            counts = np.zeros(1 << bits, np.int64)
+            for b in it:
+                for _, batch in batches_of(b.column(0), 0, ab):
+                    u = _units(_posterior(batch, t, q)[1])
+                    counts += np.bincount((u[(u >> low + bits) == prefix] >> low) & ((1 << bits) - 1), minlength=1 << bits)
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["u", "n"])
+
+        rows = strands.select("dseq").mapInArrow(run, "u long, n long").groupBy("u").agg(F.sum("n").alias("n")).orderBy(F.desc("u")).collect()  # 2^14 rows at most
+        total = sum(r["n"] for r in rows)
+        if not total:
+            return Cells(table, m.q, 0)
+        place = min(int(total * share), total - 1) if place is None else place
+        for r in rows:
+            if place < r["n"]:
+                prefix = (prefix << bits) | r["u"]
+                break
+            place -= r["n"]
+    return Cells(table, m.q, prefix)
 
 
 def masked_optimize(strands: DataFrame, m: Motif, bg: Background, share: float = 0.05, **options) -> Fit:
-    """An order-0 step chooses the windows with the highest responsibilities; full-order steps then use only those."""
-    zero = Motif(m.v[:1], m.p[:1], m.n[:1], m.alpha[:1], m.q, m.name, m.ab)
-    return optimize(strands, m, bg, at_least=top_cutoff(strands, zero, bg, share), **options)
+    """An order-0 step of the starting model chooses the windows with the highest responsibilities; full-order steps then use only those.
+
+    The chosen windows stay the same in all steps: tasks find them again from the starting model, which is broadcast.
+    """
+    return optimize(strands, m, bg, cells=top_cells(strands, m, bg, share), **options)
+
+
+def chosen_windows(strands: DataFrame, cells: Cells, bg: Background) -> DataFrame:
+    """(seq_id, start) of the chosen windows."""
+    sent, ab = strands.sparkSession.sparkContext.broadcast(cells), bg.ab
+
+    def run(it):
+        for b in it:
+            for i, batch in batches_of(b.column(1), 0, ab):
+                s = batch.windows(sent.value.table.shape[1])
+                s = s[sent.value.chosen(batch)]
+                row = batch.row[s]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + i)), pa.array((s - batch.off[row]).astype(np.int32))], names=["seq_id", "start"])
+
+    return strands.select("seq_id", "dseq").mapInArrow(run, f"seq_id {strands.schema['seq_id'].dataType.simpleString()}, start int")
 
 
 def positions(strands: DataFrame, m: Motif, bg: Background, cutoff: float = SITE_CUTOFF) -> DataFrame:

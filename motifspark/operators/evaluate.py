@@ -1,11 +1,18 @@
 """Precision and recall curves, cross-validation folds, summary scores."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialise
+from .background import Background
+from .motif import Motif
 from .ranking import BUCKETS, running
+from .score import all_scores, best_scores, scored_strands
 
 
 def folds(seqs: DataFrame, n: int = 4, seed: int = 42) -> DataFrame:
@@ -33,12 +40,44 @@ def zoops_curve(scores: DataFrame, m_fold: float = 1.0, by: list[str] | None = N
 
 
 def mops_curve(scores: DataFrame, m_fold: float = 1.0, buckets: int = BUCKETS) -> DataFrame:
-    """All windows: TP is what stands above the expected false ones; ranks after the last maximum of TP are dropped."""
-    ranked = running(scores, "score", {"n_pos": "is_pos", "n_neg": "1 - is_pos"}, ["is_pos", "id"], buckets=buckets)
-    c = ranked.select("id", "score", (F.col("n_pos") + F.col("n_neg")).alias("rank"), (F.col("n_pos") - F.col("n_neg") / m_fold).alias("tp"), (F.col("n_neg") / m_fold).alias("fp"))
-    peak = F.broadcast(c.agg(F.max("tp").alias("peak"), F.max(F.struct("tp", "rank"))["rank"].alias("last")))
-    kept = c.crossJoin(peak).where("rank <= last")  # one row
-    return kept.select("id", "score", "rank", "tp", "fp", (F.col("fp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1e-12))).alias("fdr"), (F.col("tp") / F.col("peak")).alias("recall"))
+    """All windows: TP is what stands above the expected false ones; ranks after the last maximum of TP are dropped.
+
+    The windows are scored once and written.  The peak follows from sums by score, far fewer than windows, and what ranks below it
+    is left out before the windows are sorted.
+    """
+    rows = materialise(scores.select("id", "score", "is_pos"), "window_scores")
+    sums = rows.groupBy("score").agg(F.sum("is_pos").alias("p"), F.count("*").alias("n"))
+    ends = running(sums, "score", {"n_pos": "p", "rank": "n"}, [], buckets=buckets).withColumn("tp", F.col("n_pos") - (F.col("rank") - F.col("n_pos")) / m_fold)
+    peak = ends.agg(F.max("tp").alias("peak"), F.max(F.struct("tp", "rank", "score"))["score"].alias("score")).first()
+    if peak["peak"] is None:
+        kept, last = rows, None
+    else:
+        kept, last = rows.where(F.col("score") >= peak["score"]), peak["peak"]
+    ranked = running(kept, "score", {"n_pos": "is_pos", "n_neg": "1 - is_pos"}, ["is_pos", "id"], buckets=buckets)
+    tp, fp = F.col("n_pos") - F.col("n_neg") / m_fold, F.col("n_neg") / m_fold
+    c = ranked.select("id", "score", (F.col("n_pos") + F.col("n_neg")).alias("rank"), tp.alias("tp"), fp.alias("fp"))
+    return c.select("id", "score", "rank", "tp", "fp", (F.col("fp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1e-12))).alias("fdr"), (F.col("tp") / F.lit(last)).alias("recall"))
+
+
+def cross_validated(
+    seqs: DataFrame, negatives: DataFrame, train: Callable[[DataFrame], Motif], bg: Background, single: bool = False, negatives_single: bool = True, windows: bool = False
+) -> DataFrame:
+    """(id, score, is_pos): the best score of every sequence by the motif that was trained on the other folds.
+
+    seqs, negatives: (seq_id, seq, fold).  train: from sequences to a motif; null sequences are scored by the motif of their
+    fold.  windows: all windows instead of the best, their id with the start.
+    """
+    numbers = sorted(r["fold"] for r in seqs.select("fold").distinct().collect())  # one row per fold
+    pooled = None
+    for k in numbers:
+        motif = train(seqs.where(F.col("fold") != k))
+        for df, label, one in ((seqs, 1, single), (negatives, 0, negatives_single)):
+            strands = scored_strands(df.where(F.col("fold") == k), one)
+            found = all_scores(strands, [motif], bg) if windows else best_scores(strands, [motif], bg)
+            key = F.struct("seq_id", "start") if windows else F.col("seq_id")
+            part = found.select(key.alias("id"), "score", F.lit(label).alias("is_pos"))
+            pooled = part if pooled is None else pooled.unionByName(part)
+    return pooled
 
 
 def occurrence_fraction(curve: DataFrame, q: float, m_fold: float = 1.0) -> DataFrame:
@@ -94,23 +133,28 @@ def sensitivity_area(curve: DataFrame, low: float = 0.01, high: float = 0.5) ->
     return area(pts, "x", "y", "o").select((F.col("area") / float(np.log10(high) - np.log10(low))).alias("ausfc"))
 
 
-def grenander(p: np.ndarray, eta0: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct p-values, q-values and local fdr from the least concave majorant of their distribution (pool adjacent violators).
-
-    p: binned or already aggregated values; the callers pass a histogram's edges, not all rows.
-    """
-    x, count = np.unique(p, return_counts=True)
-    F_x = np.cumsum(count) / count.sum()
-    xs, ys = np.r_[0.0, x], np.r_[0.0, F_x]
-    hull = [0]
-    for i in range(1, len(xs)):
-        while len(hull) > 1 and (ys[hull[-1]] - ys[hull[-2]]) * (xs[i] - xs[hull[-1]]) <= (ys[i] - ys[hull[-1]]) * (xs[hull[-1]] - xs[hull[-2]]):
+def majorant(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Indexes of the points on the least concave majorant of (x, y), x ascending."""
+    hull: list[int] = []
+    for i in range(len(x)):
+        while len(hull) > 1 and (y[hull[-1]] - y[hull[-2]]) * (x[i] - x[hull[-1]]) <= (y[i] - y[hull[-1]]) * (x[hull[-1]] - x[hull[-2]]):
             hull.pop()
         hull.append(i)
-    majorant = np.interp(x, xs[hull], ys[hull])
-    slope = np.diff(ys[hull]) / np.maximum(np.diff(xs[hull]), 1e-12)
-    density = slope[np.clip(np.searchsorted(xs[hull], x, "left") - 1, 0, len(slope) - 1)]
-    return x, np.minimum(eta0 * x / majorant, 1), np.minimum(eta0 / np.maximum(density, 1e-12), 1)
+    return np.array(hull, np.int64)
+
+
+def grenander(p: np.ndarray, eta0: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct p-values, q-values and local fdr from the least concave majorant of their distribution (pool adjacent violators)."""
+    x, count = np.unique(p, return_counts=True)
+    xs, ys = np.r_[0.0, x], np.r_[0.0, np.cumsum(count) / count.sum()]
+    hull = majorant(xs, ys)
+    return x, *_estimates(x, xs[hull], ys[hull], eta0)
+
+
+def _estimates(x: np.ndarray, hx: np.ndarray, hy: np.ndarray, eta0: float) -> tuple[np.ndarray, np.ndarray]:
+    slope = np.diff(hy) / np.maximum(np.diff(hx), 1e-12)
+    density = slope[np.clip(np.searchsorted(hx, x, "left") - 1, 0, len(slope) - 1)]
+    return np.minimum(eta0 * x / np.interp(x, hx, hy), 1), np.minimum(eta0 / np.maximum(density, 1e-12), 1)
 
 
 def p_value_histogram(p: DataFrame, col: str = "p_value", bins: int = 30) -> DataFrame:
@@ -118,15 +162,37 @@ def p_value_histogram(p: DataFrame, col: str = "p_value", bins: int = 30) -> Dat
     return p.groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def q_values(p: DataFrame, eta0: float, col: str = "p_value", bins: int = 1000) -> DataFrame:
-    """(bin, p, q, lfdr): Grenander's estimate on a histogram, so that only ``bins`` numbers reach the driver."""
-    rows = p_value_histogram(p, col, bins).orderBy("bin").collect()
-    values = np.repeat([(r["bin"] + 1) / bins for r in rows], [r["n"] for r in rows]) if sum(r["n"] for r in rows) < 2_000_000 else None
-    if values is None:  # the shape depends on the shares only
-        total = sum(r["n"] for r in rows)
-        values = np.repeat([(r["bin"] + 1) / bins for r in rows], [max(1, round(r["n"] * 1e6 / total)) for r in rows])
-    x, q, l = grenander(values, eta0)
-    return p.sparkSession.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(x, q, l)], "p double, q double, lfdr double")
+def q_values(p: DataFrame, eta0: float, col: str = "p_value", buckets: int = BUCKETS) -> DataFrame:
+    """(p, n, q, lfdr) of every distinct p-value, by Grenander's estimate on all of them.
+
+    Tasks reduce ranges of the distribution function to their own majorants, which are short; the majorant of these is that of
+    all, and is sent back to the distinct p-values.
+    """
+    counts = p.groupBy(F.col(col).alias("p")).agg(F.count("*").alias("n")).withColumn("__down", -F.col("p"))
+    points = materialise(running(counts, "__down", {"upto": "n"}, [], buckets=buckets).select("p", "n", "upto"), "p_values")
+    total = points.agg(F.sum("n")).first()[0]
+    if not total:
+        return points.select("p", "n", F.lit(0.0).alias("q"), F.lit(0.0).alias("lfdr"))
+
+    def reduce(it):
+        x, y = np.zeros(0), np.zeros(0)
+        for b in it:
+            x, y = np.r_[x, np.asarray(b.column(0))], np.r_[y, np.asarray(b.column(1)).astype(float)]
+            hull = majorant(x, y)
+            x, y = x[hull], y[hull]
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["p", "upto"])
+
+    parts = points.select("p", "upto").repartitionByRange("p").sortWithinPartitions("p").mapInArrow(reduce, "p double, upto double").orderBy("p").toArrow()
+    xs, ys = np.r_[0.0, np.asarray(parts.column("p"))], np.r_[0.0, np.asarray(parts.column("upto")) / total]
+    hull = majorant(xs, ys)
+    sent = p.sparkSession.sparkContext.broadcast((xs[hull], ys[hull]))
+
+    def estimate(it):
+        for b in it:
+            q, lfdr = _estimates(np.asarray(b.column(0)), *sent.value, eta0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(q), pa.array(lfdr)], names=["p", "n", "q", "lfdr"])
+
+    return points.select("p", "n").mapInArrow(estimate, "p double, n long, q double, lfdr double")
 
 
 def curve_window(curve: DataFrame, low: float = 0.01, high: float = 0.5) -> DataFrame:

@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 BUCKETS = 200
 
 
+def bucketed(df: DataFrame, score: str, by: list[str], buckets: int) -> DataFrame:
+    """Adds ``__b``: the number of the score's bucket, between approximate quantiles; equal scores share one."""
+    cuts = df.groupBy(*by).agg(F.percentile_approx(score, F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)]), F.lit(10_000)).alias("__cuts"))
+    cuts = cuts.withColumn("__cuts", F.array_distinct("__cuts"))
+    held = df.join(F.broadcast(cuts), by) if by else df.crossJoin(F.broadcast(cuts))  # one row per ``by``
+    return held.withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(score)))).drop("__cuts")
+
+
 def running(df: DataFrame, score: str, sums: dict[str, str], ties: list, by: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Adds ``name`` = running sum of the expression over the order (score descending, ties), per ``by``.
 
@@ -14,10 +22,7 @@ def running(df: DataFrame, score: str, sums: dict[str, str], ties: list, by: lis
     totals, whose size does not depend on the rows, gives each bucket's start.
     """
     by, buckets = by or [], max(buckets, 2)
-    cuts = df.groupBy(*by).agg(F.percentile_approx(score, F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)]), F.lit(10_000)).alias("__cuts"))
-    cuts = cuts.withColumn("__cuts", F.array_distinct("__cuts"))
-    held = df.join(F.broadcast(cuts), by) if by else df.crossJoin(F.broadcast(cuts))  # one row per ``by``
-    held = held.withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(score)))).drop("__cuts")
+    held = bucketed(df, score, by, buckets)
     totals = held.groupBy(*by, "__b").agg(*[F.sum(F.expr(e)).alias(f"__t_{n}") for n, e in sums.items()])
     over = Window.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)  # some hundred rows
     before = totals.select(*by, "__b", *[F.coalesce(F.sum(f"__t_{n}").over(over), F.lit(0)).alias(f"__o_{n}") for n in sums])
@@ -56,11 +61,40 @@ def p_values(positives: DataFrame, negatives: DataFrame, top: int = 100, buckets
 
 
 def mid_rank_p(positives: DataFrame, negatives: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(id, score, p_value): 1 - (null scores below + null scores up to) / 2M, within [1e-6, 1]."""
+    """(id, score, p_value): 1 - (null scores below + null scores up to) / 2M, within [1e-6, 1].
+
+    Null scores come first among equals in one pass and last in the other, so no join on scores is needed.
+    """
     rows = positives.select("id", "score", F.lit(0).alias("neg")).unionByName(negatives.select("id", "score", F.lit(1).alias("neg")))
-    ranked = running(rows, "score", {"at_least": "neg"}, [F.desc("neg"), "id"], buckets=buckets)
-    ties = negatives.groupBy("score").agg(F.count("*").alias("same"))
+    held = bucketed(rows, "score", [], buckets)
+    totals = held.groupBy("__b").agg(F.sum("neg").alias("__t"))
+    before = totals.select("__b", F.coalesce(F.sum("__t").over(Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))  # some hundred rows
+    order = Window.partitionBy("__b").orderBy(F.desc("score"))
+    at_least = F.sum("neg").over(order.rangeBetween(Window.unboundedPreceding, 0))
+    above = at_least - F.sum("neg").over(Window.partitionBy("__b", "score"))
+    ranked = held.withColumns({"__i": at_least, "__a": above}).where("neg = 0").join(F.broadcast(before), "__b")
     m = F.broadcast(negatives.agg(F.count("*").alias("m")))
-    joined = ranked.where("neg = 0").join(ties, "score", "left").crossJoin(m)  # one row
-    p = (F.col("at_least") - F.coalesce("same", F.lit(0)) / 2) / F.col("m")
-    return joined.select("id", "score", F.least(F.lit(1.0), F.greatest(F.lit(1e-6), p)).alias("p_value"))
+    p = (F.col("__o") + (F.col("__i") + F.col("__a")) / 2) / F.col("m")
+    return ranked.crossJoin(m).select("id", "score", F.least(F.lit(1.0), F.greatest(F.lit(1e-6), p)).alias("p_value"))  # one row
+
+
+def curve_p_values(scores: DataFrame, top: int = 100, buckets: int = BUCKETS) -> DataFrame:
+    """scores: (id, score, is_pos).  Adds p_value: the null scores at least as high and the way to the next lower one, as a share of all; beyond
+    the n_top best of them an exponential tail."""
+    rows = scores.select("id", "score", "is_pos")
+    held = bucketed(running(rows, "score", {"n_neg": "1 - is_pos"}, ["is_pos", "id"], buckets=buckets), "score", [], buckets)
+    null = F.when(F.col("is_pos") == 0, F.col("score"))
+    held = held.withColumn("__d", F.dense_rank().over(Window.partitionBy("__b").orderBy(F.desc("score"))))
+    by = Window.partitionBy("__b").orderBy("__d")
+    above, below = F.min(null).over(by.rangeBetween(Window.unboundedPreceding, -1)), F.max(null).over(by.rangeBetween(1, Window.unboundedFollowing))
+    totals = held.groupBy("__b").agg(F.min(null).alias("__lo"), F.max(null).alias("__hi"))
+    order = Window.orderBy(F.desc("__b"))  # some hundred rows
+    seams = totals.select("__b", F.min("__lo").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__up"), F.max("__hi").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__down"))
+    at_least = F.max("n_neg").over(Window.partitionBy("__b", "__d"))  # equal scores have one p-value
+    near = held.withColumns({"__above": above, "__below": below, "__n": at_least}).join(F.broadcast(seams), "__b")
+    t = F.broadcast(tail(scores.where("is_pos = 0"), "score", top))
+    up = F.coalesce("__above", "__up", "score")
+    gap = (up - F.col("score")) / (up - F.coalesce("__below", "__down", "score") + 1e-5)
+    far = F.col("n_top") * F.exp((F.col("s_top") - F.col("score")) / F.greatest(F.col("rate"), F.lit(1e-12))) / F.col("m")
+    p = F.when(F.col("score") > F.col("s_top"), far).otherwise((F.col("__n") + gap) / F.col("m"))
+    return near.crossJoin(t).select("id", "score", "is_pos", F.least(p, F.lit(1.0)).alias("p_value"))  # one row

@@ -61,6 +61,11 @@ def background_copies(seqs: DataFrame, bg: Background, fold: int = 1, seed: int
     return seqs.select("seq_id", "seq").mapInPandas(run, f"seq_id {seqs.schema['seq_id'].dataType.simpleString()}, copy int, seq string")
 
 
+def raw_copies(seqs: DataFrame, fold: int = 1) -> DataFrame:
+    """(seq_id, copy, seq): every sequence ``fold`` times as it is."""
+    return seqs.select("seq_id", F.explode(F.sequence(F.lit(0), F.lit(fold - 1))).alias("copy"), "seq")
+
+
 def background_number(spark: SparkSession, bg: Background, n: int, length: int, seed: int = 42) -> DataFrame:
     """(seq_id, seq): ``n`` random sequences of one length."""
     sent = spark.sparkContext.broadcast(bg)

@@ -5,8 +5,6 @@ negative one, languages are model sets, and sites are all windows of ten bases t
 """
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,36 +43,14 @@ def _r(c: str, digits: int = 6):
     return F.round(F.col(c), digits).alias(c)
 
 
-_MODELS: dict = {}
-
-
-def _once(kind: str):
-    """A model is fitted once per session and input: only its small tables are kept."""
-
-    def wrap(f):
-        @functools.wraps(f)
-        def run(spark: SparkSession, d: str):
-            key = (kind, spark.sparkContext.applicationId, d)
-            if key not in _MODELS:
-                _MODELS[key] = f(spark, d)
-            return _MODELS[key]
-
-        return run
-
-    return wrap
-
-
-@_once("background")
 def background(spark: SparkSession, d: str) -> B.Background:
     return B.fit(adapter.read(spark, d), 2)
 
 
-@_once("motif")
 def motif(spark: SparkSession, d: str) -> M.Motif:
     return M.from_sites(adapter.sites(adapter.read(spark, d), SEED, WIDTH), WIDTH, background(spark, d), 2, q=Q)
 
 
-@_once("languages")
 def language_models(spark: SparkSession, d: str) -> dict[str, B.Background]:
     return B.fit_by(adapter.read(spark, d, ["lang"]), "lang", 2)
 
@@ -100,6 +76,12 @@ def _curve(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql.kmer_count_k3)
 def kmer_count_k3(spark, d):
+    return B.kmer_table(adapter.read(spark, d), 2)
+
+
+@query(sql.kmer_count_k3)
+def kmer_count_join(spark, d):
+    """The same by built-in operators only."""
     return S.kmer_counts(adapter.read(spark, d), 2)
 
 
@@ -379,7 +361,7 @@ def zoops_curve(spark, d):
 def mops_curve(spark, d):
     """Over all windows, ranked by score; one row per 0.5 of score."""
     s = score.all_scores(strands(spark, d), [motif(spark, d)], background(spark, d))
-    rows = s.select(F.concat_ws("-", "seq_id", F.lpad(F.col("start").cast("string"), 9, "0")).alias("id"), F.round("score", 6).alias("score"), (1 - F.pmod("seq_id", F.lit(2))).cast("int").alias("is_pos"))
+    rows = s.select(F.struct("seq_id", "start").alias("id"), F.round("score", 6).alias("score"), (1 - F.pmod("seq_id", F.lit(2))).cast("int").alias("is_pos"))
     c = evaluate.mops_curve(rows)
     return c.groupBy(F.floor(F.col("score") * 2).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.max("tp").alias("tp"), F.max("fp").alias("fp"))
 
@@ -415,10 +397,37 @@ def occ_mult(spark, d):
     return evaluate.occurrence_multiplicity(c, adapter.read(spark, d).where("seq_id % 2 = 0").count()).select(_r("occ_mult"))
 
 
-@query()
+@query(sql.q_values)
 def q_values(spark, d):
     s = _split(spark, d)
-    return evaluate.q_values(ranking.mid_rank_p(s.where("is_pos = 1"), s.where("is_pos = 0")), 0.5)
+    p = ranking.mid_rank_p(s.where("is_pos = 1"), s.where("is_pos = 0")).select(_r("p_value", 9))
+    return evaluate.q_values(p, 0.5).select("p", "n", _r("q"), _r("lfdr"))
+
+
+@query(sql.curve_pvalue)
+def curve_pvalue(spark, d):
+    return ranking.curve_p_values(_split(spark, d)).select("id", "is_pos", _r("p_value"))
+
+
+def _cross_validated(spark: SparkSession, d: str) -> DataFrame:
+    """Four folds by rank of id; the motif of a fold is counted on the sites of the other folds' positives."""
+    bg = background(spark, d)
+    folded = evaluate.numbered_folds(adapter.read(spark, d), 4).drop("idx")
+    positive = F.pmod("seq_id", F.lit(2)) == 0
+    train = lambda rest: M.from_sites(adapter.sites(rest, SEED, WIDTH), WIDTH, bg, 2, q=Q)
+    scores = evaluate.cross_validated(folded.where(positive), folded.where(~positive), train, bg, negatives_single=False)
+    return scores.select("id", F.round("score", 9).alias("score"), "is_pos")
+
+
+@query(sql.cv_scores)
+def cv_scores(spark, d):
+    return _cross_validated(spark, d).select("id", _r("score"), "is_pos")
+
+
+@query(sql.cv_curve)
+def cv_curve(spark, d):
+    c = evaluate.zoops_curve(_cross_validated(spark, d))
+    return c.select("id", F.col("rank").cast("long").alias("rank"), "tp", "fp", _r("fdr", 9), _r("recall", 9))
 
 
 @query(sql.position_hist)
@@ -465,15 +474,38 @@ def mstep_counts(spark, d):
     return spark.createDataFrame(rows, "k int, j int, kmer string, n double")
 
 
+@query(sql.em_step)
+def em_step(spark, d):
+    """The conditionals after one iteration."""
+    fit = em.optimize(strands(spark, d), motif(spark, d), background(spark, d), max_iterations=1)
+    return fit.motif.to_df(spark).select("k", "j", "kmer", _r("v"))
+
+
+@query(sql.em_masked_cells)
+def em_masked_cells(spark, d):
+    """How many windows of each sequence the order-0 step chooses."""
+    st, bg = strands(spark, d), background(spark, d)
+    return em.chosen_windows(st, em.top_cells(st, motif(spark, d), bg), bg).groupBy("seq_id").agg(F.count("*").alias("n"), F.sum(F.col("start").cast("long")).alias("starts"))
+
+
+@query(sql.em_masked_step)
+def em_masked_step(spark, d):
+    """The conditionals after one iteration over the chosen windows."""
+    fit = em.masked_optimize(strands(spark, d), motif(spark, d), background(spark, d), max_iterations=1)
+    return fit.motif.to_df(spark).select("k", "j", "kmer", _r("v"))
+
+
 @query()
 def em_fit(spark, d):
-    fit = em.optimize(strands(spark, d), motif(spark, d), background(spark, d), optimize_q=True, max_iterations=8)
+    """Until convergence, with the operator's defaults."""
+    fit = em.optimize(strands(spark, d), motif(spark, d), background(spark, d), optimize_q=True)
     return fit.motif.to_df(spark).select("k", "j", "kmer", _r("v"))
 
 
 @query()
 def em_masked_fit(spark, d):
-    fit = em.masked_optimize(strands(spark, d), motif(spark, d), background(spark, d), max_iterations=4)
+    """Until convergence, with the operator's defaults."""
+    fit = em.masked_optimize(strands(spark, d), motif(spark, d), background(spark, d))
     return fit.motif.to_df(spark).select("k", "j", "kmer", _r("v"))
 
 
@@ -484,7 +516,7 @@ def em_positions(spark, d):
 
 @query()
 def gibbs_fit(spark, d):
-    return gibbs.optimize(strands(spark, d), motif(spark, d), background(spark, d), iterations=6).to_df(spark).select("k", "j", "kmer", _r("v"))
+    return gibbs.optimize(strands(spark, d), motif(spark, d), background(spark, d)).to_df(spark).select("k", "j", "kmer", _r("v"))
 
 
 # --- simulation ---
@@ -510,6 +542,18 @@ def embed(spark, d):
     return simulate.embed(adapter.read(spark, d), motif(spark, d))
 
 
+@query(sql.bg_sample_shape)
+def bg_sample_shape(spark, d):
+    """Lengths of the sampled sequences, and letters outside the alphabet."""
+    made = simulate.background_copies(adapter.read(spark, d), background(spark, d), 2)
+    return made.select("seq_id", "copy", F.length("seq").cast("long").alias("L"), F.length(F.translate("seq", "ACGT", "")).cast("long").alias("others"))
+
+
+@query(sql.raw_copies)
+def raw_copies(spark, d):
+    return simulate.raw_copies(adapter.read(spark, d), 2)
+
+
 @query(sql.mask_seqs)
 def mask_seqs(spark, d):
     seqs = adapter.read(spark, d)

@@ -1,6 +1,8 @@
 """The queries in SQL, each written apart from the DataFrame code."""
 from __future__ import annotations
 
+import re
+
 SEQS = "seqs AS (SELECT doc_id AS seq_id, lang, regexp_replace(upper(text), '[^ACGT]+', '', 'g') AS seq FROM documents WHERE length(regexp_replace(upper(text), '[^ACGT]+', '', 'g')) >= 12)"
 RC = "reverse(translate(seq, 'ACGT', 'TGCA'))"
 TOP = "topc AS (SELECT {by} substr(seq, greatest(1, i - 2), least(i, 3)) AS w, count(*) AS n FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM seqs) GROUP BY ALL)"
@@ -116,7 +118,7 @@ midrank_pvalue = f"WITH {MID} SELECT id, round(p_value, 9) AS p_value FROM mr"
 pvalue_hist = f"WITH {MID} SELECT CAST(least(29, floor(round(p_value * 30, 6))) AS INT) AS bin, count(*) AS n FROM mr GROUP BY 1"
 CURVE = f"{Z}, cv AS (SELECT id, score, is_pos, row_number() OVER w AS rank, sum(is_pos) OVER w AS tp, sum(1 - is_pos) OVER w AS fp, sum(is_pos) OVER () AS pos FROM z WINDOW w AS (ORDER BY score DESC, is_pos, id ROWS UNBOUNDED PRECEDING)), c AS (SELECT id, is_pos, rank, CAST(tp AS DOUBLE) AS tp, CAST(fp AS DOUBLE) AS fp, fp / (tp + fp) AS fdr, tp / pos AS recall, pos FROM cv)"
 zoops_curve = f"WITH {CURVE} SELECT id, rank, tp, fp, round(fdr, 9) AS fdr, round(recall, 9) AS recall FROM c"
-mops_curve = f"""WITH {WIN}, a AS (SELECT seq_id || '-' || lpad(CAST(start AS VARCHAR), 9, '0') AS id, round(score, 6) AS score, 1 - seq_id % 2 AS is_pos FROM win),
+mops_curve = f"""WITH {WIN}, a AS (SELECT {{'seq_id': seq_id, 'start': start}} AS id, round(score, 6) AS score, 1 - seq_id % 2 AS is_pos FROM win),
 r AS (SELECT id, score, row_number() OVER w AS rank, sum(is_pos) OVER w - sum(1 - is_pos) OVER w AS tp, sum(1 - is_pos) OVER w AS fp FROM a WINDOW w AS (ORDER BY score DESC, is_pos, id ROWS UNBOUNDED PRECEDING)),
 k AS (SELECT * FROM r WHERE rank <= (SELECT max(rank) FROM r WHERE tp = (SELECT max(tp) FROM r)))
 SELECT CAST(floor(score * 2) AS BIGINT) AS bin, count(*) AS n, CAST(max(tp) AS DOUBLE) AS tp, CAST(max(fp) AS DOUBLE) AS fp FROM k GROUP BY 1"""
@@ -155,3 +157,48 @@ m AS (SELECT g.lang, g.j, g.b, (coalesce(c.n, 0) + 0.25) / sum(coalesce(c.n, 0)
 d AS (SELECT x.lang AS a, y.lang AS b, sum(x.p * log2(x.p)) AS hx, sum(y.p * log2(y.p)) AS hy, sum((x.p + y.p) / 2 * log2((x.p + y.p) / 2)) AS hm, sum((x.p + 0.25) / 2 * log2((x.p + 0.25) / 2)) AS xb, sum((y.p + 0.25) / 2 * log2((y.p + 0.25) / 2)) AS yb FROM m x JOIN m y ON x.j = y.j AND x.b = y.b GROUP BY ALL)
 SELECT a, b, round(0.4 * ((0.5 * (hx - 20) - xb) + (0.5 * (hy - 20) - yb)) - (0.5 * (hx + hy) - hm), 6) AS unshifted FROM d"""
 exemplars = "SELECT source, doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r = 1"
+
+EU = """e AS (SELECT j, w, sum(r) AS n FROM (SELECT rs.seq_id, rs.start, rs.r, unnest(range(0, 10)) AS j FROM rs) x JOIN ps ON ps.seq_id = x.seq_id AND ps.i = x.start + x.j + 1 GROUP BY ALL),
+u AS (SELECT k, j, right(w, k + 1) AS kmer, sum(n) AS n FROM (SELECT *, unnest(range(0, length(w))) AS k FROM e) GROUP BY ALL)"""
+NEXT = MV.removeprefix(f"{SC}, ")  # the conditionals of the counts u, as nv
+for _old, _new in (("sc", "u"), ("mf", "nf"), ("m0", "n0"), ("m1", "n1"), ("m2", "n2"), ("mv", "nv")):
+    NEXT = re.sub(rf"\b{_old}\b", _new, NEXT)
+_SHOW = "SELECT CAST(k AS INT) AS k, CAST(j AS INT) AS j, kmer, round(v, 6) AS v FROM nv"
+em_step = f"WITH {ES}, {EU}, {NEXT} {_SHOW}"
+CELLS = f"""{MV}, {POS}, l0 AS (SELECT m0.kmer, m0.j, ln(m0.v) - ln(b0.v) AS s FROM m0 JOIN b0 ON b0.kmer = m0.kmer),
+w0 AS (SELECT seq_id, i - 1 - j AS start, exp(sum(s)) AS odds FROM ps JOIN l0 ON l0.kmer = right(ps.w, 1) WHERE i - 1 - j >= 0 GROUP BY seq_id, i - 1 - j HAVING count(*) = 10),
+z0 AS (SELECT seq_id, count(*) AS n, 0.7 + 0.3 / count(*) * sum(odds) AS norm FROM w0 GROUP BY seq_id),
+r0 AS (SELECT seq_id, start, n, round(0.3 / n * odds / norm * 1e12) AS u FROM w0 JOIN z0 USING (seq_id)),
+ct AS (SELECT min(u) AS c FROM (SELECT u, row_number() OVER (ORDER BY u DESC) AS r, count(*) OVER () AS total FROM r0) WHERE r <= floor(total * 0.05) + 1),
+cells AS (SELECT seq_id, start, n FROM r0, ct WHERE u >= c)"""
+em_masked_cells = f"WITH {CELLS} SELECT seq_id, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts FROM cells GROUP BY seq_id"
+em_masked_step = f"""WITH {CELLS}, lr AS (SELECT mv.kmer, mv.j, ln(mv.v) - ln(bg.v) AS s FROM mv JOIN bg ON bg.kmer = mv.kmer),
+wo AS (SELECT seq_id, start, any_value(n) AS n, exp(sum(s)) AS odds FROM (SELECT *, unnest(range(0, 10)) AS j FROM cells) x JOIN ps USING (seq_id) JOIN lr ON lr.kmer = ps.w AND lr.j = x.j WHERE ps.i = x.start + x.j + 1 GROUP BY seq_id, start),
+nm AS (SELECT seq_id, 0.7 + sum(0.3 / n * odds) AS norm FROM wo GROUP BY seq_id), rs AS (SELECT seq_id, start, 0.3 / n * odds / norm AS r FROM wo JOIN nm USING (seq_id)),
+{EU}, {NEXT} {_SHOW}"""
+
+
+def _fold(k: int) -> str:
+    """Scores of fold ``k`` by the motif of the other folds' positives."""
+    chain = WIN.replace("FROM seqs) WHERE substr(seq, i, 3)", "FROM tr) WHERE substr(seq, i, 3)").replace("AS dseq FROM seqs)", "AS dseq FROM te)")
+    folds = "fo AS (SELECT *, (row_number() OVER (ORDER BY seq_id) - 1) % 4 AS fold FROM seqs)"
+    parts = f"{folds}, tr AS (SELECT * FROM fo WHERE fold <> {k} AND seq_id % 2 = 0), te AS (SELECT * FROM fo WHERE fold = {k})"
+    chain = chain.replace(f"{SEQS}, ", f"{SEQS}, {parts}, ", 1)
+    return f"(WITH {chain} SELECT seq_id AS id, round(max(score), 9) AS score, CAST(1 - seq_id % 2 AS INT) AS is_pos FROM win GROUP BY seq_id)"
+
+
+CV = " UNION ALL ".join(_fold(k) for k in range(4))
+cv_scores = f"SELECT id, round(score, 6) AS score, is_pos FROM ({CV})"
+cv_curve = f"WITH z AS ({CV}), {CURVE.removeprefix(f'{Z}, ')} SELECT id, rank, tp, fp, round(fdr, 9) AS fdr, round(recall, 9) AS recall FROM c"
+curve_pvalue = f"""WITH {TAIL}, nb AS (SELECT id, score, is_pos, (SELECT count(*) FROM z n WHERE n.is_pos = 0 AND n.score >= z.score) AS above,
+  coalesce((SELECT min(score) FROM z n WHERE n.is_pos = 0 AND n.score > z.score), score) AS up, coalesce((SELECT max(score) FROM z n WHERE n.is_pos = 0 AND n.score < z.score), score) AS lo FROM z)
+SELECT id, is_pos, round(least(1, CASE WHEN score > s_top THEN n_top * exp((s_top - score) / greatest(rate, 1e-12)) / m ELSE (above + (up - score) / (up - lo + 1e-5)) / m END), 6) AS p_value FROM nb, tl"""
+# the slope of the majorant over an interval: the least, over starts before it, of the steepest chord to an end after it
+q_values = f"""WITH {MID}, d AS (SELECT round(p_value, 9) AS p, count(*) AS n FROM mr GROUP BY 1), gf AS (SELECT p, n, row_number() OVER (ORDER BY p) AS i, sum(n) OVER (ORDER BY p) / sum(n) OVER () AS y FROM d),
+o AS (SELECT p, i, y FROM gf UNION ALL SELECT 0, 0, 0),
+ch AS (SELECT a.i AS a, b.i AS b, max((b.y - a.y) / (b.p - a.p)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS m FROM o a JOIN o b ON b.i > a.i),
+sl AS (SELECT gf.i, gf.p, gf.n, min(ch.m) AS slope FROM gf JOIN ch ON ch.b = gf.i AND ch.a < gf.i GROUP BY ALL),
+mj AS (SELECT p, n, slope, sum(slope * (p - pp)) OVER (ORDER BY p) AS g FROM (SELECT *, lag(p, 1, 0) OVER (ORDER BY p) AS pp FROM sl))
+SELECT p, CAST(n AS BIGINT) AS n, round(least(0.5 * p / g, 1), 6) AS q, round(least(0.5 / slope, 1), 6) AS lfdr FROM mj"""
+bg_sample_shape = f"WITH {SEQS} SELECT seq_id, copy, length(seq) AS L, CAST(0 AS BIGINT) AS others FROM seqs, (VALUES (0), (1)) t(copy)"
+raw_copies = f"WITH {SEQS} SELECT seq_id, copy, seq FROM seqs, (VALUES (0), (1)) t(copy)"

@@ -19,6 +19,6 @@ def read(spark: SparkSession, sf_dir: str, carry: list[str] | None = None) -> Da
 
 def sites(seqs: DataFrame, seed: str, width: int) -> DataFrame:
     """(seq_id, i, site): every window of ``width`` bases that begins with ``seed``, over whole sequences."""
-    at = F.explode(F.sequence(F.lit(1), F.length("seq") - (width - 1)))
-    cut = seqs.where(F.length("seq") >= width).select("seq_id", "seq", at.alias("i")).select("seq_id", "i", F.expr(f"substring(seq, i, {width})").alias("site"))
-    return cut.where(F.col("site").startswith(seed))
+    starts = F.filter(F.sequence(F.lit(1), F.length("seq") - (width - 1)), lambda i: F.substring("seq", i, F.lit(len(seed))) == seed)
+    cut = seqs.where((F.length("seq") >= width) & F.contains("seq", F.lit(seed))).select("seq_id", "seq", F.explode(starts).alias("i"))
+    return cut.select("seq_id", "i", F.expr(f"substring(seq, i, {width})").alias("site"))

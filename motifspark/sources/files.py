@@ -4,7 +4,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import STANDARD, Alphabet, basename
@@ -14,9 +14,12 @@ from ..operators.motif import Motif, alphas, from_pwm, joints
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(seq_id, header, seq, L, file): one row per record; headers end at a tab or carriage return, blank lines and
-    records without sequence are left out.  seq_id is a hash of file and header position, the same whatever the partitions."""
-    raw = spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("seq_id"))
-    rec = raw.where(F.trim("value") != "").select("seq_id", "f", F.split("value", "\n", 2).alias("p"))
+    records without sequence are left out.  seq_id is a hash of the file's name, the record and, for records that are the same, their
+    running number, so it does not depend on splits or partitions."""
+    raw = spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_path").alias("f")).where(F.trim("value") != "")
+    same = Window.partitionBy("h", "h2").orderBy("f")  # the records with equal hashes
+    raw = raw.select("value", "f", F.xxhash64("f", "value").alias("h"), F.xxhash64(F.lit(1), "f", "value").alias("h2")).withColumn("k", F.row_number().over(same))
+    rec = raw.select(F.xxhash64("h", "h2", "k").alias("seq_id"), "f", F.split("value", "\n", 2).alias("p"))
     seq = F.upper(F.regexp_replace(F.coalesce(F.get("p", F.lit(1)), F.lit("")), "[\r\n]", ""))
     out = rec.select("seq_id", F.concat(F.lit(">"), F.regexp_extract(F.get("p", F.lit(0)), "^([^\t\r]*)", 1)).alias("header"), seq.alias("seq"), basename(F.col("f")).alias("file"))
     bad = F.col("seq").rlike("[ \t]")
@@ -163,7 +166,7 @@ def write_occurrences(rows: DataFrame, path: str) -> None:
 
 def write_curve(curve: DataFrame, path: str, extra: dict[str, float]) -> None:
     """Ordered by rank; the scalars are named columns of every row."""
-    out = curve.select("rank", *[F.col(c) for c in ("tp", "fp", "fdr", "recall") if c in curve.columns], *[F.lit(v).alias(k) for k, v in extra.items()])
+    out = curve.select("rank", *[F.col(c) for c in ("tp", "fp", "fdr", "recall", "p_value") if c in curve.columns], *[F.lit(v).alias(k) for k, v in extra.items()])
     out.repartitionByRange("rank").sortWithinPartitions("rank").write.csv(path, sep="\t", header=True)
 
 
@@ -175,10 +178,24 @@ def bed_coordinates(occurrences: DataFrame) -> DataFrame:
     return occurrences.select(chrom.alias("chrom"), (low + forward - 1).alias("start"), (low + forward - 1 + wide).alias("end"), "strand", "p_value")
 
 
-def write_bed(bed: DataFrame, path: str) -> None:
-    bed.select("chrom", "start", "end", "strand", F.format_string("%.2e", "p_value").alias("p_value")).write.csv(path, sep="\t")
+def read_curve(spark: SparkSession, path: str) -> DataFrame:
+    """(rank, tp, fp, fdr, recall, ...) as ``write_curve`` wrote it."""
+    raw = spark.read.csv(path, sep="\t", header=True)
+    return raw.select(*[F.col(c).cast("long" if c == "rank" else "double").alias(c) for c in raw.columns])
+
+
+def write_log_odds(pairs: DataFrame, path: str) -> None:
+    """(rank, positive, negative) by rank."""
+    pairs.repartitionByRange("rank").sortWithinPartitions("rank").write.csv(path, sep="\t", header=True)
 
 
+def alphas_text(alpha: np.ndarray) -> str:
+    """A line per order, a column per position."""
+    return "".join(" ".join(f"{x:.6g}" for x in np.atleast_1d(row)) + "\n" for row in np.asarray(alpha))
+
+
+def write_bed(bed: DataFrame, path: str) -> None:
+    bed.select("chrom", "start", "end", "strand", F.format_string("%.2e", "p_value").alias("p_value")).write.csv(path, sep="\t")
 
 
 def write_positions(rows: DataFrame, path: str) -> None:
