@@ -1,75 +1,4 @@
 """Tables written to the folder that the driver and all executors share."""
-from __future__ import annotations
+from ..shared import clear, materialise, result, scratch, shared_dir
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-_OPEN: list[list[str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder, and an error unless Spark runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir is not set: the driver and the executors share no folder")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="motifspark-")
-        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-    return f"file://{_OWN[app]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet and return a scan of it, so later uses do not compute it again.
-
-    The files live in shared storage: a lost executor costs only its running tasks.  They stay until the ``scratch`` they
-    were made in ends, else until ``clear``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/motifspark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    if _OPEN:
-        _OPEN[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Tables that ``materialise`` writes inside are deleted at the end, but for those whose paths are taken out of the list."""
-    made: list[str] = []
-    _OPEN.append(made)
-    try:
-        yield made
-    finally:
-        _OPEN.remove(made)
-        for path in made:
-            _delete(spark, path)
-
-
-def result(df: DataFrame, name: str, made: list[str]) -> DataFrame:
-    """``df`` written so that it outlives the scratch ``made``; it belongs to the scratch around that, if there is one."""
-    out = materialise(df, name)
-    path = made.pop()
-    outer = _OPEN[-2] if len(_OPEN) > 1 else None
-    if outer is not None:
-        outer.append(path)
-    return out
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete all that this application has written; DataFrames that still read it can no longer be used."""
-    _delete(spark, f"{shared_dir(spark)}/motifspark-{spark.sparkContext.applicationId}")
+__all__ = ["clear", "materialise", "result", "scratch", "shared_dir"]
