@@ -8,7 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialise
+
 ALPHA, MIN_OVERLAP = 0.8, 2
+MOST_CLUSTERED = 2_000
 
 
 def _h(x: np.ndarray) -> np.ndarray:
@@ -48,7 +51,7 @@ def similarity(a: np.ndarray, b: np.ndarray, bg: np.ndarray | None = None, alpha
 
 
 def permuted(pwm: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Columns moved by about one deviation of half their number; A/T or C/G swapped in some columns."""
+    """The columns in reverse order, each moved by some two places; A and T, or C and G, swapped in some columns."""
     order = np.argsort(2 * rng.normal(size=len(pwm)) - np.arange(len(pwm)), kind="stable")
     out = pwm[order].copy()
     at, cg = rng.normal(size=len(pwm)) > 0.5, rng.normal(size=len(pwm)) > 0.5
@@ -94,7 +97,7 @@ def search(queries: DataFrame, database: DataFrame, permutations: int = 10, max_
                     out += [(names[i], db, True, similarity(x, w)[0], 0, "+", len(q)) for x in null[i]]
             yield pd.DataFrame(out, columns=["model_id", "db_id", "is_null", "sim_score", "offset", "strand", "model_width"])
 
-    scored = database.select("model_id", "pwm").mapInPandas(run, "model_id string, db_id string, is_null boolean, sim_score double, offset int, strand string, model_width int").persist()
+    scored = materialise(database.select("model_id", "pwm").mapInPandas(run, "model_id string, db_id string, is_null boolean, sim_score double, offset int, strand string, model_width int"), "motif_scores")
     cut = scored.where("is_null").groupBy("model_id").agg(F.percentile_approx("sim_score", 0.9, F.lit(100_000)).alias("s0"), F.count("*").alias("n_null"))
     null = scored.where("is_null").join(F.broadcast(cut), "model_id").where("sim_score >= s0").groupBy("model_id", "s0", "n_null").agg(F.avg(F.col("sim_score") - F.col("s0")).alias("rate"))
     size = F.broadcast(database.agg(F.count("*").alias("size")))
@@ -134,13 +137,35 @@ def affinity_propagation(s: np.ndarray, damping: float = 0.5, iterations: int =
     return label
 
 
-def clusters(motifs: dict[str, np.ndarray]) -> dict[str, str]:
-    """Name of the first member of each motif's cluster."""
-    names = list(motifs)
-    s = np.array([[similarity(motifs[a], motifs[b])[0] for b in names] for a in names])
-    label = affinity_propagation((s + s.T) / 2)
+def all_pairs(spark, motifs: dict[str, np.ndarray]) -> DataFrame:
+    """(a, b, sim_score) of every ordered pair of a motif set of at most MOST_CLUSTERED; tasks compute one half."""
+    if len(motifs) > MOST_CLUSTERED:
+        raise ValueError("too many motifs to compare all of them: search the set in blocks of queries")
+    sent = spark.sparkContext.broadcast(list(motifs.items()))
+
+    def run(it):
+        for pdf in it:
+            out = []
+            for i in pdf["id"]:
+                for b, y in sent.value[i:]:
+                    a, x = sent.value[i]
+                    s = similarity(x, y)[0]
+                    out += [(a, b, s)] if a == b else [(a, b, s), (b, a, s)]
+            yield pd.DataFrame(out, columns=["a", "b", "sim_score"])
+
+    n = len(motifs)
+    return spark.range(0, n, 1, max(1, min(n, 200))).mapInPandas(run, "a string, b string, sim_score double")
+
+
+def clusters(spark, motifs: dict[str, np.ndarray]) -> dict[str, str]:
+    """Name of the first member of each motif's cluster.  The similarities come from the tasks, the messages are passed on the driver."""
+    names = {x: i for i, x in enumerate(motifs)}
+    s = np.zeros((len(names), len(names)))
+    for r in all_pairs(spark, motifs).toLocalIterator():
+        s[names[r["a"]], names[r["b"]]] = r["sim_score"]
+    label = affinity_propagation(s)
     first: dict[int, str] = {}
-    return {x: first.setdefault(int(label[i]), x) for i, x in enumerate(names)}
+    return {x: first.setdefault(int(label[i]), x) for x, i in names.items()}
 
 
 def exemplars(table: DataFrame, label: str, order: str) -> DataFrame:

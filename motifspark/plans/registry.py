@@ -576,14 +576,7 @@ def _by_language(spark, d) -> dict[str, np.ndarray]:
 
 @query(sql.pwm_similarity)
 def pwm_similarity(spark, d):
-    m = _by_language(spark, d)
-    bg = np.full(4, 0.25)
-    rows = []
-    for a in m:
-        for b in m:
-            ha, hb = compare.divergence(m[a], np.broadcast_to(bg, m[a].shape)), compare.divergence(m[b], np.broadcast_to(bg, m[b].shape))
-            rows.append((a, b, round(float(0.4 * (ha.sum() + hb.sum()) - compare.divergence(m[a], m[b]).sum()), 6)))
-    return spark.createDataFrame(rows, "a string, b string, unshifted double")
+    return compare.all_pairs(spark, _by_language(spark, d)).select("a", "b", _r("sim_score"))
 
 
 @query()
@@ -594,7 +587,7 @@ def motif_search(spark, d):
 
 @query()
 def pwm_clusters(spark, d):
-    c = compare.clusters(_by_language(spark, d))
+    c = compare.clusters(spark, _by_language(spark, d))
     return spark.createDataFrame(list(c.items()), "model_id string, exemplar string")
 
 

@@ -154,8 +154,10 @@ pwm_similarity = f"""WITH {SEQS}, {LETTERS}, st AS (SELECT lang, substr(seq, i,
 c AS (SELECT lang, j, substr(site, j + 1, 1) AS b, count(*) AS n FROM (SELECT lang, site, unnest(range(0, 10)) AS j FROM st) GROUP BY ALL),
 g AS (SELECT lang, j, l.b FROM (SELECT DISTINCT lang FROM st), (SELECT unnest(range(0, 10)) AS j), l),
 m AS (SELECT g.lang, g.j, g.b, (coalesce(c.n, 0) + 0.25) / sum(coalesce(c.n, 0) + 0.25) OVER (PARTITION BY g.lang, g.j) AS p FROM g LEFT JOIN c ON c.lang = g.lang AND c.j = g.j AND c.b = g.b),
-d AS (SELECT x.lang AS a, y.lang AS b, sum(x.p * log2(x.p)) AS hx, sum(y.p * log2(y.p)) AS hy, sum((x.p + y.p) / 2 * log2((x.p + y.p) / 2)) AS hm, sum((x.p + 0.25) / 2 * log2((x.p + 0.25) / 2)) AS xb, sum((y.p + 0.25) / 2 * log2((y.p + 0.25) / 2)) AS yb FROM m x JOIN m y ON x.j = y.j AND x.b = y.b GROUP BY ALL)
-SELECT a, b, round(0.4 * ((0.5 * (hx - 20) - xb) + (0.5 * (hy - 20) - yb)) - (0.5 * (hx + hy) - hm), 6) AS unshifted FROM d"""
+w AS (SELECT '+' AS s, * FROM m UNION ALL SELECT '-', lang, 9 - j, translate(b, 'ACGT', 'TGCA'), p FROM m),
+d AS (SELECT x.lang AS a, y.lang AS b, y.s, x.j AS i, y.j AS j, sum(x.p * log2(x.p)) AS hx, sum(y.p * log2(y.p)) AS hy, sum((x.p + y.p) / 2 * log2((x.p + y.p) / 2)) AS hm, sum((x.p + 0.25) / 2 * log2((x.p + 0.25) / 2)) AS xb, sum((y.p + 0.25) / 2 * log2((y.p + 0.25) / 2)) AS yb FROM m x JOIN w y ON x.b = y.b GROUP BY ALL),
+o AS (SELECT a, b, s, i - j AS at, 0.4 * (sum(0.5 * (hx - 2) - xb) + sum(0.5 * (hy - 2) - yb)) - sum(0.5 * (hx + hy) - hm) AS score FROM d GROUP BY ALL HAVING count(*) >= 2)
+SELECT a, b, round(max(score), 6) AS sim_score FROM o GROUP BY a, b"""
 exemplars = "SELECT source, doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r = 1"
 
 EU = """e AS (SELECT j, w, sum(r) AS n FROM (SELECT rs.seq_id, rs.start, rs.r, unnest(range(0, 10)) AS j FROM rs) x JOIN ps ON ps.seq_id = x.seq_id AND ps.i = x.start + x.j + 1 GROUP BY ALL),

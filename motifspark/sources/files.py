@@ -129,7 +129,13 @@ def background_from_meme(text: str, ab: Alphabet = STANDARD, order: int = 0, alp
 def read_database(spark: SparkSession, models: str, backgrounds: str | None = None) -> dict[str, tuple[list[np.ndarray], Background | None]]:
     """Model files of a glob, each with the background file of the same name, if there is one."""
     bgs = {n: parse_background(t) for n, t in _whole(spark, backgrounds)} if backgrounds else {}
-    return {n: (parse_model(t), next((b for k, b in bgs.items() if n.startswith(k)), None)) for n, t in _whole(spark, models)}
+
+    def of(name: str) -> Background | None:
+        """The background of that very name, or of the longest name that the model's goes on from with a mark."""
+        fits = [k for k in bgs if name == k or name.startswith(k) and not name[len(k)].isalnum()]
+        return bgs[max(fits, key=len)] if fits else None
+
+    return {n: (parse_model(t), of(n)) for n, t in _whole(spark, models)}
 
 
 def model_to_pwm(v: list[np.ndarray]) -> np.ndarray:

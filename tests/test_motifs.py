@@ -167,7 +167,7 @@ def test_comparison(spark):
         assert abs(compare.similarity(m["m2"], m[a])[0] - compare.similarity(m["m2"][::-1, ::-1], m[a])[0]) < 1e-9
     assert compare.similarity(m["m1"], m["m1_reverse"])[2] == "-"
     assert compare.offsets(3, 5, 2) == [-3, -2, -1, 0, 1]
-    c = compare.clusters(m)
+    c = compare.clusters(spark, m)
     assert c["m0_again"] == c["m0"] and c["m1_reverse"] == c["m1"]
     got = compare.search(compare.as_table(spark, {"q": m["m0"]}), compare.as_table(spark, m), permutations=20).orderBy("e_value").first()
     assert got["db_id"] == "m0"
