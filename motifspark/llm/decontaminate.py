@@ -19,7 +19,7 @@ from .shared import materialise
 from .words import NOT_ALNUM, let, lower_ascii, split_words
 
 WINDOW = 10
-BROADCAST_WINDOWS, BROADCAST_BYTES = 1_000_000, 64_000_000
+BROADCAST_WINDOWS, BROADCAST_BYTES, BROADCAST_IDS = 1_000_000, 64_000_000, 500_000
 
 
 def _window_hash(h: Column, start: Column, size: int) -> Column:
@@ -131,6 +131,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     Rows are told apart by id and text, so rows without an id, or with the same one, are judged by their own texts.
     """
     hits = benchmark_hits(docs, benchmark, id_col, text_col, **options).where("n_hit > 0").select(F.col("doc_id").alias("__h0"), F.col("k1").alias("__h1"), F.col("k2").alias("__h2")).distinct()
+    hits = materialise(hits, "contaminated")
+    if hits.count() <= BROADCAST_IDS:
+        hits = F.broadcast(hits)
     same = docs[id_col].eqNullSafe(hits["__h0"]) & (F.xxhash64(docs[text_col]) == hits["__h1"]) & (F.xxhash64(F.lit(1), docs[text_col]) == hits["__h2"])
     return docs.join(hits, same, "left_anti")
 

@@ -29,6 +29,7 @@ from .textbatch import Chunk, map_text, new_name
 SHINGLE = 3
 MAX_BITS = 2
 SPLIT_ABOVE = 20_000
+BROADCAST_IDS = 1_000_000
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -353,6 +354,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cl
     """
     found = near_duplicates(docs, id_col, text_col, **options) if classes is None else classes
     extra = found.where("doc_id <> component_id").select(F.col("doc_id").alias(new_name("extra", docs.columns))).distinct()
+    extra = materialise(extra, "extra_copies")
+    if extra.count() <= BROADCAST_IDS:
+        extra = F.broadcast(extra)
     return docs.join(extra, docs[id_col] == extra[extra.columns[0]], "left_anti")
 
 
