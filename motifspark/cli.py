@@ -11,7 +11,7 @@ from .functions.sequence import ALPHABETS, alphabet
 from .operators import background as B
 from .operators import em, evaluate, gibbs, ranking, score, simulate
 from .operators import motif as M
-from .shared import materialise, put_text
+from .shared import materialise, put_text, scratch
 from .sources import files
 
 MIN_NEGATIVES = 5000
@@ -185,6 +185,14 @@ def run(spark: SparkSession, args: list[str]) -> None:
             put_text(spark, o.out, files.model_text(files.pwm_to_model(files.parse_meme(text)[0]["pwm"], bg).v))
         return
     seqs = files.read_fasta(spark, o.sequences).persist()
+    try:
+        with scratch(spark):
+            _run(spark, o, seqs)
+    finally:
+        seqs.unpersist()
+
+
+def _run(spark: SparkSession, o: argparse.Namespace, seqs: DataFrame) -> None:
     out = o.out.rstrip("/")
     bg = _background(spark, o, seqs)
     put_text(spark, f"{out}/{o.basename}.hbcp", files.background_text(bg))
