@@ -226,18 +226,22 @@ def _join_groups(max_bits: int):
             yield pa.RecordBatch.from_arrays([back(key[linked], r[linked]), back(key[to], r[to])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
+        parts: list[list[np.ndarray]] = []  # batches not yet joined, so that a long group is put together once
         for batch in batches:
             now = [np.asarray(batch.column(i)).astype(np.int64) for i in range(5)]
-            held = [np.concatenate(x) for x in zip(held, now)]
-            if not len(held[0]):
+            if not len(now[0]):
                 continue
+            parts.append(now)
+            if now[0][-1] == parts[0][0][0]:
+                continue  # one group so far
+            held = [np.concatenate(x) for x in zip(*parts)]
             last = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
-            if last >= 20_000:
+            if last >= 20_000 or len(held[0]) - last >= 20_000:
                 yield from work(*[x[:last] for x in held])
                 held = [x[last:] for x in held]
-        if len(held[0]):
-            yield from work(*held)
+            parts = [held]
+        if parts:
+            yield from work(*[np.concatenate(x) for x in zip(*parts)])
 
     return run
 
