@@ -106,3 +106,14 @@ def test_adapter(spark):
     assert [(r["seq_id"], r["seq"]) for r in adapter.sequences(docs, min_length=1).collect()] == [(1, "CATTAGAGATTACA")]
     got = adapter.sites(adapter.sequences(docs, min_length=1), "TA", 4).collect()
     assert sorted((r["i"], r["site"]) for r in got) == [(4, "TAGA"), (11, "TACA")]
+
+
+def test_fasta_ids_do_not_depend_on_splits(spark, tmp_path):
+    p = tmp_path / "many.fa"
+    p.write_text("".join(f">s{i % 90}\nACGT{'ACGT'[i % 4] * (i % 90)}\n" for i in range(300)))
+    found = []
+    for size in ("128m", "400b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        found.append(sorted((r["seq_id"], r["header"], r["seq"]) for r in files.read_fasta(spark, str(p)).collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] and len({r[0] for r in found[0]}) == 300
