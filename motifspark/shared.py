@@ -4,6 +4,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,7 +12,13 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-_OPEN: list[list[str]] = []
+_LOCAL = threading.local()
+
+
+def _open(spark: SparkSession) -> list[list[str]]:
+    """The open scratches of this thread and session, the innermost last."""
+    by_session = _LOCAL.__dict__.setdefault("open", {})
+    return by_session.setdefault(spark._jsparkSession.sessionUUID(), [])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,8 +44,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/motifspark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if found := _open(spark):
+        found[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,11 +58,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Tables that ``materialise`` writes inside are deleted at the end, but for those whose paths are taken out of the list."""
     made: list[str] = []
-    _OPEN.append(made)
+    found = _open(spark)
+    found.append(made)
     try:
         yield made
     finally:
-        _OPEN.remove(made)
+        found.pop()
         for path in made:
             _delete(spark, path)
 
@@ -64,9 +72,9 @@ def result(df: DataFrame, name: str, made: list[str]) -> DataFrame:
     """``df`` written so that it outlives the scratch ``made``; it belongs to the scratch around that, if there is one."""
     out = materialise(df, name)
     path = made.pop()
-    outer = _OPEN[-2] if len(_OPEN) > 1 else None
-    if outer is not None:
-        outer.append(path)
+    found = _open(df.sparkSession)
+    if len(found) > 1:
+        found[-2].append(path)
     return out
 
 
@@ -83,3 +91,26 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+
+
+def bucket_path(spark: SparkSession, name: str) -> str:
+    """Where ``bucketed`` puts the files of a table."""
+    return f"{shared_dir(spark)}/motifspark-{spark.sparkContext.applicationId}/{name}"
+
+
+def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> None:
+    """Write ``df`` to the shared folder as a table whose files are bucketed and sorted by ``by``: joins on it move the other side only.
+
+    It goes with ``dropped``, or its files with the scratch they were made in.
+    """
+    path = bucket_path(df.sparkSession, name)
+    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path).format("parquet").saveAsTable(name)
+    if found := _open(df.sparkSession):
+        found[-1].append(path)
+
+
+def dropped(spark: SparkSession, names: list[str]) -> None:
+    """Delete tables made by ``bucketed``."""
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _delete(spark, bucket_path(spark, name))
