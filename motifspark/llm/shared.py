@@ -1,4 +1,4 @@
 """Tables written to the folder that the driver and all executors share."""
-from ..shared import clear, materialise, result, scratch, shared_dir
+from ..shared import bucket_path, bucketed, clear, dropped, materialise, result, scratch, shared_dir
 
-__all__ = ["clear", "materialise", "result", "scratch", "shared_dir"]
+__all__ = ["bucket_path", "bucketed", "clear", "dropped", "materialise", "result", "scratch", "shared_dir"]
