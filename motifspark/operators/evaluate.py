@@ -5,13 +5,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import materialise
 from .background import Background
 from .motif import Motif
-from .ranking import BUCKETS, running
+from .ranking import running, scan
 from .score import all_scores, best_scores, scored_strands
 
 
@@ -20,13 +20,13 @@ def folds(seqs: DataFrame, n: int = 4, seed: int = 42) -> DataFrame:
     return seqs.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "seq_id"), F.lit(n)).cast("int"))
 
 
-def numbered_folds(seqs: DataFrame, n: int = 4, buckets: int = BUCKETS) -> DataFrame:
+def numbered_folds(seqs: DataFrame, n: int = 4, buckets: int | None = None) -> DataFrame:
     """Adds ``idx`` (rank by id, from 0) and ``fold`` = idx modulo n."""
-    ranked = running(seqs.withColumn("__neg_id", -F.col("seq_id")), "__neg_id", {"idx": "1"}, ["seq_id"], buckets=buckets)
-    return ranked.withColumn("idx", F.col("idx") - 1).withColumn("fold", F.pmod("idx", F.lit(n)).cast("int")).drop("__neg_id")
+    ranked = scan(seqs, ["seq_id"], {"idx": "1"}, parts=buckets)
+    return ranked.withColumn("idx", F.col("idx") - 1).withColumn("fold", F.pmod("idx", F.lit(n)).cast("int"))
 
 
-def zoops_curve(scores: DataFrame, m_fold: float = 1.0, by: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+def zoops_curve(scores: DataFrame, m_fold: float = 1.0, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """scores: (by..., id, score, is_pos 0/1).  Ranks by descending score, null scores first among equals, then ids."""
     by = by or []
     ranked = running(scores, "score", {"n_pos": "is_pos", "n_neg": "1 - is_pos"}, ["is_pos", "id"], by, buckets)
@@ -39,23 +39,18 @@ def zoops_curve(scores: DataFrame, m_fold: float = 1.0, by: list[str] | None = N
     )
 
 
-def mops_curve(scores: DataFrame, m_fold: float = 1.0, buckets: int = BUCKETS) -> DataFrame:
+def mops_curve(scores: DataFrame, m_fold: float = 1.0, buckets: int | None = None) -> DataFrame:
     """All windows: TP is what stands above the expected false ones; ranks after the last maximum of TP are dropped.
 
-    The windows are scored once and written.  The peak follows from sums by score, far fewer than windows, and what ranks below it
-    is left out before the windows are sorted.
+    One sort by score; the peak is a maximum over the sorted rows.
     """
-    rows = materialise(scores.select("id", "score", "is_pos"), "window_scores")
-    sums = rows.groupBy("score").agg(F.sum("is_pos").alias("p"), F.count("*").alias("n"))
-    ends = running(sums, "score", {"n_pos": "p", "rank": "n"}, [], buckets=buckets).withColumn("tp", F.col("n_pos") - (F.col("rank") - F.col("n_pos")) / m_fold)
-    peak = ends.agg(F.max("tp").alias("peak"), F.max(F.struct("tp", "rank", "score"))["score"].alias("score")).first()
-    if peak["peak"] is None:
-        kept, last = rows, None
-    else:
-        kept, last = rows.where(F.col("score") >= peak["score"]), peak["peak"]
-    ranked = running(kept, "score", {"n_pos": "is_pos", "n_neg": "1 - is_pos"}, ["is_pos", "id"], buckets=buckets)
+    ranked = running(scores.select("id", "score", "is_pos"), "score", {"n_pos": "is_pos", "n_neg": "1 - is_pos"}, ["is_pos", "id"], buckets=buckets)
     tp, fp = F.col("n_pos") - F.col("n_neg") / m_fold, F.col("n_neg") / m_fold
     c = ranked.select("id", "score", (F.col("n_pos") + F.col("n_neg")).alias("rank"), tp.alias("tp"), fp.alias("fp"))
+    peak = c.agg(F.max(F.struct("tp", "rank")).alias("peak")).first()["peak"]
+    if peak is not None:
+        c = c.where(F.col("rank") <= peak["rank"])
+    last = None if peak is None else peak["tp"]
     return c.select("id", "score", "rank", "tp", "fp", (F.col("fp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1e-12))).alias("fdr"), (F.col("tp") / F.lit(last)).alias("recall"))
 
 
@@ -91,21 +86,11 @@ def occurrence_multiplicity(curve: DataFrame, n_sequences: int) -> DataFrame:
     return curve.agg((F.max(F.col("tp") - F.col("fp")) / n_sequences).alias("occ_mult"))
 
 
-def area(points: DataFrame, x: str, y: str, order: str, by: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+def area(points: DataFrame, x: str, y: str, order: str, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Trapezoid area under y over x, the points in descending ``order`` (no window over all rows)."""
     by = by or []
-    cuts = points.agg(F.percentile_approx(order, F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)]), F.lit(10_000)).alias("cuts"))
-    held = points.crossJoin(F.broadcast(cuts)).withColumn("__b", F.size(F.filter("cuts", lambda c: c < F.col(order))))  # one row
-    w = Window.partitionBy(*by, "__b").orderBy(F.desc(order))
-    inner = held.withColumns({"__x": F.lag(x).over(w), "__y": F.lag(y).over(w)})
-    part = inner.groupBy(*by, "__b").agg(
-        F.coalesce(F.sum((F.col(x) - F.col("__x")) * (F.col(y) + F.col("__y")) / 2), F.lit(0.0)).alias("a"),
-        F.max_by(F.struct(x, y), F.col(order)).alias("head"), F.min_by(F.struct(x, y), F.col(order)).alias("tail"),
-    )
-    v = Window.partitionBy(*by).orderBy(F.desc("__b"))  # some hundred rows
-    seam = part.withColumn("last", F.lag("tail").over(v))
-    joint = (F.col(f"head.{x}") - F.col(f"last.{x}")) * (F.col(f"head.{y}") + F.col(f"last.{y}")) / 2
-    return seam.groupBy(*by).agg((F.sum("a") + F.coalesce(F.sum(joint), F.lit(0.0))).alias("area"))
+    steps = scan(points, [F.desc(order)], lags={"__x": x, "__y": y}, by=by, parts=buckets)
+    return steps.groupBy(*by).agg(F.coalesce(F.sum((F.col(x) - F.col("__x")) * (F.col(y) + F.col("__y")) / 2), F.lit(0.0)).alias("area"))
 
 
 def average_recall(curve: DataFrame, cap: float = 100.0) -> DataFrame:
@@ -162,14 +147,14 @@ def p_value_histogram(p: DataFrame, col: str = "p_value", bins: int = 30) -> Dat
     return p.groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def q_values(p: DataFrame, eta0: float, col: str = "p_value", buckets: int = BUCKETS) -> DataFrame:
+def q_values(p: DataFrame, eta0: float, col: str = "p_value", buckets: int | None = None) -> DataFrame:
     """(p, n, q, lfdr) of every distinct p-value, by Grenander's estimate on all of them.
 
     Tasks reduce ranges of the distribution function to their own majorants, which are short; the majorant of these is that of
     all, and is sent back to the distinct p-values.
     """
-    counts = p.groupBy(F.col(col).alias("p")).agg(F.count("*").alias("n")).withColumn("__down", -F.col("p"))
-    points = materialise(running(counts, "__down", {"upto": "n"}, [], buckets=buckets).select("p", "n", "upto"), "p_values")
+    counts = p.groupBy(F.col(col).alias("p")).agg(F.count("*").alias("n"))
+    points = materialise(scan(counts, ["p"], {"upto": "n"}, parts=buckets), "p_values")
     total = points.agg(F.sum("n")).first()[0]
     if not total:
         return points.select("p", "n", F.lit(0.0).alias("q"), F.lit(0.0).alias("lfdr"))
@@ -208,7 +193,7 @@ def curve_window(curve: DataFrame, low: float = 0.01, high: float = 0.5) -> Data
     return capped.where((F.col("fdr") > low) & (F.col("fdr") < high)).unionByName(ends)
 
 
-def log_odds_pairs(scores: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def log_odds_pairs(scores: DataFrame, buckets: int | None = None) -> DataFrame:
     """(rank, positive, negative): each positive score beside every (negatives / positives)-th null score, both by descending score."""
     sides = {}
     for side in (1, 0):

@@ -47,8 +47,18 @@ def background(spark: SparkSession, d: str) -> B.Background:
     return B.fit(adapter.read(spark, d), 2)
 
 
+def models(spark: SparkSession, d: str) -> tuple[M.Motif, B.Background]:
+    bg = background(spark, d)
+    return M.from_sites(adapter.sites(adapter.read(spark, d), SEED, WIDTH), WIDTH, bg, 2, q=Q), bg
+
+
+def scored(spark: SparkSession, d: str) -> tuple[list[M.Motif], B.Background]:
+    m, bg = models(spark, d)
+    return [m], bg
+
+
 def motif(spark: SparkSession, d: str) -> M.Motif:
-    return M.from_sites(adapter.sites(adapter.read(spark, d), SEED, WIDTH), WIDTH, background(spark, d), 2, q=Q)
+    return models(spark, d)[0]
 
 
 def language_models(spark: SparkSession, d: str) -> dict[str, B.Background]:
@@ -60,7 +70,7 @@ def strands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best(spark: SparkSession, d: str) -> DataFrame:
-    return score.best_scores(strands(spark, d), [motif(spark, d)], background(spark, d))
+    return score.best_scores(strands(spark, d), *scored(spark, d))
 
 
 def _split(spark: SparkSession, d: str) -> DataFrame:
@@ -235,7 +245,7 @@ def motif_p(spark, d):
 
 @query(sql.logodds_table)
 def logodds_table(spark, d):
-    return M.score_table_df(spark, motif(spark, d), background(spark, d)).select("kmer", "j", _r("s"))
+    return M.score_table_df(spark, *models(spark, d)).select("kmer", "j", _r("s"))
 
 
 @query(sql.info_content)
@@ -276,7 +286,7 @@ def pwm_entropy(spark, d):
 
 @query(sql.pwm_revcomp)
 def pwm_revcomp(spark, d):
-    return M.reverse_complement(motif(spark, d), background(spark, d)).to_df(spark).select("j", "kmer", _r("v", 9))
+    return M.reverse_complement(*models(spark, d)).to_df(spark).select("j", "kmer", _r("v", 9))
 
 
 # --- scoring and p-values ---
@@ -285,14 +295,14 @@ def pwm_revcomp(spark, d):
 @query(sql.window_scores)
 def window_scores(spark, d):
     """Over all windows of each sequence: how many, the mean and the extreme scores."""
-    s = score.all_scores(strands(spark, d), [motif(spark, d)], background(spark, d))
+    s = score.all_scores(strands(spark, d), *scored(spark, d))
     return s.groupBy("seq_id").agg(F.count("*").alias("windows"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.min("score"), 6).alias("low"), F.round(F.max("score"), 6).alias("high"))
 
 
 @query(sql.window_scores)
 def window_scores_join(spark, d):
     """The same by built-in operators only: positions joined with the broadcast score table."""
-    s = score.join_scores(strands(spark, d), motif(spark, d), background(spark, d))
+    s = score.join_scores(strands(spark, d), *models(spark, d))
     return s.groupBy("seq_id").agg(F.count("*").alias("windows"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.min("score"), 6).alias("low"), F.round(F.max("score"), 6).alias("high"))
 
 
@@ -304,7 +314,7 @@ def zoops_best(spark, d):
 @query(sql.motif_cross)
 def motif_cross(spark, d):
     """Two motifs on all sequences at once: the motif and its order-0 part."""
-    m, bg = motif(spark, d), background(spark, d)
+    m, bg = models(spark, d)
     zero = M.Motif(m.v[:1], m.p[:1], m.n[:1], m.alpha[:1], m.q)
     return score.best_scores(strands(spark, d), [m, zero], bg).groupBy("motif_id").agg(F.count("*").alias("sequences"), F.sum("windows").alias("windows"), F.round(F.avg("score"), 6).alias("mean_best"))
 
@@ -313,7 +323,7 @@ def motif_cross(spark, d):
 def frequent_windows(spark, d):
     """All windows above a score, with strand, range and pattern, by pattern."""
     st = strands(spark, d)
-    s = score.all_scores(st, [motif(spark, d)], background(spark, d)).where("score > 3")
+    s = score.all_scores(st, *scored(spark, d)).where("score > 3")
     at = score.sites_of(s, st, WIDTH)
     return at.groupBy("strand", "pattern").agg(F.count("*").alias("n"), F.min("begin").cast("long").alias("first"), F.max("end").cast("long").alias("last"))
 
@@ -360,7 +370,7 @@ def zoops_curve(spark, d):
 @query(sql.mops_curve)
 def mops_curve(spark, d):
     """Over all windows, ranked by score; one row per 0.5 of score."""
-    s = score.all_scores(strands(spark, d), [motif(spark, d)], background(spark, d))
+    s = score.all_scores(strands(spark, d), *scored(spark, d))
     rows = s.select(F.struct("seq_id", "start").alias("id"), F.round("score", 6).alias("score"), (1 - F.pmod("seq_id", F.lit(2))).cast("int").alias("is_pos"))
     c = evaluate.mops_curve(rows)
     return c.groupBy(F.floor(F.col("score") * 2).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.max("tp").alias("tp"), F.max("fp").alias("fp"))
@@ -447,7 +457,7 @@ def position_density(spark, d):
 @query(sql.bed_coords)
 def bed_coords(spark, d):
     st = strands(spark, d)
-    s = score.sites_of(score.all_scores(st, [motif(spark, d)], background(spark, d)).where("score > 5"), st, WIDTH)
+    s = score.sites_of(score.all_scores(st, *scored(spark, d)).where("score > 5"), st, WIDTH)
     head = F.concat(F.lit(">chr"), F.pmod("seq_id", F.lit(7)).cast("string"), F.lit(":"), (F.col("seq_id") * 1000).cast("string"), F.lit("-"), (F.col("seq_id") * 1000 + F.col("L")).cast("string"))
     bed = files.bed_coordinates(s.select(head.alias("seq"), F.col("L").alias("length"), "strand", F.col("begin").alias("start"), "end", F.lit(0.0).alias("p_value")))
     return bed.groupBy("chrom", "strand").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
@@ -458,18 +468,18 @@ def bed_coords(spark, d):
 
 @query(sql.estep_r)
 def estep_r(spark, d):
-    return em.responsibilities(strands(spark, d), motif(spark, d), background(spark, d), 0.05).groupBy("seq_id").agg(F.count("*").alias("n"), F.round(F.sum("r"), 5).alias("r"))
+    return em.responsibilities(strands(spark, d), *models(spark, d), 0.05).groupBy("seq_id").agg(F.count("*").alias("n"), F.round(F.sum("r"), 5).alias("r"))
 
 
 @query(sql.em_llh)
 def em_llh(spark, d):
-    _, llh, total, n = em.expected_counts(strands(spark, d), motif(spark, d), background(spark, d))
+    _, llh, total, n = em.expected_counts(strands(spark, d), *models(spark, d))
     return spark.createDataFrame([(round(float(llh), 4), round(float(total), 4), n)], "llh double, total double, sequences long")
 
 
 @query(sql.mstep_counts)
 def mstep_counts(spark, d):
-    n = em.expected_counts(strands(spark, d), motif(spark, d), background(spark, d))[0]
+    n = em.expected_counts(strands(spark, d), *models(spark, d))[0]
     rows = [(k, j, B.kmer_of(y, k + 1), round(float(n[k][y, j]), 4)) for k in range(3) for y in range(len(n[k])) for j in range(WIDTH) if n[k][y, j] >= 0.05]
     return spark.createDataFrame(rows, "k int, j int, kmer string, n double")
 
@@ -477,46 +487,46 @@ def mstep_counts(spark, d):
 @query(sql.em_step)
 def em_step(spark, d):
     """The conditionals after one iteration."""
-    fit = em.optimize(strands(spark, d), motif(spark, d), background(spark, d), max_iterations=1)
+    fit = em.optimize(strands(spark, d), *models(spark, d), max_iterations=1)
     return fit.motif.to_df(spark).select("k", "j", "kmer", _r("v"))
 
 
 @query(sql.em_masked_cells)
 def em_masked_cells(spark, d):
     """How many windows of each sequence the order-0 step chooses."""
-    st, bg = strands(spark, d), background(spark, d)
-    return em.chosen_windows(st, em.top_cells(st, motif(spark, d), bg), bg).groupBy("seq_id").agg(F.count("*").alias("n"), F.sum(F.col("start").cast("long")).alias("starts"))
+    st, (m, bg) = strands(spark, d), models(spark, d)
+    return em.chosen_windows(st, em.top_cells(st, m, bg), bg).groupBy("seq_id").agg(F.count("*").alias("n"), F.sum(F.col("start").cast("long")).alias("starts"))
 
 
 @query(sql.em_masked_step)
 def em_masked_step(spark, d):
     """The conditionals after one iteration over the chosen windows."""
-    fit = em.masked_optimize(strands(spark, d), motif(spark, d), background(spark, d), max_iterations=1)
+    fit = em.masked_optimize(strands(spark, d), *models(spark, d), max_iterations=1)
     return fit.motif.to_df(spark).select("k", "j", "kmer", _r("v"))
 
 
 @query()
 def em_fit(spark, d):
     """Until convergence, with the operator's defaults."""
-    fit = em.optimize(strands(spark, d), motif(spark, d), background(spark, d), optimize_q=True)
+    fit = em.optimize(strands(spark, d), *models(spark, d), optimize_q=True)
     return fit.motif.to_df(spark).select("k", "j", "kmer", _r("v"))
 
 
 @query()
 def em_masked_fit(spark, d):
     """Until convergence, with the operator's defaults."""
-    fit = em.masked_optimize(strands(spark, d), motif(spark, d), background(spark, d))
+    fit = em.masked_optimize(strands(spark, d), *models(spark, d))
     return fit.motif.to_df(spark).select("k", "j", "kmer", _r("v"))
 
 
 @query()
 def em_positions(spark, d):
-    return em.positions(strands(spark, d), motif(spark, d), background(spark, d)).select("seq_id", "strand", "begin", "end", "pattern")
+    return em.positions(strands(spark, d), *models(spark, d)).select("seq_id", "strand", "begin", "end", "pattern")
 
 
 @query()
 def gibbs_fit(spark, d):
-    return gibbs.optimize(strands(spark, d), motif(spark, d), background(spark, d)).to_df(spark).select("k", "j", "kmer", _r("v"))
+    return gibbs.optimize(strands(spark, d), *models(spark, d)).to_df(spark).select("k", "j", "kmer", _r("v"))
 
 
 # --- simulation ---

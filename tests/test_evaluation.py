@@ -107,3 +107,29 @@ def test_window_and_pairs(scores):
     neg = sorted((s for _, s, p in rows if not p), reverse=True)
     got = {r["rank"]: (r["positive"], r["negative"]) for r in evaluate.log_odds_pairs(df).collect()}
     assert got == {i + 1: (pos[i], neg[i]) for i in range(300)}
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_scan_over_groups_and_seams(spark, parts):
+    rng = np.random.default_rng(parts)
+    rows = [(int(g) if g else None, i, int(v), None if v % 3 else f"v{i}", float(i)) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(0, 9, 400)))]
+    df = spark.createDataFrame(rows, "g int, id long, v int, s string, x double")
+    out = ranking.scan(df, [F.desc("v"), "id"], {"upto": "v", "n": "1"}, {"seen": "s"}, {"before": "x"}, by=["g"], parts=parts).collect()
+    got = {r["id"]: (r["upto"], r["n"], r["seen"], r["before"]) for r in out}
+    for g in (None, 1, 2):
+        total, seen, before = 0, None, None
+        for k, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])), 1):
+            total, seen = total + r[2], r[3] or seen
+            assert got[r[1]] == (total, k, seen, before)
+            before = r[4]
+
+
+def test_equal_scores_are_cut(spark):
+    """A score that all rows share spans many parts, none with much more than its share."""
+    df = spark.range(40_000).select("id", F.lit(1.0).alias("score"), (F.col("id") % 2).alias("is_pos"))
+    c = evaluate.zoops_curve(df, buckets=8).cache()
+    assert c.agg(F.max("rank"), F.countDistinct("rank"), F.max("tp"), F.max("fp")).first() == (40_000, 40_000, 20_000.0, 20_000.0)
+    cut = df.repartitionByRange(8, F.desc("score"), "is_pos", "id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(cut) == 8 and max(r["count"] for r in cut) < 10_000
+    p = {r["p_value"] for r in ranking.mid_rank_p(df.where("is_pos = 1"), df.where("is_pos = 0"), buckets=8).collect()}
+    assert p == {0.5}
