@@ -137,13 +137,17 @@ class Fit:
     change: list[float]
 
 
-def optimize(strands: DataFrame, m: Motif, bg: Background, optimize_q: bool = False, epsilon: float = EPSILON, max_iterations: int = MAX_ITERATIONS, at_least: float = 0.0, cells: Cells | None = None) -> Fit:
-    """Until the conditionals change by less than ``epsilon`` in total, or the likelihood falls after iteration 10."""
+def optimize(strands: DataFrame, m: Motif, bg: Background, optimize_q: bool = False, epsilon: float = EPSILON, max_iterations: int = MAX_ITERATIONS, at_least: float = 0.0, cells: Cells | None = None, counts=None) -> Fit:
+    """Until the conditionals change by less than ``epsilon`` in total, or the likelihood falls after iteration 10.
+
+    counts: what gives the expected counts, ``expected_counts`` by default.
+    """
+    counts = counts or expected_counts
     strands = strands.persist()
     try:
         out = Fit(m, [], [])
         for i in range(max_iterations):
-            n, llh, total, n_seqs = expected_counts(strands, out.motif, bg, at_least, cells=cells)
+            n, llh, total, n_seqs = counts(strands, out.motif, bg, at_least, cells=cells)
             q = (total + 1) / (n_seqs + 2) if optimize_q and i < 5 else None
             new = update(out.motif, n, bg, q)
             change = float(np.abs(new.v[-1] - out.motif.v[-1]).sum())

@@ -70,8 +70,9 @@ def scan(df: DataFrame, order: list, sums: dict[str, str] | None = None, lasts:
     for i, kind in enumerate(kinds):
         held = held.withColumn(f"__x{i}", F.coalesce(F.col(f"__x{i}").cast(kind), F.lit(0).cast(kind)))
     held = materialise(held, "scan_input")
-    cut = held.repartitionByRange(parts, "__g", *order) if parts else held.repartitionByRange("__g", *order)
-    cut = cut.sortWithinPartitions("__g", *order)
+    keys = ["__g", *order] if by else order
+    cut = held.repartitionByRange(parts, *keys) if parts else held.repartitionByRange(*keys)
+    cut = cut.sortWithinPartitions(*keys)
     plain = len(df.columns)
     new = [T.StructField(f"__r{i}", cut.schema[f"__x{i}"].dataType) for i in range(len(names))]
     out = T.StructType([*cut.schema.fields[: plain + 1], *new, T.StructField("__p", T.IntegerType()), T.StructField("__n", T.LongType())])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import background as B
-from ..operators import compare, em, evaluate, gibbs, info, ranking, score, simulate
+from ..operators import compare, em, evaluate, gibbs, info, pieces, ranking, score, simulate
 from ..operators import motif as M
 from ..sources import adapter, files
 from . import sql
@@ -529,6 +529,35 @@ def gibbs_fit(spark, d):
     return gibbs.optimize(strands(spark, d), *models(spark, d)).to_df(spark).select("k", "j", "kmer", _r("v"))
 
 
+# --- long records in pieces ---
+
+PIECE = 20_000
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """A record per language: the sequences of its documents, end to end by id."""
+    seqs = adapter.read(spark, d, ["lang"]).select("seq_id", F.coalesce("lang", F.lit("")).alias("lang"), "seq")
+    return pieces.cut(pieces.laid_out(seqs, "lang", "seq_id"), WIDTH + 2, PIECE)
+
+
+@query(sql.record_kmers)
+def record_kmers(spark, d):
+    return pieces.kmer_table(_records(spark, d), 2)
+
+
+@query(sql.record_best)
+def record_best(spark, d):
+    b = pieces.best_scores(pieces.strands(_records(spark, d)), *scored(spark, d))
+    return b.select("seq_id", "L", "start", _r("score"), "windows")
+
+
+@query(sql.record_em_step)
+def record_em_step(spark, d):
+    """The conditionals after one iteration over whole records."""
+    fit = pieces.fit(pieces.strands(_records(spark, d)), *models(spark, d), max_iterations=1)
+    return fit.motif.to_df(spark).select("k", "j", "kmer", _r("v"))
+
+
 # --- simulation ---
 
 

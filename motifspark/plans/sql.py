@@ -204,3 +204,13 @@ mj AS (SELECT p, n, slope, sum(slope * (p - pp)) OVER (ORDER BY p) AS g FROM (SE
 SELECT p, CAST(n AS BIGINT) AS n, round(least(0.5 * p / g, 1), 6) AS q, round(least(0.5 / slope, 1), 6) AS lfdr FROM mj"""
 bg_sample_shape = f"WITH {SEQS} SELECT seq_id, copy, length(seq) AS L, CAST(0 AS BIGINT) AS others FROM seqs, (VALUES (0), (1)) t(copy)"
 raw_copies = f"WITH {SEQS} SELECT seq_id, copy, seq FROM seqs, (VALUES (0), (1)) t(copy)"
+
+# one record per language, by letters: contexts come from the letters before, on each strand
+RECORDS = """ch AS (SELECT rec AS seq_id, row_number() OVER (PARTITION BY rec ORDER BY seq_id, i) AS g, c FROM (SELECT coalesce(lang, '') AS rec, seq_id, unnest(range(1, length(seq) + 1)) AS i, unnest(string_split(seq, '')) AS c FROM seqs)),
+rl AS (SELECT seq_id, count(*) AS L FROM ch GROUP BY seq_id),
+sd AS (SELECT seq_id, L, g AS i, c FROM ch JOIN rl USING (seq_id) UNION ALL SELECT seq_id, L, 2 * L + 2 - g, translate(c, 'ACGT', 'TGCA') FROM ch JOIN rl USING (seq_id)),
+ps AS (SELECT seq_id, L, i, coalesce(lag(c, 2) OVER w, '') || coalesce(lag(c) OVER w, '') || c AS w FROM sd WINDOW w AS (PARTITION BY seq_id, i > L ORDER BY i))"""
+record_kmers = f"WITH {SEQS}, {RECORDS} SELECT seq_id, CAST(k AS INT) AS k, right(w, k + 1) AS kmer, count(*) AS n FROM (SELECT seq_id, w, unnest(range(0, length(w))) AS k FROM ps WHERE i <= L) GROUP BY ALL"
+record_best = f"""WITH {WIN.replace(POS, RECORDS)}, b AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY round(score, 9) DESC, start) AS r, count(*) OVER (PARTITION BY seq_id) AS windows FROM win)
+SELECT seq_id, L, start, round(score, 6) AS score, windows FROM b WHERE r = 1"""
+record_em_step = f"WITH {ES.replace(POS, RECORDS)}, {EU}, {NEXT} {_SHOW}"

@@ -1,6 +1,10 @@
 """Sequences from text tables."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +22,28 @@ def read(spark: SparkSession, sf_dir: str, carry: list[str] | None = None) -> Da
 
 
 def sites(seqs: DataFrame, seed: str, width: int) -> DataFrame:
-    """(seq_id, i, site): every window of ``width`` bases that begins with ``seed``, over whole sequences."""
-    starts = F.filter(F.sequence(F.lit(1), F.length("seq") - (width - 1)), lambda i: F.substring("seq", i, F.lit(len(seed))) == seed)
-    cut = seqs.where((F.length("seq") >= width) & F.contains("seq", F.lit(seed))).select("seq_id", "seq", F.explode(starts).alias("i"))
-    return cut.select("seq_id", "i", F.expr(f"substring(seq, i, {width})").alias("site"))
+    """(seq_id, i, site): every window of ``width`` bases that begins with ``seed``, over whole sequences; i from 1."""
+    letters = np.frombuffer(seed.encode(), np.uint8)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            text = b.column(1).cast(pa.large_string())
+            _, o, d = text.buffers()
+            off = np.frombuffer(o, np.int64)[text.offset : text.offset + len(text) + 1]
+            data = np.frombuffer(d, np.uint8) if d is not None else np.zeros(0, np.uint8)
+            begins = np.ones(max(len(data) - width + 1, 0), bool)
+            for k, c in enumerate(letters):
+                begins &= data[k : k + len(begins)] == c
+            at = np.flatnonzero(begins)
+            row = np.searchsorted(off, at, "right") - 1
+            inside = (at >= off[0]) & (at < off[-1])
+            at, row = at[inside], row[inside]
+            whole = at + width <= off[row + 1]
+            at, row = at[whole], row[whole]
+            windows = data[at[:, None] + np.arange(width)]
+            cut = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(np.arange(0, (len(at) + 1) * width, width, dtype=np.int32)), pa.py_buffer(windows.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array((at - off[row] + 1).astype(np.int32)), cut], names=["seq_id", "i", "site"])
+
+    kind = seqs.schema["seq_id"].dataType.simpleString()
+    found = seqs.where((F.length("seq") >= width) & F.contains("seq", F.lit(seed))).select("seq_id", "seq")
+    return found.mapInArrow(run, f"seq_id {kind}, i int, site string")
