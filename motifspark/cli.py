@@ -135,29 +135,41 @@ def _scan(o, m: M.Motif, bg: B.Background, seqs: DataFrame, negatives: DataFrame
     files.write_occurrences(at.select(F.col("header").alias("seq"), F.col("L").alias("length"), "strand", F.col("begin").alias("start"), "end", "pattern", "p_value", "e_value"), path)
 
 
-def _evaluate(o, m: M.Motif, bg: B.Background, seqs: DataFrame, negatives: DataFrame, fold: int, path: str) -> None:
-    spark = seqs.sparkSession
+def _fold_models(o, motifs: list[M.Motif], bg: B.Background, held: DataFrame) -> dict[tuple[int, int], M.Motif]:
+    """Every motif trained without each fold; EM runs for all of them at once."""
+    start = {(i, f): m for i, m in enumerate(motifs) for f in range(o.cvFold)}
+    strands = score.scored_strands(held, o.ss)
+    if o.EM:
+        cells = [em.top_cells(strands.where(F.col("fold") != f), m, bg, o.f) for (_, f), m in start.items()] if o.advanceEM else None
+        return evaluate.refined(held, start, bg, o.cvFold, o.ss, optimize_q=o.optimizeQ, cells=cells)
+    return {k: _trained(o, m, bg, strands.where(F.col("fold") != k[1])) for k, m in start.items()} if o.CGS else start
+
+
+def _evaluate(o, motifs: list[M.Motif], bg: B.Background, seqs: DataFrame, negatives: DataFrame, fold: int, paths: list[str]) -> None:
+    """All motifs: models of all folds first, then one scan of each side for all of them."""
     held, against = evaluate.folds(seqs, o.cvFold, o.seed), evaluate.folds(negatives, o.cvFold, o.seed)
-    models: list[M.Motif] = []  # of the folds in order, trained once
+    models = _fold_models(o, motifs, bg, held)
+    pooled = materialise(evaluate.cross_validated(held, against, models, bg, o.ss), "cv_scores")
+    mops = getattr(o, "mops", False)
+    every = materialise(evaluate.cross_validated(held, against, models, bg, o.ss, windows=True), "cv_windows") if mops else None
+    n = seqs.count()
+    for i, path in enumerate(paths):
+        mine = [None if df is None else df.where(F.col("motif_id") == i).drop("motif_id") for df in (pooled, every)]
+        _write_evaluation(o, *mine, n, fold, path)
 
-    def train(rest: DataFrame) -> M.Motif:
-        models.append(_trained(o, m, bg, score.scored_strands(rest, o.ss)))
-        return models[-1]
 
-    pooled = materialise(evaluate.cross_validated(held, against, train, bg, o.ss), "cv_scores")
+def _write_evaluation(o, pooled: DataFrame, every: DataFrame | None, n: int, fold: int, path: str) -> None:
+    spark = pooled.sparkSession
     curve = evaluate.zoops_curve(pooled, fold)
     p = ranking.curve_p_values(pooled).select(F.col("id").alias("i"), F.col("is_pos").alias("l"), "p_value")
     with_p = curve.join(p, (curve["id"] == p["i"]) & (curve["is_pos"] == p["l"])).drop("i", "l")
-    n = seqs.count()
     extra = {"m_fold": float(fold), "occ_frac": float(evaluate.occurrence_fraction(curve, o.q, fold).first()[0] or 0.0) if n else 0.0}
     files.write_curve(with_p, f"{path}.zoops.stats", extra)
     if getattr(o, "savePvalues", False):
         ranking.mid_rank_p(pooled.where("is_pos = 1"), pooled.where("is_pos = 0")).select("p_value").write.csv(f"{path}.zoops.pvalues")
     if getattr(o, "saveLogOdds", False):
         files.write_log_odds(evaluate.log_odds_pairs(pooled), f"{path}.zoops.logOdds")
-    if getattr(o, "mops", False):
-        again = iter(models)
-        every = materialise(evaluate.cross_validated(held, against, lambda _: next(again), bg, o.ss, windows=True), "cv_windows")
+    if every is not None:
         sites = evaluate.mops_curve(every, fold)
         files.write_curve(sites, f"{path}.mops.stats", {"occ_mult": float(sites.agg(F.max("tp")).first()[0] or 0.0) / max(n, 1)})
         if getattr(o, "savePvalues", False):
@@ -242,12 +254,10 @@ def _run(spark: SparkSession, o: argparse.Namespace, seqs: DataFrame) -> None:
                 files.write_positions(at.select(F.col("header").alias("seq"), F.col("L").alias("length"), "strand", F.col("begin").alias("start"), "end", "pattern"), f"{path}.positions")
             if o.scoreSeqset:
                 _scan(o, trained, bg, seqs, negatives, strands, f"{path}.occurrence")
-            if o.FDR:
-                _evaluate(o, m, bg, seqs, negatives, fold, path)
         elif o.program == "scan":
             _scan(o, m, bg, seqs, negatives, strands, f"{path}.occurrence")
-        else:
-            _evaluate(o, m, bg, seqs, negatives, fold, path)
+    if motifs and (o.program == "evaluate" or getattr(o, "FDR", False)):
+        _evaluate(o, motifs, bg, seqs, negatives, fold, [f"{out}/{o.basename}_motif_{i}" for i in range(1, len(motifs) + 1)])
 
 
 def main() -> None:

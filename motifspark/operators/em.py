@@ -72,47 +72,70 @@ def responsibilities(strands: DataFrame, m: Motif, bg: Background, at_least: flo
     return strands.select("seq_id", "dseq", "L").mapInArrow(run, f"seq_id {kind}, L int, start int, r double")
 
 
-def expected_counts(strands: DataFrame, m: Motif, bg: Background, at_least: float = 0.0, sample_seed: int | None = None, cells: Cells | None = None) -> tuple[list[np.ndarray], float, float, int]:
-    """Expected k-mer counts n[k][y, j], log-likelihood, sum of responsibilities, sequences.
+def expected_counts_many(
+    strands: DataFrame, motifs: list[Motif], bg: Background, at_least: float = 0.0, sample_seed: int | None = None, cells: list[Cells | None] | None = None, held_out: list[int] | None = None
+) -> list[tuple[list[np.ndarray], float, float, int]]:
+    """For each motif: expected k-mer counts n[k][y, j], log-likelihood, sum of responsibilities, sequences; all in one job.
 
     at_least: only windows with that responsibility count.  cells: all others have none, whatever the model.  sample_seed: instead of fractions, one drawn site (or none)
-    per sequence, the draw fixed by the seed and the sequence's id.  Tasks send one table of sums each.
+    per sequence, the draw fixed by the seed and the sequence's id.  held_out: for each motif, the ``fold`` of sequences that do not count.
+    A batch's contexts are found once for all motifs of an order; tasks send one table of sums each.
     """
-    size, K, W, ab, order = bg.ab.size, m.order, m.width, bg.ab, m.order
-    sent = strands.sparkSession.sparkContext.broadcast((_table(m, bg), m.q, cells))
-    contexts = len(sent.value[0])
+    size, ab = bg.ab.size, bg.ab
+    cells, folds = cells or [None] * len(motifs), held_out or [None] * len(motifs)
+    sent = strands.sparkSession.sparkContext.broadcast([(m.order, _table(m, bg), m.q, c, f) for m, c, f in zip(motifs, cells, folds)])
+    widths = [m.width for m in motifs]
+    contexts = [len(t[1]) for t in sent.value]
+    at = np.concatenate([[0], np.cumsum([c * w + 3 for c, w in zip(contexts, widths)])])
 
     def run(it):
-        table, q, cells = sent.value
-        sums, totals = np.zeros((contexts, W)), np.zeros(3)
+        flat = np.zeros(at[-1])
+        orders = sorted({m[0] for m in sent.value})
         for b in it:
-            for i, batch in batches_of(b.column(1), order, ab):
-                s, r, row, llh, count = _posterior(batch, table, q, cells)
-                if sample_seed is not None:
-                    ids = np.asarray(b.column(3))[i : i + batch.n]
-                    u = (ids.view(np.uint64) >> np.uint64(11)).astype(float) / 2**53
-                    upto = np.cumsum(r)
-                    first = np.searchsorted(row, np.arange(batch.n))
-                    before = np.r_[0.0, upto][first]
-                    at = np.searchsorted(upto, before + u, "right")
-                    drawn = (at < np.r_[first[1:], len(s)]) & (count > 0)
-                    r = np.zeros(len(s))
-                    r[at[drawn]] = 1.0
-                if at_least:
-                    r = np.where(r >= at_least, r, 0.0)
-                for j in range(W):
-                    sums[:, j] += np.bincount(batch.ctx[s + j], r, contexts)
-                totals += [llh.sum(), r.sum(), (count > 0).sum()]
-        flat = np.r_[sums.ravel(), totals]
+            fold = np.asarray(b.column(4))
+            for order in orders:
+                for i, batch in batches_of(b.column(1), order, ab):
+                    for k, (o, table, q, chosen, out) in enumerate(sent.value):
+                        if o == order:
+                            use = None if out is None else fold[i : i + batch.n] != out
+                            flat[at[k] : at[k + 1]] += one(b, i, batch, table, q, chosen, use)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "x"])
 
+    def one(b, i, batch, table, q, chosen, use) -> np.ndarray:
+        s, r, row, llh, count = _posterior(batch, table, q, chosen)
+        if sample_seed is not None:
+            ids = np.asarray(b.column(3))[i : i + batch.n]
+            u = (ids.view(np.uint64) >> np.uint64(11)).astype(float) / 2**53
+            upto = np.cumsum(r)
+            first = np.searchsorted(row, np.arange(batch.n))
+            before = np.r_[0.0, upto][first]
+            drawn_at = np.searchsorted(upto, before + u, "right")
+            drawn = (drawn_at < np.r_[first[1:], len(s)]) & (count > 0)
+            r = np.zeros(len(s))
+            r[drawn_at[drawn]] = 1.0
+        if at_least:
+            r = np.where(r >= at_least, r, 0.0)
+        if use is not None:
+            r, llh, count = np.where(use[row], r, 0.0), np.where(use, llh, 0.0), np.where(use, count, 0)
+        sums = np.stack([np.bincount(batch.ctx[s + j], r, len(table)) for j in range(table.shape[1])], axis=1)
+        return np.r_[sums.ravel(), llh.sum(), r.sum(), (count > 0).sum()]
+
     draw = F.xxhash64(F.lit(sample_seed or 0), "seq_id") if sample_seed is not None else F.lit(0).cast("long")
-    rows = strands.select("seq_id", "dseq", "L", draw.alias("u")).mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # contexts * W + 3 rows
-    flat = np.zeros(contexts * W + 3)
-    for r in rows:
+    fold = F.col("fold") if held_out else F.lit(0)
+    made = strands.select("seq_id", "dseq", "L", draw.alias("u"), fold.cast("int").alias("fold")).mapInArrow(run, "i int, x double")
+    flat = np.zeros(at[-1])
+    for r in made.groupBy("i").agg(F.sum("x").alias("x")).collect():  # contexts * W + 3 rows a motif
         flat[r["i"]] = r["x"]
-    sums, (llh, total, n_seqs) = flat[:-3].reshape(contexts, W), flat[-3:]
-    return roll_up(sums, K, size), llh, total, int(n_seqs)
+    out = []
+    for k, m in enumerate(motifs):
+        part = flat[at[k] : at[k + 1]]
+        out.append((roll_up(part[:-3].reshape(contexts[k], widths[k]), m.order, size), float(part[-3]), float(part[-2]), int(part[-1])))
+    return out
+
+
+def expected_counts(strands: DataFrame, m: Motif, bg: Background, at_least: float = 0.0, sample_seed: int | None = None, cells: Cells | None = None) -> tuple[list[np.ndarray], float, float, int]:
+    """``expected_counts_many`` of one motif."""
+    return expected_counts_many(strands, [m], bg, at_least, sample_seed, [cells])[0]
 
 
 def roll_up(sums: np.ndarray, order: int, size: int) -> list[np.ndarray]:
@@ -137,31 +160,48 @@ class Fit:
     change: list[float]
 
 
-def optimize(strands: DataFrame, m: Motif, bg: Background, optimize_q: bool = False, epsilon: float = EPSILON, max_iterations: int = MAX_ITERATIONS, at_least: float = 0.0, cells: Cells | None = None, counts=None) -> Fit:
-    """Until the conditionals change by less than ``epsilon`` in total, or the likelihood falls after iteration 10.
+def optimize_many(
+    strands: DataFrame, motifs: list[Motif], bg: Background, optimize_q: bool = False, epsilon: float = EPSILON, max_iterations: int = MAX_ITERATIONS, at_least: float = 0.0,
+    cells: list[Cells | None] | None = None, held_out: list[int] | None = None, counts=None,
+) -> list[Fit]:
+    """Each motif until its conditionals change by less than ``epsilon`` in total, or its likelihood falls after iteration 10.
 
-    counts: what gives the expected counts, ``expected_counts`` by default.
+    One job an iteration for all motifs that still change.  held_out: for each motif, the ``fold`` it does not see.  counts: what gives
+    the expected counts, ``expected_counts_many`` by default.
     """
-    counts = counts or expected_counts
+    counts = counts or expected_counts_many
     strands = strands.persist()
     try:
-        out = Fit(m, [], [])
+        fits = [Fit(m, [], []) for m in motifs]
+        active = list(range(len(motifs)))
         for i in range(max_iterations):
-            n, llh, total, n_seqs = counts(strands, out.motif, bg, at_least, cells=cells)
-            q = (total + 1) / (n_seqs + 2) if optimize_q and i < 5 else None
-            new = update(out.motif, n, bg, q)
-            change = float(np.abs(new.v[-1] - out.motif.v[-1]).sum())
-            out.change.append(change)
-            fell = bool(out.log_likelihood) and llh < out.log_likelihood[-1]
-            out.log_likelihood.append(llh)
-            out.motif = new
-            if change < epsilon or (fell and i > 10):
+            pick = lambda x: None if x is None else [x[k] for k in active]
+            found = counts(strands, [fits[k].motif for k in active], bg, at_least, cells=pick(cells), held_out=pick(held_out))
+            on = []
+            for k, (n, llh, total, n_seqs) in zip(active, found):
+                fit = fits[k]
+                q = (total + 1) / (n_seqs + 2) if optimize_q and i < 5 else None
+                new = update(fit.motif, n, bg, q)
+                change = float(np.abs(new.v[-1] - fit.motif.v[-1]).sum())
+                fell = bool(fit.log_likelihood) and llh < fit.log_likelihood[-1]
+                fit.change.append(change)
+                fit.log_likelihood.append(llh)
+                fit.motif = new
+                if not (change < epsilon or (fell and i > 10)):
+                    on.append(k)
+            active = on
+            if not active:
                 break
-        return out
+        return fits
     finally:
         strands.unpersist()
 
 
+def optimize(strands: DataFrame, m: Motif, bg: Background, optimize_q: bool = False, epsilon: float = EPSILON, max_iterations: int = MAX_ITERATIONS, at_least: float = 0.0, cells: Cells | None = None) -> Fit:
+    """``optimize_many`` of one motif."""
+    return optimize_many(strands, [m], bg, optimize_q, epsilon, max_iterations, at_least, [cells])[0]
+
+
 def top_cells(strands: DataFrame, m: Motif, bg: Background, share: float = 0.05) -> Cells:
     """The windows that an order-0 step chooses: those with at least the responsibility at place floor(share * windows), in descending order.
 

@@ -1,8 +1,6 @@
 """Precision and recall curves, cross-validation folds, summary scores."""
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..shared import materialise
 from .background import Background
+from .em import optimize_many
 from .motif import Motif
 from .ranking import running, scan
 from .score import all_scores, best_scores, scored_strands
@@ -54,27 +53,35 @@ def mops_curve(scores: DataFrame, m_fold: float = 1.0, buckets: int | None = Non
     return c.select("id", "score", "rank", "tp", "fp", (F.col("fp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1e-12))).alias("fdr"), (F.col("tp") / F.lit(last)).alias("recall"))
 
 
-def cross_validated(
-    seqs: DataFrame, negatives: DataFrame, train: Callable[[DataFrame], Motif], bg: Background, single: bool = False, negatives_single: bool = True, windows: bool = False
-) -> DataFrame:
-    """(id, score, is_pos): the best score of every sequence by the motif that was trained on the other folds.
+def cross_validated(seqs: DataFrame, negatives: DataFrame, models: dict[tuple[int, int], Motif], bg: Background, single: bool = False, negatives_single: bool = True, windows: bool = False) -> DataFrame:
+    """(motif_id, id, score, is_pos): the best score of every sequence by each motif as trained on the other folds.
 
-    seqs, negatives: (seq_id, seq, fold).  train: from sequences to a motif; null sequences are scored by the motif of their
-    fold.  windows: all windows instead of the best, their id with the start.
+    seqs, negatives: (seq_id, seq, fold).  models: of (motif_id, fold).  Each side is scanned once for all motifs and folds; null sequences
+    are scored by the motif of their fold.  windows: all windows instead of the best, their id with the start.
     """
-    numbers = sorted(r["fold"] for r in seqs.select("fold").distinct().collect())  # one row per fold
+    keys = sorted(models)
+    names = F.array(*[F.lit(i) for i, _ in keys])
     pooled = None
-    for k in numbers:
-        motif = train(seqs.where(F.col("fold") != k))
-        for df, label, one in ((seqs, 1, single), (negatives, 0, negatives_single)):
-            strands = scored_strands(df.where(F.col("fold") == k), one)
-            found = all_scores(strands, [motif], bg) if windows else best_scores(strands, [motif], bg)
-            key = F.struct("seq_id", "start") if windows else F.col("seq_id")
-            part = found.select(key.alias("id"), "score", F.lit(label).alias("is_pos"))
-            pooled = part if pooled is None else pooled.unionByName(part)
+    for df, label, one in ((seqs, 1, single), (negatives, 0, negatives_single)):
+        scored = (all_scores if windows else best_scores)(scored_strands(df, one), [models[k] for k in keys], bg, only=[f for _, f in keys])
+        key = F.struct("seq_id", "start") if windows else F.col("seq_id")
+        part = scored.select(F.get(names, "motif_id").alias("motif_id"), key.alias("id"), "score", F.lit(label).alias("is_pos"))
+        pooled = part if pooled is None else pooled.unionByName(part)
     return pooled
 
 
+def refined(seqs: DataFrame, start: list[Motif] | dict[tuple[int, int], Motif], bg: Background, n_folds: int, single: bool = False, **options) -> dict[tuple[int, int], Motif]:
+    """The motifs of (motif_id, fold), each refined by EM on the sequences (seq_id, seq, fold) of the other folds: one job an iteration for all.
+
+    start: motifs, or those of (motif_id, fold); options: of ``em.optimize_many``.
+    """
+    if isinstance(start, list):
+        start = {(i, f): m for i, m in enumerate(start) for f in range(n_folds)}
+    keys = sorted(start)
+    fits = optimize_many(scored_strands(seqs, single), [start[k] for k in keys], bg, held_out=[f for _, f in keys], **options)
+    return {k: fit.motif for k, fit in zip(keys, fits)}
+
+
 def occurrence_fraction(curve: DataFrame, q: float, m_fold: float = 1.0) -> DataFrame:
     """1 - the share of null sequences that rank above the floor(q N)-th positive, at its last rank."""
     n = F.broadcast(curve.agg(F.sum("is_pos").alias("n")))

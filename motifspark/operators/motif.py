@@ -90,18 +90,19 @@ def build(n: list[np.ndarray], bg: Background, alpha=None, q: float = 0.3, name:
     return Motif(v, joints(v, bg), n, a, q, name, bg.ab)
 
 
-def site_counts(sites: DataFrame, order: int, width: int) -> DataFrame:
-    """(k, j, kmer, n): counts of the (k + 1)-mers that end at position j >= k of the sites."""
+def site_counts(sites: DataFrame, order: int, width: int, by: list[str] | None = None) -> DataFrame:
+    """(by..., k, j, kmer, n): counts of the (k + 1)-mers that end at position j >= k of the sites."""
     ends = F.explode(F.expr(f"flatten(transform(sequence(0, {width - 1}), j -> transform(sequence(0, least(j, {order})), k -> struct(k AS k, j AS j))))")).alias("e")
-    cut = sites.select("site", ends).select("e.k", "e.j", F.expr("substring(site, e.j - e.k + 1, e.k + 1)").alias("kmer"))
-    return cut.groupBy("k", "j", "kmer").agg(F.count("*").alias("n"))
+    by = by or []
+    cut = sites.select("site", *by, ends).select(*by, "e.k", "e.j", F.expr("substring(site, e.j - e.k + 1, e.k + 1)").alias("kmer"))
+    return cut.groupBy(*by, "k", "j", "kmer").agg(F.count("*").alias("n"))
 
 
-def checked_sites(sites: DataFrame, width: int, order: int) -> DataFrame:
+def checked_sites(sites: DataFrame, width: int, order: int, keep: list[str] | None = None) -> DataFrame:
     """Raises in the job where a site has another width; here where the order does not fit."""
     if width < order + 1 or order > MAX_ORDER:
         raise ValueError("the width must exceed the order, and the order be at most 8")
-    return sites.select(F.when(F.length("site") == width, F.col("site")).otherwise(F.raise_error(F.lit(f"a site is not {width} bases wide")).cast("string")).alias("site"))
+    return sites.select(F.when(F.length("site") == width, F.col("site")).otherwise(F.raise_error(F.lit(f"a site is not {width} bases wide")).cast("string")).alias("site"), *(keep or []))
 
 
 def from_sites(sites: DataFrame, width: int, bg: Background, order: int = 2, alpha=None, q: float = 0.3) -> Motif:
@@ -111,6 +112,18 @@ def from_sites(sites: DataFrame, width: int, bg: Background, order: int = 2, alp
     return build(n, bg, alpha, q)
 
 
+def from_sites_by_fold(sites: DataFrame, width: int, bg: Background, order: int = 2, alpha=None, q: float = 0.3) -> dict[int, Motif]:
+    """For each ``fold`` of ``sites`` (site, fold), the motif of the other folds' sites; all counted in one job."""
+    size = bg.ab.size
+    by: dict[int, list[np.ndarray]] = {}
+    one = checked_sites(sites, width, order, ["fold"])
+    for r in site_counts(one, order, width, ["fold"]).collect():  # width * 4^(order + 1) rows a fold at most
+        n = by.setdefault(r["fold"], [np.zeros((size ** (k + 1), width)) for k in range(order + 1)])
+        n[r["k"]][index_of(r["kmer"], bg.ab), r["j"]] = r["n"]
+    total = [sum(n[k] for n in by.values()) for k in range(order + 1)]
+    return {f: build([total[k] - n[k] for k in range(order + 1)], bg, alpha, q) for f, n in sorted(by.items())}
+
+
 def from_pwm(pwm: np.ndarray, bg: Background, order: int = 0, sites: float = 100.0, q: float = 0.3, name: str = "motif") -> Motif:
     """pwm (W, size): floored and normalised; higher orders begin as copies of order 0."""
     p = np.maximum(np.asarray(pwm, dtype=float), 1e-8)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.sequence import STANDARD, Alphabet, reverse_complement
 from ..shared import materialise
 from .background import Background, kmer_of
-from .em import _table, optimize, roll_up
+from .em import _table, optimize_many, roll_up
 from .motif import PSEUDO, Motif
 from .ranking import scan
 from .score import Batch, _tables, batches_of
@@ -188,10 +188,8 @@ def _norms(strand_pieces: DataFrame, m: Motif, bg: Background) -> DataFrame:
     return each.groupBy("r_id").agg(F.sum("odds").alias("odds"), F.sum("windows").alias("windows"))
 
 
-def expected_counts(strand_pieces: DataFrame, m: Motif, bg: Background, at_least: float = 0.0, cells=None) -> tuple[list[np.ndarray], float, float, int]:
+def expected_counts(strand_pieces: DataFrame, m: Motif, bg: Background, at_least: float = 0.0) -> tuple[list[np.ndarray], float, float, int]:
     """As ``em.expected_counts``, in two passes: the norm of each record, then the counts of its pieces.  Tasks send sums only."""
-    if cells is not None:
-        raise ValueError("chosen windows are not supported in pieces")
     spark, W, K, ab, size = strand_pieces.sparkSession, m.width, m.order, bg.ab, bg.ab.size
     norms = materialise(_norms(strand_pieces, m, bg), "norms")
     norm = F.when(F.col("windows") > 0, (1 - m.q) + m.q * F.col("odds") / F.col("windows"))
@@ -224,7 +222,8 @@ def expected_counts(strand_pieces: DataFrame, m: Motif, bg: Background, at_least
 
 def fit(strand_pieces: DataFrame, m: Motif, bg: Background, **options):
     """``em.optimize`` over pieces."""
-    return optimize(strand_pieces, m, bg, counts=expected_counts, **options)
+    counts = lambda rows, motifs, bg, at_least, cells, held_out: [expected_counts(rows, x, bg, at_least) for x in motifs]
+    return optimize_many(strand_pieces, [m], bg, counts=counts, **options)[0]
 
 
 # --- files ---

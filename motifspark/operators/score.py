@@ -16,8 +16,9 @@ CHUNK = 1_000_000
 
 
 def scored_strands(seqs: DataFrame, single: bool = False, ab: Alphabet = STANDARD) -> DataFrame:
-    """(seq_id, dseq, L): the text that is scanned; both strands with a separator, unless ``single``."""
-    return seqs.select("seq_id", (F.col("seq") if single else doubled(F.col("seq"), ab)).alias("dseq"), F.length("seq").alias("L"))
+    """(seq_id, dseq, L): the text that is scanned; both strands with a separator, unless ``single``; a column ``fold`` is kept."""
+    kept = [c for c in ("fold",) if c in seqs.columns]
+    return seqs.select("seq_id", (F.col("seq") if single else doubled(F.col("seq"), ab)).alias("dseq"), F.length("seq").alias("L"), *kept)
 
 
 class Batch:
@@ -80,8 +81,17 @@ def _tables(motifs: list[Motif], bg: Background, pseudo: float) -> list[np.ndarr
     return [np.concatenate(score_table(m, bg, pseudo)) for m in motifs]
 
 
-def all_scores(strands: DataFrame, motifs: list[Motif], bg: Background, pseudo: float = PSEUDO) -> DataFrame:
-    """(motif_id, seq_id, L, start, score) of every window; start from 0 in the scanned text."""
+def _windows(b: pa.RecordBatch, i: int, batch: Batch, width: int, fold: int | None) -> np.ndarray:
+    """Starts of the windows, of one fold's rows only where there is one."""
+    s = batch.windows(width)
+    return s if fold is None else s[np.asarray(b.column("fold"))[i : i + batch.n][batch.row[s]] == fold]
+
+
+def all_scores(strands: DataFrame, motifs: list[Motif], bg: Background, pseudo: float = PSEUDO, only: list[int] | None = None) -> DataFrame:
+    """(motif_id, seq_id, L, start, score) of every window; start from 0 in the scanned text.
+
+    only: for each motif, the ``fold`` whose sequences it scores; all motifs in one scan.
+    """
     spark, order, ab = strands.sparkSession, [m.order for m in motifs], bg.ab
     sent = spark.sparkContext.broadcast(_tables(motifs, bg, pseudo))
 
@@ -89,7 +99,7 @@ def all_scores(strands: DataFrame, motifs: list[Motif], bg: Background, pseudo:
         for b in it:
             for m, table in enumerate(sent.value):
                 for i, batch in batches_of(b.column(1), order[m], ab):
-                    s = batch.windows(table.shape[1])
+                    s = _windows(b, i, batch, table.shape[1], only and only[m])
                     row = batch.row[s]
                     take = pa.array(row + i)
                     yield pa.RecordBatch.from_arrays(
@@ -98,11 +108,14 @@ def all_scores(strands: DataFrame, motifs: list[Motif], bg: Background, pseudo:
                     )
 
     kind = strands.schema["seq_id"].dataType.simpleString()
-    return strands.select("seq_id", "dseq", "L").mapInArrow(run, f"motif_id int, seq_id {kind}, L int, start int, score double")
+    return strands.select("seq_id", "dseq", "L", *(["fold"] if only else [])).mapInArrow(run, f"motif_id int, seq_id {kind}, L int, start int, score double")
+
 
+def best_scores(strands: DataFrame, motifs: list[Motif], bg: Background, pseudo: float = PSEUDO, only: list[int] | None = None) -> DataFrame:
+    """(motif_id, seq_id, L, start, score, windows): the best window of each sequence, the first of equals.
 
-def best_scores(strands: DataFrame, motifs: list[Motif], bg: Background, pseudo: float = PSEUDO) -> DataFrame:
-    """(motif_id, seq_id, L, start, score, windows): the best window of each sequence, the first of equals."""
+    only: for each motif, the ``fold`` whose sequences it scores; all motifs in one scan.
+    """
     spark, order, ab = strands.sparkSession, [m.order for m in motifs], bg.ab
     sent = spark.sparkContext.broadcast(_tables(motifs, bg, pseudo))
 
@@ -110,7 +123,7 @@ def best_scores(strands: DataFrame, motifs: list[Motif], bg: Background, pseudo:
         for b in it:
             for m, table in enumerate(sent.value):
                 for i, batch in batches_of(b.column(1), order[m], ab):
-                    s = batch.windows(table.shape[1])
+                    s = _windows(b, i, batch, table.shape[1], only and only[m])
                     if not len(s):
                         continue
                     score = batch.sums(table, s)
@@ -126,7 +139,7 @@ def best_scores(strands: DataFrame, motifs: list[Motif], bg: Background, pseudo:
                     )
 
     kind = strands.schema["seq_id"].dataType.simpleString()
-    return strands.select("seq_id", "dseq", "L").mapInArrow(run, f"motif_id int, seq_id {kind}, L int, start int, score double, windows long")
+    return strands.select("seq_id", "dseq", "L", *(["fold"] if only else [])).mapInArrow(run, f"motif_id int, seq_id {kind}, L int, start int, score double, windows long")
 
 
 def join_scores(strands: DataFrame, m: Motif, bg: Background, pseudo: float = PSEUDO) -> DataFrame:

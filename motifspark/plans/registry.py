@@ -419,13 +419,23 @@ def curve_pvalue(spark, d):
     return ranking.curve_p_values(_split(spark, d)).select("id", "is_pos", _r("p_value"))
 
 
-def _cross_validated(spark: SparkSession, d: str) -> DataFrame:
-    """Four folds by rank of id; the motif of a fold is counted on the sites of the other folds' positives."""
-    bg = background(spark, d)
+def _folds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Positives and negatives with four folds by rank of id."""
     folded = evaluate.numbered_folds(adapter.read(spark, d), 4).drop("idx")
     positive = F.pmod("seq_id", F.lit(2)) == 0
-    train = lambda rest: M.from_sites(adapter.sites(rest, SEED, WIDTH), WIDTH, bg, 2, q=Q)
-    scores = evaluate.cross_validated(folded.where(positive), folded.where(~positive), train, bg, negatives_single=False)
+    return folded.where(positive), folded.where(~positive)
+
+
+def _fold_models(seqs: DataFrame, bg: B.Background) -> dict:
+    """The motif of a fold is counted on the sites of the other folds' positives."""
+    found = M.from_sites_by_fold(adapter.sites(seqs, SEED, WIDTH, ["fold"]), WIDTH, bg, 2, q=Q)
+    return {(0, f): m for f, m in found.items()}
+
+
+def _cross_validated(spark: SparkSession, d: str) -> DataFrame:
+    bg = background(spark, d)
+    pos, neg = _folds(spark, d)
+    scores = evaluate.cross_validated(pos, neg, _fold_models(pos, bg), bg, negatives_single=False)
     return scores.select("id", F.round("score", 9).alias("score"), "is_pos")
 
 
@@ -440,6 +450,15 @@ def cv_curve(spark, d):
     return c.select("id", F.col("rank").cast("long").alias("rank"), "tp", "fp", _r("fdr", 9), _r("recall", 9))
 
 
+@query(sql.cv_em_scores)
+def cv_em_scores(spark, d):
+    """As cv_scores, each fold's motif refined by one iteration of EM on the other folds' positives."""
+    bg = background(spark, d)
+    pos, neg = _folds(spark, d)
+    models = evaluate.refined(pos, _fold_models(pos, bg), bg, 4, max_iterations=1)
+    return evaluate.cross_validated(pos, neg, models, bg, negatives_single=False).select("id", _r("score", 5), "is_pos")
+
+
 @query(sql.position_hist)
 def position_hist(spark, d):
     b = best(spark, d)

@@ -214,3 +214,15 @@ record_kmers = f"WITH {SEQS}, {RECORDS} SELECT seq_id, CAST(k AS INT) AS k, righ
 record_best = f"""WITH {WIN.replace(POS, RECORDS)}, b AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY round(score, 9) DESC, start) AS r, count(*) OVER (PARTITION BY seq_id) AS windows FROM win)
 SELECT seq_id, L, start, round(score, 6) AS score, windows FROM b WHERE r = 1"""
 record_em_step = f"WITH {ES.replace(POS, RECORDS)}, {EU}, {NEXT} {_SHOW}"
+
+
+def _em_fold(k: int) -> str:
+    """Scores of fold ``k`` by the motif of the other folds' positives after one iteration on these."""
+    folds = f"fo AS (SELECT *, (row_number() OVER (ORDER BY seq_id) - 1) % 4 AS fold FROM seqs), tr AS (SELECT * FROM fo WHERE fold <> {k} AND seq_id % 2 = 0), te AS (SELECT * FROM fo WHERE fold = {k})"
+    chain = f"{ES}, {EU}, {NEXT}".replace("FROM seqs) WHERE substr(seq, i, 3)", "FROM tr) WHERE substr(seq, i, 3)").replace("AS dseq FROM seqs)", "AS dseq FROM tr)").replace(f"{SEQS}, ", f"{SEQS}, {folds}, ", 1)
+    again = POS.replace("ds AS", "td AS").replace("AS dseq FROM seqs)", "AS dseq FROM te)").replace("ps AS", "tp AS").replace("FROM ds)", "FROM td)")
+    win = f"{again}, nl AS (SELECT nv.kmer, nv.j, ln(nv.v + 1e-5) - ln(bg.v) AS s FROM nv JOIN bg ON bg.kmer = nv.kmer), tw AS (SELECT seq_id, i - 1 - j AS start, sum(s) AS score FROM tp JOIN nl ON nl.kmer = tp.w WHERE i - 1 - j >= 0 GROUP BY seq_id, i - 1 - j HAVING count(*) = 10)"
+    return f"(WITH {chain}, {win} SELECT seq_id AS id, max(score) AS score, CAST(1 - seq_id % 2 AS INT) AS is_pos FROM tw GROUP BY seq_id)"
+
+
+cv_em_scores = "SELECT id, round(score, 5) AS score, is_pos FROM (" + " UNION ALL ".join(_em_fold(k) for k in range(4)) + ")"

@@ -21,8 +21,9 @@ def read(spark: SparkSession, sf_dir: str, carry: list[str] | None = None) -> Da
     return sequences(spark.read.parquet(f"{sf_dir}/documents.parquet"), carry=carry)
 
 
-def sites(seqs: DataFrame, seed: str, width: int) -> DataFrame:
-    """(seq_id, i, site): every window of ``width`` bases that begins with ``seed``, over whole sequences; i from 1."""
+def sites(seqs: DataFrame, seed: str, width: int, carry: list[str] | None = None) -> DataFrame:
+    """(seq_id, i, site, carry...): every window of ``width`` bases that begins with ``seed``, over whole sequences; i from 1."""
+    carry = carry or []
     letters = np.frombuffer(seed.encode(), np.uint8)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,8 +43,9 @@ def sites(seqs: DataFrame, seed: str, width: int) -> DataFrame:
             at, row = at[whole], row[whole]
             windows = data[at[:, None] + np.arange(width)]
             cut = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(np.arange(0, (len(at) + 1) * width, width, dtype=np.int32)), pa.py_buffer(windows.tobytes())])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array((at - off[row] + 1).astype(np.int32)), cut], names=["seq_id", "i", "site"])
+            kept = [c.take(pa.array(row)) for c in b.columns[2:]]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array((at - off[row] + 1).astype(np.int32)), cut, *kept], names=["seq_id", "i", "site", *carry])
 
     kind = seqs.schema["seq_id"].dataType.simpleString()
-    found = seqs.where((F.length("seq") >= width) & F.contains("seq", F.lit(seed))).select("seq_id", "seq")
-    return found.mapInArrow(run, f"seq_id {kind}, i int, site string")
+    found = seqs.where((F.length("seq") >= width) & F.contains("seq", F.lit(seed))).select("seq_id", "seq", *carry)
+    return found.mapInArrow(run, ", ".join([f"seq_id {kind}, i int, site string", *[f"`{c}` {seqs.schema[c].dataType.simpleString()}" for c in carry]]))

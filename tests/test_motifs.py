@@ -243,3 +243,31 @@ def test_sinks_and_pwm_sites(spark, tmp_path, world):
     hits = compare.search(compare.as_table(spark, {"q": m.pwm()}), compare.as_table(spark, {"q": m.pwm(), "x": m.pwm()[::-1]}), max_p=1.1)
     files.write_matches(hits, str(tmp_path / "match"))
     assert spark.read.csv(str(tmp_path / "match"), sep="\t", header=True).columns[2] == "p-value"
+
+
+def test_many_models_at_once(spark):
+    """A stack of motifs and folds gives what each gives alone, in the jobs of one."""
+    from motifspark.operators import background as B
+    from motifspark.operators import em, evaluate, score
+    from motifspark.operators import motif as M
+
+    rng = np.random.default_rng(11)
+    rows = [(i, "".join(rng.choice(list("ACGT"), 40)), i % 3) for i in range(60)]
+    seqs = spark.createDataFrame(rows, "seq_id long, seq string, fold int")
+    bg = B.fit(seqs, 2)
+    motifs = [M.from_pwm(rng.dirichlet(np.ones(4), w), bg, k) for w, k in ((6, 1), (5, 2))]
+    counts = {}
+    for name, todo in (("one", lambda: em.optimize(score.scored_strands(seqs), motifs[1], bg, max_iterations=3, epsilon=0)), ("many", lambda: evaluate.refined(seqs, motifs, bg, 3, max_iterations=3, epsilon=0))):
+        spark.sparkContext.setJobGroup(name, name)
+        counts[name] = (todo(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts["many"][1] == counts["one"][1]
+    models = counts["many"][0]
+    for (i, f), m in models.items():
+        alone = em.optimize(score.scored_strands(seqs.where(f"fold <> {f}")), motifs[i], bg, max_iterations=3, epsilon=0).motif
+        assert np.allclose(m.v[-1], alone.v[-1])
+    got = {(r["motif_id"], r["id"]): r["score"] for r in evaluate.cross_validated(seqs, seqs.where("1 = 0"), models, bg).collect()}
+    assert len(got) == 120
+    for f in range(3):
+        alone = score.best_scores(score.scored_strands(seqs.where(f"fold = {f}")), [models[0, f], models[1, f]], bg).collect()
+        assert all(abs(got[r["motif_id"], r["seq_id"]] - r["score"]) < 1e-9 for r in alone)
