@@ -90,7 +90,8 @@ def occurrence_fraction(curve: DataFrame, q: float, m_fold: float = 1.0) -> Data
 
 
 def occurrence_multiplicity(curve: DataFrame, n_sequences: int) -> DataFrame:
-    return curve.agg((F.max(F.col("tp") - F.col("fp")) / n_sequences).alias("occ_mult"))
+    """Sites a sequence: the peak of the true ones in the curve over all windows (``mops_curve``)."""
+    return curve.agg((F.max("tp") / n_sequences).alias("occ_mult"))
 
 
 def area(points: DataFrame, x: str, y: str, order: str, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:

@@ -64,15 +64,15 @@ class Batch:
         return row[first], first
 
 
-def batches_of(column: pa.Array, order: int, ab: Alphabet = STANDARD) -> Iterator[tuple[int, Batch]]:
-    """(first row, batch) of some CHUNK letters each."""
+def batches_of(column: pa.Array, order: int, ab: Alphabet = STANDARD, letters: int = CHUNK) -> Iterator[tuple[int, Batch]]:
+    """(first row, batch) of some ``letters`` letters each."""
     column = column.cast(pa.large_string())
     _, o, d = column.buffers()
     off = np.frombuffer(o, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(d, np.uint8) if d is not None else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + letters, "right")) - 1)
         yield i, Batch(data[off[i] : off[j]], off[i : j + 1] - off[i], order, ab)
         i = j
 

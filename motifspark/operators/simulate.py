@@ -1,64 +1,86 @@
-"""Background sequences, embedded and masked motifs.  Draws depend on (seed, sequence id, copy) only, not on partitions."""
+"""Background sequences, embedded and masked motifs.  Draws depend on (seed, sequence id, copy, place) only, see ``functions.draws``."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.draws import uniform, uniforms
 from .background import Background, shrink
+from .em import roll_up
 from .motif import Motif
+from .score import Batch, batches_of
+
+LETTERS = 500_000  # drawn side by side
 
 
-def _rng(seed: int, seq_id: int, copy: int = 0) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(key=[(seed * 1_000_003 + copy) % 2**64, seq_id % 2**64]))
+def _upto(v: list[np.ndarray], size: int) -> np.ndarray:
+    """(contexts of all orders, size): running sums of the conditionals, the last of each being 1."""
+    x = np.concatenate([np.cumsum(y.reshape(*y.shape[:-1], -1, size), axis=-1) for y in v], axis=-2)
+    return x / x[..., -1:]
 
 
-def chain(v: list[np.ndarray], length: int, rng: np.random.Generator, bases: str = "ACGT") -> str:
-    """A Markov chain; the first bases have shorter contexts."""
-    size, order = len(bases), len(v) - 1
-    upto = [np.cumsum(x.reshape(-1, size), axis=1) for x in v]
-    u = rng.random(length)
-    out, ctx = np.empty(length, np.int64), 0
-    for i in range(length):
+def chains(upto: np.ndarray, lengths: np.ndarray, u: np.ndarray, order: int) -> np.ndarray:
+    """Codes of Markov chains, end to end, from uniform numbers ``u``; all are stepped together, the first bases with shorter contexts.
+
+    upto: (contexts, size), or (chains, contexts, size) for chains with models of their own.
+    """
+    size = upto.shape[-1]
+    offset = np.concatenate([[0], np.cumsum([size**k for k in range(order + 1)])])
+    by_length = np.argsort(-lengths, kind="stable")
+    long = lengths[by_length]
+    start = (np.cumsum(lengths) - lengths)[by_length]
+    out = np.empty(len(u), np.uint8)
+    ctx = np.zeros(len(lengths), np.int64)
+    for i in range(int(long[0]) if len(long) else 0):
+        n = int(np.searchsorted(-long, -i, "left"))  # chains longer than i
         k = min(i, order)
-        row = upto[k][ctx % size**k]
-        d = min(int(np.searchsorted(row, u[i] * row[-1], "right")), size - 1)
-        out[i] = d
-        ctx = (ctx * size + d) % size ** max(order, 1)
-    return "".join(np.array(list(bases))[out])
-
-
-def own_background(seq: str, bg: Background, strength: float = 20.0) -> list[np.ndarray]:
-    """The model rescaled to a sequence: its own k-mer counts, shrunk towards the common model."""
-    size, bases = bg.ab.size, bg.ab.bases
-    code = np.array([bases.find(c) for c in seq])
-    out = []
-    for k in range(bg.order + 1):
-        n = np.zeros(size ** (k + 1))
-        for i in range(k, len(code)):
-            w = code[i - k : i + 1]
-            if (w >= 0).all():
-                n[int((w * size ** np.arange(k, -1, -1)).sum())] += 1
-        context = n.reshape(-1, size).sum(axis=1)
-        out.append((n + strength * bg.v[k]) / np.repeat(context + strength, size))
+        at = offset[k] + ctx[:n]
+        rows = upto[at] if upto.ndim == 2 else upto[by_length[:n], at]
+        d = np.minimum((rows <= u[start[:n] + i, None]).sum(axis=1), size - 1)
+        out[start[:n] + i] = d
+        ctx = (ctx[:n] * size + d) % size ** min(i + 1, order)
     return out
 
 
+def _strings(codes: np.ndarray, lengths: np.ndarray, bases: str) -> pa.Array:
+    text = np.frombuffer(bases.encode(), np.uint8)[codes]
+    off = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(off), pa.py_buffer(text.tobytes())]).cast(pa.string())
+
+
+def own_models(batch: Batch, bg: Background, strength: float = 20.0) -> np.ndarray:
+    """(rows, contexts, size): the model rescaled to each sequence, its own k-mer counts shrunk towards the common model; running sums."""
+    size, contexts = bg.ab.size, sum(bg.ab.size ** (k + 1) for k in range(bg.order + 1))
+    known = batch.run > 0
+    sums = np.bincount(batch.row[known] * contexts + batch.ctx[known], minlength=batch.n * contexts).reshape(batch.n, contexts)
+    v = []
+    for k, n in enumerate(roll_up(sums.T.astype(float), bg.order, size)):
+        context = n.reshape(-1, size, batch.n).sum(axis=1)
+        v.append(((n + strength * bg.v[k][:, None]) / (np.repeat(context, size, axis=0) + strength)).T)
+    return _upto(v, size)
+
+
 def background_copies(seqs: DataFrame, bg: Background, fold: int = 1, seed: int = 42, rescaled: bool = False, doubled: bool = False) -> DataFrame:
     """(seq_id, copy, seq): ``fold`` random sequences per input sequence, as long as it (2 L + 1 if ``doubled``)."""
     sent = seqs.sparkSession.sparkContext.broadcast(bg)
 
-    def run(it):
-        for pdf in it:
-            rows = []
-            for i, s in zip(pdf["seq_id"], pdf["seq"]):
-                v = own_background(s, sent.value) if rescaled else sent.value.v
-                n = 2 * len(s) + 1 if doubled else len(s)
-                rows += [(i, c, chain(v, n, _rng(seed, int(i), c), sent.value.ab.bases)) for c in range(fold)]
-            yield pd.DataFrame(rows, columns=["seq_id", "copy", "seq"])
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bg = sent.value
+        common = _upto(bg.v, bg.ab.size)
+        for b in it:
+            for i, batch in batches_of(b.column(1), bg.order, bg.ab, LETTERS):
+                ids = b.column(0).slice(i, batch.n)
+                n = np.diff(batch.off) * (2 if doubled else 1) + (1 if doubled else 0)
+                upto = own_models(batch, bg) if rescaled else common
+                for c in range(fold):
+                    u = uniforms([f"{seed}:{x}:{c}" for x in ids.to_pylist()], n)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(batch.n, c, np.int32)), _strings(chains(upto, n, u, bg.order), n, bg.ab.bases)], names=["seq_id", "copy", "seq"])
 
-    return seqs.select("seq_id", "seq").mapInPandas(run, f"seq_id {seqs.schema['seq_id'].dataType.simpleString()}, copy int, seq string")
+    return seqs.select("seq_id", "seq").mapInArrow(run, f"seq_id {seqs.schema['seq_id'].dataType.simpleString()}, copy int, seq string")
 
 
 def raw_copies(seqs: DataFrame, fold: int = 1) -> DataFrame:
@@ -70,62 +92,73 @@ def background_number(spark: SparkSession, bg: Background, n: int, length: int,
     """(seq_id, seq): ``n`` random sequences of one length."""
     sent = spark.sparkContext.broadcast(bg)
 
-    def run(it):
-        for pdf in it:
-            yield pd.DataFrame({"seq_id": pdf["id"], "seq": [chain(sent.value.v, length, _rng(seed, int(i)), sent.value.ab.bases) for i in pdf["id"]]})
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bg = sent.value
+        common, step = _upto(bg.v, bg.ab.size), max(1, LETTERS // max(length, 1))
+        for b in it:
+            for i in range(0, b.num_rows, step):
+                ids = b.column(0).slice(i, step)
+                each = np.full(len(ids), length)
+                u = uniforms([f"{seed}:{x}:0" for x in ids.to_pylist()], each)
+                yield pa.RecordBatch.from_arrays([ids, _strings(chains(common, each, u, bg.order), each, bg.ab.bases)], names=["seq_id", "seq"])
 
-    return spark.range(n).mapInPandas(run, "seq_id long, seq string")
+    return spark.range(n).mapInArrow(run, "seq_id long, seq string")
 
 
-def draw_site(m: Motif, rng: np.random.Generator) -> str:
-    size, out, ctx = m.ab.size, [], 0
+def draw_sites(m: Motif, u: np.ndarray) -> np.ndarray:
+    """(rows, W): codes of sites drawn from the motif by uniform numbers (rows, W)."""
+    size, ctx = m.ab.size, np.zeros(len(u), np.int64)
+    out = np.empty(u.shape, np.uint8)
     for j in range(m.width):
         k = min(j, m.order)
-        row = m.v[k][:, j].reshape(-1, size)[ctx % size**k]
-        d = int(rng.choice(size, p=row / row.sum()))
-        out.append(m.ab.bases[d])
-        ctx = ctx * size + d
-    return "".join(out)
+        upto = np.cumsum(m.v[k][:, j].reshape(-1, size), axis=1)
+        rows = (upto / upto[:, -1:])[ctx]
+        out[:, j] = np.minimum((rows <= u[:, j, None]).sum(axis=1), size - 1)
+        ctx = (ctx * size + out[:, j]) % size ** min(j + 1, m.order)
+    return out
 
 
 def embed(seqs: DataFrame, m: Motif, seed: int = 42, at: int = 0) -> DataFrame:
     """(seq_id, seq, start): a drawn site put into a share q of the sequences (start from 1; null: none), the length kept.
 
-    at: the position, or 0 for a random one.  Which sequences get a site follows from a hash of their ids.
+    at: the position, or 0 for a random one.
     """
     sent = seqs.sparkSession.sparkContext.broadcast(m)
-    chosen = F.pmod(F.xxhash64(F.lit(seed), "seq_id"), F.lit(1_000_000)) < int(m.q * 1_000_000)
-
-    def run(it):
-        for pdf in it:
-            out, starts = [], []
-            for i, s, c in zip(pdf["seq_id"], pdf["seq"], pdf["chosen"]):
-                W = sent.value.width
-                if not c or len(s) < W:
-                    out.append(s)
-                    starts.append(None)
-                    continue
-                rng = _rng(seed, int(i))
-                p = at or int(rng.integers(1, len(s) - W + 2))
-                p = min(p, len(s) - W + 1)
-                out.append((s[: p - 1] + draw_site(sent.value, rng) + s[p - 1 :])[: len(s)])
-                starts.append(p)
-            yield pd.DataFrame({"seq_id": pdf["seq_id"], "seq": out, "start": pd.array(starts, dtype="Int32")})
-
-    return seqs.select("seq_id", "seq", chosen.alias("chosen")).mapInPandas(run, f"seq_id {seqs.schema['seq_id'].dataType.simpleString()}, seq string, start int")
+    W, key = m.width, F.col("seq_id")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            u = uniforms([f"{seed}:{x}:site" for x in b.column(0).to_pylist()], np.full(b.num_rows, W)).reshape(-1, W)
+            sites = _strings(draw_sites(sent.value, u).ravel(), np.full(b.num_rows, W), sent.value.ab.bases)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), sites], names=["seq_id", "seq", "start", "site"])
+
+    places = F.length("seq") - W + 1
+    start = F.least(F.lit(at), places) if at else F.floor(uniform(seed, key, F.lit("start")) * places) + 1
+    chosen = (uniform(seed, key, F.lit("chosen")) < m.q) & (F.length("seq") >= W)
+    kind = seqs.schema["seq_id"].dataType.simpleString()
+    drawn = seqs.select("seq_id", "seq", F.when(chosen, start.cast("int")).alias("start")).mapInArrow(run, f"seq_id {kind}, seq string, start int, site string")
+    put = F.concat(F.substring("seq", F.lit(1), F.col("start") - 1), "site", F.substring("seq", F.col("start"), F.length("seq")))
+    return drawn.select("seq_id", F.when(F.col("start").isNull(), F.col("seq")).otherwise(F.substring(put, F.lit(1), F.length("seq"))).alias("seq"), "start")
 
 
 def mask(seqs: DataFrame, sites: DataFrame, width: int, mode: str = "mask") -> DataFrame:
-    """(seq_id, seq): forward-strand sites (seq_id, start from 0) replaced by N, or deleted and the tail padded with N."""
+    """(seq_id, seq): forward-strand sites (seq_id, start from 0) replaced by N, or deleted and the tail padded with N.
+
+    Unknown bases of the sequence itself stay where they are.
+    """
     hit = sites.groupBy("seq_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))  # at most one per base of a sequence
     both = seqs.join(hit.withColumnRenamed("seq_id", "h_id"), F.col("seq_id") == F.col("h_id"), "left")
-    gap = "N" * width
-    masked = F.aggregate("starts", F.col("seq"), lambda s, a: F.overlay(s, F.lit(gap), a + 1))
-    masked = F.when(F.col("starts").isNull(), F.col("seq")).otherwise(F.substring(masked, F.lit(1), F.length("seq")))
-    out = both.select("seq_id", "seq", masked.alias("m"))
+    starts = F.coalesce("starts", F.array().cast("array<int>"))
+    # what stands before each site and after the one before it; overlapping sites leave nothing between them
+    end = lambda i: F.when(i == 0, 0).otherwise(F.get(starts, i - 1) + width)
+    left = F.transform(starts, lambda a, i: F.substring("seq", end(i) + 1, F.greatest(a - end(i), F.lit(0))))
+    rest = F.substring("seq", end(F.size(starts)) + 1, F.length("seq"))
     if mode == "delete":
-        return out.select("seq_id", F.rpad(F.replace(F.col("m"), F.lit("N"), F.lit("")), F.length("seq"), F.lit("N")).alias("seq"))
-    return out.select("seq_id", F.col("m").alias("seq"))
+        kept = F.concat(F.array_join(left, ""), rest)
+    else:
+        gap = lambda a, i: F.repeat(F.lit("N"), F.least(F.lit(width), a + width - end(i)))
+        kept = F.concat(F.array_join(F.transform(starts, lambda a, i: F.concat(F.get(left, i), gap(a, i))), ""), rest)
+    return both.select("seq_id", F.rpad(kept, F.length("seq"), F.lit("N")).alias("seq"))
 
 
 def refit(n, bg: Background) -> Background:

@@ -367,13 +367,16 @@ def zoops_curve(spark, d):
     return _curve(spark, d).select("id", F.col("rank").cast("long").alias("rank"), "tp", "fp", _r("fdr", 9), _r("recall", 9))
 
 
+def _mops(spark: SparkSession, d: str) -> DataFrame:
+    s = score.all_scores(strands(spark, d), *scored(spark, d))
+    rows = s.select(F.struct("seq_id", "start").alias("id"), F.round("score", 6).alias("score"), (1 - F.pmod("seq_id", F.lit(2))).cast("int").alias("is_pos"))
+    return evaluate.mops_curve(rows)
+
+
 @query(sql.mops_curve)
 def mops_curve(spark, d):
     """Over all windows, ranked by score; one row per 0.5 of score."""
-    s = score.all_scores(strands(spark, d), *scored(spark, d))
-    rows = s.select(F.struct("seq_id", "start").alias("id"), F.round("score", 6).alias("score"), (1 - F.pmod("seq_id", F.lit(2))).cast("int").alias("is_pos"))
-    c = evaluate.mops_curve(rows)
-    return c.groupBy(F.floor(F.col("score") * 2).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.max("tp").alias("tp"), F.max("fp").alias("fp"))
+    return _mops(spark, d).groupBy(F.floor(F.col("score") * 2).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.max("tp").alias("tp"), F.max("fp").alias("fp"))
 
 
 @query(sql.auprc)
@@ -403,8 +406,7 @@ def occ_frac(spark, d):
 
 @query(sql.occ_mult)
 def occ_mult(spark, d):
-    c = _curve(spark, d)
-    return evaluate.occurrence_multiplicity(c, adapter.read(spark, d).where("seq_id % 2 = 0").count()).select(_r("occ_mult"))
+    return evaluate.occurrence_multiplicity(_mops(spark, d), adapter.read(spark, d).where("seq_id % 2 = 0").count()).select(_r("occ_mult"))
 
 
 @query(sql.q_values)
@@ -580,22 +582,22 @@ def record_em_step(spark, d):
 # --- simulation ---
 
 
-@query()
+@query(sql.bg_sample)
 def bg_sample(spark, d):
     return simulate.background_copies(adapter.read(spark, d), background(spark, d), 1)
 
 
-@query()
+@query(sql.bg_sample_rescaled)
 def bg_sample_rescaled(spark, d):
     return simulate.background_copies(adapter.read(spark, d), background(spark, d), 1, rescaled=True)
 
 
-@query()
+@query(sql.bg_sample_number)
 def bg_sample_number(spark, d):
     return simulate.background_number(spark, background(spark, d), 500, 200)
 
 
-@query()
+@query(sql.embed)
 def embed(spark, d):
     return simulate.embed(adapter.read(spark, d), motif(spark, d))
 
@@ -619,6 +621,14 @@ def mask_seqs(spark, d):
     return simulate.mask(seqs, hits, WIDTH)
 
 
+@query(sql.delete_sites)
+def delete_sites(spark, d):
+    """Sites deleted from sequences with unknown bases (every G is one here), which stay."""
+    seqs = adapter.read(spark, d)
+    hits = adapter.sites(seqs, SEED, WIDTH).select("seq_id", (F.col("i") - 1).alias("start"))
+    return simulate.mask(seqs.select("seq_id", F.translate("seq", "G", "N").alias("seq")), hits, WIDTH, "delete")
+
+
 # --- comparison ---
 
 

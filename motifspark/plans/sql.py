@@ -133,7 +133,8 @@ pauc = trapezoid("SELECT * FROM (SELECT fp / (SELECT max(fp) FROM c) AS x, recal
 avrec = trapezoid("SELECT recall, log10(greatest(1, least(100, CASE WHEN fp > 0 THEN tp / fp ELSE 100 END))) AS y, rank FROM c", "recall", "y", "rank", "/ 2", "avrec")
 ausfc = trapezoid("SELECT log10(fdr) AS x, max(recall) AS y FROM c WHERE fdr >= 0.01 AND fdr <= 0.5 GROUP BY fdr", "x", "y", "x", "/ (log10(0.5) - log10(0.01))", "ausfc")
 occ_frac = f"WITH {CURVE} SELECT round(1 - max(fp) / pos, 6) AS occ_frac FROM c WHERE tp = floor(pos * 0.3) GROUP BY pos"
-occ_mult = f"WITH {CURVE} SELECT round(max(tp - fp) / max(pos), 6) AS occ_mult FROM c"
+occ_mult = f"""WITH {WIN}, a AS (SELECT seq_id, start, round(score, 6) AS score, 1 - seq_id % 2 AS is_pos FROM win)
+SELECT round(max(tp) / (SELECT count(*) FROM seqs WHERE seq_id % 2 = 0), 6) AS occ_mult FROM (SELECT sum(2 * is_pos - 1) OVER (ORDER BY score DESC, is_pos, seq_id, start ROWS UNBOUNDED PRECEDING) AS tp FROM a)"""
 FIRST = f"{WIN}, fb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY round(score, 9) DESC, start) AS r FROM win) WHERE r = 1)"
 position_hist = f"WITH {FIRST} SELECT CASE WHEN start < L THEN '+' ELSE '-' END AS strand, CAST(floor((floor(CASE WHEN start < L THEN start ELSE start - L - 1 END + 5) - floor(L / 2)) / 50) AS BIGINT) AS bin, count(*) AS n FROM fb GROUP BY ALL"
 bed_coords = f"""WITH {WIN}, h AS (SELECT seq_id, L, start, CASE WHEN start < L THEN '+' ELSE '-' END AS strand, CASE WHEN start < L THEN start + 1 ELSE 2 * L - (start + 10 - 1) + 1 END AS f FROM win WHERE score > 5)
@@ -226,3 +227,44 @@ def _em_fold(k: int) -> str:
 
 
 cv_em_scores = "SELECT id, round(score, 5) AS score, is_pos FROM (" + " UNION ALL ".join(_em_fold(k) for k in range(4)) + ")"
+
+
+def uniform(*parts: str, digits: int = 1) -> str:
+    """The digits of md5 of the parts, from place ``digits`` on, as a number in [0, 1)."""
+    return f"CAST('0x' || substr(md5({" || ':' || ".join(parts)}), {digits}, 13) AS BIGINT) / {float(1 << 52)!r}"
+
+
+def _bounds(contexts: str, name: str, key: str = "") -> str:
+    """name(key, t): the three bounds of every context's bases, in order of the contexts: none, one base, two bases."""
+    k, p = (f"{key}, ", f"PARTITION BY {key}, ctx") if key else ("", "PARTITION BY ctx")
+    return f"""{name}u AS (SELECT {k} ctx, b, sum(v) OVER ({p} ORDER BY b) / sum(v) OVER ({p}) AS upto FROM ({contexts})),
+{name} AS (SELECT {k} list(upto ORDER BY length(ctx), ctx, b) AS t FROM {name}u WHERE b <> 'T' {f'GROUP BY {key}' if key else ''})"""
+
+
+def _drawn(us: str, bounds: str, place: str = "a.k") -> str:
+    """The string drawn by a list of uniform numbers; a.k: the number of the context, a.n: of letters so far."""
+    d = f"(CAST(x.u >= {bounds}[3 * {place} + 1] AS INT) + CAST(x.u >= {bounds}[3 * {place} + 2] AS INT) + CAST(x.u >= {bounds}[3 * {place} + 3] AS INT))"
+    new = f"CASE WHEN a.k = 0 THEN 1 + {d} ELSE 5 + 4 * ((a.k - 1) % 4) + {d} END"
+    return f"list_reduce(list_prepend({{'u': 0.0::DOUBLE, 'k': 0, 'n': 0, 's': ''}}, list_transform({us}, lambda u: {{'u': u, 'k': 0, 'n': 0, 's': ''}})), lambda a, x: {{'u': 0.0::DOUBLE, 'k': {new}, 'n': a.n + 1, 's': a.s || substr('ACGT', 1 + {d}, 1)}}).s"
+
+
+def _us(key: str, n: str) -> str:
+    """A list of n uniform numbers, two a digest."""
+    return f"list_transform(range(0, {n}), lambda p: CAST('0x' || substr(md5({key} || ':' || (p // 2)), 1 + 16 * (p % 2), 13) AS BIGINT) / {float(1 << 52)!r})"
+
+
+_CONTEXTS = "SELECT left(kmer, k) AS ctx, right(kmer, 1) AS b, v FROM bg"
+bg_sample = f"WITH {BG}, {_bounds(_CONTEXTS, 'bb')} SELECT seq_id, 0 AS copy, {_drawn(_us("'42:' || seq_id || ':0'", 'length(seq)'), 't')} AS seq FROM seqs, bb"
+bg_sample_number = f"WITH {BG}, {_bounds(_CONTEXTS, 'bb')} SELECT seq_id, {_drawn(_us("'42:' || seq_id || ':0'", '200'), 't')} AS seq FROM (SELECT unnest(range(0, 500)) AS seq_id), bb"
+bg_sample_rescaled = f"""WITH {BG}, so AS (SELECT seq_id, k, right(w, k + 1) AS kmer, count(*) AS n FROM (SELECT seq_id, w, unnest(range(0, length(w))) AS k FROM (SELECT seq_id, substr(seq, greatest(1, i - 2), least(i, 3)) AS w FROM (SELECT seq_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM seqs))) GROUP BY ALL),
+sf AS (SELECT seqs.seq_id, bg.k, bg.kmer, bg.v, coalesce(so.n, 0) AS n FROM seqs CROSS JOIN bg LEFT JOIN so ON so.seq_id = seqs.seq_id AND so.k = bg.k AND so.kmer = bg.kmer),
+sv AS (SELECT seq_id, left(kmer, k) AS ctx, right(kmer, 1) AS b, (n + 20 * v) / (sum(n) OVER (PARTITION BY seq_id, k, left(kmer, k)) + 20) AS v FROM sf),
+{_bounds('SELECT * FROM sv', 'bb', 'seq_id')} SELECT seq_id, 0 AS copy, {_drawn(_us("'42:' || seq_id || ':0'", 'length(seq)'), 't')} AS seq FROM seqs JOIN bb USING (seq_id)"""
+embed = f"""WITH {MV}, {_bounds("SELECT j, left(kmer, k) AS ctx, right(kmer, 1) AS b, v FROM mv WHERE k = least(j, 2)", 'jb', 'j')},
+mb AS (SELECT flatten(list(CASE WHEN j = 0 THEN t WHEN j = 1 THEN list_concat([0, 0, 0], t) ELSE list_concat(list_transform(range(0, 15), lambda i: 0), t) END ORDER BY j)) AS t FROM jb),
+ch AS (SELECT seq_id, seq, CASE WHEN {uniform("'42'", "seq_id", "'chosen'")} < 0.3 THEN CAST(floor({uniform("'42'", "seq_id", "'start'")} * (length(seq) - 9)) + 1 AS INT) END AS start, {_us("'42:' || seq_id || ':site'", '10')} AS us FROM seqs),
+pl AS (SELECT seq_id, seq, start, {_drawn('us', 't', "(CASE a.n WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 6 + 21 * (a.n - 2) END + a.k)")} AS site FROM ch, mb)
+SELECT seq_id, start, CASE WHEN start IS NULL THEN seq ELSE left(left(seq, start - 1) || site || substr(seq, start), length(seq)) END AS seq FROM pl"""
+delete_sites = f"""WITH {SEQS}, p AS (SELECT seq_id, i, substr(seq, i, 1) AS c FROM (SELECT seq_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM seqs)),
+h AS (SELECT DISTINCT seq_id, unnest(range(i, i + 10)) AS i FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 8)) AS i FROM seqs) WHERE substr(seq, i, 3) = 'CAT')
+SELECT seq_id, rpad(coalesce(string_agg(translate(c, 'G', 'N'), '' ORDER BY p.i) FILTER (h.i IS NULL), ''), CAST(count(*) AS INT), 'N') AS seq FROM p LEFT JOIN h USING (seq_id, i) GROUP BY seq_id"""
