@@ -117,7 +117,7 @@ def _trained(o, m: M.Motif, bg: B.Background, strands: DataFrame) -> M.Motif:
     if o.EM:
         return em.optimize(strands, m, bg, o.optimizeQ).motif
     if o.CGS:
-        return gibbs.optimize(strands, m, bg, seed=o.seed, sample_q=not o.noQSampling, alpha=o.alphaOptimizer)
+        return gibbs.collapsed(strands, m, bg, seed=o.seed, sample_q=not o.noQSampling, alpha=o.alphaOptimizer).motif
     return m
 
 

@@ -1,19 +1,31 @@
-"""Gibbs refinement, blocked: given the model, the sites of all sequences are independent and are drawn in one Spark job.
+"""Gibbs refinement: collapsed, with several chains at once (``collapsed``), or blocked (``optimize``).
 
-A sweep that takes one sequence out at a time is serial; drawing all sites for the model of the round before
-has the same stationary shape and runs over partitions.  Draws depend on (seed, round, sequence id) only.
+Collapsed: a sequence's site is drawn given the sites of all others, its own taken out of the counts.  In a round a share of the sequences,
+drawn anew each time, moves at once against the counts of the round before; the smaller the share, the closer to moving one
+at a time.  A round is one Spark job: tasks send the new sites and the change of the counts.
+
+Blocked: all sites are drawn for the mean model of the round before, which is another chain than the collapsed one.  Draws depend on
+(seed, chain, round, sequence id) only.
 """
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.draws import uniforms
 from ..functions.numeric import digamma
+from ..shared import bucketed, dropped, materialise
 from .background import Background
-from .em import expected_counts, update
-from .motif import Motif
+from .em import _table, expected_counts, roll_up, update
+from .motif import Motif, conditionals
+from .score import batches_of
 
 ITERATIONS = 100
 
@@ -86,8 +98,23 @@ def on_grid(m: Motif, bg: Background, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
+def moved_alpha(m: Motif, bg: Background, how: str, adam: Adam, rng: np.random.Generator) -> np.ndarray:
+    """log alpha after one step.  how: adam, metropolis, grid or fixed."""
+    log_alpha = np.log(m.alpha)
+    if how == "adam":
+        grad = np.zeros_like(log_alpha)
+        for k in range(m.order + 1):
+            low = _lower(m, bg, k)
+            for j in range(k, m.width):
+                grad[k, j] = gradient_alpha(m.alpha[k, j], k, j, m.n, low)
+        return adam.step(log_alpha, grad)
+    if how == "metropolis":
+        return metropolis(log_alpha, m, bg, rng)
+    return on_grid(m, bg, rng) if how == "grid" else log_alpha
+
+
 def optimize(strands: DataFrame, m: Motif, bg: Background, iterations: int = ITERATIONS, seed: int = 42, sample_q: bool = True, alpha: str = "adam") -> Motif:
-    """alpha: adam, metropolis, grid or fixed."""
+    """Blocked.  alpha: adam, metropolis, grid or fixed."""
     rng = np.random.default_rng(seed)
     adam = Adam(m.alpha.shape)
     strands = strands.persist()
@@ -96,19 +123,152 @@ def optimize(strands: DataFrame, m: Motif, bg: Background, iterations: int = ITE
             n, _, total, n_seqs = expected_counts(strands, m, bg, sample_seed=seed * 1_000_003 + i)
             q = float(rng.beta(total + 1, n_seqs - total + 1)) if sample_q else None
             m = update(m, n, bg, None if q is None else min(max(q, 1e-3), 1 - 1e-3))
-            log_alpha = np.log(m.alpha)
-            if alpha == "adam":
-                grad = np.zeros_like(log_alpha)
-                for k in range(m.order + 1):
-                    low = _lower(m, bg, k)
-                    for j in range(k, m.width):
-                        grad[k, j] = gradient_alpha(m.alpha[k, j], k, j, n, low)
-                log_alpha = adam.step(log_alpha, grad)
-            elif alpha == "metropolis":
-                log_alpha = metropolis(log_alpha, m, bg, rng)
-            elif alpha == "grid":
-                log_alpha = on_grid(m, bg, rng)
-            m = update(m, n, bg, alpha=np.exp(log_alpha))
+            m = update(m, n, bg, alpha=np.exp(moved_alpha(m, bg, alpha, adam, rng)))
         return m
     finally:
         strands.unpersist()
+
+
+# --- collapsed ---
+
+
+def split_r_hat(x: np.ndarray) -> float:
+    """The potential scale reduction of chains (chains, rounds), each cut in halves."""
+    half = x.shape[1] // 2
+    x = np.concatenate([x[:, :half], x[:, half : 2 * half]])
+    within, between = x.var(axis=1, ddof=1).mean(), half * x.mean(axis=1).var(ddof=1)
+    if within <= 0:
+        return 1.0 if between <= 0 else math.inf
+    return float(np.sqrt(((half - 1) / half * within + between / half) / within))
+
+
+@dataclass
+class Chains:
+    """motif: from the counts averaged over chains and rounds after the first half; marginals: (seq_id, start, p); r_hat, rounds."""
+
+    motif: Motif
+    marginals: DataFrame
+    r_hat: float
+    rounds: int
+
+
+def draw_site(n: np.ndarray, own: np.ndarray | None, ctx: np.ndarray, starts: np.ndarray, alpha: np.ndarray, q: float, bg: Background, log_bg: np.ndarray, u: float) -> int:
+    """The place in ``starts`` of a sequence's new site, or -1, given the context counts n (contexts, W) of all sites; own: the contexts of its old site."""
+    W = n.shape[1]
+    if own is not None:
+        n = n.copy()
+        n[own, np.arange(W)] -= 1
+    v = np.concatenate(conditionals(roll_up(n, len(alpha) - 1, bg.ab.size), alpha, bg))
+    s = np.log(np.maximum(v, 1e-300)) - log_bg[:, None]
+    odds = np.exp(s[ctx[starts[:, None] + np.arange(W)], np.arange(W)].sum(axis=1)) * (q / max(len(starts), 1))
+    upto = np.cumsum(odds)
+    total = (1 - q) + (upto[-1] if len(upto) else 0.0)
+    at = int(np.searchsorted(upto, u * total, "right"))
+    return at if at < len(starts) else -1
+
+
+def _log_background(bg: Background, order: int) -> np.ndarray:
+    size, out = bg.ab.size, []
+    for k in range(order + 1):
+        o = min(k, bg.order)
+        out.append(np.log(bg.v[o][np.arange(size ** (k + 1)) % size ** (o + 1)]))
+    return np.concatenate(out)
+
+
+def collapsed(
+    strands: DataFrame, m: Motif, bg: Background, rounds: int = ITERATIONS, chains: int = 4, share: float = 0.25, seed: int = 42, sample_q: bool = True, alpha: str = "adam", r_hat: float = 1.05, least: int = 20
+) -> Chains:
+    """Until the chains agree (split R-hat of the number of sites and of the motif's information, from ``least`` rounds on, looked at every ten), or ``rounds``.
+
+    share: of the sequences that move in a round.  The sequences are written once, bucketed by id; a round moves only sites.
+    """
+    spark, K, W, ab, size = strands.sparkSession, m.order, m.width, bg.ab, bg.ab.size
+    log_bg, contexts = _log_background(bg, K), len(_table(m, bg))
+    kind = strands.schema["seq_id"].dataType.simpleString()
+    counts, alphas = np.zeros((chains, contexts, W)), [m.alpha.copy() for _ in range(chains)]
+    adams, rng = [Adam(m.alpha.shape) for _ in range(chains)], np.random.default_rng(seed)
+    name = f"gibbs_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucketed(strands.select("seq_id", "dseq"), name, "seq_id", buckets)
+
+    def step(i: int, sites: DataFrame | None, qs: list[float]) -> DataFrame:
+        """(seq_id, z, change): the sites of every sequence by chain, and in rows without sites the change of the counts."""
+        sent = spark.sparkContext.broadcast((counts.copy(), [a.copy() for a in alphas], list(qs), _table(m, bg)))
+        held = spark.table(name)
+        if sites is None:
+            rows = held.select("seq_id", "dseq", F.array_repeat(F.lit(-1), chains).alias("z"))
+        else:
+            rows = held.join(sites.select(F.col("seq_id").alias("s"), "z"), F.col("seq_id").eqNullSafe(F.col("s"))).select("seq_id", "dseq", "z")
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, alpha, q, table = sent.value
+            change = np.zeros_like(n)
+            for b in it:
+                for first, batch in batches_of(b.column(1), K, ab):
+                    ids = b.column(0).slice(first, batch.n)
+                    z = np.asarray(b.column(2).slice(first, batch.n).flatten()).reshape(batch.n, -1).copy()
+                    u = uniforms([f"{seed}:{x}:{i}" for x in ids.to_pylist()], np.full(batch.n, 2 * z.shape[1])).reshape(batch.n, 2, -1)
+                    s = batch.windows(W)
+                    bounds = np.searchsorted(batch.row[s], np.arange(batch.n + 1))
+                    for r in range(batch.n):
+                        mine = s[bounds[r] : bounds[r + 1]]
+                        for c in range(z.shape[1]):
+                            old = None if z[r, c] < 0 else batch.ctx[batch.off[r] + z[r, c] + np.arange(W)]
+                            if i == 0:
+                                odds = np.exp(batch.sums(table, mine)) * (q[c] / max(len(mine), 1))
+                                upto = np.cumsum(odds)
+                                at = int(np.searchsorted(upto, u[r, 1, c] * (1 - q[c] + odds.sum()), "right"))
+                                at = at if at < len(mine) else -1
+                            elif u[r, 0, c] < share:
+                                at = draw_site(n[c], old, batch.ctx, mine, alpha[c], q[c], bg, log_bg, u[r, 1, c])
+                            else:
+                                continue
+                            if old is not None:
+                                change[c][old, np.arange(W)] -= 1
+                            z[r, c] = -1 if at < 0 else mine[at] - batch.off[r]
+                            if at >= 0:
+                                change[c][batch.ctx[mine[at] + np.arange(W)], np.arange(W)] += 1
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(list(z), pa.list_(pa.int32())), pa.nulls(batch.n, pa.list_(pa.float64()))], names=["seq_id", "z", "change"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, to_arrow(kind)), pa.nulls(1, pa.list_(pa.int32())), pa.array([change.ravel()], pa.list_(pa.float64()))], names=["seq_id", "z", "change"])
+
+        def to_arrow(kind: str) -> pa.DataType:
+            return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+        return rows.mapInArrow(run, f"seq_id {kind}, z array<int>, change array<double>")
+
+    try:
+        n_seqs, sites, kept, seen, qs = strands.count(), None, [], [], [m.q] * chains
+        mean, worst, i = np.zeros((contexts, W)), math.inf, 0
+        for i in range(rounds):
+            made = materialise(step(i, sites, qs), "gibbs_round")
+            change = made.where("change IS NOT NULL").select(F.posexplode("change").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()  # chains * contexts * W rows
+            flat = np.zeros(counts.size)
+            for r in change:
+                flat[r["at"]] = r["x"]
+            counts = counts + flat.reshape(counts.shape)
+            sites = made.where("change IS NULL")
+            now = []
+            for c in range(chains):
+                n = roll_up(counts[c].copy(), K, size)
+                found = update(m, n, bg, alpha=alphas[c])
+                alphas[c] = np.exp(moved_alpha(found, bg, alpha, adams[c], rng))
+                here = counts[c][:, 0].sum()
+                qs[c] = min(max((here + 1) / (n_seqs + 2), 1e-3), 1 - 1e-3) if sample_q else m.q
+                now.append((here, float((found.v[0] * np.log2(np.maximum(found.v[0], 1e-12))).sum())))
+            seen.append(now)
+            kept.append((sites, counts.sum(axis=0)))
+            if i + 1 >= least and (i + 1) % 10 == 0:
+                late = np.array(seen[len(seen) // 2 :]).transpose(2, 1, 0)
+                worst = max(split_r_hat(x) for x in late)
+                if worst < r_hat:
+                    break
+        late = kept[len(kept) // 2 :]
+        mean = sum(x for _, x in late) / (len(late) * chains)
+        rows = late[0][0]
+        for x, _ in late[1:]:
+            rows = rows.unionByName(x)
+        each = rows.select("seq_id", F.explode("z").alias("start")).where("start >= 0").groupBy("seq_id", "start").agg((F.count("*") / (len(late) * chains)).alias("p"))
+        q = min(max(mean[:, 0].sum() / max(n_seqs, 1), 1e-3), 1 - 1e-3)
+        return Chains(update(m, roll_up(mean, K, size), bg, q, np.mean(alphas, axis=0)), each, worst, i + 1)
+    finally:
+        dropped(spark, [name])

@@ -547,7 +547,7 @@ def em_positions(spark, d):
 
 @query()
 def gibbs_fit(spark, d):
-    return gibbs.optimize(strands(spark, d), *models(spark, d)).to_df(spark).select("k", "j", "kmer", _r("v"))
+    return gibbs.collapsed(strands(spark, d), *models(spark, d)).motif.to_df(spark).select("k", "j", "kmer", _r("v"))
 
 
 # --- long records in pieces ---

@@ -273,3 +273,43 @@ def test_many_models_at_once(spark):
     for f in range(3):
         alone = score.best_scores(score.scored_strands(seqs.where(f"fold = {f}")), [models[0, f], models[1, f]], bg).collect()
         assert all(abs(got[r["motif_id"], r["seq_id"]] - r["score"]) < 1e-9 for r in alone)
+
+
+def test_collapsed_chains_against_a_serial_one(spark):
+    """Site marginals as of a chain that takes out one sequence at a time."""
+    from motifspark.operators import background as B
+    from motifspark.operators import gibbs, score
+    from motifspark.operators import motif as M
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(40):
+        s = rng.choice(list("ACGT"), 25)
+        if i % 3:
+            at = int(rng.integers(0, 20))
+            s[at : at + 5] = [c if rng.random() < 0.85 else rng.choice(list("ACGT")) for c in "TTACG"]
+        rows.append((i, "".join(s)))
+    seqs = spark.createDataFrame(rows, "seq_id long, seq string")
+    bg = B.fit(seqs, 0)
+    m = M.from_pwm(np.full((5, 4), 0.15) + np.eye(4)[[3, 3, 0, 1, 2]] * 0.4, bg, 0, q=0.5)
+    got = gibbs.collapsed(score.scored_strands(seqs, single=True), m, bg, rounds=60, chains=16, share=0.4, alpha="fixed", r_hat=0)
+    made = np.zeros((40, 21))
+    for r in got.marginals.collect():
+        made[r["seq_id"], r["start"]] = r["p"]
+    code = np.array([["ACGT".index(c) for c in s] for _, s in rows])
+    log_bg, starts = np.log(bg.v[0]), np.arange(21)
+    serial, z, n = np.zeros((40, 21)), np.full(40, -1), np.zeros((4, 5))
+    for t in range(1500):
+        for i in range(40):
+            old = code[i, z[i] : z[i] + 5] if z[i] >= 0 else None
+            q = ((z >= 0).sum() - (z[i] >= 0) + 1) / 41
+            z[i] = gibbs.draw_site(n, old, code[i], starts, m.alpha, q, bg, log_bg, rng.random())
+            if old is not None:
+                n[old, np.arange(5)] -= 1
+            if z[i] >= 0:
+                n[code[i, z[i] : z[i] + 5], np.arange(5)] += 1
+        if t >= 500:
+            serial[z >= 0, z[z >= 0]] += 1 / 1000
+    assert np.abs(made - serial).max() < 0.2 and np.abs(made.sum(axis=1) - serial.sum(axis=1)).mean() < 0.05
+    assert np.corrcoef(made.ravel(), serial.ravel())[0, 1] > 0.97
+    assert gibbs.split_r_hat(rng.normal(size=(4, 100))) < 1.1 < gibbs.split_r_hat(rng.normal(size=(4, 100)) + np.arange(4)[:, None])
