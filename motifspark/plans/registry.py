@@ -468,11 +468,12 @@ def position_hist(spark, d):
     return info.position_histogram(b.select(fwd.alias("start"), F.lit(WIDTH).alias("width"), "L", score.strand_of(F.col("start"), F.col("L")).alias("strand")))
 
 
-@query()
+@query(sql.position_density)
 def position_density(spark, d):
     b = best(spark, d)
     fwd = F.when(F.col("start") < F.col("L"), F.col("start")).otherwise(F.col("start") - F.col("L") - 1)
-    return info.position_density(b.select(fwd.alias("start"), F.lit(WIDTH).alias("width"), "L"))
+    made = info.position_density(b.select(fwd.alias("start"), F.lit(WIDTH).alias("width"), "L", score.strand_of(F.col("start"), F.col("L")).alias("strand")))
+    return made.select("strand", _r("x"), _r("density", 8))
 
 
 @query(sql.bed_coords)
@@ -540,9 +541,9 @@ def em_masked_fit(spark, d):
     return fit.motif.to_df(spark).select("k", "j", "kmer", _r("v"))
 
 
-@query()
+@query(sql.em_positions)
 def em_positions(spark, d):
-    return em.positions(strands(spark, d), *models(spark, d)).select("seq_id", "strand", "begin", "end", "pattern")
+    return em.positions(strands(spark, d), *models(spark, d)).select("seq_id", "strand", F.col("begin").cast("long").alias("first_base"), F.col("end").cast("long").alias("last_base"), "pattern")
 
 
 @query()

@@ -268,3 +268,9 @@ SELECT seq_id, start, CASE WHEN start IS NULL THEN seq ELSE left(left(seq, start
 delete_sites = f"""WITH {SEQS}, p AS (SELECT seq_id, i, substr(seq, i, 1) AS c FROM (SELECT seq_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM seqs)),
 h AS (SELECT DISTINCT seq_id, unnest(range(i, i + 10)) AS i FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 8)) AS i FROM seqs) WHERE substr(seq, i, 3) = 'CAT')
 SELECT seq_id, rpad(coalesce(string_agg(translate(c, 'G', 'N'), '' ORDER BY p.i) FILTER (h.i IS NULL), ''), CAST(count(*) AS INT), 'N') AS seq FROM p LEFT JOIN h USING (seq_id, i) GROUP BY seq_id"""
+em_positions = f"WITH {ES} SELECT seq_id, CASE WHEN start < L THEN '+' ELSE '-' END AS strand, start + 1 AS first_base, start + 10 AS last_base, substr(dseq, start + 1, 10) AS pattern FROM rs JOIN ds USING (seq_id) WHERE r >= 0.3"
+position_density = f"""WITH {FIRST}, pl AS (SELECT CASE WHEN start < L THEN '+' ELSE '-' END AS strand, CAST(floor(CASE WHEN start < L THEN start ELSE start - L - 1 END + 5) - floor(L / 2) AS DOUBLE) AS c FROM fb),
+sb AS (SELECT strand, count(*) AS total, coalesce(0.9 * CASE WHEN least(stddev_samp(c), (quantile_cont(c, 0.75) - quantile_cont(c, 0.25)) / 1.34) > 0 THEN least(stddev_samp(c), (quantile_cont(c, 0.75) - quantile_cont(c, 0.25)) / 1.34) WHEN stddev_samp(c) > 0 THEN stddev_samp(c) END * power(count(*), -0.2), 1) AS h FROM pl GROUP BY strand),
+gr AS (SELECT strand, h, total, unnest(range(0, 101)) AS i, (SELECT (floor(max(abs(c)) / 10) + 1) * 10 FROM pl) AS reach FROM sb)
+SELECT g.strand, round(i * 2 * reach / 100 - reach, 6) AS x, round(coalesce(sum(exp(-power((i * 2 * reach / 100 - reach - c) / h, 2) / 2) / (total * h * 2.5066282746310002)) FILTER (abs(i * 2 * reach / 100 - reach - c) <= 5 * h), 0), 8) AS density
+FROM gr g JOIN pl sc ON sc.strand = g.strand GROUP BY g.strand, i, reach"""

@@ -211,7 +211,7 @@ def test_information(spark, world):
     assert "".join(r["letter"] for r in info.iupac(m).orderBy("j").collect()) == "ANS"
     totals = {r["j"]: r["bits"] for r in info.contribution_totals(info.contributions(m)).collect()}
     assert all(abs(totals[j] - bits[j]) < 1e-6 for j in bits)
-    d = info.position_density(spark.createDataFrame([(20, 8, 50)], "start int, width int, L int"), points=1001, reach=100)
+    d = info.position_density(spark.createDataFrame([(20, 8, 50, "+")], "start int, width int, L int, strand string"), points=1001, reach=100)
     assert abs(d.agg(F.sum("density")).first()[0] * 0.2 - 1) < 1e-2
 
 
