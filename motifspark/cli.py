@@ -29,7 +29,7 @@ def _common(p: argparse.ArgumentParser) -> None:
     source.add_argument("--PWMFile")
     source.add_argument("--modelFile")
     p.add_argument("--maxPWM", type=int)
-    p.add_argument("--sampleSites", action="store_true", help="start from sites drawn with the weight matrix")
+    p.add_argument("--sampleSites", action=argparse.BooleanOptionalAction, default=True, help="start from sites drawn with the weight matrix")
     p.add_argument("-k", type=int, default=2, help="motif order")
     p.add_argument("-b", type=float, default=7.0)
     p.add_argument("-r", type=float, default=3.0)
@@ -39,6 +39,8 @@ def _common(p: argparse.ArgumentParser) -> None:
     p.add_argument("--extend", type=int, nargs=2, default=(0, 0))
     p.add_argument("-q", type=float, default=0.3)
     p.add_argument("-m", type=int, default=1, help="background sequences per sequence")
+    p.add_argument("--negN", type=int, help="so many background sequences at least")
+    p.add_argument("--genericNeg", action="store_true", help="background sequences of one length from the common model, not of each sequence")
     p.add_argument("--seed", type=int, default=42)
 
 
@@ -67,6 +69,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "evaluate":
             p.add_argument("--maxPosN", type=int)
             p.add_argument("--mops", action="store_true")
+            p.add_argument("--zoops", action=argparse.BooleanOptionalAction, default=True, help="curves of each sequence's best site")
             p.add_argument("--savePvalues", action="store_true")
             p.add_argument("--saveLogOdds", action="store_true")
         if name in ("train", "evaluate"):
@@ -121,8 +124,14 @@ def _trained(o, m: M.Motif, bg: B.Background, strands: DataFrame) -> M.Motif:
     return m
 
 
-def _negatives(o, seqs: DataFrame, bg: B.Background, n: int) -> tuple[DataFrame, int]:
-    fold = max(o.m, math.ceil(MIN_NEGATIVES / max(n, 1))) if n < MIN_NEGATIVES else o.m
+def _negatives(o, seqs: DataFrame, bg: B.Background, n: int) -> tuple[DataFrame, float]:
+    """Background sequences and how many there are for each sequence."""
+    least = o.negN or MIN_NEGATIVES
+    fold = max(o.m, math.ceil(least / max(n, 1))) if n < least else o.m
+    if o.genericNeg:
+        length = int(seqs.agg(F.avg("L")).first()[0] or 0)
+        made = simulate.background_number(seqs.sparkSession, bg, fold * n, length if o.ss else 2 * length + 1, o.seed)
+        return made.select("seq_id", "seq"), fold
     made = simulate.background_copies(seqs, bg, fold, o.seed, doubled=not o.ss)
     return made.select(F.xxhash64("seq_id", "copy").alias("seq_id"), "seq"), fold
 
@@ -159,6 +168,18 @@ def _evaluate(o, motifs: list[M.Motif], bg: B.Background, seqs: DataFrame, negat
 
 
 def _write_evaluation(o, pooled: DataFrame, every: DataFrame | None, n: int, fold: int, path: str) -> None:
+    if getattr(o, "zoops", True):
+        _write_best(o, pooled, n, fold, path)
+    if every is not None:
+        sites = evaluate.mops_curve(every, fold)
+        files.write_curve(sites, f"{path}.mops.stats", {"occ_mult": float(sites.agg(F.max("tp")).first()[0] or 0.0) / max(n, 1)})
+        if getattr(o, "savePvalues", False):
+            ranking.mid_rank_p(every.where("is_pos = 1"), every.where("is_pos = 0")).select("p_value").write.csv(f"{path}.mops.pvalues")
+        if getattr(o, "saveLogOdds", False):
+            files.write_log_odds(evaluate.log_odds_pairs(every), f"{path}.mops.logOdds")
+
+
+def _write_best(o, pooled: DataFrame, n: int, fold: int, path: str) -> None:
     spark = pooled.sparkSession
     curve = evaluate.zoops_curve(pooled, fold)
     p = ranking.curve_p_values(pooled).select(F.col("id").alias("i"), F.col("is_pos").alias("l"), "p_value")
@@ -169,13 +190,6 @@ def _write_evaluation(o, pooled: DataFrame, every: DataFrame | None, n: int, fol
         ranking.mid_rank_p(pooled.where("is_pos = 1"), pooled.where("is_pos = 0")).select("p_value").write.csv(f"{path}.zoops.pvalues")
     if getattr(o, "saveLogOdds", False):
         files.write_log_odds(evaluate.log_odds_pairs(pooled), f"{path}.zoops.logOdds")
-    if every is not None:
-        sites = evaluate.mops_curve(every, fold)
-        files.write_curve(sites, f"{path}.mops.stats", {"occ_mult": float(sites.agg(F.max("tp")).first()[0] or 0.0) / max(n, 1)})
-        if getattr(o, "savePvalues", False):
-            ranking.mid_rank_p(every.where("is_pos = 1"), every.where("is_pos = 0")).select("p_value").write.csv(f"{path}.mops.pvalues")
-        if getattr(o, "saveLogOdds", False):
-            files.write_log_odds(evaluate.log_odds_pairs(every), f"{path}.mops.logOdds")
     one = [evaluate.precision_area(curve), evaluate.partial_roc(curve), evaluate.average_recall(curve), evaluate.sensitivity_area(curve)]
     values = [(c, float(df.first()[0] or 0.0)) for df in one for c in df.columns]
     put_text(spark, f"{path}.scores.tsv", "metric\tvalue\n" + "".join(f"{k}\t{v:.6f}\n" for k, v in values))

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import uniform
 from .background import Background
 from .motif import Motif, conditionals, joints, score_table
 from .score import batches_of
@@ -104,8 +105,7 @@ def expected_counts_many(
     def one(b, i, batch, table, q, chosen, use) -> np.ndarray:
         s, r, row, llh, count = _posterior(batch, table, q, chosen)
         if sample_seed is not None:
-            ids = np.asarray(b.column(3))[i : i + batch.n]
-            u = (ids.view(np.uint64) >> np.uint64(11)).astype(float) / 2**53
+            u = np.asarray(b.column(3))[i : i + batch.n]
             upto = np.cumsum(r)
             first = np.searchsorted(row, np.arange(batch.n))
             before = np.r_[0.0, upto][first]
@@ -120,7 +120,7 @@ def expected_counts_many(
         sums = np.stack([np.bincount(batch.ctx[s + j], r, len(table)) for j in range(table.shape[1])], axis=1)
         return np.r_[sums.ravel(), llh.sum(), r.sum(), (count > 0).sum()]
 
-    draw = F.xxhash64(F.lit(sample_seed or 0), "seq_id") if sample_seed is not None else F.lit(0).cast("long")
+    draw = uniform(sample_seed, F.col("seq_id"), F.lit("site")) if sample_seed is not None else F.lit(0.0)
     fold = F.col("fold") if held_out else F.lit(0)
     made = strands.select("seq_id", "dseq", "L", draw.alias("u"), fold.cast("int").alias("fold")).mapInArrow(run, "i int, x double")
     flat = np.zeros(at[-1])

@@ -513,6 +513,21 @@ def em_step(spark, d):
     return fit.motif.to_df(spark).select("k", "j", "kmer", _r("v"))
 
 
+@query(sql.em_rounds)
+def em_rounds(spark, d):
+    """The conditionals after three iterations."""
+    fit = em.optimize(strands(spark, d), *models(spark, d), max_iterations=3)
+    return fit.motif.to_df(spark).select("k", "j", "kmer", _r("v", 5))
+
+
+@query(sql.sampled_start)
+def sampled_start(spark, d):
+    """The motif counted on sites drawn with a weight matrix, one a sequence or none."""
+    m, bg = models(spark, d)
+    start = em.sites_from_pwm(strands(spark, d), m.pwm(), bg, 2, Q)
+    return start.to_df(spark).select("k", "j", "kmer", _r("v"))
+
+
 @query(sql.em_masked_cells)
 def em_masked_cells(spark, d):
     """How many windows of each sequence the order-0 step chooses."""

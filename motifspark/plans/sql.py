@@ -274,3 +274,19 @@ sb AS (SELECT strand, count(*) AS total, coalesce(0.9 * CASE WHEN least(stddev_s
 gr AS (SELECT strand, h, total, unnest(range(0, 101)) AS i, (SELECT (floor(max(abs(c)) / 10) + 1) * 10 FROM pl) AS reach FROM sb)
 SELECT g.strand, round(i * 2 * reach / 100 - reach, 6) AS x, round(coalesce(sum(exp(-power((i * 2 * reach / 100 - reach - c) / h, 2) / 2) / (total * h * 2.5066282746310002)) FILTER (abs(i * 2 * reach / 100 - reach - c) <= 5 * h), 0), 8) AS density
 FROM gr g JOIN pl sc ON sc.strand = g.strand GROUP BY g.strand, i, reach"""
+
+
+def _round(k: int) -> str:
+    """Iteration ``k``: from the conditionals nv of the one before (mv at first) to nv{k}."""
+    text = f"{ES.removeprefix(f'{MV}, {POS}, ')}, {EU}, {NEXT}"
+    for name in ("lr", "wo", "nm", "rs", "e", "u", "nf", "n0", "n1", "n2", "nv"):
+        text = re.sub(rf"\b{name}\b(?!\()", f"{name}{k}_", text)
+    return re.sub(r"\bmv\b", f"nv{k - 1}_" if k > 1 else "mv", text)
+
+
+em_rounds = f"WITH {MV}, {POS}, {_round(1)}, {_round(2)}, {_round(3)} SELECT CAST(k AS INT) AS k, CAST(j AS INT) AS j, kmer, round(v, 5) AS v FROM nv3_"
+sampled_start = f"""WITH {MV}, {POS}, lr AS (SELECT bg.kmer, m0.j, ln(greatest(m0.v, 1e-8)) - ln(bg.v) AS s FROM bg JOIN m0 ON m0.kmer = right(bg.kmer, 1)),
+wo AS (SELECT seq_id, i - 1 - j AS start, exp(sum(s)) AS odds FROM ps JOIN lr ON lr.kmer = ps.w WHERE i - 1 - j >= 0 GROUP BY seq_id, i - 1 - j HAVING count(*) = 10),
+nm AS (SELECT seq_id, count(*) AS n, 0.7 + 0.3 / count(*) * sum(odds) AS norm FROM wo GROUP BY seq_id),
+cu AS (SELECT seq_id, start, sum(0.3 / n * odds / norm) OVER (PARTITION BY seq_id ORDER BY start ROWS UNBOUNDED PRECEDING) AS upto FROM wo JOIN nm USING (seq_id)),
+rs AS (SELECT seq_id, min(start) AS start, 1.0 AS r FROM cu WHERE upto > {uniform("'42'", "seq_id", "'site'")} GROUP BY seq_id), {EU}, {NEXT} {_SHOW}"""

@@ -42,6 +42,9 @@ def test_programs(spark, inputs, tmp_path, monkeypatch):
     cli.run(spark, ["topwm", str(tmp_path / "result_motif_1.ihbcp"), str(tmp_path / "a.pwm")])
     rows = [[float(x) for x in line.split()] for line in (tmp_path / "a.pwm").read_text().splitlines()]
     assert len(rows) == 8 and all(abs(sum(r) - 1) < 1e-4 for r in rows)
+    cli.run(spark, ["evaluate", *base, "--basename", "g", "--cvFold", "2", "--EM", "--negN", "100", "--genericNeg", "--no-zoops", "--mops"])
+    made = {p.name for p in tmp_path.iterdir()}
+    assert "g_motif_1.mops.stats" in made and "g_motif_1.zoops.stats" not in made
     cli.run(spark, ["simulate", *base, "--basename", "c", "--copySeqset", "-m", "2"])
     assert files.read_fasta(spark, str(tmp_path / "c_copies")).count() == 120
 
