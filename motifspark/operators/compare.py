@@ -5,9 +5,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import uniform
 from ..shared import materialise
 
 ALPHA, MIN_OVERLAP = 0.8, 2
@@ -107,7 +108,7 @@ def search(queries: DataFrame, database: DataFrame, permutations: int = 10, max_
 
 
 def affinity_propagation(s: np.ndarray, damping: float = 0.5, iterations: int = 200) -> np.ndarray:
-    """Exemplar of each item, by message passing on a similarity matrix (a motif set: some hundreds)."""
+    """Exemplar of each item, by message passing on a small dense matrix; ``propagated`` does the same over edges."""
     n = len(s)
     s = s.astype(float).copy()
     np.fill_diagonal(s, np.median(s[~np.eye(n, dtype=bool)]) if n > 1 else 0)
@@ -157,15 +158,52 @@ def all_pairs(spark, motifs: dict[str, np.ndarray]) -> DataFrame:
     return spark.range(0, n, 1, max(1, min(n, 200))).mapInPandas(run, "a string, b string, sim_score double")
 
 
+def propagated(edges: DataFrame, damping: float = 0.5, iterations: int = 200, steady: int = 15, stride: int = 5) -> DataFrame:
+    """(model_id, exemplar) by affinity propagation over a sparse graph (a, b, sim_score); pairs that are left out have no similarity.
+
+    The messages of an edge are columns of its row.  A round has two shuffles of the edges, by a (the two best of each row) and by b (sums of
+    each column); every ``stride`` rounds are written, and it ends when the exemplars have stayed the same for ``steady`` rounds.  The preference of every
+    motif is the median of all similarities between different motifs.  A motif without an exemplar among its neighbours is its own.
+    """
+    other = edges.where("a <> b")
+    middle = other.agg(F.percentile_approx("sim_score", 0.5, F.lit(1_000_000)).alias("p"), F.max(F.abs("sim_score")).alias("most")).first()
+    names = edges.select("a").union(edges.select("b")).distinct()
+    own = names.select("a", F.col("a").alias("b"), F.lit(middle["p"] or 0.0).alias("s"))
+    # equal similarities are told apart by a fixed small number
+    noise = 1e-9 * ((middle["most"] or 0.0) + 1) * uniform(0, F.col("a"), F.col("b"))
+    now = other.groupBy("a", "b").agg(F.max("sim_score").alias("s")).unionByName(own).select("a", "b", (F.col("s") + noise).alias("s"), F.lit(0.0).alias("r"), F.lit(0.0).alias("v"))
+    now, before, same = materialise(now, "messages"), None, 0
+    row, column = Window.partitionBy("a"), Window.partitionBy("b")
+    order = row.orderBy(F.desc("t"), "b")
+    for i in range(0, iterations, stride):
+        for _ in range(min(stride, iterations - i)):
+            t = now.withColumn("t", F.col("v") + F.col("s"))
+            t = t.withColumns({"rank": F.row_number().over(order), "first": F.max("t").over(row)})
+            t = t.withColumn("second", F.max(F.when(F.col("rank") > 1, F.col("t"))).over(row))
+            best = F.when(F.col("rank") == 1, F.coalesce("second", F.lit(0.0))).otherwise(F.col("first"))
+            r = t.select("a", "b", "s", "v", (damping * F.col("r") + (1 - damping) * (F.col("s") - best)).alias("r"))
+            self_ = F.col("a") == F.col("b")
+            part = F.when(self_, F.col("r")).otherwise(F.greatest("r", F.lit(0.0)))
+            r = r.withColumn("sum", F.sum(part).over(column))
+            new = F.when(self_, F.col("sum") - F.col("r")).otherwise(F.least(F.col("sum") - F.greatest("r", F.lit(0.0)), F.lit(0.0)))
+            now = r.select("a", "b", "s", "r", (damping * F.col("v") + (1 - damping) * new).alias("v"))
+        now = materialise(now, "messages")
+        seen = now.where((F.col("a") == F.col("b")) & (F.col("r") + F.col("v") > 0)).agg(F.count("*"), F.sum(F.xxhash64("a").cast("decimal(38,0)"))).first()
+        same = same + stride if seen == before and seen[0] else 0
+        before = seen
+        if same >= steady:
+            break
+    chosen = now.where((F.col("a") == F.col("b")) & (F.col("r") + F.col("v") > 0)).select(F.col("a").alias("e"))
+    near = now.join(chosen, F.col("b") == F.col("e"))
+    label = near.groupBy("a").agg(F.max_by("b", F.struct(F.col("a") == F.col("b"), "s", "b")).alias("exemplar"))
+    return names.join(label, "a", "left").select(F.col("a").alias("model_id"), F.coalesce("exemplar", "a").alias("exemplar"))
+
+
 def clusters(spark, motifs: dict[str, np.ndarray]) -> dict[str, str]:
-    """Name of the first member of each motif's cluster.  The similarities come from the tasks, the messages are passed on the driver."""
-    names = {x: i for i, x in enumerate(motifs)}
-    s = np.zeros((len(names), len(names)))
-    for r in all_pairs(spark, motifs).toLocalIterator():
-        s[names[r["a"]], names[r["b"]]] = r["sim_score"]
-    label = affinity_propagation(s)
-    first: dict[int, str] = {}
-    return {x: first.setdefault(int(label[i]), x) for x, i in names.items()}
+    """Name of the first member of each motif's cluster, of a motif set whose pairs are all compared."""
+    label = {r["model_id"]: r["exemplar"] for r in propagated(materialise(all_pairs(spark, motifs), "pairs")).collect()}
+    first: dict[str, str] = {}
+    return {x: first.setdefault(label[x], x) for x in motifs}
 
 
 def exemplars(table: DataFrame, label: str, order: str) -> DataFrame:

@@ -313,3 +313,20 @@ def test_collapsed_chains_against_a_serial_one(spark):
     assert np.abs(made - serial).max() < 0.2 and np.abs(made.sum(axis=1) - serial.sum(axis=1)).mean() < 0.05
     assert np.corrcoef(made.ravel(), serial.ravel())[0, 1] > 0.97
     assert gibbs.split_r_hat(rng.normal(size=(4, 100))) < 1.1 < gibbs.split_r_hat(rng.normal(size=(4, 100)) + np.arange(4)[:, None])
+
+
+def test_sparse_messages_as_dense_ones(spark):
+    """The same exemplars as on the whole matrix; with only near pairs, the same groups."""
+    from motifspark.operators import compare
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(4, 3)) * 6
+    points = np.concatenate([c + rng.normal(size=(6, 3)) for c in centres])
+    s = -((points[:, None] - points[None]) ** 2).sum(axis=2)
+    dense = compare.affinity_propagation(s)
+    rows = [(f"m{i:02}", f"m{j:02}", float(s[i, j])) for i in range(24) for j in range(24)]
+    df = spark.createDataFrame(rows, "a string, b string, sim_score double")
+    got = {r["model_id"]: r["exemplar"] for r in compare.propagated(df).collect()}
+    assert got == {f"m{i:02}": f"m{k:02}" for i, k in enumerate(dense)}
+    near = {r["model_id"]: r["exemplar"] for r in compare.propagated(df.where("sim_score > -60")).collect()}
+    assert all((near[f"m{i:02}"] == near[f"m{j:02}"]) <= (i // 6 == j // 6) for i in range(24) for j in range(24))
