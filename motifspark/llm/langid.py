@@ -200,17 +200,22 @@ def sample_share(n: int, size: int, docs_per_lang: int = DOCS_PER_LANG, bytes_pe
 
 
 def learn(docs: DataFrame, allowed: Column, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models | None:
-    """Models of every language in the allowed rows, from about ``docs_per_lang`` whole texts of each, chosen by a hash of the id."""
+    """Models of every language in the allowed rows, from about ``docs_per_lang`` whole texts of each, one at least, chosen by a hash of the id."""
     base = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = base.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()  # one row per language
+    base = base.withColumn("__h", F.xxhash64(F.col("id").cast("string")))
+    held = F.pmod(F.xxhash64(F.col("__h"), F.lit(1)), F.lit(HELD)) == 0
+    place = F.pmod("__h", F.lit(SPAN))
+    # with the first text of each language that is not held out: it is drawn however long the texts are
+    sizes = base.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.min(F.when(~held, place)).alias("first"), F.min(place).alias("least")).collect()  # one row per language
     if not sizes:
         return None
     share = F.lit(0).cast("long")
     for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(sample_share(r["n"], r["size"], docs_per_lang, bytes_per_lang))).otherwise(share)
-    drawn = base.withColumn("__h", F.xxhash64(F.col("id").cast("string"))).where(F.pmod("__h", F.lit(SPAN)) < share)
-    few = [r["lang"] for r in sizes if r["n"] < 5 * HELD]  # all of these are counted
-    held = (F.pmod(F.xxhash64(F.col("__h"), F.lit(1)), F.lit(HELD)) == 0) & ~F.col("lang").isin(few)
+        first = r["least"] if r["first"] is None else r["first"]
+        share = F.when(F.col("lang") == r["lang"], F.lit(max(sample_share(r["n"], r["size"], docs_per_lang, bytes_per_lang), first + 1))).otherwise(share)
+    drawn = base.where(place < share)
+    few = [r["lang"] for r in sizes if r["n"] < 5 * HELD or r["first"] is None]  # all of these are counted
+    held = held & ~F.col("lang").isin(few)
     sample, calibration = drawn.where(~held).select("lang", "text"), drawn.where(held).select("lang", "text")
     rows = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang, gram, n = rows.column("lang").to_pylist(), np.asarray(rows.column("gram")).astype(np.int64).view(np.uint64), np.asarray(rows.column("n"))

@@ -324,3 +324,18 @@ def test_toxicity_scores_against_a_loop():
     texts = [None, "", " \n", "one", *[" ".join(word() for _ in range(n)) for n in (2, 31, 32, 33, 56, 57, 80, 81, 300, 1000)]]
     got = net.scores(Chunk.of(texts))
     assert np.allclose(got, [toxic_score_by_hand(net, t) for t in texts], atol=1e-4)
+
+
+def test_a_language_of_few_long_texts_is_learned(spark):
+    """However little of a language the bounds allow, one of its texts is counted."""
+    from pyspark.sql import functions as F
+
+    from motifspark.llm import langid
+
+    rows = [(i, "the cat sat on the mat and ran away " * 20, "en") for i in range(200)] + [(1000 + i, "der hund lief durch den wald und bellte laut " * 3000, "de") for i in range(3)]
+    rows += [(2000 + i, "le chat dort sous la vieille table ronde " * 400, "fr") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = langid.learn(docs, F.lit(True), docs_per_lang=100, bytes_per_lang=50)
+    assert models.langs == ["de", "en", "fr"]
+    got = {r["lang"]: r["lang_pred"] for r in langid.identify(docs, models).select("lang", "lang_pred").distinct().collect()}
+    assert got == {"de": "de", "en": "en", "fr": "fr"}
