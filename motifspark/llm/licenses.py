@@ -3,7 +3,7 @@
 A text is cut into sentences: at full stops and the like, at blank lines and at colons that end a line, after marks of comments at
 the beginnings of lines are taken off.  A sentence may run over several lines.  Each is normalised (words in lower case; a notice's
 lead as in "this software is released under the" becomes "under"), and known license sentences become their
-identifiers; the rest disappear.  A sentence that is not known as a whole is looked up without its first one or two lines, then line by line.  The
+identifiers; the rest disappear.  A sentence that is not known as a whole is looked up without its first lines, as few as will do, then line by line.  The
 sequence of identifiers is then matched against ordered rules: a rule claims each place where its identifiers stand next to each
 other, and what it claims is taken out of the sequence before the next rule looks, so full texts go before notices.
 
@@ -168,6 +168,8 @@ LEAD = r"^(?:(?:this|the|that|all) (?:[a-z]+ )?(?:is|are) |it is )?(?:dual )?(?:
 LIKELY = ("licen", "copyright", "permission", "software", "rights", "redistribut", "warrant", "copy", "liable", "terms", "public", "mpl", "cc0", "under")
 _PATTERN = "(?i)" + "|".join(LIKELY)
 
+MOST_WORDS = max(len(s.split()) for s in SENTENCES) + 8  # and those of a notice's lead
+
 
 def _mark(ids: str) -> str:
     return "".join(f"<{x}>" for x in ids.split())
@@ -184,12 +186,14 @@ def _sequence(text: Column) -> Column:
     some = F.filter(F.split(plain, ENDS), lambda s: s.rlike(_PATTERN))
     name = lambda w: F.when(w.isin(*SENTENCES), F.concat(F.lit("<"), F.element_at(known, w), F.lit(">")))
     lines = lambda x, n: F.array_join(F.transform(F.slice(x, 1, n), lambda s: F.coalesce(name(_normal(s)), F.lit(""))), "")
-    tail = lambda x, n: name(_normal(F.array_join(F.slice(x, n + 1, F.greatest(F.size(x) - n, F.lit(0))), " ")))
+    tail = lambda x, n: name(_normal(F.array_join(F.slice(x, n + 1, F.size(x) - n), " ")))
 
     def parts(x: Column) -> Column:
-        first = F.when(F.size(x) > 1, F.concat(lines(x, 1), tail(x, 1)))
-        second = F.when(F.size(x) > 2, F.concat(lines(x, 2), tail(x, 2)))
-        return F.coalesce(first, second, F.when(F.size(x) > 1, lines(x, F.size(x))), F.lit(""))
+        # a known sentence has no more lines than words, so longer ends need not be looked up
+        starts = F.sequence(F.greatest(F.lit(1), F.size(x) - MOST_WORDS), F.size(x) - 1)
+        ends = F.filter(F.transform(starts, lambda n: F.struct(n.alias("n"), tail(x, n).alias("id"))), lambda e: e["id"].isNotNull())
+        best = let(F.get(ends, F.lit(0)), lambda e: F.when(e.isNotNull(), F.concat(lines(x, e["n"]), e["id"])))
+        return F.when(F.size(x) > 1, F.coalesce(best, lines(x, F.size(x)))).otherwise(F.lit(""))
 
     found = F.transform(some, lambda s: F.coalesce(name(_normal(s)), let(F.split(s, "\n"), parts)))
     return F.when(text.rlike(_PATTERN), F.array_join(found, "")).otherwise(F.lit(""))
@@ -245,11 +249,11 @@ WITH k(s, id) AS (VALUES {table}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, string_split_regex(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '{marks}', '\1', 'g'), '{ends}') AS pieces FROM documents),
 p AS (SELECT rid, i, piece, string_split(piece, chr(10)) AS ln FROM (SELECT rid, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM d)),
 l AS (SELECT rid, i, j, k.id FROM (SELECT rid, i, unnest(ln) AS x, generate_subscripts(ln, 1) AS j FROM p WHERE len(ln) > 1) JOIN k ON k.s = {normal('x')}),
-la AS (SELECT rid, i, string_agg(id, '' ORDER BY j) AS every, coalesce(string_agg(id, '' ORDER BY j) FILTER (j < 2), '') AS one, coalesce(string_agg(id, '' ORDER BY j) FILTER (j < 3), '') AS two FROM l GROUP BY rid, i),
+e AS (SELECT rid, i, min(n) AS n, arg_min(k.id, n) AS id FROM (SELECT rid, i, ln, unnest(range(greatest(1, len(ln) - {MOST_WORDS}), len(ln))) AS n FROM p WHERE len(ln) > 1) JOIN k ON k.s = {normal("array_to_string(ln[n + 1:], ' ')")} GROUP BY rid, i),
+la AS (SELECT l.rid, l.i, string_agg(l.id, '' ORDER BY j) AS every, coalesce(string_agg(l.id, '' ORDER BY j) FILTER (j <= e.n), '') AS before FROM l LEFT JOIN e ON e.rid = l.rid AND e.i = l.i GROUP BY l.rid, l.i),
 m AS (
-  SELECT p.rid, p.i, coalesce(k0.id, coalesce(la.one, '') || k1.id, coalesce(la.two, '') || k2.id, la.every) AS id
-  FROM p LEFT JOIN la ON la.rid = p.rid AND la.i = p.i LEFT JOIN k k0 ON k0.s = {normal('piece')}
-  LEFT JOIN k k1 ON len(ln) > 1 AND k1.s = {normal("array_to_string(ln[2:], ' ')")} LEFT JOIN k k2 ON len(ln) > 2 AND k2.s = {normal("array_to_string(ln[3:], ' ')")}
+  SELECT p.rid, p.i, coalesce(k0.id, coalesce(la.before, '') || e.id, la.every) AS id
+  FROM p LEFT JOIN la ON la.rid = p.rid AND la.i = p.i LEFT JOIN k k0 ON k0.s = {normal('piece')} LEFT JOIN e ON e.rid = p.rid AND e.i = p.i
 ),
 seq AS (SELECT d.doc_id, coalesce(string_agg(m.id, '' ORDER BY m.i), '') AS rest0 FROM d LEFT JOIN m ON m.rid = d.rid AND m.id <> '' GROUP BY d.rid, d.doc_id),
 {", ".join(steps)}

@@ -233,3 +233,14 @@ def test_licenses(spark):
     assert got[5][1] == ["Apache-2.0", "CC-BY-NC-4.0"] and got[6] == (["apache2_limits"], [], ["apache2_limits"])
     assert len(got[8][0]) == 2000 and got[8][1] == ["MIT"] and got[9][1] == ["Apache-2.0"] and got[10][1] == ["MPL-2.0"]
     assert hashlib and licenses.license_findings(docs.where("false")).count() == 0
+
+
+def test_license_after_many_lines_without_a_stop(spark):
+    """A wrapped grant is found however many unrelated lines stand before it."""
+    from motifspark.llm import licenses
+
+    grant = next(s for s, i in licenses.SENTENCES.items() if i == "mit_grant").split()
+    wrapped = "\n".join(" ".join(grant[k : k + 9]) for k in range(0, len(grant), 9)) + ":\n"
+    docs = [(n, "\n".join(f"Copyright {2000 + k} Someone" for k in range(n)) + "\n" + wrapped) for n in (1, 2, 3, 7, 200)]
+    got = {r["doc_id"]: r["sentence_ids"] for r in licenses.license_findings(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {n: ["mit_grant"] for n, _ in docs}
