@@ -15,10 +15,14 @@ from ..operators.motif import Motif, alphas, from_pwm, joints
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(seq_id, header, seq, L, file): one row per record; headers end at a tab or carriage return, blank lines and
     records without sequence are left out.  seq_id is a hash of the file's name, the record and, for records that are the same, their
-    running number, so it does not depend on splits or partitions."""
+    running number, so it does not depend on splits or partitions.  A record is a row; ``operators.pieces`` reads long ones in pieces."""
     raw = spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_path").alias("f")).where(F.trim("value") != "")
     same = Window.partitionBy("h", "h2").orderBy("f")  # the records with equal hashes
-    raw = raw.select("value", "f", F.xxhash64("f", "value").alias("h"), F.xxhash64(F.lit(1), "f", "value").alias("h2")).withColumn("k", F.row_number().over(same))
+    raw = raw.select("value", "f", F.xxhash64("f", "value").alias("h"), F.xxhash64(F.lit(1), "f", "value").alias("h2"))
+    # only records that occur again are numbered, so that the others stay where they are read
+    again = raw.groupBy("h", "h2").count().where("count > 1").select("h", "h2")
+    once = raw.join(again, ["h", "h2"], "left_anti").withColumn("k", F.lit(1))
+    raw = once.unionByName(raw.join(again, ["h", "h2"], "left_semi").withColumn("k", F.row_number().over(same)))
     rec = raw.select(F.xxhash64("h", "h2", "k").alias("seq_id"), "f", F.split("value", "\n", 2).alias("p"))
     seq = F.upper(F.regexp_replace(F.coalesce(F.get("p", F.lit(1)), F.lit("")), "[\r\n]", ""))
     out = rec.select("seq_id", F.concat(F.lit(">"), F.regexp_extract(F.get("p", F.lit(0)), "^([^\t\r]*)", 1)).alias("header"), seq.alias("seq"), basename(F.col("f")).alias("file"))
