@@ -5,6 +5,7 @@ the UTF-8 bytes of some documents and their offsets, without a Python object per
 """
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 
@@ -153,6 +154,15 @@ def new_name(wanted: str, taken: list[str]) -> str:
     return wanted
 
 
+def released() -> None:
+    """Give freed memory back to the system: Python workers live on, and the next stage's would come on top."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_text(
     df: DataFrame,
     text_col: str,
@@ -191,6 +201,7 @@ def map_text(
                     columns.append(value if isinstance(value, pa.Array) else pa.array(value, arrow.field(carried + k).type))
                 made = pa.RecordBatch.from_arrays(columns, schema=arrow)
                 yield made.filter(pa.array(got["__keep"])) if "__keep" in got else made
+        released()
 
     mapped = inner.mapInArrow(run, schema)
     return mapped.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], *[F.col(f"__n{i}").alias(c) for i, c in enumerate(names)])

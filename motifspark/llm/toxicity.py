@@ -28,7 +28,7 @@ HIDDEN, INPUT = 8, 12
 BUCKETS = 1 << 15
 PER_CLASS = 1500
 THRESHOLD = 0.3
-CHUNK = 800_000  # bytes of text scored at once
+CHUNK = 400_000  # bytes of text scored at once
 N_FEATURES = 5  # the word, its first 3, 4, 5 bytes, its last 3
 
 
@@ -169,7 +169,7 @@ class Network:
         start, size, row = windows(chunk)
         return self.window_logits(feats, word, start, size), row
 
-    def window_logits(self, feats: np.ndarray, word: np.ndarray, start: np.ndarray, size: np.ndarray, batch: int = 4096) -> np.ndarray:
+    def window_logits(self, feats: np.ndarray, word: np.ndarray, start: np.ndarray, size: np.ndarray, batch: int = 1024) -> np.ndarray:
         _, gates = self.project(feats)
         out = np.zeros(len(size), np.float32)
         order = np.argsort(size, kind="stable")
