@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import uniform
 from .background import Background
 from .motif import Motif, conditionals, joints, score_table
-from .score import batches_of
+from .score import Grams, batches_of
 
 EPSILON, MAX_ITERATIONS, SITE_CUTOFF = 0.01, 1000, 0.3
 
@@ -30,28 +30,39 @@ class Cells:
     table: np.ndarray
     q: float
     cutoff: int
+    order: int = 0  # of the batches in which responsibilities were compared
 
-    def chosen(self, batch) -> np.ndarray:
-        """Of the batch's windows.  The table is of order 0; the numbers of longer contexts end in their last base."""
-        high = int(batch.ctx.max()) + 1 if len(batch.ctx) else 1
-        return _units(_posterior(batch, np.tile(self.table, (-(-high // len(self.table)), 1)), self.q)[1]) >= self.cutoff
+    def grams(self, order: int, ab) -> Grams:
+        """For batches of an order.  The table is of order 0; the numbers of longer contexts end in their last base."""
+        contexts = sum(ab.size ** (i + 1) for i in range(order + 1))
+        return Grams(np.tile(self.table, (-(-contexts // len(self.table)), 1)), order, ab, exp=True)
+
+    def chosen(self, batch, grams: Grams | None = None) -> np.ndarray:
+        """Of the batch's windows."""
+        return _units(_posterior(batch, grams or self.grams(batch.order, batch.ab), self.q)[1]) >= self.cutoff
 
 
 def _units(r: np.ndarray) -> np.ndarray:
     return np.rint(r * SCALE).astype(np.int64)
 
 
-def _posterior(batch, table, q, cells: Cells | None = None):
-    """Windows, their responsibilities, their rows, log of the norm of each row, and the windows of each row."""
-    s = batch.windows(table.shape[1])
-    odds = np.exp(batch.sums(table, s))
-    row = batch.row[s]
-    count = np.bincount(row, minlength=batch.n)
+def _posterior(batch, table: Grams, q: float, cells: Cells | None = None, cell_grams: Grams | None = None):
+    """Windows, their responsibilities, their rows, log of the norm of each row, and the windows of each row.  table: of odds."""
+    s = batch.windows(table.width)
+    bounds = batch.bounds(s)
+    count = np.diff(bounds)
+    row = np.repeat(np.arange(batch.n), count)
+    odds = table.of(batch, s)
     if cells is not None:
-        odds = np.where(cells.chosen(batch), odds, 0.0)
-    odds *= (q / np.maximum(count, 1))[row]
-    norm = (1 - q) + np.bincount(row, odds, batch.n)
-    return s, odds / norm[row], row, np.where(count > 0, np.log(norm), 0.0), count
+        odds *= cells.chosen(batch, cell_grams)
+    share = q / np.maximum(count, 1)
+    some = np.flatnonzero(count)
+    total = np.zeros(batch.n)
+    if len(some):
+        total[some] = np.add.reduceat(odds, bounds[:-1][some])
+    norm = (1 - q) + total * share
+    odds *= (share / norm)[row]
+    return s, odds, row, np.where(count > 0, np.log(norm), 0.0), count
 
 
 def responsibilities(strands: DataFrame, m: Motif, bg: Background, at_least: float = 0.0) -> DataFrame:
@@ -60,7 +71,7 @@ def responsibilities(strands: DataFrame, m: Motif, bg: Background, at_least: flo
     order, ab = m.order, bg.ab
 
     def run(it):
-        table, q = sent.value
+        table, q = Grams(sent.value[0], order, ab, exp=True), sent.value[1]
         for b in it:
             for i, batch in batches_of(b.column(1), order, ab):
                 s, r, row, _, _ = _posterior(batch, table, q)
@@ -90,20 +101,22 @@ def expected_counts_many(
     at = np.concatenate([[0], np.cumsum([c * w + 3 for c, w in zip(contexts, widths)])])
 
     def run(it):
-        flat = np.zeros(at[-1])
-        orders = sorted({m[0] for m in sent.value})
+        models = [(o, Grams(table, o, ab, exp=True), q, c, c and c.grams(o, ab), out) for o, table, q, c, out in sent.value]
+        sums, ends = [m[1].empty() for m in models], np.zeros((len(models), 3))
+        orders = sorted({m[0] for m in models})
         for b in it:
             fold = np.asarray(b.column(4))
             for order in orders:
                 for i, batch in batches_of(b.column(1), order, ab):
-                    for k, (o, table, q, chosen, out) in enumerate(sent.value):
+                    for k, (o, table, q, chosen, grams, out) in enumerate(models):
                         if o == order:
                             use = None if out is None else fold[i : i + batch.n] != out
-                            flat[at[k] : at[k + 1]] += one(b, i, batch, table, q, chosen, use)
+                            ends[k] += one(b, i, batch, table, q, chosen, grams, use, sums[k])
+        flat = np.concatenate([np.r_[m[1].by_context(x).ravel(), e] for m, x, e in zip(models, sums, ends)])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "x"])
 
-    def one(b, i, batch, table, q, chosen, use) -> np.ndarray:
-        s, r, row, llh, count = _posterior(batch, table, q, chosen)
+    def one(b, i, batch, table, q, chosen, grams, use, sums) -> np.ndarray:
+        s, r, row, llh, count = _posterior(batch, table, q, chosen, grams)
         if sample_seed is not None:
             u = np.asarray(b.column(3))[i : i + batch.n]
             upto = np.cumsum(r)
@@ -117,8 +130,8 @@ def expected_counts_many(
             r = np.where(r >= at_least, r, 0.0)
         if use is not None:
             r, llh, count = np.where(use[row], r, 0.0), np.where(use, llh, 0.0), np.where(use, count, 0)
-        sums = np.stack([np.bincount(batch.ctx[s + j], r, len(table)) for j in range(table.shape[1])], axis=1)
-        return np.r_[sums.ravel(), llh.sum(), r.sum(), (count > 0).sum()]
+        table.add(sums, batch, s, r)
+        return np.array([llh.sum(), r.sum(), (count > 0).sum()])
 
     draw = uniform(sample_seed, F.col("seq_id"), F.lit("site")) if sample_seed is not None else F.lit(0.0)
     fold = F.col("fold") if held_out else F.lit(0)
@@ -209,17 +222,18 @@ def top_cells(strands: DataFrame, m: Motif, bg: Background, share: float = 0.05)
     """
     zero = Motif(m.v[:1], m.p[:1], m.n[:1], m.alpha[:1], m.q, m.name, m.ab)
     table, bits = _table(zero, bg), 14
-    sent, ab = strands.sparkSession.sparkContext.broadcast((table, m.q)), bg.ab
+    cells, ab = Cells(table, m.q, 0, m.order), bg.ab
+    sent = strands.sparkSession.sparkContext.broadcast(cells)
     prefix, place = 0, None
     for turn in (2, 1, 0):
         low = bits * turn
 
         def run(it, prefix=prefix, low=low):
-            t, q = sent.value
-            counts = np.zeros(1 << bits, np.int64)
+            cells, counts = sent.value, np.zeros(1 << bits, np.int64)
+            grams = cells.grams(cells.order, ab)
             for b in it:
-                for _, batch in batches_of(b.column(0), 0, ab):
-                    u = _units(_posterior(batch, t, q)[1])
+                for _, batch in batches_of(b.column(0), cells.order, ab):
+                    u = _units(_posterior(batch, grams, cells.q)[1])
                     counts += np.bincount((u[(u >> low + bits) == prefix] >> low) & ((1 << bits) - 1), minlength=1 << bits)
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["u", "n"])
@@ -227,14 +241,14 @@ def top_cells(strands: DataFrame, m: Motif, bg: Background, share: float = 0.05)
         rows = strands.select("dseq").mapInArrow(run, "u long, n long").groupBy("u").agg(F.sum("n").alias("n")).orderBy(F.desc("u")).collect()  # 2^14 rows at most
         total = sum(r["n"] for r in rows)
         if not total:
-            return Cells(table, m.q, 0)
+            return cells
         place = min(int(total * share), total - 1) if place is None else place
         for r in rows:
             if place < r["n"]:
                 prefix = (prefix << bits) | r["u"]
                 break
             place -= r["n"]
-    return Cells(table, m.q, prefix)
+    return Cells(table, m.q, prefix, m.order)
 
 
 def masked_optimize(strands: DataFrame, m: Motif, bg: Background, share: float = 0.05, **options) -> Fit:
@@ -250,10 +264,11 @@ def chosen_windows(strands: DataFrame, cells: Cells, bg: Background) -> DataFram
     sent, ab = strands.sparkSession.sparkContext.broadcast(cells), bg.ab
 
     def run(it):
+        grams = sent.value.grams(sent.value.order, ab)
         for b in it:
-            for i, batch in batches_of(b.column(1), 0, ab):
-                s = batch.windows(sent.value.table.shape[1])
-                s = s[sent.value.chosen(batch)]
+            for i, batch in batches_of(b.column(1), sent.value.order, ab):
+                s = batch.windows(grams.width)
+                s = s[sent.value.chosen(batch, grams)]
                 row = batch.row[s]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + i)), pa.array((s - batch.off[row]).astype(np.int32))], names=["seq_id", "start"])
 

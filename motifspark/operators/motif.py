@@ -94,8 +94,9 @@ def site_counts(sites: DataFrame, order: int, width: int, by: list[str] | None =
     """(by..., k, j, kmer, n): counts of the (k + 1)-mers that end at position j >= k of the sites."""
     ends = F.explode(F.expr(f"flatten(transform(sequence(0, {width - 1}), j -> transform(sequence(0, least(j, {order})), k -> struct(k AS k, j AS j))))")).alias("e")
     by = by or []
-    cut = sites.select("site", *by, ends).select(*by, "e.k", "e.j", F.expr("substring(site, e.j - e.k + 1, e.k + 1)").alias("kmer"))
-    return cut.groupBy(*by, "k", "j", "kmer").agg(F.count("*").alias("n"))
+    distinct = sites.groupBy("site", *by).agg(F.count("*").alias("n"))
+    cut = distinct.select("site", "n", *by, ends).select(*by, "n", "e.k", "e.j", F.expr("substring(site, e.j - e.k + 1, e.k + 1)").alias("kmer"))
+    return cut.groupBy(*by, "k", "j", "kmer").agg(F.sum("n").alias("n"))
 
 
 def checked_sites(sites: DataFrame, width: int, order: int, keep: list[str] | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from .background import Background, kmer_of
 from .em import _table, optimize_many, roll_up
 from .motif import PSEUDO, Motif
 from .ranking import scan
-from .score import Batch, _tables, batches_of
+from .score import Batch, Grams, _tables, batches_of, by_grams
 
 PIECE = 1_000_000
 BROADCAST_RECORDS = 1_000_000
@@ -84,7 +84,7 @@ class _Piece:
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts in the batch and their rows."""
         s = self.batch.windows(width)
-        row = self.batch.row[s]
+        row = self.batch.rows(s)
         local = s - self.batch.off[row]
         left = np.where(self.minus[row], np.diff(self.batch.off)[row] - width - local, local)
         own = (left >= self.lo[row]) & (left < self.hi[row])
@@ -127,12 +127,13 @@ def all_scores(strand_pieces: DataFrame, motifs: list[Motif], bg: Background, ps
     sent, order, ab = strand_pieces.sparkSession.sparkContext.broadcast(_tables(motifs, bg, pseudo)), [m.order for m in motifs], bg.ab
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = by_grams(sent.value, order, ab)
         for b in it:
-            for m, table in enumerate(sent.value):
+            for m, table in enumerate(tables):
                 for p in _pieces(b, order[m], ab):
-                    s, row = p.windows(table.shape[1])
+                    s, row = p.windows(table.width)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(s), m, np.int32)), p.part.column("seq_id").take(pa.array(row)), pa.array(p.L[row]), pa.array(p.starts(s, row)), pa.array(p.batch.sums(table, s))],
+                        [pa.array(np.full(len(s), m, np.int32)), p.part.column("seq_id").take(pa.array(row)), pa.array(p.L[row]), pa.array(p.starts(s, row)), pa.array(table.of(p.batch, s))],
                         names=["motif_id", "seq_id", "L", "start", "score"],
                     )
 
@@ -148,13 +149,14 @@ def best_scores(strand_pieces: DataFrame, motifs: list[Motif], bg: Background, p
     sent, order, ab = strand_pieces.sparkSession.sparkContext.broadcast(_tables(motifs, bg, pseudo)), [m.order for m in motifs], bg.ab
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = by_grams(sent.value, order, ab)
         for b in it:
-            for m, table in enumerate(sent.value):
+            for m, table in enumerate(tables):
                 for p in _pieces(b, order[m], ab):
-                    s, row = p.windows(table.shape[1])
+                    s, row = p.windows(table.width)
                     if not len(s):
                         continue
-                    score = p.batch.sums(table, s)
+                    score = table.of(p.batch, s)
                     near = np.round(score, digits)
                     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
                     count = np.diff(np.r_[first, len(s)])
@@ -177,10 +179,11 @@ def _norms(strand_pieces: DataFrame, m: Motif, bg: Background) -> DataFrame:
     sent, order, ab = strand_pieces.sparkSession.sparkContext.broadcast(_table(m, bg)), m.order, bg.ab
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Grams(sent.value, order, ab, exp=True)
         for b in it:
             for p in _pieces(b, order, ab):
-                s, row = p.windows(sent.value.shape[1])
-                odds = np.bincount(row, np.exp(p.batch.sums(sent.value, s)), p.batch.n)
+                s, row = p.windows(table.width)
+                odds = np.bincount(row, table.of(p.batch, s), p.batch.n)
                 yield pa.RecordBatch.from_arrays([p.part.column("seq_id"), pa.array(odds), pa.array(np.bincount(row, minlength=p.batch.n))], names=["r_id", "odds", "windows"])
 
     kind = strand_pieces.schema["seq_id"].dataType.simpleString()
@@ -202,16 +205,17 @@ def expected_counts(strand_pieces: DataFrame, m: Motif, bg: Background, at_least
     contexts = len(sent.value)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, total = np.zeros((contexts, W)), 0.0
+        table, total = Grams(sent.value, K, ab, exp=True), 0.0
+        sums = table.empty()
         for b in it:
             for p in _pieces(b, K, ab):
                 s, row = p.windows(W)
-                r = np.exp(p.batch.sums(sent.value, s)) * np.asarray(p.part.column("factor"))[row]
-                r = np.where(r >= at_least, r, 0.0)
+                r = table.of(p.batch, s) * np.asarray(p.part.column("factor"))[row]
+                if at_least:
+                    r = np.where(r >= at_least, r, 0.0)
                 total += r.sum()
-                for j in range(W):
-                    sums[:, j] += np.bincount(p.batch.ctx[s + j], r, contexts)
-        flat = np.r_[sums.ravel(), total]
+                table.add(sums, p.batch, s, r)
+        flat = np.r_[table.by_context(sums).ravel(), total]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "x"])
 
     flat = np.zeros(contexts * W + 1)

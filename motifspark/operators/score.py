@@ -2,17 +2,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property, lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import STANDARD, Alphabet, doubled
-from .background import Background
-from .motif import PSEUDO, Motif, score_table, score_table_df
+from .background import Background, kmer_of
+from .motif import PSEUDO, Motif, score_table
 
-CHUNK = 1_000_000
+CHUNK = 250_000  # letters of a batch: its arrays, some 50 bytes a letter, stay small at any size of the input
+GRAMS = 100_000
+HALF, BLOCK = 20_000, 64
+COUNTED = 1_000_000  # different scores that a task holds
 
 
 def scored_strands(seqs: DataFrame, single: bool = False, ab: Alphabet = STANDARD) -> DataFrame:
@@ -21,47 +26,172 @@ def scored_strands(seqs: DataFrame, single: bool = False, ab: Alphabet = STANDAR
     return seqs.select("seq_id", (F.col("seq") if single else doubled(F.col("seq"), ab)).alias("dseq"), F.length("seq").alias("L"), *kept)
 
 
+@lru_cache(8)
+def _grams(order: int, size: int) -> tuple[int, np.ndarray | None]:
+    """How many window places g a gram covers, and the context of each of them in every gram (grams, g), the last letter's first.
+
+    A gram is a number of g + order letters in base size + 1; 0 is an unknown base or none.  Where even one place takes more than
+    GRAMS of them, grams are contexts.
+    """
+    base = size + 1
+    if base ** (order + 1) > GRAMS:
+        return 1, None
+    g = 1
+    while base ** (g + 1 + order) <= GRAMS:
+        g += 1
+    y = np.arange(base ** (g + order))
+    letters = [y // base**d % base for d in range(g + order)]  # from the last one back
+    offset = np.concatenate([[0], np.cumsum([size ** (i + 1) for i in range(order + 1)])])
+    out = np.zeros((len(y), g), np.int64)
+    for i in range(g):
+        number, known, length = np.zeros_like(y), np.ones(len(y), bool), np.zeros_like(y)
+        for d in range(order + 1):
+            known &= letters[i + d] > 0
+            number += np.where(known, (letters[i + d] - 1) * size**d, 0)
+            length += known
+        out[:, i] = np.where(length > 0, offset[np.maximum(length - 1, 0)] + number, 0)
+    return g, out
+
+
+class Grams:
+    """A table (contexts, W) by grams: a window is the sum, or the product, of some look-ups instead of W."""
+
+    def __init__(self, table: np.ndarray, order: int, ab: Alphabet = STANDARD, exp: bool = False):
+        self.group, self.contexts = _grams(order, ab.size)
+        self.width, self.shape = table.shape[1], table.shape
+        self.exp, self.parts = exp, []
+        for first in range(0, self.width, self.group):
+            last = min(first + self.group, self.width) - 1
+            if self.contexts is None:
+                part = np.ascontiguousarray(table[:, last])
+            else:
+                part = np.zeros(len(self.contexts))
+                for j in range(first, last + 1):
+                    part += table[self.contexts[:, last - j], j]
+            self.parts.append((first, last, np.exp(part) if exp else part))
+
+    def of(self, batch: Batch, starts: np.ndarray) -> np.ndarray:
+        out = None
+        for _, last, part in self.parts:
+            x = part[batch.grams[starts + last]]
+            if out is None:
+                out = x
+            elif self.exp:
+                out *= x
+            else:
+                out += x
+        return out
+
+    def add(self, sums: list[np.ndarray], batch: Batch, starts: np.ndarray, weights: np.ndarray) -> None:
+        """Adds the weights of windows to ``sums``, one array of grams a part (``empty``)."""
+        for (_, last, _), x in zip(self.parts, sums):
+            x += np.bincount(batch.grams[starts + last], weights, len(x))
+
+    def empty(self) -> list[np.ndarray]:
+        return [np.zeros(len(part)) for _, _, part in self.parts]
+
+    def by_context(self, sums: list[np.ndarray]) -> np.ndarray:
+        """Sums of grams as (contexts, W)."""
+        out = np.zeros(self.shape)
+        for (first, last, _), x in zip(self.parts, sums):
+            for j in range(first, last + 1):
+                out[:, j] = x if self.contexts is None else np.bincount(self.contexts[:, last - j], x, len(out))
+        return out
+
+
 class Batch:
-    """Sequences of a batch laid end to end.  ctx: number of each position's context, of order min(K, valid bases before it)."""
+    """Sequences of a batch laid end to end.
+
+    base: 0 for an unknown base, else 1, 2, ...; ctx: number of each position's context, of order min(K, valid bases before it); grams: see ``Grams``.
+    """
 
     def __init__(self, data: np.ndarray, off: np.ndarray, order: int, ab: Alphabet = STANDARD):
-        code = np.full(256, 255, np.uint8)
+        code = np.zeros(256, np.uint8)
         for i, b in enumerate(ab.bases):
-            code[[ord(b), ord(b.lower())]] = i
-        self.off, self.n = off, len(off) - 1
-        c = code[data].astype(np.int64)
-        at = np.arange(len(c))
-        known = c < ab.size
-        last = np.maximum.accumulate(np.where(known, -1, at)) if len(c) else at
-        first = np.repeat(off[:-1], np.diff(off))
-        self.run = at - np.maximum(last, first - 1)  # valid bases that end here
+            code[[ord(b), ord(b.lower())]] = i + 1
+        self.off, self.n, self.order, self.ab = off, len(off) - 1, order, ab
+        self.base = code[data]
+
+    @cached_property
+    def run(self) -> np.ndarray:
+        """Valid bases that end at each position."""
+        at = np.arange(len(self.base))
+        last = np.maximum.accumulate(np.where(self.base > 0, -1, at)) if len(at) else at
+        return at - np.maximum(last, np.repeat(self.off[:-1], np.diff(self.off)) - 1)
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(self.n), np.diff(self.off))
+
+    def _letters(self, length: int) -> np.ndarray:
+        """The number of the last ``length`` letters at each position; before a sequence's start they are 0."""
+        base = self.ab.size + 1
+        out, have = self.base.astype(np.int64), 1
+        one = out
+        while have < length:
+            step = min(have, length - have)
+            part = out if step == have else out % base**step
+            more = out.copy()
+            more[have:] += part[:-have] * base**have if have < len(part) else 0
+            out, have = more, have + step
+        if out is one:
+            out = one.copy()
+        size = np.diff(self.off)
+        for i in range(min(length - 1, len(self.base))):
+            at = self.off[:-1][size > i] + i
+            out[at] %= base ** (i + 1)
+        return out
+
+    @cached_property
+    def grams(self) -> np.ndarray:
+        g, contexts = _grams(self.order, self.ab.size)
+        return self.ctx if contexts is None else self._letters(g + self.order)
+
+    @cached_property
+    def ctx(self) -> np.ndarray:
+        size, order = self.ab.size, self.order
+        if _grams(order, size)[1] is not None:
+            return _one_context(order, size)[self._letters(order + 1)]
         k = np.minimum(self.run, order + 1) - 1
-        y = np.where(known, c, 0)
+        y = np.maximum(self.base.astype(np.int64) - 1, 0)
         full = y.copy()
         for d in range(1, order + 1):
             before = np.zeros_like(y)
             before[d:] = y[:-d]
-            full += np.where(k >= d, before, 0) * ab.size**d
-        offset = np.concatenate([[0], np.cumsum([ab.size ** (i + 1) for i in range(order + 1)])])
-        self.ctx = np.where(k >= 0, offset[np.maximum(k, 0)] + full, 0)
-        self.row = np.repeat(np.arange(self.n), np.diff(off))
+            full += np.where(k >= d, before, 0) * size**d
+        offset = np.concatenate([[0], np.cumsum([size ** (i + 1) for i in range(order + 1)])])
+        return np.where(k >= 0, offset[np.maximum(k, 0)] + full, 0)
 
     def windows(self, width: int) -> np.ndarray:
         """Starts of the windows without an unknown base."""
-        return np.flatnonzero(self.run >= width) - (width - 1)
+        ok = np.ones(len(self.base), bool)
+        for at, least in ((np.flatnonzero(self.base == 0), 0), (self.off[1:], 1)):
+            for j in range(least, width):
+                ok[at[at >= j] - j] = False
+        return np.flatnonzero(ok)
+
+    def bounds(self, starts: np.ndarray) -> np.ndarray:
+        """The place of each row's first window, and the end."""
+        return np.searchsorted(starts, self.off)
+
+    def rows(self, starts: np.ndarray) -> np.ndarray:
+        return np.repeat(np.arange(self.n), np.diff(self.bounds(starts)))
 
     def sums(self, table: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """table (contexts, W): the sum over each window."""
-        out = np.zeros(len(starts))
-        for j in range(table.shape[1]):
-            out += table[self.ctx[starts + j], j]
-        return out
+        return Grams(table, self.order, self.ab).of(self, starts)
 
     def per_row(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that have windows, and the first window of each."""
-        row = self.row[starts]
-        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-        return row[first], first
+        bounds = self.bounds(starts)
+        some = np.flatnonzero(np.diff(bounds))
+        return some, bounds[:-1][some]
+
+
+@lru_cache(8)
+def _one_context(order: int, size: int) -> np.ndarray:
+    """The context of every number of order + 1 letters."""
+    return _grams(order, size)[1][: (size + 1) ** (order + 1), 0]
 
 
 def batches_of(column: pa.Array, order: int, ab: Alphabet = STANDARD, letters: int = CHUNK) -> Iterator[tuple[int, Batch]]:
@@ -81,6 +211,10 @@ def _tables(motifs: list[Motif], bg: Background, pseudo: float) -> list[np.ndarr
     return [np.concatenate(score_table(m, bg, pseudo)) for m in motifs]
 
 
+def by_grams(tables: list[np.ndarray], order: list[int], ab: Alphabet) -> list[Grams]:
+    return [Grams(t, k, ab) for t, k in zip(tables, order)]
+
+
 def _windows(b: pa.RecordBatch, i: int, batch: Batch, width: int, fold: int | None) -> np.ndarray:
     """Starts of the windows, of one fold's rows only where there is one."""
     s = batch.windows(width)
@@ -96,14 +230,15 @@ def all_scores(strands: DataFrame, motifs: list[Motif], bg: Background, pseudo:
     sent = spark.sparkContext.broadcast(_tables(motifs, bg, pseudo))
 
     def run(it):
+        tables = by_grams(sent.value, order, ab)
         for b in it:
-            for m, table in enumerate(sent.value):
+            for m, table in enumerate(tables):
                 for i, batch in batches_of(b.column(1), order[m], ab):
-                    s = _windows(b, i, batch, table.shape[1], only and only[m])
-                    row = batch.row[s]
+                    s = _windows(b, i, batch, table.width, only and only[m])
+                    row = batch.rows(s)
                     take = pa.array(row + i)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(s), m, np.int32)), b.column(0).take(take), b.column(2).take(take), pa.array((s - batch.off[row]).astype(np.int32)), pa.array(batch.sums(table, s))],
+                        [pa.array(np.full(len(s), m, np.int32)), b.column(0).take(take), b.column(2).take(take), pa.array((s - batch.off[row]).astype(np.int32)), pa.array(table.of(batch, s))],
                         names=["motif_id", "seq_id", "L", "start", "score"],
                     )
 
@@ -111,6 +246,47 @@ def all_scores(strands: DataFrame, motifs: list[Motif], bg: Background, pseudo:
     return strands.select("seq_id", "dseq", "L", *(["fold"] if only else [])).mapInArrow(run, f"motif_id int, seq_id {kind}, L int, start int, score double")
 
 
+def score_counts(strands: DataFrame, m: Motif, bg: Background, digits: int, pseudo: float = PSEUDO) -> DataFrame:
+    """(score, pos, neg): how many windows of positive sequences (``is_pos`` 1) and of null ones have each rounded score.
+
+    Tasks add up equal scores, so what is shuffled grows with the number of different windows.
+    """
+    order, ab = m.order, bg.ab
+    sent = strands.sparkSession.sparkContext.broadcast(_tables([m], bg, pseudo)[0])
+
+    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        score, n = (np.concatenate(x) for x in zip(*parts))
+        distinct, at = np.unique(score, return_inverse=True)
+        return distinct, np.stack([np.bincount(at, n[:, k], len(distinct)) for k in (0, 1)], axis=1)
+
+    def run(it):
+        table, parts, size = Grams(sent.value, order, ab), [], 0
+
+        def rows(parts):
+            score, n = merged(parts)
+            for a in range(0, len(score), COUNTED // 10):
+                x = slice(a, a + COUNTED // 10)
+                yield pa.RecordBatch.from_arrays([pa.array(score[x]), *[pa.array(n[x, k].astype(np.int64)) for k in (0, 1)]], names=["score", "pos", "neg"])
+
+        for b in it:
+            for i, batch in batches_of(b.column(0), order, ab):
+                s = batch.windows(table.width)
+                pos = np.asarray(b.column(1))[i : i + batch.n][batch.rows(s)]
+                parts.append(merged([(table.of(batch, s), np.stack([pos, 1 - pos], axis=1))]))
+                size += len(parts[-1][0])
+                if size > COUNTED:
+                    parts = [merged(parts)]
+                    size = len(parts[0][0])
+                    if size > COUNTED // 2:
+                        yield from rows(parts)
+                        parts, size = [], 0
+        if size:
+            yield from rows(parts)
+
+    counted = strands.select("dseq", F.col("is_pos").cast("int")).mapInArrow(run, "score double, pos long, neg long")
+    return counted.groupBy(F.round("score", digits).alias("score")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
 def best_scores(strands: DataFrame, motifs: list[Motif], bg: Background, pseudo: float = PSEUDO, only: list[int] | None = None) -> DataFrame:
     """(motif_id, seq_id, L, start, score, windows): the best window of each sequence, the first of equals.
 
@@ -120,13 +296,14 @@ def best_scores(strands: DataFrame, motifs: list[Motif], bg: Background, pseudo:
     sent = spark.sparkContext.broadcast(_tables(motifs, bg, pseudo))
 
     def run(it):
+        tables = by_grams(sent.value, order, ab)
         for b in it:
-            for m, table in enumerate(sent.value):
+            for m, table in enumerate(tables):
                 for i, batch in batches_of(b.column(1), order[m], ab):
-                    s = _windows(b, i, batch, table.shape[1], only and only[m])
+                    s = _windows(b, i, batch, table.width, only and only[m])
                     if not len(s):
                         continue
-                    score = batch.sums(table, s)
+                    score = table.of(batch, s)
                     rows, first = batch.per_row(s)
                     top = np.maximum.reduceat(score, first)
                     count = np.diff(np.r_[first, len(s)])
@@ -142,14 +319,45 @@ def best_scores(strands: DataFrame, motifs: list[Motif], bg: Background, pseudo:
     return strands.select("seq_id", "dseq", "L", *(["fold"] if only else [])).mapInArrow(run, f"motif_id int, seq_id {kind}, L int, start int, score double, windows long")
 
 
+def _half_tables(spark: SparkSession, m: Motif, bg: Background, pseudo: float, ab: Alphabet) -> list[tuple[int, int, DataFrame]]:
+    """(first, last, table (kmer, s)) of stretches of window places: the score of the places from the letters of the stretch and up to K before it."""
+    K, W, size, table = m.order, m.width, ab.size, np.concatenate(score_table(m, bg, pseudo))
+    g = 1
+    while size ** (g + 1 + K) <= HALF:
+        g += 1
+    out = []
+    for first in range(0, W, g):
+        last, rows = min(first + g, W) - 1, []
+        for before in range(K + 1):  # fewer than K letters before the stretch: a start, or an unknown base
+            n = before + last - first + 1
+            y = np.arange(size**n)
+            s = np.zeros(len(y))
+            for j in range(first, last + 1):
+                k = min(K, before + j - first)
+                offset = sum(size ** (i + 1) for i in range(k))
+                s += table[offset + y // size ** (last - j) % size ** (k + 1), j]
+            rows += zip([kmer_of(x, n, ab) for x in range(size**n)], s.tolist())
+        out.append((first, last, spark.createDataFrame(rows, f"kmer{first} string, s{first} double")))
+    return out
+
+
 def join_scores(strands: DataFrame, m: Motif, bg: Background, pseudo: float = PSEUDO) -> DataFrame:
-    """(seq_id, start, score) by built-in operators only: positions joined with the broadcast table.  W rows per position."""
-    spark, K, W = strands.sparkSession, m.order, m.width
-    table = F.broadcast(score_table_df(spark, m, bg, pseudo))  # 4^(K + 1) * W rows
-    at = F.explode(F.sequence(F.lit(1), F.length("dseq")))
-    ctx = strands.select("seq_id", "dseq", at.alias("i")).select("seq_id", "i", F.length("dseq").alias("n"), F.expr(f"regexp_extract(substring(dseq, greatest(1, i - {K}), least(i, {K + 1})), '[^N]*$', 0)").alias("kmer"))
-    hit = ctx.join(table, "kmer").withColumn("start", F.col("i") - 1 - F.col("j")).where(f"start >= 0 AND start <= n - {W}")
-    return hit.groupBy("seq_id", "start").agg(F.sum("s").alias("score"), F.count("*").alias("c")).where(F.col("c") == W).drop("c")
+    """(seq_id, start, score) by built-in operators only: a row per window, joined with a broadcast table for each stretch of its places.
+
+    What follows the last unknown base of a stretch is its context; where that cuts the stretch itself, no row of the table is met.
+    """
+    K, W, ab = m.order, m.width, bg.ab
+    tables = _half_tables(strands.sparkSession, m, bg, pseudo, ab)
+    # bytes, as a string is walked through from its start; and in blocks, so that a row per window does not carry its sequence
+    raw = strands.where(F.length("dseq") >= W).select("seq_id", F.upper("dseq").cast("binary").alias("raw"), F.length("dseq").alias("n"))
+    block = raw.select("seq_id", "raw", "n", F.explode(F.sequence(F.lit(0), F.col("n") - W, F.lit(BLOCK))).alias("b"))
+    block = block.select("seq_id", "b", F.least(F.lit(BLOCK - 1), F.col("n") - W - F.col("b")).alias("more"), F.expr(f"greatest(b - {K}, 0)").alias("from"), F.expr(f"substring(raw, greatest(b - {K}, 0) + 1, {BLOCK + W + K})").alias("part"))
+    at = block.select("seq_id", "part", "from", F.explode(F.sequence(F.col("b"), F.col("b") + F.col("more"))).alias("start"))
+    words = [F.expr(f"substring_index(CAST(substring(part, greatest(start + {first - K}, 0) - from + 1, start + {last + 1} - greatest(start + {first - K}, 0)) AS STRING), 'N', -1)").alias(f"kmer{first}") for first, last, _ in tables]
+    out = at.select("seq_id", "start", *words)
+    for first, _, table in tables:
+        out = out.join(F.broadcast(table), f"kmer{first}")  # some 16,000 rows
+    return out.select("seq_id", "start", reduce(add, [F.col(f"s{first}") for first, _, _ in tables]).alias("score"))
 
 
 def strand_of(start: Column, length: Column) -> Column:

@@ -11,10 +11,41 @@ from pyspark.sql import functions as F
 MIN_LENGTH = 12
 
 
+_KEPT = np.zeros(256, np.uint8)
+for _c in b"ACGT":
+    _KEPT[[_c, _c + 32]] = _c
+PART = 4_000_000  # bytes of text taken at once
+
+
+def _letters(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, offsets, letters) of some PART bytes of text each: the letters A, C, G, T in either case, as capitals."""
+    _, o, d = text.buffers()
+    off = np.frombuffer(o, np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(d, np.uint8) if d is not None else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(text):
+        j = max(i + 1, int(np.searchsorted(off, off[i] + PART, "right")) - 1)
+        part = _KEPT[data[off[i] : off[j]]]
+        at = np.flatnonzero(part)
+        yield i, np.searchsorted(at, off[i : j + 1] - off[i]), part[at]
+        i = j
+
+
 def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, carry: list[str] | None = None) -> DataFrame:
     """(seq_id, seq, carry...): the letters A, C, G, T of each whole text; texts with fewer than ``min_length`` are left out."""
-    seq = F.regexp_replace(F.upper(F.col(text_col)), "[^ACGT]+", "")
-    return docs.select(F.col(id_col).alias("seq_id"), seq.alias("seq"), *(carry or [])).where(F.length("seq") >= min_length)
+    carry = carry or []
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for i, off, letters in _letters(b.column(1).cast(pa.large_string())):
+                n = len(off) - 1
+                seq = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(letters)]).cast(pa.string())
+                keep = pa.array((np.diff(off) >= min_length) & np.asarray(b.column(1).slice(i, n).is_valid()))
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (b.column(0).slice(i, n), seq, *[c.slice(i, n) for c in b.columns[2:]])], names=["seq_id", "seq", *carry])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = ", ".join([f"seq_id {kind}, seq string", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]])
+    return docs.select(F.col(id_col), F.col(text_col), *carry).mapInArrow(run, schema)
 
 
 def read(spark: SparkSession, sf_dir: str, carry: list[str] | None = None) -> DataFrame:
