@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.sequence import STANDARD, Alphabet
 
 ALPHA = (1.0, 10.0, 10.0)
+ROWS = 50_000  # of a batch that a task hands to Spark
 
 
 def index_of(kmer: str, ab: Alphabet = STANDARD) -> int:
@@ -93,11 +94,16 @@ def context_counts(seqs: DataFrame, order: int, by: str | None = None, ab: Alpha
     def run(it):
         for b in it:
             for i, batch in batches_of(b.column(0), order, ab):
-                key = b.column(1).slice(i, batch.n).dictionary_encode()
-                code = np.asarray(key.indices.fill_null(len(key.dictionary))).astype(np.int64)
-                known = batch.run > 0
-                both, n = np.unique(code[batch.row[known]] * len(names) + batch.ctx[known], return_counts=True)
-                groups = key.dictionary.take(pa.array(both // len(names), mask=both // len(names) == len(key.dictionary)))
+                known = batch.base > 0
+                if by is None:
+                    n = np.bincount(batch.ctx[known], minlength=len(names))
+                    some = np.flatnonzero(n)
+                    groups, both, n = pa.array(np.zeros(len(some), np.int32)), some, n[some]
+                else:
+                    key = b.column(1).slice(i, batch.n).dictionary_encode()
+                    code = np.asarray(key.indices.fill_null(len(key.dictionary))).astype(np.int64)
+                    both, n = np.unique(code[batch.row[known]] * len(names) + batch.ctx[known], return_counts=True)
+                    groups = key.dictionary.take(pa.array(both // len(names), mask=both // len(names) == len(key.dictionary)))
                 yield pa.RecordBatch.from_arrays([groups, pa.array(names[both % len(names)], pa.string()), pa.array(n.astype(np.int64))], names=["g", "kmer", "n"])
 
     g = F.col(by) if by else F.lit(0)
@@ -127,11 +133,6 @@ def fit_by(seqs: DataFrame, by: str, order: int = 2, alpha=ALPHA, ab: Alphabet =
     return {name: from_counts(g, order, alpha, ab) for name, g in sorted(groups.items(), key=lambda x: str(x[0]))}
 
 
-def _table(spark: SparkSession, models: dict[str, Background]) -> DataFrame:
-    rows = [(name, kmer_of(y, k + 1, m.ab), float(np.log(m.v[k][y]))) for name, m in models.items() for k in range(m.order + 1) for y in range(len(m.v[k]))]
-    return spark.createDataFrame(rows, "model string, kmer string, logv double")
-
-
 def log_likelihoods(seqs: DataFrame, models: dict[str, Background], by: list[str]) -> DataFrame:
     """(by..., model, llh): every group of sequences under every model; the context is shorter at a sequence's start.
 
@@ -164,11 +165,21 @@ def log_likelihoods(seqs: DataFrame, models: dict[str, Background], by: list[str
 
 def positional_likelihoods(seqs: DataFrame, model: Background) -> DataFrame:
     """(seq_id, i, lik): the probability of each base after its context."""
-    order = model.order
-    at = F.explode(F.sequence(F.lit(1), F.length("seq")))
-    contexts = seqs.select("seq_id", "seq", at.alias("i")).select("seq_id", "i", F.expr(f"substring(seq, greatest(1, i - {order}), least(i, {order + 1}))").alias("kmer"))
-    table = F.broadcast(_table(seqs.sparkSession, {"m": model}))  # 4^(order + 1) rows
-    return contexts.join(table, "kmer").select("seq_id", "i", F.exp("logv").alias("lik"))
+    from .score import batches_of
+
+    order, ab = model.order, model.ab
+    sent = seqs.sparkSession.sparkContext.broadcast(np.concatenate(model.v))
+
+    def run(it):
+        for b in it:
+            for i, batch in batches_of(b.column(1), order, ab):
+                at = np.arange(len(batch.row)) - batch.off[batch.row]
+                whole = np.flatnonzero(batch.run > np.minimum(at, order))  # contexts with an unknown base are left out
+                for a in range(0, len(whole), ROWS):
+                    part = whole[a : a + ROWS]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(batch.row[part] + i)), pa.array((at[part] + 1).astype(np.int32)), pa.array(sent.value[batch.ctx[part]])], names=["seq_id", "i", "lik"])
+
+    return seqs.select("seq_id", "seq").mapInArrow(run, f"seq_id {seqs.schema['seq_id'].dataType.simpleString()}, i int, lik double")
 
 
 def posteriors(llh: DataFrame, of: str, model: str = "model", value: Column | None = None) -> DataFrame:
