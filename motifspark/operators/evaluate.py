@@ -53,6 +53,28 @@ def mops_curve(scores: DataFrame, m_fold: float = 1.0, buckets: int | None = Non
     return c.select("id", "score", "rank", "tp", "fp", (F.col("fp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1e-12))).alias("fdr"), (F.col("tp") / F.lit(last)).alias("recall"))
 
 
+def mops_steps(counts: DataFrame, m_fold: float = 1.0, buckets: int | None = None) -> DataFrame:
+    """The curve of ``mops_curve`` by distinct score: counts (score, pos, neg) of all windows to (score, n, tp, fp), with n the ranks kept of
+    each score, and the highest tp and fp among them.
+
+    Among equal scores null ones come first, so tp is highest at the first null one or at the last positive one.  Sorts distinct scores, not windows.
+    """
+    c = running(counts.select("score", "pos", "neg"), "score", {"n_pos": "pos", "n_neg": "neg"}, [], buckets=buckets)
+    before_pos, before_neg = F.col("n_pos") - F.col("pos"), F.col("n_neg") - F.col("neg")
+    end = F.struct((F.col("n_pos") - F.col("n_neg") / m_fold).alias("tp"), (F.col("n_pos") + F.col("n_neg")).alias("rank"))
+    first = F.when(F.col("neg") > 0, F.struct((before_pos - (before_neg + 1) / m_fold).alias("tp"), (before_pos + before_neg + 1).alias("rank")))
+    c = c.select("score", "pos", "neg", "n_neg", end.alias("end"), first.alias("first"), (before_neg + 1).alias("first_neg"))
+    peak = c.agg(F.max(F.greatest("end", "first")).alias("peak")).first()["peak"]
+    if peak is None:
+        return c.select("score", F.col("pos").alias("n"), F.lit(0.0).alias("tp"), F.lit(0.0).alias("fp"))
+    whole = F.col("end.rank") <= peak["rank"]  # the peak is one of these two places
+    c = c.where(whole | (F.col("first.rank") <= peak["rank"]))
+    return c.select(
+        "score", F.when(whole, F.col("pos") + F.col("neg")).otherwise(1).alias("n"),
+        F.when(whole, F.greatest("end.tp", "first.tp")).otherwise(F.col("first.tp")).alias("tp"), (F.when(whole, F.col("n_neg")).otherwise(F.col("first_neg")) / m_fold).alias("fp"),
+    )
+
+
 def cross_validated(seqs: DataFrame, negatives: DataFrame, models: dict[tuple[int, int], Motif], bg: Background, single: bool = False, negatives_single: bool = True, windows: bool = False) -> DataFrame:
     """(motif_id, id, score, is_pos): the best score of every sequence by each motif as trained on the other folds.
 

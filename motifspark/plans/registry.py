@@ -13,6 +13,7 @@ from ..functions import sequence as S
 from ..operators import background as B
 from ..operators import compare, em, evaluate, gibbs, info, pieces, ranking, score, simulate
 from ..operators import motif as M
+from ..shared import materialise
 from ..sources import adapter, files
 from . import sql
 
@@ -74,7 +75,9 @@ def best(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, d: str) -> DataFrame:
-    return best(spark, d).select(F.col("seq_id").alias("id"), F.round("score", 9).alias("score"), (1 - F.pmod("seq_id", F.lit(2))).cast("int").alias("is_pos"))
+    """The best score of every sequence and its side; written once, as curves and p-values read it several times."""
+    split = best(spark, d).select(F.col("seq_id").alias("id"), F.round("score", 9).alias("score"), (1 - F.pmod("seq_id", F.lit(2))).cast("int").alias("is_pos"))
+    return materialise(split, "best_scores")
 
 
 def _curve(spark: SparkSession, d: str) -> DataFrame:
@@ -368,15 +371,15 @@ def zoops_curve(spark, d):
 
 
 def _mops(spark: SparkSession, d: str) -> DataFrame:
-    s = score.all_scores(strands(spark, d), *scored(spark, d))
-    rows = s.select(F.struct("seq_id", "start").alias("id"), F.round("score", 6).alias("score"), (1 - F.pmod("seq_id", F.lit(2))).cast("int").alias("is_pos"))
-    return evaluate.mops_curve(rows)
+    m, bg = models(spark, d)
+    sides = strands(spark, d).withColumn("is_pos", 1 - F.pmod("seq_id", F.lit(2)))
+    return evaluate.mops_steps(materialise(score.score_counts(sides, m, bg, 6), "score_counts"))
 
 
 @query(sql.mops_curve)
 def mops_curve(spark, d):
     """Over all windows, ranked by score; one row per 0.5 of score."""
-    return _mops(spark, d).groupBy(F.floor(F.col("score") * 2).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.max("tp").alias("tp"), F.max("fp").alias("fp"))
+    return _mops(spark, d).groupBy(F.floor(F.col("score") * 2).cast("long").alias("bin")).agg(F.sum("n").alias("n"), F.max("tp").alias("tp"), F.max("fp").alias("fp"))
 
 
 @query(sql.auprc)
