@@ -25,9 +25,10 @@ from ..shared import bucketed, dropped, materialise
 from .background import Background
 from .em import _table, expected_counts, roll_up, update
 from .motif import Motif, conditionals
-from .score import batches_of
+from .score import Grams, batches_of
 
 ITERATIONS = 100
+TABLES = 1_000_000  # places of the tables that a task holds at once
 
 
 def log_posterior_alpha(a: float, k: int, j: int, n: list[np.ndarray], v_lower: np.ndarray, beta: float = 7.0, gamma: float = 3.0) -> float:
@@ -167,6 +168,37 @@ def draw_site(n: np.ndarray, own: np.ndarray | None, ctx: np.ndarray, starts: np
     return at if at < len(starts) else -1
 
 
+def site_tables(n: np.ndarray, own: np.ndarray, alpha: np.ndarray, bg: Background, log_bg: np.ndarray) -> np.ndarray:
+    """Log odds (sites, contexts, W) given the counts n (contexts, W) of all sites but one: that with the contexts own (sites, W), or none where they are negative."""
+    size, W = bg.ab.size, n.shape[1]
+    x = np.repeat(n[None], len(own), axis=0)
+    some = np.flatnonzero(own[:, 0] >= 0)
+    x[some[:, None], own[some], np.arange(W)] -= 1
+    offset = np.concatenate([[0], np.cumsum([size ** (k + 1) for k in range(len(alpha))])])
+    count = [x[:, offset[k] : offset[k + 1]] for k in range(len(alpha))]
+    for k in range(len(alpha) - 1, 0, -1):
+        count[k - 1] += count[k].reshape(len(own), size, size**k, W).sum(axis=1)
+    v = [(count[0] + alpha[0] * bg.v[0][:, None]) / (count[0].sum(axis=1, keepdims=True) + alpha[0])]
+    for k in range(1, len(alpha)):
+        y = np.arange(size ** (k + 1))
+        out = v[k - 1][:, y % size**k]
+        out[:, :, k:] = (count[k][:, :, k:] + alpha[k, k:] * out[:, :, k:]) / (count[k - 1][:, y // size, k - 1 : -1] + alpha[k, k:])
+        v.append(out)
+    return np.log(np.maximum(np.concatenate(v, axis=1), 1e-300)) - log_bg[:, None]
+
+
+def draw_sites(batch, starts: np.ndarray, odds: np.ndarray, rows: np.ndarray, q: float, u: np.ndarray) -> np.ndarray:
+    """The new start in the batch of each of ``rows``, or -1; starts, odds: of all their windows, in order."""
+    bounds = np.searchsorted(starts, np.stack([batch.off[rows], batch.off[rows + 1]]))
+    count = bounds[1] - bounds[0]
+    odds = odds * np.repeat(q / np.maximum(count, 1), count)
+    upto = np.r_[0.0, np.cumsum(odds)]
+    before, after = upto[bounds[0]], upto[bounds[1]]
+    at = np.searchsorted(upto[1:], before + u * ((1 - q) + (after - before)), "right")
+    found = at < bounds[1]
+    return np.where(found, starts[np.where(found, at, 0)] if len(starts) else -1, -1)
+
+
 def _log_background(bg: Background, order: int) -> np.ndarray:
     size, out = bg.ab.size, []
     for k in range(order + 1):
@@ -202,33 +234,44 @@ def collapsed(
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, alpha, q, table = sent.value
-            change = np.zeros_like(n)
+            change, grams, places = np.zeros_like(n), Grams(table, K, ab, exp=True), np.arange(W)
+            most = max(1, TABLES // (contexts * W))
             for b in it:
                 for first, batch in batches_of(b.column(1), K, ab):
                     ids = b.column(0).slice(first, batch.n)
                     z = np.asarray(b.column(2).slice(first, batch.n).flatten()).reshape(batch.n, -1).copy()
                     u = uniforms([f"{seed}:{x}:{i}" for x in ids.to_pylist()], np.full(batch.n, 2 * z.shape[1])).reshape(batch.n, 2, -1)
                     s = batch.windows(W)
-                    bounds = np.searchsorted(batch.row[s], np.arange(batch.n + 1))
-                    for r in range(batch.n):
-                        mine = s[bounds[r] : bounds[r + 1]]
-                        for c in range(z.shape[1]):
-                            old = None if z[r, c] < 0 else batch.ctx[batch.off[r] + z[r, c] + np.arange(W)]
+                    row = batch.rows(s)
+                    start_odds = grams.of(batch, s) if i == 0 else None
+                    for c in range(z.shape[1]):
+                        move = np.ones(batch.n, bool) if i == 0 else u[:, 0, c] < share
+                        rows = np.flatnonzero(move)
+                        had = z[rows, c] >= 0
+                        old = np.where(had[:, None], batch.ctx[np.where(had, batch.off[rows] + z[rows, c], 0)[:, None] + places], -1) if had.any() else np.full((len(rows), W), -1)
+                        new = np.full(len(rows), -1)
+                        for a in range(0, len(rows), most):
+                            part = slice(a, a + most)
+                            mine = move[row] & (row >= rows[part][0]) & (row <= rows[part][-1])
+                            at = s[mine]
                             if i == 0:
-                                odds = np.exp(batch.sums(table, mine)) * (q[c] / max(len(mine), 1))
-                                upto = np.cumsum(odds)
-                                at = int(np.searchsorted(upto, u[r, 1, c] * (1 - q[c] + odds.sum()), "right"))
-                                at = at if at < len(mine) else -1
-                            elif u[r, 0, c] < share:
-                                at = draw_site(n[c], old, batch.ctx, mine, alpha[c], q[c], bg, log_bg, u[r, 1, c])
+                                odds = start_odds[mine]
                             else:
-                                continue
-                            if old is not None:
-                                change[c][old, np.arange(W)] -= 1
-                            z[r, c] = -1 if at < 0 else mine[at] - batch.off[r]
-                            if at >= 0:
-                                change[c][batch.ctx[mine[at] + np.arange(W)], np.arange(W)] += 1
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(list(z), pa.list_(pa.int32())), pa.nulls(batch.n, pa.list_(pa.float64()))], names=["seq_id", "z", "change"])
+                                sites, which = np.unique(old[part], axis=0, return_inverse=True)
+                                log_odds = site_tables(n[c], sites, alpha[c], bg, log_bg).transpose(0, 2, 1).ravel()
+                                of_row = np.zeros(batch.n, np.int64)
+                                of_row[rows[part]] = which.ravel() * (contexts * W)
+                                base, total = of_row[row[mine]], np.zeros(len(at))
+                                for j in range(W):
+                                    total += log_odds[base + j * contexts + batch.ctx[at + j]]
+                                odds = np.exp(total)
+                            new[part] = draw_sites(batch, at, odds, rows[part], q[c], u[rows[part], 1, c])
+                        got = new >= 0
+                        np.subtract.at(change[c], (old[had], places), 1)
+                        np.add.at(change[c], (batch.ctx[new[got][:, None] + places], places), 1)
+                        z[rows, c] = np.where(got, new - batch.off[rows], -1)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.n + 1, dtype=np.int32) * z.shape[1]), pa.array(z.ravel().astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([ids, lists, pa.nulls(batch.n, pa.list_(pa.float64()))], names=["seq_id", "z", "change"])
             yield pa.RecordBatch.from_arrays([pa.nulls(1, to_arrow(kind)), pa.nulls(1, pa.list_(pa.int32())), pa.array([change.ravel()], pa.list_(pa.float64()))], names=["seq_id", "z", "change"])
 
         def to_arrow(kind: str) -> pa.DataType:
@@ -237,7 +280,7 @@ def collapsed(
         return rows.mapInArrow(run, f"seq_id {kind}, z array<int>, change array<double>")
 
     try:
-        n_seqs, sites, kept, seen, qs = strands.count(), None, [], [], [m.q] * chains
+        n_seqs, sites, kept, seen, qs = spark.table(name).count(), None, [], [], [m.q] * chains
         mean, worst, i = np.zeros((contexts, W)), math.inf, 0
         for i in range(rounds):
             made = materialise(step(i, sites, qs), "gibbs_round")

@@ -73,3 +73,25 @@ def test_positional_likelihoods_and_counts_take_small_batches(spark):
     bg = B.fit(adapter.read(spark, SF), 2)
     assert "BroadcastHashJoin" not in B.positional_likelihoods(adapter.read(spark, SF), bg)._jdf.queryExecution().executedPlan().toString()
     assert score.CHUNK <= 250_000 and M.site_counts(spark.createDataFrame([("ACG",)] * 3, "site string"), 0, 3).where("n = 3").count() == 3
+
+
+def test_sites_drawn_together_are_those_drawn_alone():
+    from motifspark.operators import gibbs
+    from motifspark.operators.background import from_counts
+    from motifspark.operators.motif import alphas
+
+    rng, W = np.random.default_rng(4), 6
+    bg = from_counts([(k, B.kmer_of(y, k + 1), int(rng.integers(5, 50))) for k in range(3) for y in range(4 ** (k + 1))], 2)
+    data, off = rng.choice(np.frombuffer(b"ACGT", np.uint8), 90), np.array([0, 30, 33, 90])
+    batch, alpha = Batch(data, off, 2), np.repeat(alphas(2)[:, None], W, axis=1)
+    n, log_bg = rng.integers(1, 30, (84, W)).astype(float), gibbs._log_background(bg, 2)
+    s = batch.windows(W)
+    own = np.stack([batch.ctx[3 + np.arange(W)], np.full(W, -1), batch.ctx[40 + np.arange(W)]])
+    tables = gibbs.site_tables(n, own, alpha, bg, log_bg)
+    odds = np.exp(sum(tables[batch.rows(s), batch.ctx[s + j], j] for j in range(W)))
+    for u in rng.random((200, 3)):
+        got = gibbs.draw_sites(batch, s, odds, np.arange(3), 0.6, u)
+        for r in range(3):
+            mine = s[batch.rows(s) == r]
+            at = gibbs.draw_site(n, None if own[r, 0] < 0 else own[r], batch.ctx, mine, alpha, 0.6, bg, log_bg, u[r])
+            assert got[r] == (mine[at] if at >= 0 else -1)
