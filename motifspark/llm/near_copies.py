@@ -12,6 +12,7 @@ shingle's texts are first compared with one of them (the pivot), which takes as
 many pairs of texts in different classes, a shingle's texts are compared with some of them, drawn anew each turn, again with
 some candidates a text, for as long as that joins many classes.  The end is exact: texts outside the largest class of a shingle are
 compared with all that are in other classes.  A shingle whose texts are in one class makes no pairs.
+Shingles that the same texts have (a shared passage makes one for each of its words) are one row a text, with their number as weight.
 
 Defined results: as in ``simhash``; texts without words are copies of each other; extra columns are ignored, whatever their names.
 """
@@ -162,6 +163,17 @@ def _shared(it):
         yield emit(held, 1)
 
 
+def _merged(shared: DataFrame) -> DataFrame:
+    """``shared`` with ``w``: of the shingles that just the same texts have, the least stands for all w of them.
+
+    Sets of texts are compared by their sizes and 128 bits of hashes of their fps.
+    """
+    texts = [F.bit_xor(F.xxhash64("fp", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    sets = shared.groupBy("token").agg(F.count("*").alias("texts"), *texts)
+    kept = materialise(sets.groupBy("texts", "h1", "h2").agg(F.min("token").alias("token"), F.count("*").cast("int").alias("w")).select("token", "w"), "passages")
+    return materialise(shared.join(kept, "token"), "shared_passages")
+
+
 def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of the rows (a, b, an, bn, k), k shared prefix shingles each, whose sets of an and bn shingles can be that similar.
 
@@ -226,9 +238,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: f
 
 
 def _open(shared: DataFrame, linked: DataFrame) -> DataFrame:
-    """(token, fp, n, c, main, main_n, total): the rows of shingles whose texts are in several classes c, and the largest of these."""
+    """(token, fp, n, w, c, main, main_n, total): the rows of shingles whose texts are in several classes c, and the largest of these."""
     linked = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
-    of = shared.join(linked, shared["fp"] == linked["node"], "left").select("token", "fp", "n", F.coalesce("root", "fp").alias("c"))
+    of = shared.join(linked, shared["fp"] == linked["node"], "left").select("token", "fp", "n", "w", F.coalesce("root", "fp").alias("c"))
     of = materialise(of, "shared_classes")
     sizes = of.groupBy("token", "c").count()
     mixed = sizes.groupBy("token").agg(F.count("*").alias("classes"), F.max_by("c", F.struct("count", "c")).alias("main"), F.max("count").alias("main_n"), F.sum("count").alias("total"))
@@ -236,26 +248,30 @@ def _open(shared: DataFrame, linked: DataFrame) -> DataFrame:
     return materialise(of.join(mixed, "token"), "open")
 
 
-def _common_tokens(x: list, y: list, upto: int, wide: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """For lists of tokens x and y: how many each pair shares, and how many of these are below ``upto``; ``wide`` tokens at a time."""
+def _common_tokens(x: list, y: list, upto: int, wide: int = 1024, weights: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For lists of tokens x and y: how many each pair shares, and how many of these are below ``upto``; ``wide`` tokens at a time.
+
+    weights: of the tokens of x, by which they count.
+    """
     flat = lambda lists: (np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(t) for t in lists]))
     (left, i), (right, j) = flat(x), flat(y)
+    heavy = np.ones(len(left), np.float32) if weights is None else np.concatenate(weights).astype(np.float32)
     name, left = np.unique(left, return_inverse=True)
     at = np.minimum(np.searchsorted(name, right), len(name) - 1)
     known = name[at] == right
     right, j = at[known], j[known]
     by_left, by_right = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
-    left, i, right, j = left[by_left], i[by_left], right[by_right], j[by_right]
+    left, i, right, j, heavy = left[by_left], i[by_left], right[by_right], j[by_right], heavy[by_left]
     shared, below = np.zeros((len(x), len(y)), np.float32), np.zeros((len(x), len(y)), np.float32)
     cut = int(np.searchsorted(name, upto))
     for low, high in ((0, cut), (cut, len(name))):
         for c in range(low, high, wide):
             d = min(c + wide, high)
             part = []
-            for code, row, n in ((left, i, len(x)), (right, j, len(y))):
+            for code, row, n, w in ((left, i, len(x), heavy), (right, j, len(y), np.ones(len(right), np.float32))):
                 u, v = np.searchsorted(code, [c, d])
                 made = np.zeros((n, d - c), np.float32)
-                made[row[u:v], code[u:v] - c] = 1
+                made[row[u:v], code[u:v] - c] = w[u:v]
                 part.append(made)
             both = part[0] @ part[1].T
             shared += both
@@ -265,16 +281,16 @@ def _common_tokens(x: list, y: list, upto: int, wide: int = 1024) -> tuple[np.nd
 
 
 def _within_groups(similarity: float):
-    """mapInArrow over rows (token, xb, yb, y, also, fp, n, c, sketch, tokens) sorted by token, xb, yb, y: the pairs of x and y rows of each group
+    """mapInArrow over rows (token, xb, yb, y, also, fp, n, c, sketch, w, tokens, weights) sorted by token, xb, yb, y: the pairs of x and y rows of each group
     that can be alike, as (a, b, an, bn, k).
 
-    A pair that shares several tokens is made at the least of them, with k the number of them; where a row's tokens are not
-    listed, at each of them with k = 1.
+    A pair that shares several tokens is made at the least of them, with k the sum of their weights; where a row's tokens are not
+    listed, at each of them with k = w.
     """
 
     def pairs(g: dict, token: int) -> Iterator[pa.RecordBatch]:
         first = int(np.searchsorted(g["y"], 1))
-        fp, n, c, also, sketch, tokens = (g[k] for k in ("fp", "n", "c", "also", "sketch", "tokens"))
+        fp, n, c, also, sketch, tokens, weights = (g[k] for k in ("fp", "n", "c", "also", "sketch", "tokens", "weights"))
         if not first or first == len(fp):
             return
         step = max(1, 400_000 // (len(fp) - first))
@@ -288,13 +304,13 @@ def _within_groups(similarity: float):
             i, j = i[near], j[near]
             if not len(i):
                 continue
-            k, keep = np.ones(len(i), np.int64), np.ones(len(i), bool)
+            k, keep = np.full(len(i), g["w"], np.int64), np.ones(len(i), bool)
             listed = np.array([tokens[r] is not None for r in range(len(fp))])
             both = np.flatnonzero(listed[i] & listed[j])
             if len(both):
                 xs, xi = np.unique(i[both], return_inverse=True)
                 ys, yi = np.unique(j[both], return_inverse=True)
-                shared, below = _common_tokens([tokens[r] for r in xs], [tokens[r] for r in ys], token)
+                shared, below = _common_tokens([tokens[r] for r in xs], [tokens[r] for r in ys], token, weights=[weights[r] for r in xs])
                 k[both] = shared[xi, yi]
                 rest = np.ceil(np.maximum(n[i], n[j]) * similarity - 1e-9) - 1
                 enough = k + rest >= (n[i] + n[j]) * (similarity / (1 + similarity)) - 1e-9
@@ -328,9 +344,11 @@ def _within_groups(similarity: float):
         g["n"] = g["n"].astype(np.int64)
         g["also"] = t.column("also").to_numpy()
         g["sketch"] = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, WIDE // 64)
-        lists = t.column("tokens").combine_chunks()
-        off, flat, null = np.asarray(lists.offsets), np.asarray(lists.values), np.asarray(lists.is_null())
-        g["tokens"] = [None if z else flat[u:v] for u, v, z in zip(off[:-1], off[1:], null)]
+        g["w"] = t.column("w")[0].as_py()
+        for k in ("tokens", "weights"):
+            lists = t.column(k).combine_chunks()
+            off, flat, null = np.asarray(lists.offsets), np.asarray(lists.values), np.asarray(lists.is_null())
+            g[k] = [None if z else flat[u:v] for u, v, z in zip(off[:-1], off[1:], null)]
         yield from pairs(g, t.column("token")[0].as_py())
 
     return run
@@ -345,10 +363,10 @@ def _compared(rows: DataFrame, nodes: DataFrame, similarity: float, x_side, x_to
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     mine = lambda n: F.pmod(F.xxhash64("fp"), blocks(n)).cast("int")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    lists = rows.groupBy("fp").agg(F.when(F.count("*") <= LISTS, F.collect_list("token")).alias("tokens"))
-    info = lists.join(nodes.select("fp", "sketch"), "fp")
-    wide = rows.select("token", "fp", "n", "c", "total", x_side.alias("also"), F.greatest(x_total, F.lit(1)).alias("xt")).join(info, "fp")
-    rest = ["also", "fp", "n", "c", "sketch", "tokens"]
+    lists = rows.groupBy("fp").agg(F.when(F.count("*") <= LISTS, F.collect_list(F.struct("token", "w"))).alias("l"))
+    info = lists.join(nodes.select("fp", "sketch"), "fp").select("fp", "sketch", F.col("l.token").alias("tokens"), F.col("l.w").alias("weights"))
+    wide = rows.select("token", "fp", "n", "w", "c", "total", x_side.alias("also"), F.greatest(x_total, F.lit(1)).alias("xt")).join(info, "fp")
+    rest = ["also", "fp", "n", "c", "sketch", "w", "tokens", "weights"]
     x = wide.where("also").select("token", mine(F.col("xt")).alias("xb"), numbers(F.col("total")).alias("yb"), F.lit(0).alias("y"), *rest)
     y = wide.select("token", numbers(F.col("xt")).alias("xb"), mine(F.col("total")).alias("yb"), F.lit(1).alias("y"), *rest)
     dealt = x.unionByName(y).repartition("token", "xb", "yb").sortWithinPartitions("token", "xb", "yb", "y")
@@ -384,9 +402,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         filed = rows.select(F.explode("prefix").alias("token"), "fp", "n")
         dealt = filed.repartition(n, "token").sortWithinPartitions("token", "fp")
         shared = materialise(dealt.mapInArrow(_shared, "token long, fp long, n int, pivot long, pn int"), "shared_shingles")
-        links = _verified(shared.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b"), F.col("pn").alias("an"), F.col("n").alias("bn"), F.lit(1).alias("k")), rows, nodes, similarity)
+        shared = _merged(shared)
+        links = _verified(shared.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b"), F.col("pn").alias("an"), F.col("n").alias("bn"), F.col("w").alias("k")), rows, nodes, similarity)
         linked = components(links)
-        rest, before, turn = shared.select("token", "fp", "n"), None, 0
+        rest, before, turn = shared.select("token", "fp", "n", "w"), None, 0
         while True:
             rest = _open(rest, linked)
             # decimals: the number of pairs may pass 2^63
@@ -396,7 +415,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 break
             more = _verified(_to_some(rest, turn, nodes, similarity), rows, nodes, similarity, close=True)
             linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-            rest, before = rest.select("token", "fp", "n"), ahead
+            rest, before = rest.select("token", "fp", "n", "w"), ahead
         more = _verified(_across(rest, nodes, similarity), rows, nodes, similarity, close=True)
         linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
         return result(labelled(rows.select("doc_id", "fp"), nodes, linked).select("doc_id", "component_id"), "near_copies", made)

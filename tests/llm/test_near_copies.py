@@ -122,3 +122,16 @@ def test_common_tokens():
             for j in range(9):
                 both = np.intersect1d(x[i], y[j])
                 assert (shared[i, j], below[i, j]) == (len(both), (both < 5).sum())
+
+
+def test_a_shared_passage_is_one_row_a_text(spark):
+    """A passage of 200 words that 50 texts share; before, each of its shingles was a row of each text, with the list of all of them."""
+    rows = [(t, fp, 300, 0, 300) for t in range(196) for fp in range(50)] + [(1000 + k, fp, 300, k, 300) for k in range(9) for fp in (k, k + 1)]
+    got = nc._merged(spark.createDataFrame(rows, "token long, fp long, n int, pivot long, pn int")).collect()
+    assert sorted((r["token"], r["fp"], r["w"]) for r in got) == [(0, fp, 196) for fp in range(50)] + sorted((1000 + k, fp, 1) for k in range(9) for fp in (k, k + 1))
+
+
+def test_weights_of_common_tokens():
+    x, y = [np.array([1, 4, 9]), np.array([4])], [np.array([4, 9]), np.array([1, 7])]
+    shared, below = nc._common_tokens(x, y, 9, 2, weights=[np.array([5, 1, 3]), np.array([1])])
+    assert shared.tolist() == [[4, 5], [1, 0]] and below.tolist() == [[1, 5], [1, 0]]
