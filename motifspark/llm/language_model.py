@@ -2,10 +2,10 @@
 
 1. Spark counts every token of the training rows (each task adds up its own first).  The counts of the
    ``FREQUENT`` most frequent tokens, a fixed number, are broadcast; the rest stay a distributed table.
-2. The network knows the ``WORDS`` most frequent tokens in ``CLASSES`` classes.  It is trained by truncated backpropagation in Spark tasks, on one
-   training text in ``SHARE`` (all, if there are few), so what it sees grows with the corpus: in each of ``ROUNDS`` rounds tasks start from
-   the broadcast weights, go once over their own part of the round's texts, and their weights, of fixed size, are averaged by the tokens they
-   saw, in steps that hold at most ``TREE`` of them at once.  Its output biases start from the counts of the whole corpus.
+2. The network knows the ``WORDS`` most frequent tokens in ``CLASSES`` classes.  Texts are written once as the numbers of their words.  It is trained
+   by truncated backpropagation in Spark tasks, on every training text, at every size: each text is in one of ``ROUNDS`` rounds, in which tasks
+   start from the broadcast weights, go once over their own part of the round's texts, and their weights, of fixed size, are averaged by the
+   tokens they saw, in steps that hold at most ``TREE`` of them at once.  Its output biases start from the counts of the whole corpus.
 3. Every text is scored in windows of ``STEPS`` tokens with the state carried from one to the next, so a score is the
    log-likelihood of the whole text.  A token outside the network's words costs the unknown word, times its
    smoothed share of the counts of such words, so the probabilities of all texts add up to one.
@@ -28,29 +28,20 @@ from pyspark.sql import functions as F
 
 from .sampling import remainder
 from .shared import materialise
-from .textbatch import Chunk, map_text
+from .textbatch import Chunk, map_text, released
 
 FREQUENT = 65_536
 CLASSES, MEMBERS = 32, 32
 WORDS = CLASSES * MEMBERS  # with the unknown word
 EMBED, HIDDEN, STEPS = 16, 16, 32
-SHARE, LEAST_TEXTS, ROUNDS = 8, 3000, 3
-TASK_TEXTS, BATCH_TOKENS, PIECE, TREE = 400, 150_000, 4096, 64
+SHARE, LEAST_TEXTS, ROUNDS = 1, 3000, 3  # one in SHARE texts is learned from: all
+TASK_TEXTS, BATCH_TOKENS, PIECE, TREE, STREAMS = 3200, 600_000, 4096, 64, 128
 SPAN = 1 << 62
-SCORED_BYTES = 3_000_000  # of texts scored side by side: long texts leave few lanes busy
+SCORED_TOKENS = 500_000  # of texts scored side by side: long texts leave few lanes busy
 END = np.int64(1)  # the hash that stands for the end of a text
 UNKNOWN = WORDS - 1
 
 
-def _split(chunk: Chunk, size: int = 2_000_000) -> Iterator[Chunk]:
-    i = 0
-    while i < chunk.n:
-        j = max(i + 1, int(np.searchsorted(chunk.off, chunk.off[i] + size, "right")) - 1)
-        a, b = chunk.off[i], chunk.off[j]
-        yield Chunk(chunk.data[a:b], chunk.off[i : j + 1] - a, chunk.null[i:j])
-        i = j
-
-
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(token, c): how often each token hash occurs, ends included."""
 
@@ -83,16 +74,22 @@ class Model:
         return np.where(self.tokens[at] == h, at, -1)
 
 
-def _states(p, ids: np.ndarray, active: np.ndarray, h: np.ndarray, keep: bool = False):
-    """ids (T, B): states before each token is read, (T, B, H), and the state after the last; inactive places keep theirs."""
-    gates = (p["E"] @ p["W"] + p["b"]).astype(np.float32)
+def _states(p, ids: np.ndarray, active: np.ndarray, h: np.ndarray, keep: bool = False, goes_on: np.ndarray | None = None):
+    """ids (T, B): states before each token is read, (T, B, H), and the state after the last; inactive places keep theirs.
+
+    goes_on (T, B): 0 where a text begins, so that its state is zero; else 1.
+    """
+    gates = (p["E"] @ p["W"] + p["b"]).astype(np.float32)[ids]
     U, H = p["U"], HIDDEN
     T, B = ids.shape
     before = np.empty((T, B, H), np.float32)
     tape = []
+    some = np.ones(T, bool) if goes_on is None else goes_on.all(axis=1)
     for t in range(T):
+        if not some[t]:
+            h = h * goes_on[t][:, None]
         before[t] = h
-        x, u = gates[ids[t]], h @ U
+        x, u = gates[t], h @ U
         zr = x[:, : 2 * H] + u[:, : 2 * H]
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
@@ -100,36 +97,49 @@ def _states(p, ids: np.ndarray, active: np.ndarray, h: np.ndarray, keep: bool =
         np.reciprocal(zr, out=zr)
         z, r = zr[:, :H], zr[:, H:]
         c = np.tanh(x[:, 2 * H :] + r * u[:, 2 * H :])
-        m = active[t][:, None]
+        mz = active[t][:, None] * z
         if keep:
-            tape.append((h, z, r, c, u[:, 2 * H :], m))
-        h = h + m * z * (c - h)
+            tape.append((c - h, z, r, c, u[:, 2 * H :], mz))
+        h = h + mz * (c - h)
     return before, h, tape
 
 
-def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _log_softmax_at(logits: np.ndarray, at: np.ndarray, keep: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     logits -= logits.max(axis=1, keepdims=True)
     picked = logits[np.arange(len(at)), at]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
-    return picked - np.log(total), logits / total[:, None]
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    if keep:
+        logits /= total[:, None]
+    return picked - np.log(total), logits if keep else None
 
 
 def _output(p, h: np.ndarray, ids: np.ndarray, keep: bool = False):
-    """Natural log-probability of each id (n,) from the states h (n, H); and the softmaxes for training."""
-    cls, member = ids // MEMBERS, ids % MEMBERS
-    logp, soft = _log_softmax_at(h @ p["C"] + p["cb"], cls)
-    inner = np.zeros((len(ids), MEMBERS), np.float32) if keep else None
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    """Natural log-probability of each id (n,) from the states h (n, H); with ``keep`` also the gradients of their mean cost, by the weights and by the states."""
+    n, cls, member = len(ids), ids // MEMBERS, ids % MEMBERS
+    order = np.argsort(cls.astype(np.int8), kind="stable")  # of eight bits: a radix sort
+    h, cls, member = h[order], cls[order], member[order]
+    found, soft = _log_softmax_at(h @ p["C"] + p["cb"], cls, keep)
+    g, dh = None, None
+    if keep:
+        soft[np.arange(n), cls] -= 1
+        soft /= n
+        g = {"C": h.T @ soft, "cb": soft.sum(axis=0), "M": np.zeros_like(p["M"]), "mb": np.zeros_like(p["mb"])}
+        dh = soft @ p["C"].T
+    ends = np.searchsorted(cls, np.arange(CLASSES + 1))
     for k in range(CLASSES):
-        rows = order[ends[k] : ends[k + 1]]
-        if len(rows):
-            part, s = _log_softmax_at(h[rows] @ p["M"][k] + p["mb"][k], member[rows])
-            logp[rows] += part
+        if ends[k + 1] > ends[k]:
+            rows = slice(ends[k], ends[k + 1])
+            part, inner = _log_softmax_at(h[rows] @ p["M"][k] + p["mb"][k], member[rows], keep)
+            found[rows] += part
             if keep:
-                inner[rows] = s
-    return logp, soft, inner
+                inner[np.arange(len(inner)), member[rows]] -= 1
+                inner /= n
+                g["M"][k], g["mb"][k] = h[rows].T @ inner, inner.sum(axis=0)
+                dh[rows] += inner @ p["M"][k].T
+    back = np.empty_like(order)
+    back[order] = np.arange(n)
+    return found[back], g, dh[back] if keep else None
 
 
 def fresh(count: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
@@ -143,7 +153,7 @@ def fresh(count: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def train(p: dict[str, np.ndarray], texts: list[np.ndarray], streams: int = 32, epochs: int = 3, rate: float = 0.01, state: dict | None = None) -> dict:
+def train(p: dict[str, np.ndarray], texts: list[np.ndarray], streams: int = STREAMS, epochs: int = 3, rate: float = 0.01, state: dict | None = None) -> dict:
     """Truncated backpropagation over texts (arrays of network words, the end last) laid into streams; gives the optimiser's state, to go on with."""
     order = sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i))
     load, lanes = np.zeros(streams, np.int64), [[] for _ in range(streams)]
@@ -164,48 +174,37 @@ def train(p: dict[str, np.ndarray], texts: list[np.ndarray], streams: int = 32,
     for _ in range(epochs):
         h = np.zeros((streams, HIDDEN), np.float32)
         for a in range(0, T, STEPS):
-            x, m, fresh_at = ids[a : a + STEPS], active[a : a + STEPS], reset[a : a + STEPS]
-            cuts = [0, *np.flatnonzero(fresh_at.any(axis=1)).tolist(), STEPS]
-            before, tape = [], []
-            for s, e in zip(cuts, cuts[1:]):
-                if e > s:
-                    h = np.where(fresh_at[s][:, None], 0, h).astype(np.float32)
-                    part, h, more = _states(p, x[s:e], m[s:e], h, keep=True)
-                    before.append(part)
-                    tape += more
-            hs = np.concatenate(before)
+            x, m = ids[a : a + STEPS], active[a : a + STEPS]
+            goes_on = (~reset[a : a + STEPS]).astype(np.float32)
+            hs, h, tape = _states(p, x, m, h, keep=True, goes_on=goes_on)
             on = m > 0
-            n = int(on.sum())
-            if not n:
+            if not on.any():
                 continue
-            flat, target = hs[on], x[on]
-            _, soft, inner = _output(p, flat, target, keep=True)
-            soft[np.arange(n), target // MEMBERS] -= 1
-            inner[np.arange(n), target % MEMBERS] -= 1
-            soft /= n
-            inner /= n
-            g = {"C": flat.T @ soft, "cb": soft.sum(axis=0), "M": np.zeros_like(p["M"]), "mb": np.zeros_like(p["mb"])}
-            dh = soft @ p["C"].T
-            for k in np.unique(target // MEMBERS):
-                rows = target // MEMBERS == k
-                g["M"][k], g["mb"][k] = flat[rows].T @ inner[rows], inner[rows].sum(axis=0)
-                dh[rows] += inner[rows] @ p["M"][k].T
+            _, g, dh = _output(p, hs[on], x[on], keep=True)
             dhs = np.zeros_like(hs)
             dhs[on] = dh
-            gU, gx, carry = np.zeros_like(p["U"]), np.zeros((STEPS, streams, 3 * HIDDEN), np.float32), np.zeros((streams, HIDDEN), np.float32)
+            H, Ut = HIDDEN, np.ascontiguousarray(p["U"].T)
+            gx, gu, carry = np.zeros((STEPS, streams, 3 * H), np.float32), np.empty((STEPS, streams, 3 * H), np.float32), np.zeros((streams, H), np.float32)
+            begins = ~goes_on.all(axis=1)
             for t in range(STEPS - 1, -1, -1):
-                h0, z, r, c, uc, mm = tape[t]
-                dz = carry * mm * (c - h0) * z * (1 - z)
-                dc = carry * mm * z * (1 - c * c)
-                dr = dc * uc * r * (1 - r)
-                gx[t] = np.concatenate([dz, dr, dc], axis=1)
-                du = np.concatenate([dz, dr, dc * r], axis=1)
-                gU += h0.T @ du
-                carry = np.where(fresh_at[t][:, None], 0, carry * (1 - mm * z) + du @ p["U"].T + dhs[t])
-            flat_x = gx.reshape(-1, 3 * HIDDEN)
-            per_word = np.zeros((WORDS, 3 * HIDDEN), np.float32)
-            np.add.at(per_word, x.ravel(), flat_x)
-            g |= {"U": gU, "b": flat_x.sum(axis=0), "W": p["E"].T @ per_word, "E": per_word @ p["W"].T}
+                change, z, r, c, uc, mz = tape[t]
+                dc = carry * mz
+                dz = dc * change * (1 - z)
+                dc *= 1 - c * c
+                dx, du = gx[t], gu[t]
+                dx[:, :H], dx[:, H : 2 * H], dx[:, 2 * H :] = dz, dc * uc * r * (1 - r), dc
+                du[:] = dx
+                du[:, 2 * H :] *= r
+                carry = carry - carry * mz + du @ Ut + dhs[t]
+                if begins[t]:
+                    carry *= goes_on[t][:, None]
+            flat_x, words = gx.reshape(-1, 3 * H), x.ravel()
+            order = np.argsort(words.astype(np.int16), kind="stable")
+            named = words[order]
+            first = np.flatnonzero(np.r_[True, named[1:] != named[:-1]])
+            per_word = np.zeros((WORDS, 3 * H), np.float32)
+            per_word[named[first]] = np.add.reduceat(flat_x[order], first, axis=0)
+            g |= {"U": hs.reshape(-1, H).T @ gu.reshape(-1, 3 * H), "b": flat_x.sum(axis=0), "W": p["E"].T @ per_word, "E": per_word @ p["W"].T}
             step += 1
             norm = float(np.sqrt(sum(float((v**2).sum()) for v in g.values())))
             for k in p:
@@ -230,32 +229,34 @@ def _unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
+def _numbers(coded: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The network words of rows of ``words``, and the first of each row."""
+    off = np.frombuffer(coded.buffers()[1], np.int32)[coded.offset : coded.offset + len(coded) + 1] if len(coded) else np.zeros(1, np.int32)
+    raw = coded.buffers()[2] if len(coded) else None
+    words = np.frombuffer(raw, np.uint8)[off[0] : off[-1]].view(np.int16) if raw is not None else np.zeros(0, np.int16)
+    return words, (off - off[0]).astype(np.int64) // 2
+
+
 def _trainer(sent, rate: float):
-    """Batches of texts to one row (tokens, weights): the weights after one pass over them."""
+    """Batches of ``words`` to one row (tokens, weights): the weights after one pass over them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .textbatch import chunks
-
-        model = sent.value
-        p = {k: v.copy() for k, v in model.p.items()}
+        p = {k: v.copy() for k, v in sent.value.p.items()}
         held, size, seen, state = [], 0, 0, None
 
         def learn():
             nonlocal held, size, seen, state
             pieces = [x[a : a + PIECE] for x in held for a in range(0, len(x), PIECE)]
-            state = train(p, pieces, streams=int(min(32, max(4, len(pieces) // 4))), epochs=1, rate=rate, state=state)
+            state = train(p, pieces, streams=int(min(STREAMS, max(4, len(pieces) // 8))), epochs=1, rate=rate, state=state)
             held, size, seen = [], 0, seen + size
 
         for b in batches:
-            for chunk in chunks(b.column(0)):
-                if not chunk.n:
-                    continue
-                got = _tokens(model, chunk)
-                for a, e in zip(got["first"][:-1], got["first"][1:]):
-                    held.append(got["words"][a:e])
-                    size += int(e - a)
-                    if size >= BATCH_TOKENS:
-                        learn()
+            words, first = _numbers(b.column(0))
+            for a, e in zip(first[:-1], first[1:]):
+                held.append(words[a:e])
+                size += int(e - a)
+                if size >= BATCH_TOKENS:
+                    learn()
         if held:
             learn()
         if seen:
@@ -331,32 +332,36 @@ def _tokens(model: Model, chunk: Chunk) -> dict[str, np.ndarray]:
     }
 
 
-def _join(parts: list[dict], k: str) -> np.ndarray:
-    return np.concatenate([x[k] for x in parts])
+def encoded(docs: DataFrame, sent, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h, learn, row, words, ...): each text as network words of 16 bits, its sums over the broadcast counts and its other tokens."""
 
+    def make():
+        rows = 0
+        task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        model = sent.value
 
-def _scorer(model: Model):
-    rows = 0
-    task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        def apply(chunk: Chunk) -> dict:
+            nonlocal rows
+            x = _tokens(model, chunk)
+            rows += chunk.n
+            words, first = x["words"].astype(np.int16), x["first"]
+            return {
+                "row": task + np.arange(rows - chunk.n, rows), "n_tokens": x["n"].astype(np.int64), "top": x["top"].astype(np.int64), "top_sum": x["sum"],
+                "n_unknown": x["n_unknown"].astype(np.int64), "unknown_sum": x["unknown_sum"],
+                "words": pa.Array.from_buffers(pa.binary(), chunk.n, [None, pa.py_buffer((2 * first).astype(np.int32)), pa.py_buffer(words)]),
+                "rare": pa.ListArray.from_arrays(pa.array(x["rare_first"].astype(np.int32)), pa.array(x["rare"])),
+            }
 
-    def apply(chunk: Chunk) -> dict:
-        nonlocal rows
-        parts = [_tokens(model, c) for c in _split(chunk)]
-        words, first = _join(parts, "words"), np.concatenate([[0], np.cumsum(_join(parts, "n"))])
-        logp = log_likelihood(model.p, words, first) / np.log(10) if model.p is not None else np.zeros(chunk.n)
-        counts = np.concatenate([np.diff(x["rare_first"]) for x in parts])
-        rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(_join(parts, "rare")))
-        rows += chunk.n
-        return {
-            "row": task + np.arange(rows - chunk.n, rows), "n_tokens": _join(parts, "n").astype(np.int64), "top": _join(parts, "top").astype(np.int64), "top_sum": _join(parts, "sum"),
-            "n_unknown": _join(parts, "n_unknown").astype(np.int64), "unknown_sum": _join(parts, "unknown_sum"), "network": logp, "rare": rare,
-        }
+        return apply
 
-    return apply
+    text = F.col(text_col).cast("string")
+    some = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    out = "row long, n_tokens long, top long, top_sum double, n_unknown long, unknown_sum double, words binary, rare array<long>"
+    return map_text(some, "text", make, out, ["doc_id", "h", "learn"])
 
 
-def fit(docs: DataFrame, counts: DataFrame, allowed: Column, share: int = SHARE, least_texts: int = LEAST_TEXTS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from the rows that meet ``allowed``; ``counts`` are their tokens."""
+def vocabulary(counts: DataFrame) -> Model:
+    """The broadcast counts, and the network before it has learned."""
     words = counts.where(F.col("token") != int(END))
     size = F.floor(F.log2("c") * 8).cast("int")  # a histogram of the counts bounds the top-k before it is taken
     least, seen = 0, 0
@@ -370,22 +375,34 @@ def fit(docs: DataFrame, counts: DataFrame, allowed: Column, share: int = SHARE,
     word[: WORDS - 2] = 1 + np.arange(min(len(token), WORDS - 2))
     order = np.argsort(token)
     model = Model(token[order], count[order], word[order])
-    if not len(token):
+    if len(token):
+        totals = counts.agg(F.sum(F.when(F.col("token") == int(END), F.col("c"))).alias("ends"), F.sum("c").alias("n")).first()
+        mass = np.zeros(WORDS)
+        mass[1 : 1 + min(len(token), WORDS - 2)] = count[: WORDS - 2]
+        mass[0] = totals["ends"]
+        mass[UNKNOWN] = totals["n"] - mass.sum()
+        model.p = fresh(mass)
+    return model
+
+
+def learned(model: Model, coded: DataFrame, texts: int, share: int = SHARE, least_texts: int = LEAST_TEXTS) -> Model:
+    """``model`` trained on the rows of ``coded`` to learn from, of which there are ``texts``.
+
+    share, least_texts: a caller may want one text in ``share`` only, or about ``least_texts`` if that is more.
+    """
+    if model.p is None:
         return model
-    totals = counts.agg(F.sum(F.when(F.col("token") == int(END), F.col("c"))).alias("ends"), F.sum("c").alias("n")).first()
-    mass = np.zeros(WORDS)
-    mass[1 : 1 + min(len(token), WORDS - 2)] = count[: WORDS - 2]
-    mass[0] = totals["ends"]
-    mass[UNKNOWN] = totals["n"] - mass.sum()
-    model.p = fresh(mass)
-    part = min(1.0, max(1 / share, least_texts / totals["ends"]))
-    drawn = docs.where(allowed).select(F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h")).where(F.pmod("h", F.lit(SPAN)) < int(part * SPAN))
-    drawn = materialise(drawn.withColumn("turn", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(ROUNDS))), "training_texts")
-    tasks = max(1, round(part * totals["ends"] / ROUNDS / TASK_TEXTS))
-    spark = docs.sparkSession
+    drawn = coded.where("learn")
+    part = 1.0
+    if share > 1:
+        part = min(1.0, max(1 / share, least_texts / texts))
+        drawn = drawn.where(F.pmod("h", F.lit(SPAN)) < int(part * SPAN))
+    tasks = max(1, round(part * texts / ROUNDS / TASK_TEXTS))
+    spark = coded.sparkSession
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
-        dealt = drawn.where(F.col("turn") == turn).repartition(tasks, "h").sortWithinPartitions("h").select("text")
+        mine = drawn.where(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(ROUNDS)) == turn).select("h", "words")
+        dealt = mine.repartition(tasks, "h").sortWithinPartitions("h").select("words")
         mean = _averaged(materialise(dealt.mapInArrow(_trainer(sent, 0.01 / 2**turn), "tokens double, weights binary"), "weights"))
         if mean is not None:
             model.p = _unpack(mean, model.p)
@@ -393,23 +410,58 @@ def fit(docs: DataFrame, counts: DataFrame, allowed: Column, share: int = SHARE,
     return model
 
 
+def _ends(counts: DataFrame) -> int:
+    return counts.where(F.col("token") == int(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+
+
+def fit(docs: DataFrame, counts: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> Model:
+    """A model from the rows that meet ``allowed``; ``counts`` are their tokens."""
+    model = vocabulary(counts)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    coded = materialise(encoded(docs.where(allowed), sent, F.lit(True), id_col, text_col), "encoded")
+    return learned(model, coded, _ends(counts), **options)
+
+
+def _network(sent):
+    """Batches of (..., words) to the same rows with the network's log10 probability in the place of the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = sent.value.p
+        for b in batches:
+            words, first = _numbers(b.column(b.num_columns - 1))
+            logp, i = np.zeros(b.num_rows), 0
+            while i < b.num_rows and p is not None:
+                j = max(i + 1, int(np.searchsorted(first, first[i] + SCORED_TOKENS, "right")) - 1)
+                logp[i:j] = log_likelihood(p, words[first[i] : first[j]], first[i : j + 1] - first[i]) / np.log(10)
+                i = j
+            columns = [b.column(k) for k in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(logp)], names=[*b.schema.names[:-1], "network"])
+        released()
+
+    return run
+
+
 def scores(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from the rows that meet ``allowed``."""
     counts = materialise(token_counts(docs.where(allowed), text_col), "token_counts")
-    model = fit(docs, counts, allowed, id_col=id_col, text_col=text_col, **options)
+    model = vocabulary(counts)
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    out = "row long, n_tokens long, top long, top_sum double, n_unknown long, unknown_sum double, network double, rare array<long>"
-    scored = materialise(map_text(docs, text_col, lambda: _scorer(sent.value), out, [id_col], SCORED_BYTES).withColumnRenamed(id_col, "doc_id"), "scored")
+    coded = materialise(encoded(docs, sent, allowed, id_col, text_col), "encoded")
+    model = learned(model, coded, _ends(counts), **options)
+    sent = spark.sparkContext.broadcast(model)
+    plain = coded.select("doc_id", "row", "n_tokens", "top", "top_sum", "n_unknown", "unknown_sum", "words")
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
+    scored = materialise(plain.mapInArrow(_network(sent), f"{out}, network double"), "scored")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("token") == int(END), F.col("c"))), F.lit(0)).alias("ends")).first()
     n, v, ends = total["n"], total["v"], total["ends"]
     in_network = model.word != UNKNOWN
     n_unknown = n - ends - int(model.count[in_network].sum())
     v_unknown = v - (ends > 0) - int(in_network.sum())
 
-    rare = scored.select("row", F.explode("rare").alias("token"))
+    rare = coded.select("row", F.explode("rare").alias("token"))
     known = rare.join(counts, "token").groupBy("row").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("rare_sum"))
-    back = scored.drop("rare").join(known, "row", "left").fillna(0, ["rare_known"]).fillna(0.0, ["rare_sum"])
+    back = scored.join(known, "row", "left").fillna(0, ["rare_known"]).fillna(0.0, ["rare_sum"])
     base = F.col("top_sum") + F.col("rare_sum") + float(np.log10(ends + 1.0)) - F.col("n_tokens") * float(np.log10(n + v + 1.0))
     spelled = F.col("unknown_sum") + F.col("rare_sum") - F.col("n_unknown") * float(np.log10(n_unknown + v_unknown + 1.0))
     return back.select(

@@ -105,3 +105,37 @@ def test_probabilities_add_up_and_do_not_depend_on_the_batch():
     alone = [lm.log_likelihood(p, t, np.array([0, len(t)]))[0] for t in texts]
     assert np.allclose(together, alone, rtol=1e-4)
     assert lm.Chunk is Chunk
+
+
+def test_all_training_texts_are_learned_at_every_size(spark, monkeypatch):
+    """More texts than the bound below which all were learned; before, one in eight of them was."""
+    docs = spark.range(3600).selectExpr("id as doc_id", "concat('a b ', id % 7) as text")
+    seen = []
+    averaged = lm._averaged
+    monkeypatch.setattr(lm, "_averaged", lambda parts: (seen.append(parts.groupBy().sum("tokens").first()[0]), averaged(parts))[1])
+    allowed = lm.remainder("doc_id", 7) != 2
+    n = docs.where(allowed).count()
+    assert n > lm.LEAST_TEXTS
+    lm.scores(docs, allowed)
+    assert sum(seen) == 4 * n
+
+
+def test_gradients_against_differences():
+    """The first step of training goes down the slope of the cost, texts that begin inside a window included."""
+    rng = np.random.default_rng(4)
+    p = {k: v.astype(float) for k, v in lm.fresh(rng.integers(1, 9, lm.WORDS)).items()}
+    ids = rng.integers(0, lm.WORDS, (6, 3))
+    active, goes_on = np.ones((6, 3), np.float32), np.ones((6, 3), np.float32)
+    goes_on[0], goes_on[4, 1], active[5, 2] = 0, 0, 0
+    h = np.zeros((3, lm.HIDDEN))
+    on = active > 0
+    cost = lambda: -lm._output(p, lm._states(p, ids, active, h, goes_on=goes_on)[0][on], ids[on])[0].mean()
+    _, g, _ = lm._output(p, lm._states(p, ids, active, h, goes_on=goes_on)[0][on], ids[on], keep=True)
+    for k in ("C", "mb"):
+        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        was, ends = p[k][at], []
+        for step in (0.05, -0.05):
+            p[k][at] = was + step
+            ends.append(cost())
+        p[k][at] = was
+        assert abs((ends[0] - ends[1]) / 0.1 - g[k][at]) < 0.02 * abs(g[k][at])
