@@ -409,7 +409,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         while True:
             rest = _open(rest, linked)
             # decimals: the number of pairs may pass 2^63
-            held, ahead = rest.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("c") != F.col("main"), F.col("total").cast("decimal(38,0)"))), F.lit(0))).first()
+            pairs = F.when(F.col("c") != F.col("main"), F.col("w") * F.col("total").cast("decimal(20,0)"))
+            held, ahead = rest.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum(pairs), F.lit(0))).first()
             ahead, turn = int(ahead), turn + 1
             if ahead <= ENOUGH * held or before is not None and ahead > before * GAIN:
                 break
