@@ -354,22 +354,33 @@ def _within_groups(similarity: float):
     return run
 
 
-def _compared(rows: DataFrame, nodes: DataFrame, similarity: float, x_side, x_total) -> DataFrame:
+def _by_text(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(fp, n, c, most, open, sketch): a row a text, with its open shingles as a list; ``most``: of its shingles, the largest total."""
+    of = F.struct("token", "w", "total", (F.col("c") != F.col("main")).alias("other"), (F.col("total") - F.col("main_n")).alias("others"))
+    texts = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.max("total").alias("most"), F.collect_list(of).alias("open"))
+    return texts.join(nodes.select("fp", "sketch"), "fp")
+
+
+def _compared(texts: DataFrame, similarity: float, x_side, x_total) -> DataFrame:
     """(a, b, an, bn, k): of each shingle, the texts on the x side with all texts of other classes, if they can be alike.
 
+    x_side, x_total: whether a text is on the x side of its shingle ``at``, and about how many are; columns over ``_by_text`` and ``at``.
     The texts of a shingle are dealt out to groups of at most about BLOCK by BLOCK of them, and compared inside the task by their numbers
-    of shingles, SimHashes and shared shingles.  Only pairs that pass leave it.
+    of shingles, SimHashes and shared shingles.  Only pairs that pass leave it.  A text is joined with its SimHash once, not at each shingle.
     """
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     mine = lambda n: F.pmod(F.xxhash64("fp"), blocks(n)).cast("int")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    lists = rows.groupBy("fp").agg(F.when(F.count("*") <= LISTS, F.collect_list(F.struct("token", "w"))).alias("l"))
-    info = lists.join(nodes.select("fp", "sketch"), "fp").select("fp", "sketch", F.col("l.token").alias("tokens"), F.col("l.w").alias("weights"))
-    wide = rows.select("token", "fp", "n", "w", "c", "total", x_side.alias("also"), F.greatest(x_total, F.lit(1)).alias("xt")).join(info, "fp")
-    rest = ["also", "fp", "n", "c", "sketch", "w", "tokens", "weights"]
-    x = wide.where("also").select("token", mine(F.col("xt")).alias("xb"), numbers(F.col("total")).alias("yb"), F.lit(0).alias("y"), *rest)
-    y = wide.select("token", numbers(F.col("xt")).alias("xb"), mine(F.col("total")).alias("yb"), F.lit(1).alias("y"), *rest)
-    dealt = x.unionByName(y).repartition("token", "xb", "yb").sortWithinPartitions("token", "xb", "yb", "y")
+    place = lambda xb, yb, y: F.struct(xb.alias("xb"), yb.alias("yb"), F.lit(y).alias("y"))
+    numbers = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    few = F.size("open") <= LISTS
+    held = ["fp", "n", "c", "most", "sketch", F.when(few, F.col("open.token")).alias("tokens"), F.when(few, F.col("open.w")).alias("weights")]
+    wide = texts.select(*held, F.explode("open").alias("at"))
+    wide = wide.withColumn("also", x_side).withColumn("xt", F.greatest(x_total, F.lit(1))).withColumn("total", F.col("at.total"))
+    as_x = F.transform(numbers(F.col("total")), lambda yb: place(mine(F.col("xt")), yb, 0))
+    as_y = F.transform(numbers(F.col("xt")), lambda xb: place(xb, mine(F.col("total")), 1))
+    dealt = wide.withColumn("p", F.explode(F.when(F.col("also"), F.concat(as_x, as_y)).otherwise(as_y)))
+    dealt = dealt.select(F.col("at.token").alias("token"), "p.xb", "p.yb", "p.y", "also", "fp", "n", "c", "sketch", F.col("at.w").alias("w"), "tokens", "weights")
+    dealt = dealt.repartition("token", "xb", "yb").sortWithinPartitions("token", "xb", "yb", "y")
     return dealt.mapInArrow(_within_groups(similarity), "a long, b long, an int, bn int, k long")
 
 
@@ -378,14 +389,13 @@ def _to_some(rows: DataFrame, turn: int, nodes: DataFrame, similarity: float) ->
 
     A text is drawn for all its shingles or none, by the largest of them, so that the shingles that a pair shares are all met.
     """
-    largest = rows.groupBy("fp").agg(F.max("total").alias("most"))
-    drawn = largest.select("fp", (F.pmod(F.xxhash64("fp", F.lit(turn)), F.col("most")) < PIVOTS).alias("drawn"))
-    return _compared(rows.join(drawn, "fp"), nodes, similarity, F.col("drawn"), F.lit(1))
+    drawn = F.pmod(F.xxhash64("fp", F.lit(turn)), F.col("most")) < PIVOTS
+    return _compared(_by_text(rows, nodes), similarity, drawn, F.lit(1))
 
 
 def _across(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """All pairs of different classes of a shingle: its largest class against the others, and the others among themselves."""
-    return _compared(rows, nodes, similarity, F.col("c") != F.col("main"), F.col("total") - F.col("main_n"))
+    return _compared(_by_text(rows, nodes), similarity, F.col("at.other"), F.col("at.others"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

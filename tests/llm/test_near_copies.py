@@ -135,3 +135,13 @@ def test_weights_of_common_tokens():
     x, y = [np.array([1, 4, 9]), np.array([4])], [np.array([4, 9]), np.array([1, 7])]
     shared, below = nc._common_tokens(x, y, 9, 2, weights=[np.array([5, 1, 3]), np.array([1])])
     assert shared.tolist() == [[4, 5], [1, 0]] and below.tolist() == [[1, 5], [1, 0]]
+
+
+def test_a_text_is_joined_once_for_all_its_shingles(spark):
+    """40 texts that share 30 open shingles: 40 rows joined; before, one for each of the 1,200 (text, shingle)."""
+    rows = spark.createDataFrame([(t, fp, 30, 1, fp, 0, 1, 40) for t in range(30) for fp in range(40)], "token long, fp long, n int, w int, c long, main long, main_n long, total long")
+    nodes = spark.createDataFrame([(fp, bytearray(32)) for fp in range(40)], "fp long, sketch binary")
+    texts = nc._by_text(rows, nodes).collect()
+    assert sorted(r["fp"] for r in texts) == list(range(40)) and {len(r["open"]) for r in texts} == {30}
+    want = [(a, b, 30) for a in range(40) for b in range(a + 1, 40)]
+    assert sorted((r["a"], r["b"], r["k"]) for r in nc._across(rows, nodes, 0.8).collect()) == want
