@@ -77,69 +77,129 @@ class Model:
 def _states(p, ids: np.ndarray, active: np.ndarray, h: np.ndarray, keep: bool = False, goes_on: np.ndarray | None = None):
     """ids (T, B): states before each token is read, (T, B, H), and the state after the last; inactive places keep theirs.
 
-    goes_on (T, B): 0 where a text begins, so that its state is zero; else 1.
+    goes_on (T, B): 0 where a text begins, so that its state is zero; else 1.  With ``keep`` also what ``_back`` needs of each step.
     """
-    gates = (p["E"] @ p["W"] + p["b"]).astype(np.float32)[ids]
-    U, H = p["U"], HIDDEN
+    H = HIDDEN
+    sign = np.r_[np.full(2 * H, -1, np.float32), np.ones(H, np.float32)]  # the gates are logistic functions of minus these
+    gates = np.take(((p["E"] @ p["W"] + p["b"]) * sign).astype(np.float32), ids, axis=0)
+    U = p["U"] * sign
     T, B = ids.shape
     before = np.empty((T, B, H), np.float32)
-    tape = []
+    zr, uc, c = (np.empty((T if keep else 1, B, w), np.float32) for w in (2 * H, H, H))
     some = np.ones(T, bool) if goes_on is None else goes_on.all(axis=1)
+    full = active.all(axis=1)
     for t in range(T):
         if not some[t]:
             h = h * goes_on[t][:, None]
         before[t] = h
-        x, u = gates[t], h @ U
-        zr = x[:, : 2 * H] + u[:, : 2 * H]
-        np.negative(zr, out=zr)
-        np.exp(zr, out=zr)
-        zr += 1
-        np.reciprocal(zr, out=zr)
-        z, r = zr[:, :H], zr[:, H:]
-        c = np.tanh(x[:, 2 * H :] + r * u[:, 2 * H :])
-        mz = active[t][:, None] * z
+        x, u, k = gates[t], h @ U, t if keep else 0
+        g, new = zr[k], c[k]
+        np.add(x[:, : 2 * H], u[:, : 2 * H], out=g)
+        np.exp(g, out=g)
+        g += 1
+        np.reciprocal(g, out=g)
         if keep:
-            tape.append((c - h, z, r, c, u[:, 2 * H :], mz))
-        h = h + mz * (c - h)
-    return before, h, tape
-
-
-def _log_softmax_at(logits: np.ndarray, at: np.ndarray, keep: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-    logits -= logits.max(axis=1, keepdims=True)
-    picked = logits[np.arange(len(at)), at]
+            uc[k] = u[:, 2 * H :]
+        np.multiply(g[:, H:], u[:, 2 * H :], out=new)
+        new += x[:, 2 * H :]
+        np.tanh(new, out=new)
+        d = new - h
+        d *= g[:, :H]
+        if not full[t]:
+            d *= active[t][:, None]
+        d += h
+        h = d
+    return before, h, (zr, uc, c) if keep else None
+
+
+def _back(p, tape, before: np.ndarray, active: np.ndarray, goes_on: np.ndarray, dhs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From the gradients by the states before each token, those by the inputs (T, B, 3H) of the gates and by what the state adds to them."""
+    zr, uc, c = tape
+    H = HIDDEN
+    T, B, _ = before.shape
+    z, r = zr[:, :, :H], zr[:, :, H:]
+    mz = z * active[:, :, None]
+    gx, gu = np.empty((T, B, 3, H), np.float32), np.empty((T, B, 3, H), np.float32)  # first by the state after the token
+    inner = gx[:, :, 2]
+    np.multiply(c, c, out=inner)
+    np.subtract(1, inner, out=inner)
+    inner *= mz
+    np.subtract(c, before, out=gx[:, :, 0])
+    gx[:, :, 0] *= mz
+    gx[:, :, 0] *= 1 - z
+    np.multiply(inner, r, out=gu[:, :, 2])
+    np.multiply(gu[:, :, 2], uc, out=gx[:, :, 1])
+    gx[:, :, 1] *= 1 - r
+    gu[:, :, :2] = gx[:, :, :2]
+    stays = 1 - mz
+    Ut = np.ascontiguousarray(p["U"].T)
+    after, carry = np.empty((T, B, H), np.float32), np.zeros((B, H), np.float32)
+    begins = ~goes_on.all(axis=1)
+    for t in range(T - 1, -1, -1):
+        after[t] = carry
+        gu[t] *= carry[:, None, :]
+        carry = carry * stays[t]
+        carry += gu[t].reshape(B, 3 * H) @ Ut
+        carry += dhs[t]
+        if begins[t]:
+            carry *= goes_on[t][:, None]
+    gx *= after[:, :, None, :]
+    return gx.reshape(T, B, 3 * H), gu.reshape(T, B, 3 * H)
+
+
+def _safe(w: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the exponentials of the outputs stay within single precision without taking the largest off; states are in [-1, 1]."""
+    return float((np.abs(w).sum(axis=-2) + np.abs(b)).max(initial=0.0)) < 40
+
+
+def _exps(logits: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """In the place of the logits their exponentials, over the largest unless ``safe``; gives their sums and the logarithms to take off."""
+    top = None
+    if not safe:
+        top = logits.max(axis=1)
+        logits -= top[:, None]
     np.exp(logits, out=logits)
     total = logits @ np.ones(logits.shape[1], logits.dtype)
-    if keep:
-        logits /= total[:, None]
-    return picked - np.log(total), logits if keep else None
+    return total, np.log(total) if top is None else np.log(total) + top
 
 
 def _output(p, h: np.ndarray, ids: np.ndarray, keep: bool = False):
     """Natural log-probability of each id (n,) from the states h (n, H); with ``keep`` also the gradients of their mean cost, by the weights and by the states."""
-    n, cls, member = len(ids), ids // MEMBERS, ids % MEMBERS
+    n, cls = len(ids), ids // MEMBERS
     order = np.argsort(cls.astype(np.int8), kind="stable")  # of eight bits: a radix sort
-    h, cls, member = h[order], cls[order], member[order]
-    found, soft = _log_softmax_at(h @ p["C"] + p["cb"], cls, keep)
+    h, member = np.take(h, order, axis=0), np.take(ids, order) % MEMBERS
+    ends = np.r_[0, np.cumsum(np.bincount(cls, minlength=CLASSES))]
+    parts = [(k, slice(ends[k], ends[k + 1])) for k in range(CLASSES) if ends[k + 1] > ends[k]]
+    soft = h @ p["C"] + p["cb"]
+    found = np.empty(n, soft.dtype)
+    for k, rows in parts:
+        found[rows] = soft[rows, k]
+    total, off = _exps(soft, _safe(p["C"], p["cb"]))
+    found -= off
     g, dh = None, None
     if keep:
-        soft[np.arange(n), cls] -= 1
-        soft /= n
+        soft *= (1 / (total * n))[:, None]
+        for k, rows in parts:
+            soft[rows, k] -= 1 / n
         g = {"C": h.T @ soft, "cb": soft.sum(axis=0), "M": np.zeros_like(p["M"]), "mb": np.zeros_like(p["mb"])}
         dh = soft @ p["C"].T
-    ends = np.searchsorted(cls, np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        if ends[k + 1] > ends[k]:
-            rows = slice(ends[k], ends[k + 1])
-            part, inner = _log_softmax_at(h[rows] @ p["M"][k] + p["mb"][k], member[rows], keep)
-            found[rows] += part
-            if keep:
-                inner[np.arange(len(inner)), member[rows]] -= 1
-                inner /= n
-                g["M"][k], g["mb"][k] = h[rows].T @ inner, inner.sum(axis=0)
-                dh[rows] += inner @ p["M"][k].T
+    safe = _safe(p["M"], p["mb"])
+    for k, rows in parts:
+        mine, at = h[rows], member[rows]
+        inner = mine @ p["M"][k]
+        inner += p["mb"][k]
+        flat, place = inner.ravel(), np.arange(0, MEMBERS * len(at), MEMBERS) + at
+        picked = flat[place]
+        total, off = _exps(inner, safe)
+        found[rows] += picked - off
+        if keep:
+            inner *= (1 / (total * n))[:, None]
+            flat[place] -= 1 / n
+            g["M"][k], g["mb"][k] = mine.T @ inner, np.ones(len(at), inner.dtype) @ inner
+            dh[rows] += inner @ p["M"][k].T
     back = np.empty_like(order)
     back[order] = np.arange(n)
-    return found[back], g, dh[back] if keep else None
+    return np.take(found, back), g, np.take(dh, back, axis=0) if keep else None
 
 
 def fresh(count: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
@@ -183,35 +243,30 @@ def train(p: dict[str, np.ndarray], texts: list[np.ndarray], streams: int = STRE
             _, g, dh = _output(p, hs[on], x[on], keep=True)
             dhs = np.zeros_like(hs)
             dhs[on] = dh
-            H, Ut = HIDDEN, np.ascontiguousarray(p["U"].T)
-            gx, gu, carry = np.zeros((STEPS, streams, 3 * H), np.float32), np.empty((STEPS, streams, 3 * H), np.float32), np.zeros((streams, H), np.float32)
-            begins = ~goes_on.all(axis=1)
-            for t in range(STEPS - 1, -1, -1):
-                change, z, r, c, uc, mz = tape[t]
-                dc = carry * mz
-                dz = dc * change * (1 - z)
-                dc *= 1 - c * c
-                dx, du = gx[t], gu[t]
-                dx[:, :H], dx[:, H : 2 * H], dx[:, 2 * H :] = dz, dc * uc * r * (1 - r), dc
-                du[:] = dx
-                du[:, 2 * H :] *= r
-                carry = carry - carry * mz + du @ Ut + dhs[t]
-                if begins[t]:
-                    carry *= goes_on[t][:, None]
+            gx, gu = _back(p, tape, hs, m, goes_on, dhs)
+            H = HIDDEN
             flat_x, words = gx.reshape(-1, 3 * H), x.ravel()
             order = np.argsort(words.astype(np.int16), kind="stable")
             named = words[order]
             first = np.flatnonzero(np.r_[True, named[1:] != named[:-1]])
             per_word = np.zeros((WORDS, 3 * H), np.float32)
-            per_word[named[first]] = np.add.reduceat(flat_x[order], first, axis=0)
+            per_word[named[first]] = np.add.reduceat(np.take(flat_x, order, axis=0), first, axis=0)
             g |= {"U": hs.reshape(-1, H).T @ gu.reshape(-1, 3 * H), "b": flat_x.sum(axis=0), "W": p["E"].T @ per_word, "E": per_word @ p["W"].T}
             step += 1
             norm = float(np.sqrt(sum(float((v**2).sum()) for v in g.values())))
+            shrink = min(1.0, 1.0 / max(norm, 1e-9))
             for k in p:
-                d = g[k] * min(1.0, 1.0 / max(norm, 1e-9))
-                state[k][0] = 0.9 * state[k][0] + 0.1 * d
-                state[k][1] = 0.99 * state[k][1] + 0.01 * d * d
-                p[k] -= rate * (state[k][0] / (1 - 0.9**step)) / (np.sqrt(state[k][1] / (1 - 0.99**step)) + 1e-6)
+                d = g[k] * shrink
+                mean, square = state[k]
+                mean *= 0.9
+                mean += 0.1 * d
+                d *= d
+                d *= 0.01
+                square *= 0.99
+                square += d
+                size = np.sqrt(square * (1 / (1 - 0.99**step)))
+                size += 1e-6
+                p[k] -= rate / (1 - 0.9**step) * mean / size
         rate /= 2
     state["step"] = step
     return state

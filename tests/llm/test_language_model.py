@@ -139,3 +139,39 @@ def test_gradients_against_differences():
             ends.append(cost())
         p[k][at] = was
         assert abs((ends[0] - ends[1]) / 0.1 - g[k][at]) < 0.02 * abs(g[k][at])
+
+
+def test_recurrent_gradients_against_differences():
+    """The gradients by the inputs of the gates and by the states' share of them, made for all steps at once around a short loop."""
+    rng = np.random.default_rng(6)
+    p = {k: v.astype(float) for k, v in lm.fresh(rng.integers(1, 9, lm.WORDS)).items()}
+    T, B, H = 7, 3, lm.HIDDEN
+    ids = rng.integers(0, lm.WORDS, (T, B))
+    active, goes_on = np.ones((T, B), np.float32), np.ones((T, B), np.float32)
+    goes_on[0], goes_on[4, 1], active[5:, 2] = 0, 0, 0
+    pull = rng.normal(0, 1, (T, B, H)).astype(np.float32)
+    cost = lambda: float((lm._states(p, ids, active, np.zeros((B, H), np.float32), goes_on=goes_on)[0].astype(float) * pull).sum())
+    before, _, tape = lm._states(p, ids, active, np.zeros((B, H), np.float32), keep=True, goes_on=goes_on)
+    gx, gu = lm._back(p, tape, before, active, goes_on, pull)
+    for k, g in (("b", gx.reshape(-1, 3 * H).sum(axis=0)), ("U", before.reshape(-1, H).T @ gu.reshape(-1, 3 * H))):
+        for at in zip(*np.unravel_index(np.argsort(-np.abs(g).ravel())[:5], g.shape)):
+            was, ends = p[k][at], []
+            for step in (0.01, -0.01):
+                p[k][at] = was + step
+                ends.append(cost())
+            p[k][at] = was
+            assert abs((ends[0] - ends[1]) / 0.02 - g[at]) < 0.02 * abs(g[at]), (k, at)
+
+
+def test_large_outputs_do_not_overflow():
+    rng = np.random.default_rng(7)
+    h, ids = rng.uniform(-1, 1, (50, lm.HIDDEN)).astype(np.float32), rng.integers(0, lm.WORDS, 50)
+    p = lm.fresh(np.ones(lm.WORDS))
+    for scale in (1, 3000):
+        q = p | {k: p[k] * np.float32(scale) for k in ("C", "M")}
+        assert lm._safe(q["C"], q["cb"]) == (scale == 1)
+        logits = h @ q["C"] + q["cb"]
+        own = np.einsum("nh,nhm->nm", h, q["M"][ids // lm.MEMBERS]) + q["mb"][ids // lm.MEMBERS]
+        say = lambda x, at: x[np.arange(50), at] - x.max(axis=1) - np.log(np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1))
+        want = say(logits.astype(float), ids // lm.MEMBERS) + say(own.astype(float), ids % lm.MEMBERS)
+        assert np.allclose(lm._output(q, h, ids)[0], want, rtol=1e-4, atol=1e-3)
