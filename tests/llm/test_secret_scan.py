@@ -124,3 +124,17 @@ def test_redact(spark):
     got = {r["doc_id"]: r for r in ss.redact(docs, None).collect()}
     assert got[1]["text"] == "a [secret] b" and got[1]["n_chars"] == 12 and got[1]["extra"] == 5
     assert got[2]["text"] is None and got[2]["n_chars"] is None and got[3]["text"] == "plain é"
+
+
+def test_all_findings_are_learned(spark, monkeypatch):
+    """7,000 different secrets; before, the network saw at most 3,000 of them."""
+    rows = [(i, f"some words token = \"{i * 7919:040x}\" and otherwords{''.join(chr(97 + int(c)) for c in str(10**6 + i))}like these") for i in range(7000)]
+    found = ss.findings(spark.createDataFrame(rows, "doc_id long, text string")).localCheckpoint()
+    seen = []
+    averaged = ss._averaged
+    monkeypatch.setattr(ss, "_averaged", lambda parts: (seen.append(parts.groupBy().sum("tokens").first()[0]), averaged(parts))[1])
+    net = ss.fit(found)
+    values = ss._values(found)
+    assert values.where("y = 1").count() == 7000 and values.where("y = 0").count() > 6000
+    assert seen == [values.where("part < 3").count()] * ss.TURNS
+    assert net.measured["values"] == values.where("y = 1 and part = 4").count() and net.measured["recall"] >= 0.9
