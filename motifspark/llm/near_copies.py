@@ -1,17 +1,20 @@
-"""Near copies at a wanted Jaccard similarity of word shingles: an exact prefix-filter join on the shingle sets.
+"""Near copies at a wanted Jaccard similarity of word shingles: operator 6's trie join of SimHashes, verified, and an exact join for what its bit budget misses.
 
-Two sets with a similarity of at least ``similarity`` share one of the first n - ceil(similarity * n) + 1 shingles of each, in any
+The tries come first.  Each 64 bits of a text's SimHash (WIDE bits of its shingles' hashes) are filed under TRIES tries, pairs of nodes
+are walked together with a budget of REACH bits, and every text is compared with the nearest and the least of the partners found.
+
+The rest is exact.  Two sets with a similarity of at least ``similarity`` share one of the first n - ceil(similarity * n) + 1 shingles of each, in any
 order that is the same for all sets.  The order puts shingles first that are rare in a share of the texts, so that common passages seldom
-count; the result does not depend on that share.  Texts with equal sets are one node.
-
-Every pair that shares enough of these for the similarity to be possible is a candidate.  Candidates whose SimHashes (WIDE bits of the same
-shingles) differ in more than BUDGET bits go at once: of pairs at the similarity, one in some billions differs by so
-much.  A candidate is a link if the Jaccard similarity of the two whole sets, counted on 40 bits of each shingle's hash, is reached; only the
-sets that such candidates need are moved.  Only the classes of the links are wanted, so a
-shingle's texts are first compared with one of them (the pivot), which takes as many candidates as there are texts.  While that leaves
-many pairs of texts in different classes, a shingle's texts are compared with some of them, drawn anew each turn, again with
-some candidates a text, for as long as that joins many classes.  The end is exact: texts outside the largest class of a shingle are
-compared with all that are in other classes.  A shingle whose texts are in one class makes no pairs.
+count; the result does not depend on that share.  Texts with equal sets are one node.  Only texts that the links so far leave in different
+classes are compared: a shingle whose texts are in one class makes no pairs.  While many pairs are left,
+a shingle's texts are compared with some of them, drawn anew each turn, with
+some candidates a text, for as long as that joins many classes.  In the end texts outside the largest class of a shingle are
+compared with all that are in other classes.
+
+Every pair that shares enough of these for the similarity to be possible is a candidate.  Candidates whose SimHashes
+differ in more than BUDGET bits go at once: of pairs at the similarity, one in some billions differs by so
+much.  A candidate, of the tries or of a shingle, is a link if the Jaccard similarity of the two whole sets, counted on 40 bits of each shingle's hash, is reached; only the
+sets that such candidates need are moved.
 Shingles that the same texts have (a shared passage makes one for each of its words) are one row a text, with their number as weight.
 
 Defined results: as in ``simhash``; texts without words are copies of each other; extra columns are ignored, whatever their names.
@@ -28,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise, result, scratch
-from .simhash import _majority, components, labelled, shingle_hashes
+from .simhash import _majority, components, labelled, near_partners, shingle_hashes
 from .textbatch import PRIME, Chunk, map_text, mix, quoted, released
 
 SHINGLE, SIMILARITY = 5, 0.8
 SHARE, AT_LEAST, LISTED = 0.4, 3, 1_000_000  # of the texts from which the order is taken, counts and shingles it lists
 HOT_SHARE, HOT_BYTES = 10_000, 32_000_000
 WIDE, BUDGET, FEW = 256, 80, 64  # at 0.8, 39 bits differ, with a deviation of 6; sets under FEW shingles are not judged by it
+TRIES, REACH = 4, 12  # of each 64 bits of a SimHash, so many tries (blocks of 16 bits in front); at 0.8, 10 of 64 bits differ
 BROADCAST_SETS = 1_000_000
 PIVOTS, BLOCK = 16, 4_000
 LISTS = 256  # of a text's open shingles, so many are sent along with it; beyond, its pairs are made at each of them
@@ -198,25 +202,53 @@ def _alike(similarity: float):
     return run
 
 
-def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose SimHashes allow the similarity."""
+def _words(it):
+    """Rows (fp, sketch): each 64 bits of the sketch as a row (fp, word, key)."""
+    for b in it:
+        fp = np.asarray(b.column(0))
+        keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64).reshape(-1, WIDE // 64)
+        word = np.tile(np.arange(WIDE // 64, dtype=np.int32), len(fp))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, WIDE // 64)), pa.array(word), pa.array(keys.ravel())], names=["fp", "word", "key"])
+
+
+def trie_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): for every text that the tries of its SimHash find partners for, the nearest of them and the least.
+
+    Each 64 bits of the SimHash are a fingerprint with tries of its own.  Texts with equal ones are partners of the least of them.
+    """
+    words = materialise(nodes.select("fp", "sketch").mapInArrow(_words, "fp long, word int, key long"), "sketch_words")
+    least = materialise(words.groupBy("word", "key").agg(F.min("fp").alias("id"), F.count("*").alias("texts")), "least_of_words")
+    met = near_partners(least.select(F.col("key").alias("fp"), "word", "id"), REACH, TRIES)
+    several = materialise(least.where("texts > 1"), "shared_words")
+    hot = F.broadcast(several.where(F.col("texts") * HOT_SHARE > max(words.count(), HOT_SHARE)))  # under HOT_SHARE rows
+    plain = words.join(hot, ["word", "key"], "left_anti").join(several, ["word", "key"])
+    equal = [x.where("fp <> id").select(F.col("fp").alias("a"), F.col("id").alias("b"), F.lit(0).alias("d")) for x in (words.join(hot, ["word", "key"]), plain)]
+    chosen = met.unionByName(equal[0]).unionByName(equal[1]).groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("nearest"), F.min("b").alias("least"))
+    partner = lambda often, c: F.struct(F.lit(often).alias("often"), F.col(c).alias("to"))
+    pairs = chosen.select("a", F.explode(F.array(partner(0, "nearest"), partner(1, "least"))).alias("p")).select("p.often", "p.to", "a")
+    pairs = pairs.groupBy(F.least("a", "to").alias("low"), F.greatest("a", "to").alias("high"))
+    return pairs.agg(F.max(F.struct("often", "to", "a")).alias("p")).select(F.col("p.to").alias("a"), F.col("p.a").alias("b"))
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose numbers of shingles and SimHashes allow the similarity."""
     look = lambda c, k: nodes.select(F.col("fp").alias(c), F.col("sketch").alias(f"{k}s"), F.col("size").alias(f"{k}n"))
     both = pairs.join(look("a", "a"), "a").join(look("b", "b"), "b")
 
     def near(it):
         for b in it:
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, WIDE // 64) for i in (2, 3))
-            few = np.minimum(np.asarray(b.column(4)), np.asarray(b.column(5))) < FEW
-            ok = pa.array(few | (np.bitwise_count(x ^ y).sum(axis=1) <= BUDGET))
+            an, bn = np.asarray(b.column(4)), np.asarray(b.column(5))
+            least, most = np.minimum(an, bn), np.maximum(an, bn)
+            ok = pa.array((least >= most * similarity - 1e-9) & ((least < FEW) | (np.bitwise_count(x ^ y).sum(axis=1) <= BUDGET)))
             yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in (0, 1)], names=["a", "b"])
 
     return both.select("a", "b", "as", "bs", "an", "bn").mapInArrow(near, "a long, b long")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float, close: bool = False) -> DataFrame:
-    """The pairs (a, b) of fps whose sets are that similar; many pairs may have the same a.  close: their SimHashes have been compared."""
-    pairs = _possible(pairs, similarity)
-    pairs = materialise(pairs if close else _close(pairs, nodes), "candidates")
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of fps whose sets are that similar; many pairs may have the same a."""
+    pairs = materialise(pairs, "candidates")
     ids = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     wanted = materialise(nodes.join(ids, "fp", "left_semi").select("rid"), "wanted_sets")
     if wanted.count() <= BROADCAST_SETS:
@@ -413,8 +445,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         dealt = filed.repartition(n, "token").sortWithinPartitions("token", "fp")
         shared = materialise(dealt.mapInArrow(_shared, "token long, fp long, n int, pivot long, pn int"), "shared_shingles")
         shared = _merged(shared)
-        links = _verified(shared.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b"), F.col("pn").alias("an"), F.col("n").alias("bn"), F.col("w").alias("k")), rows, nodes, similarity)
-        linked = components(links)
+        linked = components(_verified(_close(trie_pairs(nodes), nodes, similarity), rows, nodes, similarity))
         rest, before, turn = shared.select("token", "fp", "n", "w"), None, 0
         while True:
             rest = _open(rest, linked)
@@ -424,9 +455,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ahead, turn = int(ahead), turn + 1
             if ahead <= ENOUGH * held or before is not None and ahead > before * GAIN:
                 break
-            more = _verified(_to_some(rest, turn, nodes, similarity), rows, nodes, similarity, close=True)
+            more = _verified(_possible(_to_some(rest, turn, nodes, similarity), similarity), rows, nodes, similarity)
             linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
             rest, before = rest.select("token", "fp", "n", "w"), ahead
-        more = _verified(_across(rest, nodes, similarity), rows, nodes, similarity, close=True)
+        more = _verified(_possible(_across(rest, nodes, similarity), similarity), rows, nodes, similarity)
         linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
         return result(labelled(rows.select("doc_id", "fp"), nodes, linked).select("doc_id", "component_id"), "near_copies", made)

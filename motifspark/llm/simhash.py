@@ -29,6 +29,7 @@ from .textbatch import Chunk, map_text, new_name
 SHINGLE = 3
 MAX_BITS = 2
 SPLIT_ABOVE = 20_000
+REACH_ROWS = 4_000
 BROADCAST_IDS = 1_000_000
 LANES = np.uint64(0x0101010101010101)
 
@@ -175,36 +176,48 @@ def _forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return root
 
 
-def _rotations(max_bits: int) -> list[tuple[int, int]]:
+def _rotations(tries: int) -> list[tuple[int, int]]:
     """(bits of left rotation, bits of the block then in front) of each trie."""
-    cuts = [round(64 * i / (max_bits + 1)) for i in range(max_bits + 2)]
+    cuts = [round(64 * i / tries) for i in range(tries + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _join_groups(max_bits: int):
+def _nearest(keys: np.ndarray, links: Iterator[tuple[np.ndarray, np.ndarray]], best: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``links`` handed on; ``best`` takes differing bits << 32 | index of the partner of each key that differs least."""
+    for a, b in links:
+        d = np.bitwise_count(keys[a] ^ keys[b]).astype(np.int64) << 32
+        np.minimum.at(best, a, d | b)
+        np.minimum.at(best, b, d | a)
+        yield a, b
+
+
+def _join_groups(max_bits: int, tries: int, reach: int | None = None):
     """mapInArrow over rows (grp, bits, side, key, r) sorted by grp, side, key: the forest links of each group.
 
     bits: of the common prefix.  A group with side -1 is one node joined with itself; with sides 0 and 1, a pair of nodes.
-    r: the trie; its rotation is undone in the result.
+    r: the trie; its rotation is undone in the result.  reach: see ``near_partners``; a sixth column, id, names the fingerprints.
     """
-    turns = np.array([by for by, _ in _rotations(max_bits)], dtype=np.uint64)
+    turns = np.array([by for by, _ in _rotations(tries)], dtype=np.uint64)
 
     def back(key: np.ndarray, r: np.ndarray) -> pa.Array:
-        by, k = turns[r], key.view(np.uint64)
+        by, k = turns[r % tries], key.view(np.uint64)
         turned = np.where(by == 0, k, (k >> by) | (k << (np.uint64(64) - by & np.uint64(63))))
         return pa.array(turned.view(np.int64))
 
-    def work(grp, bits, side, key, r) -> Iterator[pa.RecordBatch]:
+    def work(grp, bits, side, key, r, *names) -> Iterator[pa.RecordBatch]:
         keys = key.view(np.uint64)
         order = np.lexsort((keys, side, grp))  # Spark sorts keys as signed numbers
-        grp, bits, side, key, keys, r = (x[order] for x in (grp, bits, side, key, keys, r))
+        grp, bits, side, key, keys, r, *names = (x[order] for x in (grp, bits, side, key, keys, r, *names))
         starts = np.flatnonzero(np.r_[True, (grp[1:] != grp[:-1])])
         ends = np.r_[starts[1:], len(grp)]
         several = ends - starts > 1
         starts, ends = starts[several], ends[several]
+        budgets = np.full(len(starts), max_bits)
+        if reach is not None:
+            budgets[ends - starts <= REACH_ROWS] = reach
         made = []
-        for d in np.unique(bits[starts]):
-            mine = bits[starts] == d
+        for d, budget in np.unique(np.stack([bits[starts], budgets], axis=1), axis=0).tolist():
+            mine = (bits[starts] == d) & (budgets == budget)
             s, e = starts[mine], ends[mine]
             whole = side[s] < 0
             ws, we = s[whole], e[whole]
@@ -218,17 +231,28 @@ def _join_groups(max_bits: int):
                 low = np.uint64(64 - int(d))
                 gap = np.bitwise_count((keys[ps] >> low) ^ (keys[mid] >> low)).astype(np.int64)
                 pairs.append(np.stack([ps, mid, mid, pe, gap], axis=1))
-            made.append((int(d), np.concatenate(pairs)))
-        root = _forest(len(keys), (x for d, p in made for x in trie_links(keys, p, d, max_bits)))
-        linked = np.flatnonzero(root != np.arange(len(keys)))
-        if len(linked):
-            to = root[linked]
-            yield pa.RecordBatch.from_arrays([back(key[linked], r[linked]), back(key[to], r[to])], names=["a", "b"])
+            made.append((d, budget, np.concatenate(pairs)))
+        most = 2_000_000 if reach is None else 50_000
+        links = (x for d, budget, p in made for x in trie_links(keys, p, d, budget, most))
+        if reach is None:
+            root = _forest(len(keys), links)
+            linked = np.flatnonzero(root != np.arange(len(keys)))
+            if len(linked):
+                to = root[linked]
+                yield pa.RecordBatch.from_arrays([back(key[linked], r[linked]), back(key[to], r[to])], names=["a", "b"])
+        else:
+            best = np.full(len(keys), np.iinfo(np.int64).max)
+            root = _forest(len(keys), _nearest(keys, links, best))
+            off, met = np.flatnonzero(root != np.arange(len(keys))), np.flatnonzero(best < np.iinfo(np.int64).max)
+            linked, to = np.r_[off, met], np.r_[root[off], best[met] & 0xFFFFFFFF]
+            if len(linked):
+                d = np.bitwise_count(keys[linked] ^ keys[to]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names[0][linked], names[0][to], d)], names=["a", "b", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []  # batches not yet joined, so that a long group is put together once
         for batch in batches:
-            now = [np.asarray(batch.column(i)).astype(np.int64) for i in range(5)]
+            now = [np.asarray(column).astype(np.int64) for column in batch.columns]
             if not len(now[0]):
                 continue
             parts.append(now)
@@ -250,40 +274,58 @@ def _rotl(c, by: int):
     return c if by == 0 else F.shiftleft(c, by).bitwiseOR(F.shiftrightunsigned(c, 64 - by))
 
 
-def near_links(fps: DataFrame, max_bits: int = MAX_BITS, split_above: int = SPLIT_ABOVE, sub: int = 10) -> DataFrame:
-    """(a, b): links between distinct fingerprints ``fp`` that connect all those within ``max_bits`` bits.
+def _filed(fps: DataFrame, max_bits: int, tries: int, split_above: int, sub: int) -> DataFrame:
+    """Rows (grp, bits, side, key, r) for ``_join_groups``: each fingerprint under its block of every trie.
 
-    The links are spanning forests of the groups' links, so their closure is that of all links.
+    fps: (fp), or (fp, word, id) for fingerprints of several kinds (words), each with its own tries; id is handed on.
     """
     spark = fps.sparkSession
-    if not max_bits:
-        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
-    rotations = _rotations(max_bits)
+    rotations, word = _rotations(tries), F.col("word") if "word" in fps.columns else F.lit(0)
+    names = [c for c in fps.columns if c == "id"]
     filed = None
     for r, (by, wide) in enumerate(rotations):
         key = _rotl(F.col("fp"), by)
-        one = fps.select(F.lit(r).alias("r"), F.shiftrightunsigned(key, 64 - wide).alias("block"), F.lit(wide).alias("bits"), key.alias("key"))
+        one = fps.select((word * tries + r).alias("r"), F.shiftrightunsigned(key, 64 - wide).alias("block"), F.lit(wide).alias("bits"), key.alias("key"), *names)
         filed = one if filed is None else filed.unionByName(one)
     hot = materialise(filed.groupBy("r", "block").count().where(F.col("count") > split_above).select("r", "block"), "hot_blocks")
-    n_hot = hot.count()  # under (max_bits + 1) * fingerprints / split_above
+    n_hot = hot.count()  # under tries * fingerprints / split_above
     table = F.broadcast(hot) if n_hot <= 100_000 else hot
     plain = filed.join(table, ["r", "block"], "left_anti") if n_hot else filed
-    whole = plain.select((F.col("block") * 64 + F.col("r")).alias("grp"), "bits", F.lit(-1).alias("side"), "key", "r")
+    whole = plain.select((F.col("block") * 64 + F.col("r")).alias("grp"), "bits", F.lit(-1).alias("side"), "key", "r", *names)
     if n_hot:
         # the subtrees ``sub`` bits further down, each beside those within the budget: a fixed number of them
         near = [m for m in range(1 << sub) if m.bit_count() <= max_bits]
         head = F.shiftrightunsigned("key", 64 - rotations[0][1] - sub)
         for r, (_, wide) in enumerate(rotations):
-            head = F.when(F.col("r") == r, F.shiftrightunsigned("key", 64 - wide - sub)).otherwise(head)
+            head = F.when(F.pmod("r", F.lit(tries)) == r, F.shiftrightunsigned("key", 64 - wide - sub)).otherwise(head)
         cut = filed.join(table, ["r", "block"], "left_semi").withColumn("head", head.bitwiseAND((1 << sub) - 1))
         cut = cut.withColumn("m", F.explode(F.array(*[F.lit(m).cast("long") for m in near])))
         other = F.col("head").bitwiseXOR(F.col("m"))
         number = ((F.col("block") * (1 << sub) + F.least("head", other)) * (1 << sub) + F.greatest("head", other)) * 64 + F.col("r")
         side = F.when(F.col("m") == 0, -1).when(F.col("head") < other, 0).otherwise(1)
-        whole = whole.unionByName(cut.select((-1 - number).alias("grp"), (F.col("bits") + sub).alias("bits"), side.alias("side"), "key", "r"))
+        whole = whole.unionByName(cut.select((-1 - number).alias("grp"), (F.col("bits") + sub).alias("bits"), side.alias("side"), "key", "r", *names))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = whole.repartition(n, "grp").sortWithinPartitions("grp", "side", "key").select("grp", "bits", "side", "key", "r")
-    return dealt.mapInArrow(_join_groups(max_bits), "a long, b long")
+    return whole.repartition(n, "grp").sortWithinPartitions("grp", "side", "key").select("grp", "bits", "side", "key", "r", *names)
+
+
+def near_links(fps: DataFrame, max_bits: int = MAX_BITS, split_above: int = SPLIT_ABOVE, sub: int = 10) -> DataFrame:
+    """(a, b): links between distinct fingerprints ``fp`` that connect all those within ``max_bits`` bits.
+
+    The links are spanning forests of the groups' links, so their closure is that of all links.
+    """
+    if not max_bits:
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
+    return _filed(fps, max_bits, max_bits + 1, split_above, sub).mapInArrow(_join_groups(max_bits, max_bits + 1), "a long, b long")
+
+
+def near_partners(fps: DataFrame, reach: int, tries: int, max_bits: int = MAX_BITS, split_above: int = SPLIT_ABOVE, sub: int = 10) -> DataFrame:
+    """(a, b, d): ids of fingerprints of one word that differ in d bits.  fps: distinct (fp, word), and the id of each.
+
+    The same walk with a budget of ``reach`` bits, in groups over REACH_ROWS of ``max_bits``.  Pairs within tries - 1 bits share a block; of those
+    that differ by more, up to the budget, a share does.  Of a group, each a has the partner that differs least, and the root of its links,
+    which may be further away.
+    """
+    return _filed(fps, max_bits, tries, split_above, sub).mapInArrow(_join_groups(max_bits, tries, reach), "a long, b long, d int")
 
 
 # --- classes -------------------------------------------------------------------------------------------------

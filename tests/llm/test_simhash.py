@@ -93,3 +93,34 @@ def test_hot_and_cold_rows_get_the_same_classes(spark):
     none = spark.createDataFrame([], "node long, root long")
     for share in (2, 10_000_000):
         assert sorted(map(tuple, simhash.labelled(r, nodes, none, share).collect())) == [(5, 1, 5), (6, 1, 5), (9, 2, 9)]
+
+
+def test_near_partners_against_brute_force(spark):
+    """Of all fingerprints of its word that share a block and are within reach, a text gets one that differs least; in groups over the bounds at least those within max_bits."""
+    rng = np.random.default_rng(12)
+    keys = []
+    for _ in range(60):
+        base = int(rng.integers(0, 1 << 63))
+        for _ in range(5):
+            flips = rng.choice(64, int(rng.integers(0, 14)), replace=False)
+            keys.append(base ^ sum(1 << int(b) for b in flips))
+    keys = sorted(set(keys))
+    rows = [(np.uint64(k).astype(np.int64).item(), i % 2, 1000 + i) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "fp long, word int, id long")
+    blocks = lambda k: [(k >> s) & 0xFFFF for s in (0, 16, 32, 48)]
+    of = {1000 + i: (k, i % 2) for i, k in enumerate(keys)}
+    for split, wide in ((20_000, 4_000), (3, 0)):
+        simhash_rows, simhash.REACH_ROWS = simhash.REACH_ROWS, wide
+        try:
+            got = [tuple(r) for r in simhash.near_partners(df, 12, 4, split_above=split).collect()]
+        finally:
+            simhash.REACH_ROWS = simhash_rows
+        least = {}
+        for a, b, d in got:
+            assert a != b and of[a][1] == of[b][1] and (of[a][0] ^ of[b][0]).bit_count() == d
+            least[a] = min(d, least.get(a, 64))
+        reach = 12 if wide else 2
+        for a, (k, w) in of.items():
+            near = [(k ^ j).bit_count() for b, (j, v) in of.items() if b != a and v == w and any(x == y for x, y in zip(blocks(k), blocks(j)))]
+            if near and min(near) <= reach:
+                assert least[a] == min(near)
