@@ -53,6 +53,30 @@ def _grams(order: int, size: int) -> tuple[int, np.ndarray | None]:
     return g, out
 
 
+@lru_cache(8)
+def _codes(ab: Alphabet) -> np.ndarray:
+    code = np.zeros(256, np.uint8)
+    for i, b in enumerate(ab.bases):
+        code[[ord(b), ord(b.lower())]] = i + 1
+    return code
+
+
+def numbers(code: np.ndarray, length: int, base: int) -> np.ndarray:
+    """At each position the number of its last ``length`` codes in a base, in the narrowest integers; what would stand before the first is 0."""
+    made = {1: code}
+
+    def number(n: int) -> np.ndarray:
+        if n not in made:
+            h = 1 << (n - 1).bit_length() - 1
+            kind = np.min_scalar_type(base**n - 1).type
+            out = number(h).astype(kind)
+            out[h:] += number(n - h)[:-h].astype(kind) * kind(base**h)
+            made[n] = out
+        return made[n]
+
+    return number(length)
+
+
 class Grams:
     """A table (contexts, W) by grams: a window is the sum, or the product, of some look-ups instead of W."""
 
@@ -87,6 +111,26 @@ class Grams:
         for (_, last, _), x in zip(self.parts, sums):
             x += np.bincount(batch.grams[starts + last], weights, len(x))
 
+    def everywhere(self, batch: Batch) -> np.ndarray:
+        """``of`` at each position, whole windows or not; 0 where none fits in."""
+        out = np.zeros(len(batch.base))
+        n = max(len(out) - self.width + 1, 0)
+        for k, (_, last, part) in enumerate(self.parts):
+            x = part.take(batch.grams[last : last + n])
+            if k == 0:
+                out[:n] = x
+            elif self.exp:
+                out[:n] *= x
+            else:
+                out[:n] += x
+        return out
+
+    def add_everywhere(self, sums: list[np.ndarray], batch: Batch, weights: np.ndarray) -> None:
+        """``add`` with a weight for each position."""
+        n = max(len(weights) - self.width + 1, 0)
+        for (_, last, _), x in zip(self.parts, sums):
+            x += np.bincount(batch.grams[last : last + n], weights[:n], len(x))
+
     def empty(self) -> list[np.ndarray]:
         return [np.zeros(len(part)) for _, _, part in self.parts]
 
@@ -105,12 +149,10 @@ class Batch:
     base: 0 for an unknown base, else 1, 2, ...; ctx: number of each position's context, of order min(K, valid bases before it); grams: see ``Grams``.
     """
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, order: int, ab: Alphabet = STANDARD):
-        code = np.zeros(256, np.uint8)
-        for i, b in enumerate(ab.bases):
-            code[[ord(b), ord(b.lower())]] = i + 1
-        self.off, self.n, self.order, self.ab = off, len(off) - 1, order, ab
-        self.base = code[data]
+    def __init__(self, data: np.ndarray, off: np.ndarray, order: int, ab: Alphabet = STANDARD, coded: bool = False):
+        """coded: data are bases already (``coded``), and each sequence ends in a 0."""
+        self.off, self.n, self.order, self.ab, self.coded = off, len(off) - 1, order, ab, coded
+        self.base = data if coded else _codes(ab)[data]
 
     @cached_property
     def run(self) -> np.ndarray:
@@ -126,26 +168,19 @@ class Batch:
     def _letters(self, length: int) -> np.ndarray:
         """The number of the last ``length`` letters at each position; before a sequence's start they are 0."""
         base = self.ab.size + 1
-        out, have = self.base.astype(np.int64), 1
-        one = out
-        while have < length:
-            step = min(have, length - have)
-            part = out if step == have else out % base**step
-            more = out.copy()
-            more[have:] += part[:-have] * base**have if have < len(part) else 0
-            out, have = more, have + step
-        if out is one:
-            out = one.copy()
-        size = np.diff(self.off)
-        for i in range(min(length - 1, len(self.base))):
-            at = self.off[:-1][size > i] + i
-            out[at] %= base ** (i + 1)
+        out = numbers(self.base, length, base)
+        if not self.coded:
+            out = out.copy()
+            size = np.diff(self.off)
+            for i in range(min(length - 1, len(self.base))):
+                at = self.off[:-1][size > i] + i
+                out[at] %= base ** (i + 1)
         return out
 
     @cached_property
     def grams(self) -> np.ndarray:
         g, contexts = _grams(self.order, self.ab.size)
-        return self.ctx if contexts is None else self._letters(g + self.order)
+        return self.ctx if contexts is None else self._letters(g + self.order).astype(np.intp)
 
     @cached_property
     def ctx(self) -> np.ndarray:
@@ -162,13 +197,23 @@ class Batch:
         offset = np.concatenate([[0], np.cumsum([size ** (i + 1) for i in range(order + 1)])])
         return np.where(k >= 0, offset[np.maximum(k, 0)] + full, 0)
 
+    def whole(self, width: int) -> np.ndarray:
+        """Whether a window without an unknown base starts at each position."""
+        bad, have = self.base == 0, 1
+        while have < width:
+            step = min(have, width - have)
+            bad[:-step] |= bad[step:]
+            have += step
+        bad[max(len(bad) - width + 1, 0) :] = True
+        if not self.coded:
+            at = self.off[1:]
+            for j in range(1, width):
+                bad[at[at >= j] - j] = True
+        return ~bad
+
     def windows(self, width: int) -> np.ndarray:
         """Starts of the windows without an unknown base."""
-        ok = np.ones(len(self.base), bool)
-        for at, least in ((np.flatnonzero(self.base == 0), 0), (self.off[1:], 1)):
-            for j in range(least, width):
-                ok[at[at >= j] - j] = False
-        return np.flatnonzero(ok)
+        return np.flatnonzero(self.whole(width))
 
     def bounds(self, starts: np.ndarray) -> np.ndarray:
         """The place of each row's first window, and the end."""
@@ -195,18 +240,33 @@ def _one_context(order: int, size: int) -> np.ndarray:
 
 
 def batches_of(column: pa.Array, order: int, ab: Alphabet = STANDARD, letters: int = CHUNK) -> Iterator[tuple[int, Batch]]:
-    """(first row, batch) of some ``letters`` letters each."""
-    column = column.cast(pa.large_string())
+    """(first row, batch) of some ``letters`` letters each; a column of bytes is one of ``coded`` sequences."""
+    known = pa.types.is_binary(column.type)
+    column = column.cast(pa.large_binary() if known else pa.large_string())
     _, o, d = column.buffers()
     off = np.frombuffer(o, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(d, np.uint8) if d is not None else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
         j = max(i + 1, int(np.searchsorted(off, off[i] + letters, "right")) - 1)
-        yield i, Batch(data[off[i] : off[j]], off[i : j + 1] - off[i], order, ab)
+        yield i, Batch(data[off[i] : off[j]], off[i : j + 1] - off[i], order, ab, known)
         i = j
 
 
+def coded(column: pa.Array, ab: Alphabet = STANDARD) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, codes) of sequences: the number of each base, 0 for an unknown one, and a 0 at the end of each sequence."""
+    column = column.cast(pa.large_string())
+    _, o, d = column.buffers()
+    off = np.frombuffer(o, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(d, np.uint8)[off[0] : off[-1]] if d is not None else np.zeros(0, np.uint8)
+    off = off - off[0] + np.arange(len(off))
+    letter = np.ones(off[-1], bool)
+    letter[off[1:] - 1] = False
+    out = np.zeros(off[-1], np.uint8)
+    out[letter] = np.frombuffer(data.tobytes().translate(_codes(ab).tobytes()), np.uint8)
+    return off, out
+
+
 def _tables(motifs: list[Motif], bg: Background, pseudo: float) -> list[np.ndarray]:
     return [np.concatenate(score_table(m, bg, pseudo)) for m in motifs]
 

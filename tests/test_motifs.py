@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -330,3 +331,56 @@ def test_sparse_messages_as_dense_ones(spark):
     assert got == {f"m{i:02}": f"m{k:02}" for i, k in enumerate(dense)}
     near = {r["model_id"]: r["exemplar"] for r in compare.propagated(df.where("sim_score > -60")).collect()}
     assert all((near[f"m{i:02}"] == near[f"m{j:02}"]) <= (i // 6 == j // 6) for i in range(24) for j in range(24))
+
+
+@pytest.mark.parametrize("order, bg_order", [(0, 0), (1, 2), (2, 1), (2, 2), (3, 2)])
+def test_stretches_give_the_odds_of_whole_tables(order, bg_order):
+    """Products over stretches of places, with the letters before a window apart, are the odds by context; draws are the same."""
+    from motifspark.operators import gibbs, score
+    from motifspark.operators.background import from_counts, kmer_of
+    from motifspark.operators.motif import alphas
+
+    rng, W = np.random.default_rng(8), 7
+    bg = from_counts([(k, kmer_of(y, k + 1), int(rng.integers(5, 50))) for k in range(bg_order + 1) for y in range(4 ** (k + 1))], bg_order)
+    texts = ["".join(rng.choice(list("ACGTN"), n, p=[0.24] * 4 + [0.04])) for n in (50, 3, 0, 90, 20)]
+    off, codes = score.coded(pa.array(texts))
+    batch, alpha = score.Batch(codes, off, order, coded=True), np.repeat(alphas(order)[:, None], W, axis=1)
+    plain = score.Batch(np.frombuffer("".join(texts).encode(), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])], order)
+    assert (batch.ctx[codes > 0] == plain.ctx[plain.base > 0]).all() and batch.whole(W).sum() == len(plain.windows(W))
+    contexts = sum(4 ** (k + 1) for k in range(order + 1))
+    n = np.stack([rng.integers(2, 30, (contexts, W)).astype(float) for _ in range(2)])
+    rows = [np.stack(x) for x in zip(*[em.roll_up(x, order, 4) for x in n])]
+    s = batch.windows(W)
+    own, chain = np.full((5, W), -1), np.array([0, 1, 1, 0, 1])
+    letters = own.copy()
+    for r in (0, 3):
+        at = s[batch.rows(s) == r][-1] + np.arange(W)
+        own[r], letters[r] = batch.ctx[at], codes[at].astype(int) - 1
+    stretches = gibbs.Stretches(order, W, bg)
+    tables = stretches.tables(rows, chain, letters, np.stack([alpha, alpha]))
+    got = stretches.odds(batch, batch.whole(W), tables, np.arange(5))
+    want, log_bg = np.zeros(len(codes)), gibbs._log_background(bg, order)
+    for c in (0, 1):
+        by_context = gibbs.site_tables(n[c], own, alpha, bg, log_bg)
+        mine = s[chain[batch.rows(s)] == c]
+        want[mine] = np.exp(sum(by_context[batch.row[mine], batch.ctx[mine + j], j] for j in range(W)))
+    assert np.allclose(got, want, rtol=1e-10, atol=0)
+    whole = np.add.reduceat(batch.whole(W), off[:-1], dtype=np.intp)
+    for u in rng.random((50, 5)):
+        at = gibbs.drawn(want, off[1:], whole, np.full(5, 0.6), u)
+        assert (at == gibbs.draw_sites(batch, s, want[s], np.arange(5), 0.6, u)).all()
+
+
+def test_gibbs_rounds_move_blocks_not_sequences(spark, world):
+    """A round reads and joins a row a block; ids of any kind, and the same sites whatever the blocks."""
+    from motifspark.operators import gibbs, score
+
+    df, _, bg, plan = world
+    st = score.scored_strands(df)
+    rows = gibbs.blocks(st.coalesce(1), bg.ab).collect()
+    assert len(rows) < 5 and sum(len(r["ids"]) for r in rows) == df.count()
+    assert all(len(r["codes"]) == sum(r["sizes"]) for r in rows)
+    m = start_motif(bg, plan, 0.45)
+    fits = [gibbs.collapsed(x, m, bg, rounds=4, r_hat=0) for x in (st, st.repartition(7), st.withColumn("seq_id", F.col("seq_id").cast("string")))]
+    sites = [sorted((int(r["seq_id"]), r["start"], r["p"]) for r in f.marginals.collect()) for f in fits]
+    assert sites[0] == sites[1] == sites[2] and np.array_equal(fits[0].motif.n[-1], fits[1].motif.n[-1])
