@@ -1,6 +1,7 @@
 """Expectation-maximisation of motifs: a Spark job per iteration, model updates on the driver."""
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
+from ..functions.sequence import Alphabet
 from .background import Background
 from .motif import Motif, conditionals, joints, score_table
-from .score import Grams, batches_of
+from .score import Grams, batches_of, coded
 
 EPSILON, MAX_ITERATIONS, SITE_CUTOFF = 0.01, 1000, 0.3
 
@@ -38,31 +40,30 @@ class Cells:
         return Grams(np.tile(self.table, (-(-contexts // len(self.table)), 1)), order, ab, exp=True)
 
     def chosen(self, batch, grams: Grams | None = None) -> np.ndarray:
-        """Of the batch's windows."""
-        return _units(_posterior(batch, grams or self.grams(batch.order, batch.ab), self.q)[1]) >= self.cutoff
+        """Whether the window at each position is one; False where none is whole."""
+        whole = batch.whole(self.table.shape[1])
+        return whole & (_units(_everywhere(batch, grams or self.grams(batch.order, batch.ab), self.q, whole)[0]) >= self.cutoff)
 
 
 def _units(r: np.ndarray) -> np.ndarray:
     return np.rint(r * SCALE).astype(np.int64)
 
 
-def _posterior(batch, table: Grams, q: float, cells: Cells | None = None, cell_grams: Grams | None = None):
-    """Windows, their responsibilities, their rows, log of the norm of each row, and the windows of each row.  table: of odds."""
-    s = batch.windows(table.width)
-    bounds = batch.bounds(s)
-    count = np.diff(bounds)
-    row = np.repeat(np.arange(batch.n), count)
-    odds = table.of(batch, s)
+def _everywhere(batch, table: Grams, q: float, whole: np.ndarray, cells: Cells | None = None, cell_grams: Grams | None = None):
+    """Responsibilities at all positions, 0 where no window is whole; log of the norm of each row, and its windows.  table: of odds."""
+    rows = np.flatnonzero(np.diff(batch.off))
+    first = batch.off[:-1][rows]
+    odds, total, count = table.everywhere(batch), np.zeros(batch.n), np.zeros(batch.n, np.int64)
+    odds *= whole
     if cells is not None:
         odds *= cells.chosen(batch, cell_grams)
+    if len(rows):
+        count[rows] = np.add.reduceat(whole, first, dtype=np.int64)
+        total[rows] = np.add.reduceat(odds, first)
     share = q / np.maximum(count, 1)
-    some = np.flatnonzero(count)
-    total = np.zeros(batch.n)
-    if len(some):
-        total[some] = np.add.reduceat(odds, bounds[:-1][some])
     norm = (1 - q) + total * share
-    odds *= (share / norm)[row]
-    return s, odds, row, np.where(count > 0, np.log(norm), 0.0), count
+    odds *= np.repeat(share / norm, np.diff(batch.off))
+    return odds, np.where(count > 0, np.log(norm), 0.0), count
 
 
 def responsibilities(strands: DataFrame, m: Motif, bg: Background, at_least: float = 0.0) -> DataFrame:
@@ -74,9 +75,10 @@ def responsibilities(strands: DataFrame, m: Motif, bg: Background, at_least: flo
         table, q = Grams(sent.value[0], order, ab, exp=True), sent.value[1]
         for b in it:
             for i, batch in batches_of(b.column(1), order, ab):
-                s, r, row, _, _ = _posterior(batch, table, q)
-                keep = r >= at_least
-                s, r, row = s[keep], r[keep], row[keep]
+                whole = batch.whole(table.width)
+                r = _everywhere(batch, table, q, whole)[0]
+                s = np.flatnonzero(whole & (r >= at_least))
+                r, row = r[s], batch.row[s]
                 take = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(2).take(take), pa.array((s - batch.off[row]).astype(np.int32)), pa.array(r)], names=["seq_id", "L", "start", "r"])
 
@@ -91,7 +93,8 @@ def expected_counts_many(
 
     at_least: only windows with that responsibility count.  cells: all others have none, whatever the model.  sample_seed: instead of fractions, one drawn site (or none)
     per sequence, the draw fixed by the seed and the sequence's id.  held_out: for each motif, the ``fold`` of sequences that do not count.
-    A batch's contexts are found once for all motifs of an order; tasks send one table of sums each.
+    A batch's contexts are found once for all motifs of an order; tasks send one table of sums each.  strands may also be ``distinct`` sequences,
+    each of which counts as often as it stands there.
     """
     size, ab = bg.ab.size, bg.ab
     cells, folds = cells or [None] * len(motifs), held_out or [None] * len(motifs)
@@ -105,37 +108,37 @@ def expected_counts_many(
         sums, ends = [m[1].empty() for m in models], np.zeros((len(models), 3))
         orders = sorted({m[0] for m in models})
         for b in it:
-            fold = np.asarray(b.column(4))
+            many, fold = np.asarray(b.column(1)), np.asarray(b.column(2))
             for order in orders:
-                for i, batch in batches_of(b.column(1), order, ab):
+                for i, batch in batches_of(b.column(0), order, ab):
                     for k, (o, table, q, chosen, grams, out) in enumerate(models):
                         if o == order:
-                            use = None if out is None else fold[i : i + batch.n] != out
-                            ends[k] += one(b, i, batch, table, q, chosen, grams, use, sums[k])
+                            weight = many[i : i + batch.n] if out is None else np.where(fold[i : i + batch.n] != out, many[i : i + batch.n], 0)
+                            ends[k] += one(b, i, batch, table, q, chosen, grams, weight, sums[k])
         flat = np.concatenate([np.r_[m[1].by_context(x).ravel(), e] for m, x, e in zip(models, sums, ends)])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "x"])
 
-    def one(b, i, batch, table, q, chosen, grams, use, sums) -> np.ndarray:
-        s, r, row, llh, count = _posterior(batch, table, q, chosen, grams)
+    def one(b, i, batch, table, q, chosen, grams, weight, sums) -> np.ndarray:
+        r, llh, count = _everywhere(batch, table, q, batch.whole(table.width), chosen, grams)
         if sample_seed is not None:
             u = np.asarray(b.column(3))[i : i + batch.n]
-            upto = np.cumsum(r)
-            first = np.searchsorted(row, np.arange(batch.n))
-            before = np.r_[0.0, upto][first]
-            drawn_at = np.searchsorted(upto, before + u, "right")
-            drawn = (drawn_at < np.r_[first[1:], len(s)]) & (count > 0)
-            r = np.zeros(len(s))
+            upto = np.r_[0.0, np.cumsum(r)]
+            drawn_at = np.searchsorted(upto[1:], upto[batch.off[:-1]] + u, "right")
+            drawn = (drawn_at < batch.off[1:]) & (count > 0)
+            r = np.zeros(len(r))
             r[drawn_at[drawn]] = 1.0
         if at_least:
-            r = np.where(r >= at_least, r, 0.0)
-        if use is not None:
-            r, llh, count = np.where(use[row], r, 0.0), np.where(use, llh, 0.0), np.where(use, count, 0)
-        table.add(sums, batch, s, r)
-        return np.array([llh.sum(), r.sum(), (count > 0).sum()])
+            r[r < at_least] = 0.0
+        if not (weight == 1).all():
+            r *= np.repeat(weight, np.diff(batch.off))
+        table.add_everywhere(sums, batch, r)
+        return np.array([(llh * weight).sum(), r.sum(), weight[count > 0].sum()])
 
     draw = uniform(sample_seed, F.col("seq_id"), F.lit("site")) if sample_seed is not None else F.lit(0.0)
+    text = "codes" if "codes" in strands.columns else "dseq"
+    many = F.col("many") if "many" in strands.columns else F.lit(1)
     fold = F.col("fold") if held_out else F.lit(0)
-    made = strands.select("seq_id", "dseq", "L", draw.alias("u"), fold.cast("int").alias("fold")).mapInArrow(run, "i int, x double")
+    made = strands.select(text, many.cast("long").alias("many"), fold.cast("int").alias("fold"), draw.alias("u")).mapInArrow(run, "i int, x double")
     flat = np.zeros(at[-1])
     for r in made.groupBy("i").agg(F.sum("x").alias("x")).collect():  # contexts * W + 3 rows a motif
         flat[r["i"]] = r["x"]
@@ -146,6 +149,23 @@ def expected_counts_many(
     return out
 
 
+def distinct(strands: DataFrame, ab: Alphabet) -> DataFrame:
+    """(codes, many, fold): the different sequences as ``coded`` bytes, and how often each stands in ``strands``.
+
+    The shuffle also deals them evenly, however few row groups the input has.
+    """
+    names = ["many", *(["fold"] if "fold" in strands.columns else [])]
+    found = strands.where(F.col("dseq").isNotNull()).groupBy("dseq", *names[1:]).agg(F.count("*").alias("many"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            off, codes = coded(b.column(0), ab)
+            text = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(codes)])
+            yield pa.RecordBatch.from_arrays([text.cast(pa.binary()), *b.columns[1:]], names=["codes", *names])
+
+    return found.select("dseq", "many", *[F.col(c).cast("int").alias(c) for c in names[1:]]).mapInArrow(run, "codes binary, many long" + ", fold int" * len(names[1:]))
+
+
 def expected_counts(strands: DataFrame, m: Motif, bg: Background, at_least: float = 0.0, sample_seed: int | None = None, cells: Cells | None = None) -> tuple[list[np.ndarray], float, float, int]:
     """``expected_counts_many`` of one motif."""
     return expected_counts_many(strands, [m], bg, at_least, sample_seed, [cells])[0]
@@ -182,7 +202,8 @@ def optimize_many(
     One job an iteration for all motifs that still change.  held_out: for each motif, the ``fold`` it does not see.  counts: what gives
     the expected counts, ``expected_counts_many`` by default.
     """
-    counts = counts or expected_counts_many
+    if counts is None:
+        counts, strands = expected_counts_many, distinct(strands, bg.ab)
     strands = strands.persist()
     try:
         fits = [Fit(m, [], []) for m in motifs]
@@ -222,6 +243,8 @@ def top_cells(strands: DataFrame, m: Motif, bg: Background, share: float = 0.05)
     """
     zero = Motif(m.v[:1], m.p[:1], m.n[:1], m.alpha[:1], m.q, m.name, m.ab)
     table, bits = _table(zero, bg), 14
+    text = "codes" if "codes" in strands.columns else "dseq"
+    many = F.col("many") if "many" in strands.columns else F.lit(1).cast("long")
     cells, ab = Cells(table, m.q, 0, m.order), bg.ab
     sent = strands.sparkSession.sparkContext.broadcast(cells)
     prefix, place = 0, None
@@ -232,13 +255,15 @@ def top_cells(strands: DataFrame, m: Motif, bg: Background, share: float = 0.05)
             cells, counts = sent.value, np.zeros(1 << bits, np.int64)
             grams = cells.grams(cells.order, ab)
             for b in it:
-                for _, batch in batches_of(b.column(0), cells.order, ab):
-                    u = _units(_posterior(batch, grams, cells.q)[1])
-                    counts += np.bincount((u[(u >> low + bits) == prefix] >> low) & ((1 << bits) - 1), minlength=1 << bits)
+                for i, batch in batches_of(b.column(0), cells.order, ab):
+                    whole, weight = batch.whole(grams.width), np.asarray(b.column(1))[i : i + batch.n]
+                    u = _units(_everywhere(batch, grams, cells.q, whole)[0])
+                    at = np.flatnonzero(whole & (u >> low + bits == prefix))
+                    counts += np.bincount((u[at] >> low) & ((1 << bits) - 1), weight[batch.row[at]], 1 << bits).astype(np.int64)
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["u", "n"])
 
-        rows = strands.select("dseq").mapInArrow(run, "u long, n long").groupBy("u").agg(F.sum("n").alias("n")).orderBy(F.desc("u")).collect()  # 2^14 rows at most
+        rows = strands.select(text, many.alias("many")).mapInArrow(run, "u long, n long").groupBy("u").agg(F.sum("n").alias("n")).orderBy(F.desc("u")).collect()  # 2^14 rows at most
         total = sum(r["n"] for r in rows)
         if not total:
             return cells
@@ -267,8 +292,7 @@ def chosen_windows(strands: DataFrame, cells: Cells, bg: Background) -> DataFram
         grams = sent.value.grams(sent.value.order, ab)
         for b in it:
             for i, batch in batches_of(b.column(1), sent.value.order, ab):
-                s = batch.windows(grams.width)
-                s = s[sent.value.chosen(batch, grams)]
+                s = np.flatnonzero(sent.value.chosen(batch, grams))
                 row = batch.row[s]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + i)), pa.array((s - batch.off[row]).astype(np.int32))], names=["seq_id", "start"])
 

@@ -384,3 +384,23 @@ def test_gibbs_rounds_move_blocks_not_sequences(spark, world):
     fits = [gibbs.collapsed(x, m, bg, rounds=4, r_hat=0) for x in (st, st.repartition(7), st.withColumn("seq_id", F.col("seq_id").cast("string")))]
     sites = [sorted((int(r["seq_id"]), r["start"], r["p"]) for r in f.marginals.collect()) for f in fits]
     assert sites[0] == sites[1] == sites[2] and np.array_equal(fits[0].motif.n[-1], fits[1].motif.n[-1])
+
+
+def _odd_texts(spark, world):
+    """The world's sequences, some of them several times, and short, empty and masked ones."""
+    _, rows, _, _ = world
+    texts = [*rows, *[(1000 + i, rows[i % 7][1]) for i in range(60)], (2000, "ACGTACG"), (2001, ""), (2002, "NNNNNNNNNNNN"), (2003, "ACGTNACGTTGCAAGTCNACGTAACG")]
+    return score.scored_strands(spark.createDataFrame(texts, "seq_id long, seq string").withColumn("fold", F.col("seq_id").cast("int") % 3))
+
+
+def test_copies_are_read_once_and_count_as_often_as_they_stand(spark, world):
+    _, rows, bg, plan = world
+    st, m = _odd_texts(spark, world), start_motif(bg, plan)
+    texts = em.distinct(st, bg.ab)
+    per_fold = {(i % 3, s) for i, s in [(r["seq_id"], r["dseq"]) for r in st.collect()]}
+    assert texts.count() == len(per_fold) and texts.agg(F.sum("many")).first()[0] == st.count()
+    for options in ({}, {"at_least": 0.05}, {"held_out": [1, 2]}):
+        motifs = [m, start_motif(bg, plan, 0.3)][: len(options.get("held_out", [0]))]
+        for a, b in zip(em.expected_counts_many(st, motifs, bg, **options), em.expected_counts_many(texts, motifs, bg, **options)):
+            assert all(np.allclose(x, y) for x, y in zip(a[0], b[0])) and np.allclose(a[1:], b[1:])
+    assert em.top_cells(st, m, bg).cutoff == em.top_cells(texts, m, bg).cutoff
