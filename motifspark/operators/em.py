@@ -279,9 +279,82 @@ def top_cells(strands: DataFrame, m: Motif, bg: Background, share: float = 0.05)
 def masked_optimize(strands: DataFrame, m: Motif, bg: Background, share: float = 0.05, **options) -> Fit:
     """An order-0 step of the starting model chooses the windows with the highest responsibilities; full-order steps then use only those.
 
-    The chosen windows stay the same in all steps: tasks find them again from the starting model, which is broadcast.
+    The chosen windows stay the same in all steps: they are found once and kept as numbers of their letters (``chosen_grams``), so a step costs
+    what its chosen windows do.
     """
-    return optimize(strands, m, bg, cells=top_cells(strands, m, bg, share), **options)
+    texts = distinct(strands, bg.ab).persist()
+    try:
+        cells = top_cells(texts, m, bg, share)
+        counts = lambda rows, motifs, bg, at_least, cells, held_out: [_chosen_counts(rows, motifs[0], bg, at_least)]
+        return optimize_many(chosen_grams(texts, cells, bg), [m], bg, counts=counts, **options)[0]
+    finally:
+        texts.unpersist()
+
+
+def chosen_grams(texts: DataFrame, cells: Cells, bg: Background) -> DataFrame:
+    """(windows, many, grams) of ``distinct`` sequences: how many windows each has, how often it stands in the input, and of its chosen windows the numbers
+    that a table of the cells' order is read by (``Grams``), the parts of all windows one after another.
+
+    Sequences without a chosen window are one row a batch, as only their number counts.
+    """
+    sent, ab, order, W = texts.sparkSession.sparkContext.broadcast(cells), bg.ab, cells.order, cells.table.shape[1]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = sent.value.grams(order, ab)
+        for b in it:
+            for i, batch in batches_of(b.column(0), order, ab):
+                weight, at = np.asarray(b.column(1))[i : i + batch.n], sent.value.chosen(batch, grams)
+                windows, chosen = (np.add.reduceat(x, batch.off[:-1], dtype=np.int64) for x in (batch.whole(W), at))
+                s = np.flatnonzero(at)
+                numbers = np.stack([batch.grams[s + last] for _, last, _ in grams.parts], axis=1).astype(np.int32)
+                some, none = np.flatnonzero(chosen), (chosen == 0) & (windows > 0)
+                width = 4 * len(grams.parts)
+                ends = np.r_[0, np.cumsum(chosen[some])] * width
+                ends = np.r_[ends, ends[-1]].astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.r_[windows[some], 1]), pa.array(np.r_[weight[some], weight[none].sum()]), pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(numbers)])],
+                    names=["windows", "many", "grams"],
+                )
+
+    return texts.select("codes", "many").mapInArrow(run, "windows long, many long, grams binary")
+
+
+def _chosen_counts(rows: DataFrame, m: Motif, bg: Background, at_least: float = 0.0) -> tuple[list[np.ndarray], float, float, int]:
+    """``expected_counts`` over ``chosen_grams``."""
+    sent, order, ab = rows.sparkSession.sparkContext.broadcast((_table(m, bg), m.q)), m.order, bg.ab
+    contexts, W = len(sent.value[0]), m.width
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, q = Grams(sent.value[0], order, ab, exp=True), sent.value[1]
+        sums, ends, parts = table.empty(), np.zeros(3), len(table.parts)
+        for b in it:
+            windows, weight = np.asarray(b.column(0)), np.asarray(b.column(1))
+            _, o, d = b.column(2).cast(pa.large_binary()).buffers()
+            off = np.frombuffer(o, np.int64)[b.column(2).offset : b.column(2).offset + b.num_rows + 1]
+            numbers = np.frombuffer(d, np.uint8)[off[0] : off[-1]].view(np.int32).reshape(-1, parts) if d is not None else np.zeros((0, parts), np.int32)
+            off = (off - off[0]) // (4 * parts)
+            at = [np.ascontiguousarray(x).astype(np.intp) for x in numbers.T]
+            odds = np.ones(len(numbers))
+            for (_, _, part), x in zip(table.parts, at):
+                odds *= part.take(x)
+            some, total = np.flatnonzero(np.diff(off)), np.zeros(len(windows))
+            if len(some):
+                total[some] = np.add.reduceat(odds, off[:-1][some])
+            norm = (1 - q) + total * (q / windows)
+            r = odds * np.repeat(q / windows / norm, np.diff(off))
+            if at_least:
+                r[r < at_least] = 0.0
+            r *= np.repeat(weight, np.diff(off))
+            for x, y in zip(sums, at):
+                x += np.bincount(y, r, len(x))
+            ends += [(np.log(norm) * weight).sum(), r.sum(), weight.sum()]
+        flat = np.r_[table.by_context(sums).ravel(), ends]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "x"])
+
+    flat = np.zeros(contexts * W + 3)
+    for r in rows.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # contexts * W + 3 rows
+        flat[r["i"]] = r["x"]
+    return roll_up(flat[:-3].reshape(contexts, W), order, ab.size), float(flat[-3]), float(flat[-2]), int(flat[-1])
 
 
 def chosen_windows(strands: DataFrame, cells: Cells, bg: Background) -> DataFrame:

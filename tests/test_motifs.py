@@ -404,3 +404,21 @@ def test_copies_are_read_once_and_count_as_often_as_they_stand(spark, world):
         for a, b in zip(em.expected_counts_many(st, motifs, bg, **options), em.expected_counts_many(texts, motifs, bg, **options)):
             assert all(np.allclose(x, y) for x, y in zip(a[0], b[0])) and np.allclose(a[1:], b[1:])
     assert em.top_cells(st, m, bg).cutoff == em.top_cells(texts, m, bg).cutoff
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.05, 0.5])
+def test_masked_steps_read_only_the_chosen_windows(spark, world, share):
+    """The same sums as over all windows with the others left out, and a table that is as large as the chosen ones."""
+    _, _, bg, plan = world
+    st, m = _odd_texts(spark, world).drop("fold"), start_motif(bg, plan)
+    texts = em.distinct(st, bg.ab)
+    cells = em.top_cells(texts, m, bg, share)
+    kept = em.chosen_grams(texts, cells, bg)
+    for at_least in (0.0, 0.02):
+        a, b = em.expected_counts(st, m, bg, at_least, cells=cells), em._chosen_counts(kept, m, bg, at_least)
+        assert all(np.allclose(x, y) for x, y in zip(a[0], b[0])) and np.allclose(a[1:], b[1:])
+    chosen = em.chosen_windows(st, cells, bg).groupBy("seq_id").count()
+    different = st.join(chosen, "seq_id").select("dseq", "count").distinct().agg(F.sum("count")).first()[0]
+    assert kept.agg(F.sum(F.length("grams"))).first()[0] == 4 * len(cells.grams(m.order, bg.ab).parts) * different
+    one, all_windows = em.masked_optimize(st, m, bg, share, max_iterations=3), em.optimize(st, m, bg, max_iterations=3, cells=cells)
+    assert np.allclose(one.motif.v[-1], all_windows.motif.v[-1]) and np.allclose(one.log_likelihood, all_windows.log_likelihood)
