@@ -36,6 +36,7 @@ from .score import Batch, Grams, coded, numbers
 ITERATIONS = 100
 TABLES = 1_000_000  # places of the tables that a task holds at once
 BLOCK, STRETCH = 64_000, 256  # letters of a block; numbers that a stretch of places takes
+TASK = 32_000_000  # letters of a task: a round has one Python task for each, or two a core, as each costs some 90 ms before its first row
 MOVED, NEAR = 300_000, 16_000  # letters of the sequences that are drawn at once, and of arrays that stay near the core
 
 
@@ -397,7 +398,9 @@ def collapsed(
     counts, alphas = np.zeros((chains, contexts, W)), [m.alpha.copy() for _ in range(chains)]
     adams, rng = [Adam(m.alpha.shape) for _ in range(chains)], np.random.default_rng(seed)
     name = f"gibbs_{uuid.uuid4().hex}"
-    bucketed(blocks(strands, ab), name, "block", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    laid = materialise(blocks(strands, ab), "gibbs_blocks")
+    letters, n_seqs = laid.agg(F.sum(F.length("codes").cast("long")), F.sum(F.size("ids").cast("long"))).first()
+    bucketed(laid, name, "block", max(2 * spark.sparkContext.defaultParallelism, -(-(letters or 0) // TASK)))
 
     def step(i: int, sites: DataFrame | None, qs: list[float]) -> DataFrame:
         """(block, z, change): the sites of every sequence of a block by chain, and in rows without sites the change of the counts."""
@@ -444,8 +447,7 @@ def collapsed(
         return rows.select("block", "ids", "sizes", "codes", "z").mapInArrow(run, "block long, z array<array<int>>, change array<double>")
 
     try:
-        ids = materialise(spark.table(name).select("block", "ids"), "gibbs_ids")
-        n_seqs, sites, kept, seen, qs = int(ids.agg(F.sum(F.size("ids"))).first()[0] or 0), None, [], [], [m.q] * chains
+        n_seqs, sites, kept, seen, qs = int(n_seqs or 0), None, [], [], [m.q] * chains
         mean, worst, i = np.zeros((contexts, W)), math.inf, 0
         for i in range(rounds):
             made = materialise(step(i, sites, qs), "gibbs_round")
@@ -475,7 +477,7 @@ def collapsed(
         rows = late[0][0]
         for x, _ in late[1:]:
             rows = rows.unionByName(x)
-        each = rows.join(ids, "block").select(F.explode(F.arrays_zip("ids", "z")).alias("s")).select(F.col("s.ids").alias("seq_id"), F.explode("s.z").alias("start"))
+        each = rows.join(laid.select("block", "ids"), "block").select(F.explode(F.arrays_zip("ids", "z")).alias("s")).select(F.col("s.ids").alias("seq_id"), F.explode("s.z").alias("start"))
         each = each.where("start >= 0").groupBy("seq_id", "start").agg((F.count("*") / (len(late) * chains)).alias("p"))
         q = min(max(mean[:, 0].sum() / max(n_seqs, 1), 1e-3), 1 - 1e-3)
         return Chains(update(m, roll_up(mean, K, size), bg, q, np.mean(alphas, axis=0)), each, worst, i + 1)

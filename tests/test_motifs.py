@@ -422,3 +422,16 @@ def test_masked_steps_read_only_the_chosen_windows(spark, world, share):
     assert kept.agg(F.sum(F.length("grams"))).first()[0] == 4 * len(cells.grams(m.order, bg.ab).parts) * different
     one, all_windows = em.masked_optimize(st, m, bg, share, max_iterations=3), em.optimize(st, m, bg, max_iterations=3, cells=cells)
     assert np.allclose(one.motif.v[-1], all_windows.motif.v[-1]) and np.allclose(one.log_likelihood, all_windows.log_likelihood)
+
+
+def test_rounds_have_a_few_tasks_a_core(spark, world):
+    """Not as many as shuffles have partitions: a Python task costs time before its first row."""
+    df, _, bg, _ = world
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert em.distinct(score.scored_strands(df), bg.ab).rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
